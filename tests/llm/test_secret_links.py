@@ -1,0 +1,45 @@
+import hashlib
+import random
+import re
+
+from tracekit.llm import secret_links as S
+
+ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+
+
+def base_spans(text):
+    spans = [(m.start(), 0, m.end(), "assign") for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
+    spans += [(m.start(), 1, m.end(), "access") for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    spans += [(m.start(), 2, m.end(), "hex") for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 24]
+    return ",".join(f"{k}:{a}:{b}" for a, _, b, k in sorted(spans))
+
+
+def test_base_spans_match_brute_force(spark):
+    rng = random.Random(5)
+    bits = ["token", "TOKEN", "secret", "api_key", "ApiKey", '"', "'", " ", "  ", ":", "=", "abc", "abcdef", "x.y_z", "AKIA", "ABCDEFGHIJ123456", "0123456789abcdef", "ff", "é", "\U0001f600", "\n", "password=", "ſecret=", "G"]
+    texts = ["".join(rng.choices(bits, k=rng.randint(0, 40))) for _ in range(400)] + [None, "", "token=token:abcdefgh", "token = abcdef" * 3000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r.doc_id: r for r in S.scan_digest(df).collect()}
+    assert len(rows) == len(texts)
+    for i, text in enumerate(texts):
+        want = base_spans(text or "")
+        assert rows[i].base_sha256 == hashlib.sha256(want.encode()).hexdigest(), text
+        assert set(filter(None, want.split(","))) <= set(rows[i].spans.split(","))
+        assert rows[i].n_assign + rows[i].n_access + rows[i].n_hex == len(list(filter(None, want.split(","))))
+
+
+def test_weak_parts_need_a_complement_in_reach(spark):
+    far = "x " * 300
+    texts = ["login = robin and nothing else", "login = robin\npwd = hunter22", f"login = robin {far} pwd = hunter22", "see https://a.example/x", "https://a.example/x token=abcdefgh", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").withColumnRenamed("text", "text")
+    got = {r.doc_id: r.spans for r in S.scan_digest(df).collect()}
+    assert got[0] == got[2] == got[3] == got[5] == ""
+    assert got[1] == "ident:0:13,loose:14:28"
+    assert got[4] == "endpoint:0:19,assign:20:34"
+
+
+def test_repeated_rows_null_ids_clashing_columns_and_empty(spark):
+    df = spark.createDataFrame([(None, "pwd=abcdefg user=bob", 1), (None, "pwd=abcdefg user=bob", 1), (3, "user=bob", 1), (3, "user=bob pwd=abcdefg", 2)], "doc_id long, text string, base int")
+    got = sorted((r.doc_id or -1, r.spans) for r in S.scan_digest(df).collect())
+    assert got == [(-1, "loose:0:11,ident:12:20"), (-1, "loose:0:11,ident:12:20"), (3, ""), (3, "ident:0:8,loose:9:20")]
+    assert S.scan_digest(df.limit(0)).count() == 0
