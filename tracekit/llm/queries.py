@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import line_quality, reply_trees, secret_links
+from . import line_quality, minhash_hamming, ppm_language, reply_trees, secret_links
 from .common import table
 
 
@@ -10,6 +10,14 @@ def op2_secret_links(spark, sf_dir):
     return secret_links.scan_digest(table(spark, sf_dir, "documents"))
 
 
+def op3_ppm_language(spark, sf_dir):
+    return ppm_language.language_table(table(spark, sf_dir, "documents"))
+
+
+def op7_minhash_hamming(spark, sf_dir):
+    return minhash_hamming.near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80)
+
+
 def op9_chat_format(spark, sf_dir):
     return reply_trees.chat_digest(spark, table(spark, sf_dir, "conversations"))
 
@@ -18,5 +26,5 @@ def op10_line_quality(spark, sf_dir):
     return line_quality.quality_rules(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_secret_links, op9_chat_format, op10_line_quality)}
-ORACLES = {"op9_chat_format": reply_trees.ORACLE, "op10_line_quality": line_quality.ORACLE}
+QUERIES = {f.__name__: f for f in (op2_secret_links, op3_ppm_language, op7_minhash_hamming, op9_chat_format, op10_line_quality)}
+ORACLES = {"op7_minhash_hamming": minhash_hamming.ORACLE, "op9_chat_format": reply_trees.ORACLE, "op10_line_quality": line_quality.ORACLE}
