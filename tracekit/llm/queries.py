@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from . import line_quality, minhash_hamming, ppm_language, reply_trees, secret_links
+from . import line_quality, main_text, minhash_hamming, piece_lattice, pivot_lists, ppm_language, reply_trees, secret_links
 from .common import table
 
 
+def op1_piece_lattice(spark, sf_dir):
+    return piece_lattice.sampled_pieces(table(spark, sf_dir, "documents"))
+
+
 def op2_secret_links(spark, sf_dir):
     return secret_links.scan_digest(table(spark, sf_dir, "documents"))
 
@@ -14,10 +18,19 @@ def op3_ppm_language(spark, sf_dir):
     return ppm_language.language_table(table(spark, sf_dir, "documents"))
 
 
+def op6_main_text(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    return main_text.main_text(pages, main_text.fit(pages))
+
+
 def op7_minhash_hamming(spark, sf_dir):
     return minhash_hamming.near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80)
 
 
+def op8_pivot_lists(spark, sf_dir):
+    return pivot_lists.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op9_chat_format(spark, sf_dir):
     return reply_trees.chat_digest(spark, table(spark, sf_dir, "conversations"))
 
@@ -26,5 +39,10 @@ def op10_line_quality(spark, sf_dir):
     return line_quality.quality_rules(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_secret_links, op3_ppm_language, op7_minhash_hamming, op9_chat_format, op10_line_quality)}
-ORACLES = {"op7_minhash_hamming": minhash_hamming.ORACLE, "op9_chat_format": reply_trees.ORACLE, "op10_line_quality": line_quality.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_piece_lattice, op2_secret_links, op3_ppm_language, op6_main_text, op7_minhash_hamming, op8_pivot_lists, op9_chat_format, op10_line_quality)}
+ORACLES = {
+    "op7_minhash_hamming": minhash_hamming.ORACLE,
+    "op8_pivot_lists": pivot_lists.ORACLE,
+    "op9_chat_format": reply_trees.ORACLE,
+    "op10_line_quality": line_quality.ORACLE,
+}
