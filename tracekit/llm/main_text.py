@@ -95,6 +95,7 @@ def items(page: str) -> list[tuple[str, str, int, str, bool, bool]]:
                     del stack[depth:]
                     _, dropped, inside, context = stack[-1]
             attributes = _attributes(m[3])
+            out[-1] = (kind, name, 0, "", dropped or _unwanted(name, attributes, inside), inside)
             main = name in CONTAINERS or attributes.get("role") == "main"
             stack.append((name, dropped or _unwanted(name, attributes, inside), inside or main, name if name in CONTEXTS else context))
 
