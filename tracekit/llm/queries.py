@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import line_quality, main_text, minhash_hamming, piece_lattice, pivot_lists, ppm_language, reply_trees, secret_links
+from . import feistel_pii, line_quality, main_text, minhash_hamming, piece_lattice, pivot_lists, ppm_language, reply_trees, secret_links, soft_mixing
 from .common import table
 
 
@@ -18,6 +18,15 @@ def op3_ppm_language(spark, sf_dir):
     return ppm_language.language_table(table(spark, sf_dir, "documents"))
 
 
+def op4_feistel_pii(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return feistel_pii.pseudonymise(docs, count_col="n_replaced")
+
+
+def op5_soft_mixing(spark, sf_dir):
+    return soft_mixing.mixed(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_main_text(spark, sf_dir):
     pages = table(spark, sf_dir, "pages")
     return main_text.main_text(pages, main_text.fit(pages))
@@ -39,7 +48,7 @@ def op10_line_quality(spark, sf_dir):
     return line_quality.quality_rules(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_piece_lattice, op2_secret_links, op3_ppm_language, op6_main_text, op7_minhash_hamming, op8_pivot_lists, op9_chat_format, op10_line_quality)}
+QUERIES = {f.__name__: f for f in (op1_piece_lattice, op2_secret_links, op3_ppm_language, op4_feistel_pii, op5_soft_mixing, op6_main_text, op7_minhash_hamming, op8_pivot_lists, op9_chat_format, op10_line_quality)}
 ORACLES = {
     "op7_minhash_hamming": minhash_hamming.ORACLE,
     "op8_pivot_lists": pivot_lists.ORACLE,
