@@ -79,3 +79,18 @@ def test_signature_distance_follows_similarity():
     codes = M.signatures(sets, bounds)
     assert bounds.tolist() == [0, 1000, 2000, 2000] and not codes[2].any()
     assert 2 <= np.sum(codes[0] != codes[1]) <= 16  # similarity 0.82
+
+
+def test_large_components_are_compared_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(M, "LARGE", 3)
+    monkeypatch.setattr(M, "BLOCK", 4)
+    rng = random.Random(11)
+    rows = []
+    for g in range(2):
+        base = [f"k{i}" for i in range(60)] + [f"g{g}x{i}" for i in range(40)]
+        for c in range(40):
+            edit = list(base)
+            for _ in range(c % 12):
+                edit[rng.randrange(100)] = f"z{rng.randrange(10**6)}"
+            rows.append((g * 1000 + (c * 37) % 100, " ".join(edit)))
+    check(spark, rows)

@@ -10,9 +10,11 @@ Links are confirmed on the full shingle sets. Nothing emits all pairs of a group
 1. equal sets are one class, kept as its smallest id;
 2. each key list compares its members with one pivot only, the member that lies in the most and longest lists (the
    original that many edited copies share), which is linear in the keys;
-3. only lists that still hold several components are compared further, members of different components alone, with size
-   and signature distance inside the join condition. That is the exact way for the rest: afterwards every pair that
-   shares a key is either compared or already in one component.
+3. only lists that still hold several components are compared further, and only across components. Members of small
+   components are joined by key, with size and signature distance inside the join condition. Members beside a large
+   component (``LARGE`` or more) are compared with all of it on full sets, in blocks of ``BLOCK`` by ``BLOCK`` that
+   return at most one link a member. That is the exact way for the rest: afterwards every pair within reach that shares a
+   key is either compared or already in one component.
 
 Defined cases: text that is null or has no words gives an empty set that links with nothing; one word is one shingle;
 rows with a null id link with nothing and are their own component (null, kept); repeated ids each take the component of
@@ -32,6 +34,7 @@ from .common import checkpointed, smallest_labels
 CHUNKS, IN_CHUNK = 10, 4
 CODES = CHUNKS * IN_CHUNK
 REACH = 2 * CHUNKS - 1
+LARGE, BLOCK = 32, 128
 BYTES = 4_000_000  # of text hashed at once
 
 _MULTIPLY = np.random.default_rng(20240607).integers(1, 2**63, CODES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -136,7 +139,7 @@ def _near(a: str, b: str, percent: int):
     """Conditions that every linked pair within reach meets: sizes and signature distance."""
     differ = F.size(F.filter(F.zip_with(f"{a}codes", f"{b}codes", lambda x, y: x != y), lambda x: x))
     small, large = F.least(f"{a}n", f"{b}n"), F.greatest(f"{a}n", f"{b}n")
-    return (100 * small >= percent * large) & (differ <= REACH + 4)
+    return (100 * small >= percent * large) & (differ <= REACH)
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -146,6 +149,59 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * common >= percent * (F.size("ia") + F.size("ib") - common)).select("a", "b")
 
 
+def _across(lists: DataFrame, labels: DataFrame, sig: DataFrame, source: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links between members of different components that share a list."""
+    sizes = labels.groupBy("component").agg(F.count(F.lit(1)).alias("members"))
+    named = labels.join(sizes, "component").select(F.col("id").alias("rep"), "component", "members")
+    member = lists.join(named, "rep")
+    mixed = member.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("held").alias("held")).where("lo <> hi AND held > 2")
+    rest = checkpointed(member.join(mixed.select("key"), "key", "left_semi").select("key", "rep", "component", "members"))
+
+    small = rest.where(F.col("members") < LARGE).join(sig, "rep")
+    l, r = (small.select(F.col("key").alias(f"{x}key"), F.col("rep").alias(x), F.col("component").alias(f"{x}c"), F.col("n").alias(f"{x}n"), F.col("codes").alias(f"{x}codes")) for x in "ab")
+    pairs = l.join(r, (F.col("akey") == F.col("bkey")) & (F.col("a") < F.col("b")) & (F.col("ac") != F.col("bc")) & _near("a", "b", percent)).select("a", "b").distinct()
+    pairs = checkpointed(pairs)
+
+    large = rest.where(F.col("members") >= LARGE).select(F.col("key").alias("lkey"), F.col("component").alias("into"), F.col("members").alias("of")).distinct()
+    smaller = F.struct("members", "component") < F.struct("of", "into")
+    asks = checkpointed(rest.join(large, (F.col("key") == F.col("lkey")) & smaller).select("rep", "into").distinct())
+
+    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).union(asks.select("rep"))
+    held = named.join(asks.select(F.col("into").alias("component")).distinct(), "component", "left_semi").select(F.col("rep").alias("doc_id"), F.col("component").alias("into"))
+    wanted = wanted.union(held.select("doc_id")).distinct()
+    sets = checkpointed(set_table(source.join(wanted, "doc_id", "left_semi"), width))
+
+    load = asks.groupBy("into").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))
+    load = load.join(sizes.withColumnRenamed("component", "into"), "into").select("into", "parts", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
+    deal = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n)).cast("int")
+    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    asking = asks.withColumnRenamed("rep", "doc_id").join(load, "into").select("into", "doc_id", deal("parts").alias("part"), all_of("blocks").alias("block"), F.lit(True).alias("asks"))
+    asked = held.join(load, "into").select("into", "doc_id", all_of("parts").alias("part"), deal("blocks").alias("block"), F.lit(False).alias("asks"))
+    tasks = asking.unionByName(asked).join(sets, "doc_id")
+    found = tasks.groupBy("into", "part", "block").applyInPandas(lambda pdf: _first_links(pdf, percent), "a long, b long")
+    return confirmed(pairs, sets, percent).union(found.select(F.least("a", "b"), F.greatest("a", "b")))
+
+
+def _first_links(pdf: pd.DataFrame, percent: int, columns: int = 20_000) -> pd.DataFrame:
+    """For each asking set of one block the first set of the component that it links with."""
+    asks = pdf["asks"].to_numpy(bool)
+    ids, n = pdf["doc_id"].to_numpy(np.int64), pdf["items"].map(len).to_numpy()
+    owner = np.repeat(np.arange(len(pdf)), n)
+    _, item = np.unique(np.concatenate(pdf["items"].to_list()), return_inverse=True)
+    q, m = np.flatnonzero(asks), np.flatnonzero(~asks)
+    common = np.zeros((len(q), len(m)))
+    by = np.argsort(item, kind="stable")
+    owner, item = owner[by], item[by]
+    for low in range(0, int(item[-1]) + 1, columns):  # a slice of the shingles at a time
+        at = slice(*np.searchsorted(item, [low, low + columns]))
+        held = np.zeros((len(pdf), columns), np.float32)
+        held[owner[at], item[at] - low] = 1
+        common += held[q] @ held[m].T
+    linked = 100 * common >= percent * (n[q][:, None] + n[m][None, :] - common)
+    hit = linked.any(1)
+    return pd.DataFrame({"a": ids[q[hit]], "b": ids[m[linked.argmax(1)[hit]]]})
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept."""
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -171,15 +227,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = checkpointed(confirmed(first, sets, percent))
     labels = checkpointed(smallest_labels(sig.select(F.col("rep").alias("id")), links))
 
-    member = lists.join(labels.withColumnRenamed("id", "rep"), "rep")
-    mixed = member.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("held").alias("held")).where("lo <> hi AND held > 2")
-    rest = member.join(mixed.select("key"), "key", "left_semi").join(sig, "rep").select("key", "rep", "component", "n", "codes")
-    rest = checkpointed(rest)
-    l, r = (rest.select("key", F.col("rep").alias(s), F.col("component").alias(f"{s}c"), F.col("n").alias(f"{s}n"), F.col("codes").alias(f"{s}codes")) for s in "ab")
-    more = l.join(r.withColumnRenamed("key", "other"), (F.col("key") == F.col("other")) & (F.col("a") < F.col("b")) & (F.col("ac") != F.col("bc")) & _near("a", "b", percent)).select("a", "b").distinct()
-    more = checkpointed(more.join(first, ["a", "b"], "left_anti"))
+    more = checkpointed(_across(lists, labels, sig, source, width, percent).join(links, ["a", "b"], "left_anti"))
     if more.limit(1).count():
-        links = checkpointed(links.union(confirmed(more, sets_of(more), percent)))
+        links = links.union(more)
         labels = checkpointed(smallest_labels(sig.select(F.col("rep").alias("id")), links))
     named = reps.join(labels.withColumnRenamed("id", "rep"), "rep").select("n_shingles", "d1", "d2", F.col("component").alias("component_id"))
     out = base.join(named, ["n_shingles", "d1", "d2"], "left")
