@@ -1,4 +1,4 @@
 """One registered query for each operator of the inventory."""
 
-from . import projections, samples, selections  # noqa: F401
+from . import aggregates, projections, samples, selections  # noqa: F401
 from .base import ORACLES, QUERIES  # noqa: F401
