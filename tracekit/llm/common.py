@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 from functools import reduce
 
+import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,6 +36,16 @@ def same(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
     return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
 
 
+def text_slices(batches, column: int, size: int):
+    """Arrow batches cut into pieces of about ``size`` bytes of one text column."""
+    for batch in batches:
+        if batch.num_rows:
+            whole = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+            ends = [*(np.flatnonzero(np.diff(whole // size)) + 1), batch.num_rows]
+            for low, high in zip([0, *ends], ends, strict=False):
+                yield batch.slice(low, high - low)
+
+
 def smallest_labels(vertices: DataFrame, edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components: ``vertices(id)`` with ``edges(a, b)`` -> ``(id, component)``, the smallest id reachable.
 

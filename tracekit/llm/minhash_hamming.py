@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, smallest_labels
+from .common import checkpointed, smallest_labels, text_slices
 
 CHUNKS, IN_CHUNK = 10, 4
 CODES = CHUNKS * IN_CHUNK
@@ -88,24 +88,11 @@ def _mix_light(x: np.ndarray, k: int) -> np.ndarray:
     return (y ^ (y >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
 
 
-def _pieces(batches, text: int):
-    """Rows of Arrow batches in pieces of about BYTES of text."""
-    for batch in batches:
-        at = size = 0
-        for i in range(batch.num_rows):
-            size += len(batch.column(text)[i].as_py() or "")
-            if size >= BYTES:
-                yield batch.slice(at, i + 1 - at)
-                at, size = i + 1, 0
-        if at < batch.num_rows:
-            yield batch.slice(at)
-
-
 def sketch(docs: DataFrame, width: int = 2) -> DataFrame:
     """(doc_id, text) -> doc_id, n_shingles, d1, d2 (digest of the set), codes."""
 
     def run(batches):
-        for b in _pieces(batches, 1):
+        for b in text_slices(batches, 1, BYTES):
             sets, bounds = shingle_sets(b.column(1).to_pylist(), width)
             codes = signatures(sets, bounds)
             sums = [np.concatenate([[np.uint64(0)], np.cumsum(_mix(sets + np.uint64(s)))]) for s in (1, 2)]
@@ -120,7 +107,7 @@ def set_table(docs: DataFrame, width: int = 2) -> DataFrame:
     """(doc_id, text) -> doc_id, items: the sorted distinct shingle hashes."""
 
     def run(batches):
-        for b in _pieces(batches, 1):
+        for b in text_slices(batches, 1, BYTES):
             sets, bounds = shingle_sets(b.column(1).to_pylist(), width)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(sets.view(np.int64)))], ["doc_id", "items"])
 

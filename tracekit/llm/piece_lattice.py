@@ -26,9 +26,11 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import text_slices
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-BYTES = 3_000_000  # of text in one piece of work
+BYTES = 1_500_000  # of text in one piece of work
 SHIFT = 8.0
 SLOT_BITS = 20
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -216,18 +218,6 @@ def _lattice(token: int, load) -> Lattice:
     return Lattice(*load())
 
 
-def _batches(batches, column: int):
-    for batch in batches:
-        at = size = 0
-        for i, t in enumerate(batch.column(column).to_pylist()):
-            size += len(t or "")
-            if size >= BYTES:
-                yield batch.slice(at, i + 1 - at)
-                at, size = i + 1, 0
-        if at < batch.num_rows:
-            yield batch.slice(at)
-
-
 class _Shared:
     """The broadcast model of a query; one lattice a Python worker."""
 
@@ -264,7 +254,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
 
     def run(batches):
         lattice = shared.get()
-        for b in _batches(batches, place):
+        for b in text_slices(batches, place, BYTES):
             found = lattice.segment(b.column(place).to_pylist(), b.column(len(names)).to_numpy(), alpha)
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in keep), pa.array(found, pa.list_(pa.int32()))], [*(names[i] for i in keep), "piece_ids"])
 
@@ -294,7 +284,18 @@ def _lists(column):
         yield x.values.to_numpy() if x.is_valid else None
 
 
-def sampled_pieces(docs: DataFrame, model: str = MODEL) -> DataFrame:
-    """doc_id, piece_ids, n_pieces and whether decoding returned the text."""
-    both = decode(encode(docs.select("doc_id", "text"), model=model), model=model)
-    return both.select("doc_id", F.coalesce(F.size("piece_ids"), F.lit(0)).cast("long").alias("n_pieces"), "piece_ids", F.col("decoded").eqNullSafe(F.col("text")).alias("lossless"))
+def sampled_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, alpha: float = 0.5, seed: int = 1) -> DataFrame:
+    """doc_id, n_pieces, piece_ids and whether decoding returned the text, encoded and decoded in one pass."""
+    shared = _Shared(docs.sparkSession, model)
+
+    def run(batches):
+        lattice = shared.get()
+        for b in text_slices(batches, 1, BYTES):
+            texts = b.column(1).to_pylist()
+            found = lattice.segment(texts, b.column(2).to_numpy(), alpha)
+            same = [t is None if ids is None else lattice.decode(ids.tolist()) == t for t, ids in zip(texts, found, strict=True)]
+            sizes = [0 if ids is None else len(ids) for ids in found]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(found, pa.list_(pa.int32())), pa.array(same)], ["doc_id", "n_pieces", "piece_ids", "lossless"])
+
+    keyed = docs.select(F.col(id_col).cast("long"), F.col(text_col), F.xxhash64(F.lit(seed), F.col(id_col)))
+    return keyed.mapInArrow(run, "doc_id long, n_pieces long, piece_ids array<int>, lossless boolean")
