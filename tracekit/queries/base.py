@@ -43,7 +43,11 @@ SELECT rid, dataset, trace_name, chunk, l_orderkey, k2 FROM {fx_keys} WHERE k2 I
   concat(event_type, '$', event_id, ',:3') AS name, concat('pre_', event_type, '__', user_id, '__', event_id) AS composed, concat('ev:', user_id, ' ', 'x-', event_id % 9, ';ev:', user_id) AS ids,
   CASE event_id % 4 WHEN 0 THEN 'HHZ,HHN' WHEN 1 THEN 'bnz;bne' WHEN 2 THEN 'XPZ' END AS channels, ts FROM {events}""",
     "fx_wave": """SELECT vec_id, label, vec_id % 64 AS pick, embedding FROM {embeddings}""",
+    "fx_wave3": """SELECT a.vec_id, a.label, a.vec_id % 64 AS pick, CAST(a.embedding AS DOUBLE[]) AS c0, CAST(b.embedding AS DOUBLE[]) AS c1, CAST(c.embedding AS DOUBLE[]) AS c2
+FROM {embeddings} a JOIN {embeddings} b ON b.vec_id = a.vec_id + 1 JOIN {embeddings} c ON c.vec_id = a.vec_id + 2""",
 }
+#: What only the spelling of a type sets apart.
+SPARK_TYPES = {"DOUBLE[]": "ARRAY<DOUBLE>"}
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -57,7 +61,10 @@ class Tables:
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in VIEWS:
-            return self.sql(VIEWS[name])
+            text = VIEWS[name]
+            for duck, own in SPARK_TYPES.items():
+                text = text.replace(duck, own)
+            return self.sql(text)
         if name in TABLES:
             return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
         raise AttributeError(name)
