@@ -11,7 +11,8 @@ Links are confirmed on the full shingle sets. Nothing emits all pairs of a group
 2. each key list compares its members with one pivot only, the member that lies in the most and longest lists (the
    original that many edited copies share), which is linear in the keys;
 3. only lists that still hold several components are compared further, and only across components. Members of small
-   components are joined by key, with size and signature distance inside the join condition. Members beside a large
+   components are joined by key, with size, signature distance and "their first common key" inside the join condition.
+   Members beside a large
    component (``LARGE`` or more) are compared with all of it on full sets, in blocks of ``BLOCK`` by ``BLOCK`` that
    return at most one link a member. That is the exact way for the rest: afterwards every pair within reach that shares a
    key is either compared or already in one component.
@@ -119,7 +120,14 @@ def _keys(reps: DataFrame) -> DataFrame:
     for c in range(CHUNKS):
         codes = [F.col("codes")[c * IN_CHUNK + i] for i in range(IN_CHUNK)]
         keys += [F.xxhash64(F.lit(c * IN_CHUNK + out), *[x for i, x in enumerate(codes) if i != out]) for out in range(IN_CHUNK)]
-    return reps.select("rep", F.explode(F.array(*keys)).alias("key"))
+    return reps.select("rep", F.posexplode(F.array(*keys)).alias("slot", "key"))
+
+
+def _first_slot(a: str, b: str):
+    """The first key that two signatures share: a chunk's codes but one agree."""
+    agree = F.zip_with(a, b, lambda x, y: x == y)
+    shares = lambda e, s: F.size(F.filter(F.slice(e, F.floor(s / IN_CHUNK).cast("int") * IN_CHUNK + 1, IN_CHUNK), lambda x, i: x | (i == s % IN_CHUNK))) == IN_CHUNK
+    return F.array_position(F.transform(F.array(agree), lambda e: F.transform(F.sequence(F.lit(0), F.lit(CODES - 1)), lambda s: shares(e, s)))[0], True) - 1
 
 
 def _near(a: str, b: str, percent: int):
@@ -142,12 +150,12 @@ def _across(lists: DataFrame, labels: DataFrame, sig: DataFrame, source: DataFra
     named = labels.join(sizes, "component").select(F.col("id").alias("rep"), "component", "members")
     member = lists.join(named, "rep")
     mixed = member.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("held").alias("held")).where("lo <> hi AND held > 2")
-    rest = checkpointed(member.join(mixed.select("key"), "key", "left_semi").select("key", "rep", "component", "members"))
+    rest = checkpointed(member.join(mixed.select("key"), "key", "left_semi").select("key", "slot", "rep", "component", "members"))
 
     small = rest.where(F.col("members") < LARGE).join(sig, "rep")
-    l, r = (small.select(F.col("key").alias(f"{x}key"), F.col("rep").alias(x), F.col("component").alias(f"{x}c"), F.col("n").alias(f"{x}n"), F.col("codes").alias(f"{x}codes")) for x in "ab")
-    pairs = l.join(r, (F.col("akey") == F.col("bkey")) & (F.col("a") < F.col("b")) & (F.col("ac") != F.col("bc")) & _near("a", "b", percent)).select("a", "b").distinct()
-    pairs = checkpointed(pairs)
+    l, r = (small.select(F.col("key").alias(f"{x}key"), F.col("slot").alias(f"{x}slot"), F.col("rep").alias(x), F.col("component").alias(f"{x}c"), F.col("n").alias(f"{x}n"), F.col("codes").alias(f"{x}codes")) for x in "ab")
+    pairs = l.join(r, (F.col("akey") == F.col("bkey")) & (F.col("a") < F.col("b")) & (F.col("ac") != F.col("bc")) & _near("a", "b", percent) & (F.col("aslot") == _first_slot("acodes", "bcodes")))
+    pairs = checkpointed(pairs.select("a", "b").distinct())
 
     large = rest.where(F.col("members") >= LARGE).select(F.col("key").alias("lkey"), F.col("component").alias("into"), F.col("members").alias("of")).distinct()
     smaller = F.struct("members", "component") < F.struct("of", "into")
