@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,8 +21,7 @@ C = F.col
 def scratch(spark: SparkSession) -> str:
     """A new folder that executors share: in the checkpoint folder, or a local one where none is set."""
     shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    name = tempfile.mktemp(prefix="job-", dir="/")[1:]
-    return f"{shared}/{name}" if shared else tempfile.mkdtemp(prefix="spark-job-")
+    return f"{shared}/job-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="spark-job-")
 
 
 def _catalog_csv(t) -> str:
