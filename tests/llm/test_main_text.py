@@ -4,9 +4,9 @@ from tracekit.llm import main_text as M
 
 PAGE = """<!DOCTYPE html><html><head><title>T &amp; t</title><style>p{margin:0}</style><script>var t="</p>";</script></head><body>
 <header class="site"><h1>Brand</h1></header><nav><ul><li><a href="/a">Home</a></li></ul></nav><!-- ad --><div class="ad-slot">Buy this now please today</div>
-<main><article><h1>Head&#108;ine &lt;x&gt;</h1><p>First   <b>bold</b>&nbsp;part
+<main><article><header class="entry-header"><h1>Head&#108;ine &lt;x&gt;</h1></header><p>First   <b>bold</b>&nbsp;part
 of it.<br>after the break<p>Unclosed one<p>Second &copy; <a href="x">linked</a> words.</p><aside>side words here</aside><div class="cookieNotice">we use</div>
-<form><input><button>Send</button></form><ul><li>item one</li><li>item two</li></ul><section id="comments"><p>A reader says</p></section></article></main>
+<form><input><button>Send</button></form><ul><li>item one</li><li>item two</li></ul><section id="comments"><p>A reader says</p></section><ol class="commentlist"><li>Me too</li></ol></article></main>
 <div class="sidebar"><p>other things to read</p></div><footer>(c) me</footer></body></html>"""
 WANT = "Headline <x>\nFirst bold part of it.\nafter the break\nUnclosed one\nSecond © linked words.\nitem one\nitem two"
 

@@ -30,10 +30,11 @@ INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "dat
 DROPPED = {"head", "nav", "footer", "aside", "form", "button", "select", "dialog", "menu", "object", "audio", "video", "canvas", "figcaption"} - {"figcaption"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar"}
 NAMES = set(
-    "ad ads adv advert adverts advertisement advertising adsense banner promo promotion sponsor sponsored sidebar side menu nav navbar navigation "
+    "ad ads adv advert adverts advertisement advertising adsense banner promo promotion sponsor sponsored sidebar menu nav navbar navigation "
     "breadcrumb breadcrumbs footer header masthead topbar cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe "
     "signup login search comment comments respond replies reply disqus share sharing social related recommended widget toolbar pagination pager copyright legal".split()
 )
+STEMS = ("advert", "sponsor", "sidebar", "navbar", "navigation", "breadcrumb", "footer", "cookie", "newsletter", "comment", "promo", "popup", "pagination", "related")
 CONTAINERS = {"article", "main"}
 FLOW = {"p", "br", "li", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre"}
 CONTEXTS = {"a", "li", "td", "th", "p", "h1", "h2", "h3", "h4", "h5", "h6", "div", "section", "article", "main", "blockquote", "pre", "dd", "dt", "figcaption", "label", "body"}
@@ -51,7 +52,10 @@ def _unwanted(name: str, attributes: dict[str, str], inside: bool) -> bool:
     if name in CONTAINERS or name in ("body", "html") or attributes.get("role") == "main":
         return False
     called = f"{attributes.get('class', '')} {attributes.get('id', '')}"
-    return any(x.lower() in NAMES for x in re.split(r"[^A-Za-z]+|(?<=[a-z])(?=[A-Z])", called) if x)
+    names = {x.lower() for x in re.split(r"[^A-Za-z]+|(?<=[a-z])(?=[A-Z])", called) if x}
+    if inside:  # an article's own header belongs to it
+        names.discard("header")
+    return bool(names & NAMES) or any(x.startswith(STEMS) for x in names)
 
 
 def items(page: str) -> list[tuple[str, str, int, str, bool, bool]]:
