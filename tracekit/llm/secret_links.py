@@ -95,3 +95,23 @@ def scan_digest(docs: DataFrame) -> DataFrame:
     found = link_secrets(docs)
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
     return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(span_list(F.col("base")), 256).alias("base_sha256"), span_list(F.concat("base", "linked")).alias("spans"), F.size("linked").cast("long").alias("n_linked"))
+
+
+def _oracle() -> str:
+    quoted = lambda p: "'" + p.replace("'", "''") + "'"
+    parts = " UNION ALL ".join(
+        f"SELECT doc_id, {order} AS ord, '{kind}' AS kind, '{role}' AS role, {str(strong).lower()} AS strong, {6 if kind == 'assign' else 0} AS least, {quoted(pattern)} AS pat, string_split_regex(t, {quoted(pattern)}) AS g, regexp_extract_all(t, {quoted(pattern)}) AS m FROM d"
+        for kind, (order, pattern, role, strong) in KINDS.items()
+    )
+    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), h AS ({parts}),
+i AS (SELECT *, unnest(range(1, len(m) + 1)) AS k FROM h),
+p AS (SELECT doc_id, ord, kind, role, strong, coalesce(list_sum([length(x) FOR x IN g[1:k]]), 0) + coalesce(list_sum([length(x) FOR x IN m[1:k - 1]]), 0) AS s, length(m[k]) AS n FROM i
+  WHERE least = 0 OR length(regexp_extract(m[k], {quoted(ASSIGN)}, 2)) >= least),
+w AS (SELECT * FROM p WHERE strong OR EXISTS (SELECT 1 FROM p o WHERE o.doc_id = p.doc_id AND (o.role = 'secret') <> (p.role = 'secret') AND o.s <= p.s + p.n + 200 AND o.s + o.n >= p.s - 200)),
+a AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex, count(*) FILTER (NOT strong) AS n_linked,
+  string_agg(kind || ':' || CAST(s AS BIGINT) || ':' || CAST(s + n AS BIGINT), ',' ORDER BY s, ord, n) FILTER (strong) AS base, string_agg(kind || ':' || CAST(s AS BIGINT) || ':' || CAST(s + n AS BIGINT), ',' ORDER BY s, ord, n) AS spans FROM w GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_linked, 0) AS n_linked
+FROM d LEFT JOIN a USING (doc_id)"""
+
+
+ORACLE = _oracle()
