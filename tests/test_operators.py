@@ -167,6 +167,18 @@ def test_augmentation_and_scorer_errors(spark):
     assert all(r.score_status == "error: no model" and r.p_curve is None for r in bad)
 
 
+def test_corpus_build_invariants(spark):
+    from tracekit.queries import QUERIES
+    from tracekit.queries.base import Tables
+
+    folder = "/root/testdata/sf0.001"
+    out = keys.checkpointed(QUERIES["corpus_build"](spark, folder))
+    train = {r.distance_bin: r["count"] for r in out.where("split = 'train'").groupBy("distance_bin").count().collect()}
+    assert max(train.values()) - min(train.values()) <= 1 or len(train) < 4
+    row_keys = Tables(spark, folder).fx_rowkeys
+    assert row_keys.join(out, "rid").groupBy("event_key").agg(F.countDistinct("split").alias("n")).where("n > 1").count() == 0
+
+
 def test_library_does_not_need_the_text_operators():
     root = pathlib.Path(__file__).resolve().parents[1] / "tracekit"
     for path in root.rglob("*.py"):

@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import bins
 from ..operators import joins, profile
 from ..plans import corpus
 from ..sources import catalogs
@@ -212,9 +213,16 @@ def benchmark_build(t):
     return corpus.build_benchmark(t.fx_catalog, 50, 120).select("rid", "dataset", "physics_bin")
 
 
-@query()
+_REGIONS = " ".join(f"WHEN {' AND '.join(x for x in (f'lat > {s}' if s is not None else '', f'lat < {n}' if n is not None else '', f'lon > {w}' if w is not None else '', f'lon < {e}' if e is not None else '') if x)} THEN '{name}'" for name, s, n, w, e in bins.REGIONS)
+_TECTONIC = " ".join(f"WHEN lat > {s} AND lat < {n} AND lon > {w} AND lon < {e} THEN '{name}'" for name, s, n, w, e in bins.TECTONIC)
+
+
+@query(f"""WITH b AS (SELECT id, lat, lon, md5(concat_ws('|', '0', id)) AS h, CASE WHEN lat >= -90 AND lat < 90 THEN floor((lat + 90) / 30) END AS band FROM {{fx_geo}} WHERE id IN (SELECT trace_id FROM {{fx_results}} WHERE p_prob < 0.6 AND s_prob < 0.6)),
+r AS (SELECT *, row_number() OVER (PARTITION BY band ORDER BY h, id) AS r FROM b), k AS (SELECT * FROM r ORDER BY (band IS NOT NULL AND r <= 33) DESC, h, id LIMIT 200)
+SELECT id, lat, lon, CASE WHEN lat IS NULL OR lon IS NULL THEN 'unknown' {_REGIONS} ELSE 'Pacific_or_other' END AS region, CASE WHEN lat IS NULL OR lon IS NULL THEN 'stable' {_TECTONIC} ELSE 'stable' END AS tectonic,
+ CASE WHEN row_number() OVER (ORDER BY h, id) <= floor(count(*) OVER () * 0.9) THEN 'train' ELSE 'val' END AS split FROM k""")
 def noise_corpus(t):
-    """Screened noise by latitude; its steps have twins of their own."""
+    """Screened noise by latitude, named and split."""
     audit = t.fx_results.select(C("trace_id").alias("id"), C("p_prob").alias("max_p"), C("s_prob").alias("max_s"))
     return corpus.noise_corpus(t.fx_geo.select("id", "lat", "lon"), audit, 200, 0.6, 0.6)
 
