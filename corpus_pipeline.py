@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracekit.llm import feistel_pii, minhash_hamming, piece_lattice, ppm_language, soft_mixing
-from tracekit.llm.common import checkpointed, table
+from tracekit.llm.common import checkpointed, fresh, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,9 +34,10 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as its rate asks: most once, some twice or not at all."""
-    rates = soft_mixing.mixed(docs, table(spark, sf_dir, "labels")).where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("copies").alias("copies"))
-    often = docs.join(rates, "doc_id", "left").withColumn("copies", F.coalesce("copies", F.lit(1)))
-    return often.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select(*docs.columns)
+    copies, copy = fresh(docs, "copies"), fresh(docs, "copy")
+    rates = soft_mixing.mixed(docs, table(spark, sf_dir, "labels")).where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("copies").alias(copies))
+    often = docs.join(rates, "doc_id", "left").withColumn(copies, F.coalesce(copies, F.lit(1)))
+    return often.where(F.col(copies) > 0).withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), copies))).select(*docs.columns)
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -28,6 +28,18 @@ def test_each_stage_on_its_input(spark):
     assert after["pieces"].where("n_pieces = 0 OR piece_ids IS NULL").count() == 0
 
 
+def test_clashing_columns_pass_through(spark):
+    from tracekit.llm import feistel_pii, line_quality, piece_lattice, ppm_language
+
+    names = ["_letters", "_row_key", "row", "hits", "_w", "copies", "copy", "lang_pred", "n_words", "piece_ids"]
+    docs = spark.createDataFrame([(1, "the cat 4111111111111111", "en", "s", 24, *names)], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in names))
+    model = ppm_language.fit(docs)
+    for out, made in ((ppm_language.predict(docs, model), {"lang_pred"}), (feistel_pii.pseudonymise(docs), {"text"}), (line_quality.with_counts(docs), {"n_words"}), (piece_lattice.encode(docs), {"piece_ids"}), (C.mixing(spark, docs, SF), set())):
+        for r in out.collect():
+            assert all(r[n] == n for n in names if n not in made)
+    assert piece_lattice.decode(piece_lattice.encode(docs)).first().decoded == "the cat 4111111111111111"
+
+
 def test_operators_do_not_swallow_import_errors():
     root = pathlib.Path(__file__).resolve().parents[2]
     for path in [root / "corpus_pipeline.py", *(root / "tracekit/llm").glob("*.py")]:

@@ -9,7 +9,8 @@ valid. E-mail addresses, which are no numbers, get a keyed name at a reserved do
 All of it is array expressions on the row: one pattern splits the text into gaps and hits, hits are rewritten, and both are
 joined again. No shuffle.
 
-Defined cases: null text stays null; hits that fail validation stay as they are; repeated rows and extra columns are kept.
+Defined cases: null text stays null; hits that fail validation stay as they are; repeated rows and
+extra columns are kept (a column named like ``count_col`` is replaced).
 """
 
 from __future__ import annotations
@@ -148,12 +149,11 @@ def pseudonym(key: str, m: Column) -> Column:
 
 def pseudonymise(docs: DataFrame, text_col: str = "text", key: str = KEY, count_col: str | None = None) -> DataFrame:
     """The same rows with ``text_col`` rewritten; ``count_col`` names a column for the number of values replaced."""
-    text = F.col(text_col)
-    gated = text.rlike("[0-9@]")
+    row, text = F.col("row"), F.col("row")[text_col]  # the input as one struct: no name of ours can clash
     hits = F.transform(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)), lambda m: F.struct(m.alias("old"), pseudonym(key, m).alias("new")))
-    df = docs.withColumn("_hits", F.when(gated, hits))
-    made = F.array_join(F.flatten(F.zip_with(F.split(text, ANY, -1), "_hits", lambda gap, h: F.array(F.coalesce(gap, F.lit("")), F.coalesce(h["new"], F.lit(""))))), "")
-    df = df.withColumn("_new", F.when(F.size("_hits") > 0, made).otherwise(text))
-    changed = F.coalesce(F.size(F.filter("_hits", lambda h: h["old"] != h["new"])), F.lit(0)).cast("long")
-    cols = [F.col("_new").alias(c) if c == text_col else F.col(c) for c in docs.columns if c != count_col]
+    df = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).withColumn("hits", F.when(text.rlike("[0-9@]"), hits))
+    made = F.array_join(F.flatten(F.zip_with(F.split(text, ANY, -1), "hits", lambda gap, h: F.array(F.coalesce(gap, F.lit("")), F.coalesce(h["new"], F.lit(""))))), "")
+    new = F.when(F.size("hits") > 0, made).otherwise(text)
+    changed = F.coalesce(F.size(F.filter("hits", lambda h: h["old"] != h["new"])), F.lit(0)).cast("long")
+    cols = [(new if c == text_col else row[c]).alias(c) for c in docs.columns if c != count_col]
     return df.select(*cols, *([changed.alias(count_col)] if count_col else []))
