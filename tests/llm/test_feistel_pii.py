@@ -41,6 +41,13 @@ def test_formats_stay_valid_and_values_linked(spark):
     assert not any(x in one for x in ("4111", "2024-02-29", "10.0.0.1", "555-7713", "123-45", "y.example"))
 
 
+def test_neighbours_do_not_hide_each_other(spark):
+    values = ["4845168114407329", "4111111111111111", "4111 1111 1111 1111", "97.51.17.173", "+1 (017) 555-7713", "3782-822463-10005"]
+    text = " ".join(values) + " +33 1 23 45 67 89 +1 555 123 4567 " + " ".join(reversed(values)) + " 4111111111111112"
+    ((got, n),) = rewrite(spark, [text])
+    assert n == 14 and not any(v in got for v in values) and got.endswith(" 4111111111111112")
+
+
 def test_what_fails_validation_stays(spark):
     texts = ["4111111111111112", "999.1.1.1", "2023-02-29", "000-12-3456", "1.2.3.4.5", "room 12 of 345", None, "", "x@y", "\U0001f600 nothing | here\n"]
     assert rewrite(spark, texts) == [(t, 0) for t in texts]

@@ -26,8 +26,8 @@ IPV4 = r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\d|\.\d)"
 ISO = r"(?<!\d)\d{4}-\d{2}-\d{2}(?!\d)"
 DMY = r"(?<![\d./])\d{1,2}[/.]\d{1,2}[/.]\d{4}(?!\d)"
 SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
-PHONE = r"(?<![\p{L}\p{N}+])(?:\+\d{1,3}[ .-]?\(\d{1,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}|\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}|\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\d)"
-CARD = r"(?<!\d)\d(?:[ -]?\d){12,18}(?!\d)"
+PHONE = r"(?<![\p{L}\p{N}+])(?:\+\d{1,3}[ .-]?\(\d{1,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}|\+\d{1,3}[ .-]?\d(?:[ .-]\d{2}){4}|\+\d{1,3}(?:[ .-]?\d{2,4}){2,3}|\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\d|[.-]\d)"
+CARD = r"(?<!\d)(?:\d{13,19}|\d{4}(?<sep>[ -])\d{4}\k<sep>\d{4}\k<sep>\d{1,7}|\d{4}(?<gap>[ -])\d{6}\k<gap>\d{5})(?!\d)"
 ANY = "|".join([EMAIL, IPV4, ISO, DMY, SSN, PHONE, CARD])
 FIRST_DAY, DAYS_A, DAYS_B = "1900-01-01", 17, 4297  # 17 * 4297 days end with 2099-12-31
 
