@@ -26,11 +26,11 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_slices
+from .common import fresh, text_slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-BYTES = 1_500_000  # of text in one piece of work
+BYTES = 2_500_000  # of text in one piece of work
 SHIFT = 8.0
 SLOT_BITS = 20
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -58,6 +58,14 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.cumprod(out, dtype=np.uint64)
 
 
+class _Index(dict):
+    """Numbers new keys in order."""
+
+    def __missing__(self, key):
+        self[key] = found = len(self)
+        return found
+
+
 class Lattice:
     """Lookup tables of a model; segments texts."""
 
@@ -165,49 +173,62 @@ class Lattice:
 
     def segment(self, texts: list[str | None], keys: np.ndarray, alpha: float) -> list[np.ndarray | None]:
         """Sampled piece ids of every text."""
-        index: dict[str, int] = {}
-        flat = [[index.setdefault(c, len(index)) for c in CHUNK.findall(" " + t)] if t else [] for t in texts]
+        ids, bounds = self.segment_all(texts, keys, alpha)
+        return [None if t is None else ids[a:b] for t, a, b in zip(texts, bounds, bounds[1:], strict=False)]
+
+    def segment_all(self, texts: list[str | None], keys: np.ndarray, alpha: float) -> tuple[np.ndarray, np.ndarray]:
+        """Sampled piece ids of all texts in one array, and where each text's begin (one more than texts)."""
+        index, flat, count = _Index(), [], []
+        for t in texts:
+            found = CHUNK.findall(" " + t) if t else ()
+            flat.extend(map(index.__getitem__, found))
+            count.append(len(found))
         if not index:
-            return [None if t is None else np.empty(0, np.int32) for t in texts]
+            return np.empty(0, np.int32), np.zeros(len(texts) + 1, np.int64)
         begin, n, codes, rank, edge, lengths, piece, cum = self.forward(list(index), alpha)
-        count = np.array([len(f) for f in flat])
-        chunk = np.fromiter((x for f in flat for x in f), np.int64, int(count.sum()))
+        chunk, count = np.array(flat, np.int64), np.array(count)
         doc = np.repeat(np.arange(len(texts)), count)
         ends = np.cumsum(n[chunk])
-        first = np.concatenate([[0], ends])[np.cumsum(count) - count]  # characters before each text
-        start = ends - n[chunk] - first[doc]
+        chars = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(count)])]  # characters before each text
+        start = ends - n[chunk]
         with np.errstate(over="ignore"):
             seed = _mixed(keys.astype(np.int64).view(np.uint64) + np.uint64(0x632BE59BD9B4E019))[doc]
+            seed -= chars[doc].astype(np.uint64) * np.uint64(_BASE)  # places count from the start of the text
+        # a piece is written where its last character stands, so reading in order needs no sort
+        out, point = np.full(int(ends[-1]) + 1, -1, np.int32), np.empty(0, np.int64)
         live, at = np.arange(len(chunk)), n[chunk].copy()
-        got_doc, got_at, got_id = [], [], []
+        raw_at, raw_code = [], []
         while len(live):
             node = begin[chunk[live]] + at
-            place = (start[live] + at).astype(np.uint64)
-            draw = (_mixed(seed[live] + place * np.uint64(_BASE)) >> np.uint64(11)) * 2.0**-53
+            point = start[live] + at
+            draw = (_mixed(seed[live] + point.astype(np.uint64) * np.uint64(_BASE)) >> np.uint64(11)) * 2.0**-53
             turn = rank[node]
             pick, last, goal = edge[turn], edge[turn + 1] - 1, turn + draw
-            while (on := np.flatnonzero((cum[pick] <= goal) & (pick < last))).size:
+            on = np.flatnonzero((cum[pick] <= goal) & (pick < last))
+            while on.size:
                 pick[on] += 1
-            length, ids = lengths[pick].astype(np.int64), piece[pick]
+                on = on[(cum[pick[on]] <= goal[on]) & (pick[on] < last[on])]
+            ids = piece[pick]
+            out[point] = ids
             raw = np.flatnonzero(ids == -2)
-            plain = ids >= 0
-            got_doc.append(doc[live[plain]])
-            got_at.append(place[plain].astype(np.int64) * 4)
-            got_id.append(ids[plain])
             if len(raw):
-                coded = [chr(int(codes[x])).encode() for x in node[raw]]
-                m = np.array([len(b) for b in coded])
-                got_doc.append(np.repeat(doc[live[raw]], m))
-                got_at.append(np.repeat(place[raw].astype(np.int64) * 4, m) - np.concatenate([np.arange(k)[::-1] for k in m]))
-                got_id.append(self.byte_ids[np.frombuffer(b"".join(coded), np.uint8)])
-            at = at - length
+                raw_at.append(point[raw])
+                raw_code.append(codes[node[raw]])
+            at = at - lengths[pick]
             going = at > 0
             live, at = live[going], at[going]
-        doc, at, ids = map(np.concatenate, (got_doc, got_at, got_id))
-        order = np.lexsort((at, doc))
-        cut = np.cumsum(np.bincount(doc, minlength=len(texts)))[:-1]
-        parts = np.split(ids[order].astype(np.int32), cut)
-        return [None if t is None else p for t, p in zip(texts, parts, strict=True)]
+        held = np.flatnonzero(out != -1)
+        ids, size = out[held], np.ones(len(held), np.int64)
+        if raw_at:
+            raw_at, raw_code = np.concatenate(raw_at), np.concatenate(raw_code)
+            by = np.argsort(raw_at)
+            coded = [chr(c).encode() for c in raw_code[by].tolist()]
+            spots = np.flatnonzero(ids == -2)
+            size[spots] = [len(b) for b in coded]
+            ids = np.repeat(ids, size)
+            ids[ids == -2] = self.byte_ids[np.frombuffer(b"".join(coded), np.uint8)]
+        whole = np.concatenate([[0], np.cumsum(size)])
+        return ids, whole[np.searchsorted(held, chars, side="right")]
 
     def decode(self, ids) -> str:
         return b"".join(map(self.bytes.__getitem__, ids)).decode()[1:]
@@ -255,10 +276,15 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
     def run(batches):
         lattice = shared.get()
         for b in text_slices(batches, place, BYTES):
-            found = lattice.segment(b.column(place).to_pylist(), b.column(len(names)).to_numpy(), alpha)
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in keep), pa.array(found, pa.list_(pa.int32()))], [*(names[i] for i in keep), "piece_ids"])
+            texts = b.column(place).to_pylist()
+            ids, bounds = lattice.segment_all(texts, b.column(len(names)).to_numpy(), alpha)
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in keep), _listed(texts, ids, bounds)], [*(names[i] for i in keep), "piece_ids"])
+
+    return docs.withColumn(fresh(docs, "_row_key"), F.xxhash64(F.lit(seed), F.col(id_col))).mapInArrow(run, ", ".join([*kept, "piece_ids array<int>"]))
+
 
-    return docs.withColumn("_row_key", F.xxhash64(F.lit(seed), F.col(id_col))).mapInArrow(run, ", ".join([*kept, "piece_ids array<int>"]))
+def _listed(texts: list, ids: np.ndarray, bounds: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()), mask=pa.array([t is None for t in texts]))
 
 
 def decode(encoded: DataFrame, model: str = MODEL, out_col: str = "decoded") -> DataFrame:
@@ -292,10 +318,9 @@ def sampled_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         lattice = shared.get()
         for b in text_slices(batches, 1, BYTES):
             texts = b.column(1).to_pylist()
-            found = lattice.segment(texts, b.column(2).to_numpy(), alpha)
-            same = [t is None if ids is None else lattice.decode(ids.tolist()) == t for t, ids in zip(texts, found, strict=True)]
-            sizes = [0 if ids is None else len(ids) for ids in found]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(found, pa.list_(pa.int32())), pa.array(same)], ["doc_id", "n_pieces", "piece_ids", "lossless"])
+            ids, bounds = lattice.segment_all(texts, b.column(2).to_numpy(), alpha)
+            same = [t is None or lattice.decode(ids[low:high].tolist()) == t for t, low, high in zip(texts, bounds, bounds[1:], strict=False)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(bounds)), _listed(texts, ids, bounds), pa.array(same)], ["doc_id", "n_pieces", "piece_ids", "lossless"])
 
     keyed = docs.select(F.col(id_col).cast("long"), F.col(text_col), F.xxhash64(F.lit(seed), F.col(id_col)))
     return keyed.mapInArrow(run, "doc_id long, n_pieces long, piece_ids array<int>, lossless boolean")
