@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, words
+from .common import SPACES, words, written
 
 WINDOW = 8
 
@@ -28,8 +28,9 @@ def normalised(line: Column) -> Column:
 
 def with_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Adds the base counts: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    df = docs.withColumn("_w", words(text)).withColumn("_l", F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
+    text = F.coalesce(F.col("row")[text_col], F.lit(""))
+    df = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))  # no name of ours can clash
+    df = df.withColumn("_w", words(text)).withColumn("_l", F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     df = df.withColumn("_h", F.transform("_w", lambda w: F.xxhash64(w)))
     size = F.size("_h")
     df = df.withColumn("_g", F.when(size >= WINDOW, F.transform(F.sequence(F.lit(1), size - (WINDOW - 1)), lambda i: F.xxhash64(F.slice("_h", i, WINDOW)))).otherwise(F.array().cast("array<bigint>")))
@@ -43,8 +44,9 @@ def with_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
         lambda a, s: F.struct((s + WINDOW).alias("end"), (a["n"] + (s + WINDOW - F.greatest(a["end"], s))).alias("n")),
         lambda a: a["n"],
     )
+    made = {"n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"}
     return df.select(
-        *[F.col(c) for c in docs.columns],
+        *[F.col("row")[c].alias(c) for c in docs.columns if c not in made],
         F.size("_w").cast("long").alias("n_words"),
         F.aggregate("_w", F.lit(0).cast("long"), lambda a, w: a + F.length(w)).alias("word_chars"),
         F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
@@ -62,15 +64,16 @@ def frequent_line_words(docs: DataFrame, host_col: str = "source", text_col: str
     text = F.coalesce(F.col(text_col), F.lit(""))
     lines = docs.select(F.col(host_col).alias("host"), F.xxhash64(text).alias("text_key"), F.explode(F.split(text, "\n", -1)).alias("line"))
     lines = lines.select("host", "text_key", normalised(F.col("line")).alias("line")).where("line <> ''")
-    # One row per (host, line, text): copies of a text add occurrences times copies, divided out below.
-    held = lines.select("host", "text_key", F.xxhash64("line").alias("line_key"), F.length("line").alias("line_len"), F.size(F.split("line", " ", -1)).alias("n"))
-    held = held.groupBy("host", "line_key", "line_len", "text_key").agg(F.sum("n").alias("n"))
+    lines = lines.select("host", "text_key", F.xxhash64("line").alias("line_key"), F.length("line").alias("line_len"), F.size(F.split("line", " ", -1)).alias("n"))
+    held = lines.select("host", "line_key", "line_len", "text_key").distinct()
     docs_of = docs.select(F.col(host_col).alias("host"), F.xxhash64(text).alias("text_key")).groupBy("host", "text_key").agg(F.count(F.lit(1)).alias("copies"))
     limits = docs_of.groupBy("host").agg(F.greatest(F.lit(least_docs), F.ceil(F.lit(share) * F.count(F.lit(1)))).alias("limit"))
     over = held.groupBy("host", "line_key", "line_len").agg(F.count(F.lit(1)).alias("docs"))
     over = over.join(limits.withColumnRenamed("host", "l_host"), F.col("host").eqNullSafe(F.col("l_host"))).where("docs > limit")
-    over = over.select(F.col("host").alias("o_host"), F.col("line_key").alias("o_key"), F.col("line_len").alias("o_len"))
-    hit = held.join(over, F.col("host").eqNullSafe(F.col("o_host")) & (F.col("line_key") == F.col("o_key")) & (F.col("line_len") == F.col("o_len")), "left_semi")
+    # lines above the limit are few; as a table they are broadcast if they are small, and the lines need no second shuffle then
+    over = written(over.select(F.col("host").alias("o_host"), F.col("line_key").alias("o_key"), F.col("line_len").alias("o_len")))
+    # copies of a text add up and are divided out below
+    hit = lines.join(over, F.col("host").eqNullSafe(F.col("o_host")) & (F.col("line_key") == F.col("o_key")) & (F.col("line_len") == F.col("o_len")), "left_semi")
     removed = hit.groupBy("host", "text_key").agg(F.sum("n").alias("removed"))
     c = docs_of.select(F.col("host").alias("c_host"), F.col("text_key").alias("c_key"), "copies")
     return removed.join(c, F.col("host").eqNullSafe(F.col("c_host")) & (F.col("text_key") == F.col("c_key"))).select("host", "text_key", (F.col("removed") / F.col("copies")).cast("long").alias("words_removed"))
