@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh
+
 ORDER = 3
 SLICE = 500_000  # bytes scored at once
 UNKNOWN = "und"
@@ -42,9 +44,11 @@ def _grams(text: str) -> np.ndarray:
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", sample_docs: int = 250) -> bytes:
     """Frozen counts of (language, four bytes) from about ``sample_docs`` labelled texts of each language."""
     rows = labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang IS NOT NULL AND text IS NOT NULL")
-    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    # language codes are few; the limit only bounds what a broken column could send to the driver
+    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(1000).collect()
     draw = F.pmod(F.xxhash64("text", F.lit(11)), F.lit(1 << 30)) / float(1 << 30)
-    sample = rows.join(sizes, "lang").where(draw < F.lit(float(sample_docs)) / F.col("n")).select("lang", "text")
+    chance = F.create_map(*[F.lit(x) for r in sizes for x in (r.lang, sample_docs / r.n)]) if sizes else F.create_map().cast("map<string,double>")
+    sample = rows.where(draw < F.element_at(chance, F.col("lang"))).select("lang", "text")
 
     def count(batches):
         for batch in batches:
@@ -124,14 +128,15 @@ def code_lengths(model: bytes, texts: list[str]) -> np.ndarray:
 
 
 def predict(docs: DataFrame, model: bytes, text_col: str = "text") -> DataFrame:
-    """Adds lang_pred, score and bits_per_byte to every row."""
+    """Adds lang_pred, score and bits_per_byte to every row (columns of these names are replaced)."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
     langs = pickle.loads(model)[0]
+    docs = docs.drop("lang_pred", "score", "bits_per_byte")
     if not langs:
         return docs.withColumns({"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0), "bits_per_byte": F.lit(None).cast("double")})
     letters = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
-    given = docs.withColumn("_letters", letters)
+    given = docs.withColumn(fresh(docs, "_letters"), letters)
     names = docs.columns
     place = names.index(text_col)
 
