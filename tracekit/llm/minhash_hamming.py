@@ -24,6 +24,8 @@ their own text; extra columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -144,6 +146,28 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * common >= percent * (F.size("ia") + F.size("ib") - common)).select("a", "b")
 
 
+def confirmed_in_blocks(pairs: DataFrame, sets: DataFrame, percent: int, each: int = 256) -> DataFrame:
+    """The same for many pairs of few documents: documents are dealt to blocks and every pair of blocks is a task of about
+    ``each`` pairs, so a set travels once for a task and not once for a pair."""
+    pairs = checkpointed(pairs.select("a", "b"))
+    n = max(1, math.ceil(math.sqrt(pairs.count() / each)))
+    block = lambda c: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    dealt = pairs.select("a", "b", block("a").alias("i"), block("b").alias("j"))
+    needed = dealt.select(F.col("i").alias("hi"), F.col("j").alias("hj"), F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    held = needed.join(sets, "doc_id").select("hi", "hj", "doc_id", "items")
+    return dealt.groupBy("i", "j").cogroup(held.groupBy("hi", "hj")).applyInPandas(lambda p, h: _links(p, h, percent), "a long, b long")
+
+
+def _links(pairs: pd.DataFrame, held: pd.DataFrame, percent: int) -> pd.DataFrame:
+    items = dict(zip(held["doc_id"], held["items"], strict=True))
+    keep = []
+    for a, b in zip(pairs["a"], pairs["b"], strict=True):
+        x, y = items[a], items[b]
+        common = len(np.intersect1d(x, y, assume_unique=True))
+        keep.append(100 * common >= percent * (len(x) + len(y) - common))
+    return pairs.loc[keep, ["a", "b"]]
+
+
 def _across(lists: DataFrame, labels: DataFrame, sig: DataFrame, source: DataFrame, width: int, percent: int) -> DataFrame:
     """Links between members of different components that share a list."""
     sizes = labels.groupBy("component").agg(F.count(F.lit(1)).alias("members"))
@@ -174,7 +198,7 @@ def _across(lists: DataFrame, labels: DataFrame, sig: DataFrame, source: DataFra
     asked = held.join(load, "into").select("into", "doc_id", all_of("parts").alias("part"), deal("blocks").alias("block"), F.lit(False).alias("asks"))
     tasks = asking.unionByName(asked).join(sets, "doc_id")
     found = tasks.groupBy("into", "part", "block").applyInPandas(lambda pdf: _first_links(pdf, percent), "a long, b long")
-    return confirmed(pairs, sets, percent).union(found.select(F.least("a", "b"), F.greatest("a", "b")))
+    return confirmed_in_blocks(pairs, sets, percent).union(found.select(F.least("a", "b"), F.greatest("a", "b")))
 
 
 def _first_links(pdf: pd.DataFrame, percent: int, columns: int = 20_000) -> pd.DataFrame:
