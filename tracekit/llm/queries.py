@@ -48,11 +48,16 @@ def op10_line_quality(spark, sf_dir):
     return line_quality.quality_rules(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_piece_lattice, op2_secret_links, op3_ppm_language, op4_feistel_pii, op5_soft_mixing, op6_main_text, op7_minhash_hamming, op8_pivot_lists, op9_chat_format, op10_line_quality)}
+def op10_host_boilerplate(spark, sf_dir):
+    return line_quality.quality_rules(table(spark, sf_dir, "documents"), **line_quality.BOILERPLATE)
+
+
+QUERIES = {f.__name__: f for f in (op1_piece_lattice, op2_secret_links, op3_ppm_language, op4_feistel_pii, op5_soft_mixing, op6_main_text, op7_minhash_hamming, op8_pivot_lists, op9_chat_format, op10_line_quality, op10_host_boilerplate)}
 ORACLES = {
     "op2_secret_links": secret_links.ORACLE,
     "op7_minhash_hamming": minhash_hamming.ORACLE,
     "op8_pivot_lists": pivot_lists.ORACLE,
     "op9_chat_format": reply_trees.ORACLE,
     "op10_line_quality": line_quality.ORACLE,
+    "op10_host_boilerplate": line_quality.BOILERPLATE_ORACLE,
 }
