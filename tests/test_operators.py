@@ -184,3 +184,44 @@ def test_library_does_not_need_the_text_operators():
     for path in root.rglob("*.py"):
         if "llm" not in path.parts:
             assert "llm" not in path.read_text(), path
+
+
+def test_key_queries_cover_every_row(spark):
+    """Components and splits over the keys of all rows, against a union-find."""
+    from tracekit.queries import QUERIES
+    from tracekit.queries.base import AllKeys
+
+    folder = "/root/testdata/sf0.001"
+    t = AllKeys(spark, folder)
+    n_rows = t.lineitem.count()
+    row_keys = [(r.rid, r.event_key) for r in t.fx_rowkeys.collect()]
+    parent: dict = {}
+
+    def find(x):
+        parent.setdefault(x, x)
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    for rid, key in row_keys:
+        parent[find(("r", rid))] = find(("k", key))
+    least: dict = {}
+    for rid, _ in row_keys:
+        g = find(("r", rid))
+        least[g] = min(rid, least.get(g, rid))
+    want = {rid: least[find(("r", rid))] for rid, _ in row_keys}
+    assert {r.rid: r.group_id for r in QUERIES["t14_key_components_all"](spark, folder).collect()} == want
+    for name in ("t13_event_grouped_split_all", "j2_drop_overlapping_all", "j3_flag_overlap_all"):
+        rows = QUERIES[name](spark, folder).collect()
+        if name.startswith("j2"):
+            assert 0 < len(rows) < n_rows
+            continue
+        assert len(rows) == n_rows
+        if name.startswith("t13"):
+            sides: dict = {}
+            for r in rows:
+                if r.rid in want:
+                    sides.setdefault(want[r.rid], set()).add(r.split)
+            assert all(len(x) == 1 for x in sides.values())
+    built = QUERIES["corpus_build"](spark, folder).select("rid")
+    assert built.join(t.fx_keys.where("l_orderkey % 20 <> 0").select("rid"), "rid", "left_semi").count() > 0

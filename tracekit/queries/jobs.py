@@ -14,7 +14,7 @@ from ..plans import corpus
 from ..sources import catalogs
 from ..streaming import ingest
 from .aggregates import BINS, metrics_sql
-from .base import query
+from .base import keyed_query, query
 
 C = F.col
 
@@ -77,7 +77,7 @@ def s5_label_reports(t):
     return catalogs.label_reports(t.spark, {"docs": f"{place}/report"}, flag="part-")
 
 
-@query("SELECT 'event' AS kind, event_key AS name FROM (SELECT DISTINCT event_key FROM {fx_rowkeys} WHERE l_orderkey % 7 = 0 OR rid IN (SELECT rid FROM {fx_keys} WHERE l_orderkey % 7 = 0)) UNION ALL SELECT DISTINCT 'trace', concat(dataset, '/', trace_name) FROM {fx_keys} WHERE l_orderkey % 7 = 0")
+@keyed_query("SELECT 'event' AS kind, event_key AS name FROM (SELECT DISTINCT event_key FROM {fx_rowkeys} WHERE l_orderkey % 7 = 0 OR rid IN (SELECT rid FROM {fx_keys} WHERE l_orderkey % 7 = 0)) UNION ALL SELECT DISTINCT 'trace', concat(dataset, '/', trace_name) FROM {fx_keys} WHERE l_orderkey % 7 = 0")
 def s6_benchmark_exclusions(t):
     traces, events = catalogs.exclusions(t.fx_keys.where("l_orderkey % 7 = 0"), t.fx_rowkeys)
     return events.select(F.lit("event").alias("kind"), C("event_key").alias("name")).union(traces.select(F.lit("trace"), F.concat_ws("/", "dataset", "trace_name")))
@@ -200,8 +200,8 @@ def corpus_pool(t):
 @query()
 def corpus_build(t):
     """The whole training corpus; its parts have twins of their own, tests hold its invariants."""
-    df = t.fx_keys.join(t.fx_binned.select("rid", "distance_bin"), "rid")
-    out = corpus.build_corpus(df.select("rid", "dataset", "distance_bin", "vendor"), t.fx_rowkeys, {b: 0.25 for b in BINS}, 0.1, 0.1)
+    df = t.fx_keys_all.join(t.fx_binned.select("rid", "distance_bin"), "rid")
+    out = corpus.build_corpus(df.select("rid", "dataset", "distance_bin", "vendor"), t.fx_rowkeys_all, {b: 0.25 for b in BINS}, 0.1, 0.1)
     return out.select("rid", "dataset", "distance_bin", "split")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import joins, sampling, splits
-from .base import query
+from .base import keyed_query, query
 
 C = F.col
 _H = "md5(concat_ws('|', '{s}', rid))"
@@ -90,7 +90,7 @@ def t12_ratio_split(t):
     return sampling.ratio_split(t.fx_catalog.select("rid"), 0.9, ["rid"], 0)
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT rid, event_key FROM {fx_rowkeys}), link AS (SELECT a.rid AS a, b.rid AS b FROM e a JOIN e b USING (event_key)),
+@keyed_query("""WITH RECURSIVE e AS (SELECT DISTINCT rid, event_key FROM {fx_rowkeys}), link AS (SELECT a.rid AS a, b.rid AS b FROM e a JOIN e b USING (event_key)),
 reach AS (SELECT a AS rid, a AS other FROM link UNION SELECT reach.rid, link.b FROM reach JOIN link ON reach.other = link.a),
 comp AS (SELECT rid, min(other) AS group_id FROM reach GROUP BY rid),
 named AS (SELECT k.rid, k.vendor, c.group_id IS NULL AND k.vendor <> '' AS placed, coalesce(c.group_id, 'row:' || k.rid) AS group_id FROM {fx_keys} k LEFT JOIN comp c ON k.rid = c.rid),
@@ -98,7 +98,7 @@ g AS (SELECT group_id, count(*) AS size FROM named WHERE NOT placed GROUP BY gro
 run AS (SELECT group_id, size, sum(size) OVER (ORDER BY md5(concat_ws('|', '0', group_id)), group_id) - size AS before FROM g),
 v AS (SELECT group_id, max(before + size) OVER () AS stop FROM run, m WHERE before < floor(0.1 * m)),
 s AS (SELECT group_id, CASE WHEN before < floor(0.1 * m) THEN 'val' WHEN before >= (SELECT max(stop) FROM v) AND before < (SELECT max(stop) FROM v) + floor(0.1 * m) THEN 'test' ELSE 'train' END AS split FROM run, m)
-SELECT rid, CASE WHEN placed THEN vendor ELSE split END AS split FROM named LEFT JOIN s USING (group_id)""")
+SELECT rid, CASE WHEN placed THEN vendor ELSE split END AS split FROM named LEFT JOIN s USING (group_id)""", twin=False)
 def t13_event_grouped_split(t):
     return splits.event_grouped_split(t.fx_keys.select("rid", "vendor"), t.fx_rowkeys, 0.1, 0.1).select("rid", "split")
 
@@ -157,7 +157,7 @@ def w5_best_per_metric(t):
     return joins.first_by(long, ["metric"], ["cost", "weight"]).select("metric", C("weight").alias("best"), "value")
 
 
-@query("""WITH g AS (SELECT l_orderkey, count(*) AS size FROM {fx_keys} GROUP BY l_orderkey), r AS (SELECT *, sum(size) OVER (ORDER BY md5(concat_ws('|', '0', CAST(l_orderkey AS STRING))), CAST(l_orderkey AS STRING)) - size AS before FROM g)
+@keyed_query("""WITH g AS (SELECT l_orderkey, count(*) AS size FROM {fx_keys} GROUP BY l_orderkey), r AS (SELECT *, sum(size) OVER (ORDER BY md5(concat_ws('|', '0', CAST(l_orderkey AS STRING))), CAST(l_orderkey AS STRING)) - size AS before FROM g)
 SELECT CAST(l_orderkey AS STRING) AS group_id, size, CASE WHEN before < 300 THEN 'val' ELSE 'train' END AS split FROM r""")
 def w6_greedy_fill(t):
     groups = t.fx_keys.groupBy(C("l_orderkey").cast("string").alias("group_id")).agg(F.count("*").alias("size"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import filters, joins, keys, spacetime
-from .base import query
+from .base import keyed_query, query
 
 C = F.col
 
@@ -123,13 +123,13 @@ def j1_name_anti_join(t):
     return joins.anti(t.documents.select("doc_id", "source"), t.labels.where("toxic = 1 OR quality = 0"), ["doc_id"])
 
 
-@query("SELECT rid FROM {fx_keys} WHERE rid NOT IN (SELECT rid FROM {fx_rowkeys} WHERE event_key IN (SELECT event_key FROM {fx_rowkeys} WHERE l_orderkey % 7 = 0))")
+@keyed_query("SELECT rid FROM {fx_keys} WHERE rid NOT IN (SELECT rid FROM {fx_rowkeys} WHERE event_key IN (SELECT event_key FROM {fx_rowkeys} WHERE l_orderkey % 7 = 0))")
 def j2_drop_overlapping(t):
     row_keys = t.fx_rowkeys
     return keys.drop_overlapping(t.fx_keys.select("rid"), row_keys, row_keys.where("l_orderkey % 7 = 0"))
 
 
-@query("SELECT k.rid, bool_or(r.event_key IS NOT NULL) AS verifiable, coalesce(bool_or(r.event_key IN (SELECT event_key FROM {fx_rowkeys} WHERE l_orderkey % 7 = 0)), false) AS leaked FROM {fx_keys} k LEFT JOIN {fx_rowkeys} r ON k.rid = r.rid GROUP BY k.rid")
+@keyed_query("SELECT k.rid, bool_or(r.event_key IS NOT NULL) AS verifiable, coalesce(bool_or(r.event_key IN (SELECT event_key FROM {fx_rowkeys} WHERE l_orderkey % 7 = 0)), false) AS leaked FROM {fx_keys} k LEFT JOIN {fx_rowkeys} r ON k.rid = r.rid GROUP BY k.rid")
 def j3_flag_overlap(t):
     row_keys = t.fx_rowkeys
     return keys.flag_overlap(t.fx_keys.select("rid"), row_keys, row_keys.where("l_orderkey % 7 = 0"))
@@ -139,12 +139,12 @@ def _lookup(columns: str) -> str:
     return f"WITH u AS (SELECT {columns}, list_sort(list(DISTINCT event_key)) AS ks FROM {{fx_rowkeys}} GROUP BY {columns}) SELECT rid, coalesce(array_to_string(ks, ','), '') AS event_keys FROM {{fx_keys}} LEFT JOIN u USING ({columns})"
 
 
-@query(_lookup("dataset, trace_name, chunk"))
+@keyed_query(_lookup("dataset, trace_name, chunk"))
 def j4_exact_lookup(t):
     return keys.lookup_keys(t.fx_keys, t.fx_rowkeys, ["dataset", "trace_name", "chunk"]).select("rid", F.array_join("event_keys", ",").alias("event_keys"))
 
 
-@query(_lookup("dataset, trace_name"))
+@keyed_query(_lookup("dataset, trace_name"))
 def j5_any_chunk_lookup(t):
     return keys.lookup_keys(t.fx_keys, t.fx_rowkeys, ["dataset", "trace_name"]).select("rid", F.array_join("event_keys", ",").alias("event_keys"))
 
@@ -250,7 +250,7 @@ def p12d_unverifiable(t):
     return keys.derive_event_keys(t.events, "none", F.lit("ds")).select("event_id", F.size("event_keys").alias("n"))
 
 
-@query("SELECT dataset, avg(CASE WHEN rid IN (SELECT rid FROM {fx_rowkeys}) THEN 1 ELSE 0 END) AS coverage, count(*) AS n_rows FROM {fx_keys} GROUP BY dataset")
+@keyed_query("SELECT dataset, avg(CASE WHEN rid IN (SELECT rid FROM {fx_rowkeys}) THEN 1 ELSE 0 END) AS coverage, count(*) AS n_rows FROM {fx_keys} GROUP BY dataset")
 def a39_key_coverage(t):
     return keys.key_coverage(t.fx_keys, t.fx_rowkeys)
 
@@ -260,12 +260,12 @@ reach AS (SELECT a AS rid, a AS other FROM link UNION SELECT reach.rid, link.b F
 SELECT rid, min(other) AS group_id FROM reach GROUP BY rid"""
 
 
-@query(_COMPONENTS)
+@keyed_query(_COMPONENTS, twin=False)
 def t14_key_components(t):
     return keys.key_components(t.fx_rowkeys)
 
 
-@query("""SELECT (SELECT count(*) FROM {fx_keys}) AS n_rows, (SELECT count(*) FROM {fx_keys} WHERE k1 IS NULL AND k2 IS NULL) AS unverifiable, count(DISTINCT event_key) AS events,
+@keyed_query("""SELECT (SELECT count(*) FROM {fx_keys}) AS n_rows, (SELECT count(*) FROM {fx_keys} WHERE k1 IS NULL AND k2 IS NULL) AS unverifiable, count(DISTINCT event_key) AS events,
  count(DISTINCT event_key) FILTER (event_key IN (SELECT event_key FROM {fx_rowkeys} WHERE l_orderkey % 7 = 0)) AS leaked_events,
  count(DISTINCT rid) FILTER (event_key IN (SELECT event_key FROM {fx_rowkeys} WHERE l_orderkey % 7 = 0)) AS leaked_rows FROM {fx_rowkeys}""")
 def a24_event_leak_summary(t):
@@ -299,14 +299,14 @@ def u2_difference(t):
     return joins.anti(df, df.where("line = 1"), ["rid"]).select("rid").distinct()
 
 
-@query("SELECT count(*) AS n FROM (SELECT event_key FROM {fx_rowkeys} WHERE l_orderkey % 3 = 0 INTERSECT SELECT event_key FROM {fx_rowkeys} WHERE l_orderkey % 3 = 1)")
+@keyed_query("SELECT count(*) AS n FROM (SELECT event_key FROM {fx_rowkeys} WHERE l_orderkey % 3 = 0 INTERSECT SELECT event_key FROM {fx_rowkeys} WHERE l_orderkey % 3 = 1)")
 def u3_intersection_count(t):
     k = t.fx_rowkeys
     part = lambda m: k.where(f"l_orderkey % 3 = {m}").select("event_key")
     return part(0).intersect(part(1)).agg(F.count("*").alias("n"))
 
 
-@query("SELECT DISTINCT event_key FROM {fx_rowkeys}")
+@keyed_query("SELECT DISTINCT event_key FROM {fx_rowkeys}")
 def u4_distinct_union(t):
     df = t.fx_keys.select("rid", F.array_compact(F.array("k1", "k2")).alias("event_keys"))
     return keys.exploded(df, "rid").select("event_key").distinct()
