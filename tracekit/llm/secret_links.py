@@ -33,6 +33,10 @@ KINDS = {
     "loose": (4, LOOSE, "secret", False),
     "endpoint": (5, ENDPOINT, "endpoint", False),
 }
+NAMED = r"""((?i)(?:secret_?access|access|secret|account|shared|client_?secret|signing|master)_?key(?:_?(?:id|value))?)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]{6,})"""
+BARE = r"[A-Za-z0-9+/=_-]{20,}"
+#: Weak parts beyond the SQL twin: key names that go on, and bare tokens of mixed classes.
+WIDER = {"named": (6, NAMED, "secret", False), "bare": (7, BARE, "secret", False)}
 
 
 def matches(text: Column, pattern: str, least: int = 0) -> Column:
@@ -55,11 +59,21 @@ def matches(text: Column, pattern: str, least: int = 0) -> Column:
 
 
 def _typed(kind: str, text: Column) -> Column:
-    order, pattern, role, strong = KINDS[kind]
+    order, pattern, role, strong = (KINDS | WIDER)[kind]
     found = matches(text, pattern, 6 if kind == "assign" else 0)
     return F.transform(found, lambda s: F.struct(s["start"].alias("start"), F.lit(order).alias("order"), s["end"].alias("end"), F.lit(kind).alias("kind"), F.lit(role).alias("role"), F.lit(strong).alias("strong")))
 
 
+def _wider(text: Column, known: Column) -> Column:
+    """Named keys and bare secrets of a text; a bare one mixes upper and lower case and digits and lies in no span that is known."""
+    token = lambda s: F.substring(text, s["start"] + 1, s["end"] - s["start"])
+    meets = lambda s, spans: F.exists(spans, lambda o: (o["start"] < s["end"]) & (s["start"] < o["end"]))
+    # what holds an access identifier is one already
+    named = F.filter(_typed("named", text), lambda s: ~meets(s, known))
+    bare = F.filter(_typed("bare", text), lambda s: token(s).rlike("[A-Z]") & token(s).rlike("[a-z]") & token(s).rlike("[0-9]") & ~meets(s, known) & ~meets(s, named))
+    return F.when(text.rlike(BARE) | text.rlike(NAMED), F.concat(named, bare)).otherwise(F.slice(known, 1, 0))
+
+
 def span_list(spans: Column) -> Column:
     """kind:start:end by start, then kind as listed, comma-joined."""
     return F.array_join(F.transform(F.sort_array(spans), lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
@@ -73,7 +87,9 @@ def link_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.xxhash64(F.col(id_col), text).alias("row_key"),
         F.concat(*[_typed(k, text) for k in KINDS if KINDS[k][3]]).alias("base"),
         F.concat(*[_typed(k, text) for k in KINDS if not KINDS[k][3]]).alias("weak"),
+        text.alias("text"),
     )
+    parts = parts.withColumn("weak", F.concat("weak", _wider(F.col("text"), F.concat("base", "weak")))).drop("text")
     parts = checkpointed(parts)
     window = lambda c: F.floor(c / reach)
     every = parts.where(F.size("weak") > 0).dropDuplicates(["row_key"])
