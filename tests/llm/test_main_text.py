@@ -41,3 +41,11 @@ def test_whole_table_against_the_marked_container(spark):
         body = re.search(r"<article>(.*)</article>", r.html, re.S)[1]
         blocks = re.split(r"</?(?:p|br|h1|ul|li)>", body)
         assert r.text == "\n".join(x for b in blocks if (x := " ".join(html.unescape(re.sub(r"</?b>", "", b)).split())))
+
+
+def test_names_of_an_articles_own_parts_are_not_boilerplate():
+    page = """<body><article><h1>Title</h1><h2 id="the-notice-period">Notice</h2><p>one two three</p><h2 id="related-work">Related</h2><p id="search">four five</p><p class="advert">Buy</p><div class="post-navigation">Next</div>
+<section class="commentary"><p>six seven</p></section><div class="cookie-recipe"><p>eight nine</p></div><h3 id="search-and-replace">Ten</h3><p>eleven</p>
+<div class="share-buttons">Post it</div><div class="related-posts"><p>Other pages</p></div><div id="newsletter"><p>Sign up</p></div><p>end</p></article></body>"""
+    want = "Title\nNotice\none two three\nRelated\nfour five\nsix seven\neight nine\nTen\neleven\nend"
+    assert M.extract(page, {}) == want

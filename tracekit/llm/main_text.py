@@ -35,6 +35,8 @@ NAMES = set(
     "signup login search comment comments respond replies reply disqus share sharing social related recommended widget toolbar pagination pager copyright legal".split()
 )
 STEMS = ("advert", "sponsor", "sidebar", "navbar", "navigation", "breadcrumb", "footer", "cookie", "newsletter", "comment", "promo", "popup", "pagination", "related")
+PARTS = set("box list area section block slot unit wrap wrapper container bar links form widget posts articles icons buttons inner item items site post page entry top bottom left right inline".split())
+TEXTS = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "hgroup"}  # inside an article their ids say nothing
 CONTAINERS = {"article", "main"}
 FLOW = {"p", "br", "li", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre"}
 CONTEXTS = {"a", "li", "td", "th", "p", "h1", "h2", "h3", "h4", "h5", "h6", "div", "section", "article", "main", "blockquote", "pre", "dd", "dt", "figcaption", "label", "body"}
@@ -44,6 +46,15 @@ def _attributes(text: str) -> dict[str, str]:
     return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(text)}
 
 
+def _boilerplate(name: str) -> bool:
+    """A whole name, or a compound of nothing but names and parts such as box or list; inside an article other words are its subject."""
+    split = [x.lower() for x in re.split(r"[^A-Za-z]+|(?<=[a-z])(?=[A-Z])", name) if x]
+    if len(split) == 1 and split[0] not in NAMES:  # commentlist: a name and a part run together
+        split = next(([split[0][: -len(p)], p] for p in PARTS if split[0].endswith(p)), split)
+    # an article's own header belongs to it
+    return bool(split) and split != ["header"] and any(x in NAMES and x != "header" for x in split) and all(x in NAMES or x in PARTS for x in split)
+
+
 def _unwanted(name: str, attributes: dict[str, str], inside: bool) -> bool:
     if name in DROPPED or name == "header" and not inside or "hidden" in attributes or attributes.get("aria-hidden") == "true":
         return True
@@ -53,8 +64,9 @@ def _unwanted(name: str, attributes: dict[str, str], inside: bool) -> bool:
         return False
     called = f"{attributes.get('class', '')} {attributes.get('id', '')}"
     names = {x.lower() for x in re.split(r"[^A-Za-z]+|(?<=[a-z])(?=[A-Z])", called) if x}
-    if inside:  # an article's own header belongs to it
-        names.discard("header")
+    if inside:
+        # ids of headings and text blocks are their subject
+        return any(_boilerplate(x) for x in (attributes.get("class", "") if name in TEXTS else called).split())
     return bool(names & NAMES) or any(x.startswith(STEMS) for x in names)
 
 
