@@ -57,3 +57,19 @@ def test_without_labels_or_rows(spark):
     got = X.mixed(docs, labels.limit(0)).collect()
     assert all(r.p_plain == 1 for r in got)
     assert X.mixed(docs.limit(0), labels).count() == 0
+
+
+def test_held_out_documents_go_to_their_domain(spark):
+    """Hundreds of telling words, of which a document holds few: a short vocabulary knows none of most documents."""
+    rng = random.Random(2)
+    docs, labels = [], []
+    for i in range(3000):
+        k = rng.randrange(3)
+        docs.append((i, " ".join(f"{X.DOMAINS[k]}{rng.randrange(400)}" for _ in range(4)) + " " + " ".join(f"w{rng.randrange(50)}" for _ in range(20))))
+        if i < 2000:
+            labels.append((i, int(k == 0), int(k == 2)))
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    model = X.fit(d, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    got = X.memberships(d.where("doc_id >= 2000"), model).collect()
+    right = sum(docs[r.doc_id][1].startswith(X.DOMAINS[max(range(3), key=lambda k: r.p[k])]) for r in got)
+    assert len(got) == 1000 and right >= 950

@@ -1,7 +1,7 @@
 """Mixing to target weights with soft memberships.
 
 A naive Bayes classifier, fitted on a bounded sample of the labelled table (``sample_rows`` documents, a parameter), gives
-every document posteriors over the domains ``good``, ``plain`` and ``toxic``. They are rounded to steps of 1/``GRID``, so documents
+every document posteriors over the domains ``good``, ``plain`` and ``toxic`` from all distinct words with enough support in the sample. They are rounded to steps of 1/``GRID``, so documents
 fall into a bounded number of cells. Nonnegative rates minimise the distance between the expected domain token totals,
 ``sum(rate * tokens * posterior)``, and the targets: projected gradient steps from rate 1, ``rate = max(0, rate - posterior .
 step)``, in which each step is the residual times the inverse of the posteriors' Gram matrix (gradient of the least squares
@@ -40,37 +40,36 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, sample_rows: int) -> Dat
     return docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("l_id")).select("text", "domain")
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 3000, vocabulary: int = 48) -> dict:
-    """Log priors, and for the most telling words the log chances of presence and absence by domain."""
+def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 3000, support: int = 5) -> dict:
+    """Log priors, and a table of every word that ``support`` sampled documents hold with its log chances by domain."""
     sample = checkpointed(labelled_sample(docs.select("doc_id", "text"), labels, sample_rows).select("domain", F.array_distinct(words(F.lower("text"))).alias("w")))
     sizes = {r.domain: r["count"] for r in sample.groupBy("domain").count().collect()}
     n = {d: sizes.get(d, 0) for d in DOMAINS}
     total = sum(n.values())
     if not total:
-        return {"prior": [0.0 if d == "plain" else -50.0 for d in DOMAINS], "words": []}
+        return {"prior": [0.0 if d == "plain" else -50.0 for d in DOMAINS], "words": None}
     seen = sample.select("domain", F.explode("w").alias("word")).groupBy("word").agg(*[F.count(F.when(F.col("domain") == d, 1)).alias(d) for d in DOMAINS])
     held = reduce(lambda a, b: a + b, [F.col(d) for d in DOMAINS])
-    # G statistic of presence against the domains
-    expected = [held * (n[d] / total) for d in DOMAINS]
-    gain = reduce(lambda a, b: a + b, [F.when(F.col(d) > 0, F.col(d) * F.log(F.col(d) / e)).otherwise(0.0) for d, e in zip(DOMAINS, expected, strict=True)])
-    top = seen.where(held >= 5).withColumn("gain", gain).orderBy(F.desc("gain"), "word").limit(vocabulary).collect()
-    entries = []
-    for r in top:
-        yes = [(r[d] + 0.5) / (n[d] + 1.0) for d in DOMAINS]
-        entries.append((r.word, [math.log(p) - math.log(1 - p) for p in yes], [math.log(1 - p) for p in yes]))
-    prior = [math.log((n[d] + 0.5) / (total + 1.5)) + sum(e[2][k] for e in entries) for k, d in enumerate(DOMAINS)]
-    return {"prior": prior, "words": [(e[0], e[1]) for e in entries]}
+    seen = checkpointed(seen.where(held >= support))
+    sums = seen.agg(F.count(F.lit(1)).alias("size"), *[F.sum(d).alias(d) for d in DOMAINS]).first()
+    # a word's share of all words that documents of a domain hold; each document counts a word once
+    logs = [F.log((F.col(d) + 0.5) / ((sums[d] or 0) + 0.5 * max(sums["size"], 1))).alias(f"_{d}") for d in DOMAINS]
+    return {"prior": [math.log((n[d] + 0.5) / (total + 1.5)) for d in DOMAINS], "words": seen.select("word", *logs)}
 
 
 def memberships(docs: DataFrame, model: dict) -> DataFrame:
     """(doc_id, text) -> doc_id, tokens and p, the posteriors in steps of 1/GRID (they sum to 1)."""
     df = docs.select("doc_id", words(F.lower("text")).alias("w"))
-    scores = F.array(*[F.lit(x) for x in model["prior"]])
-    if model["words"]:
-        present = F.array_intersect(F.array(*[F.lit(w) for w, _ in model["words"]]), F.col("w"))
-        weight = F.create_map(*[x for w, v in model["words"] for x in (F.lit(w), F.array(*[F.lit(y) for y in v]))])
-        scores = F.aggregate(present, scores, lambda a, w: F.zip_with(a, F.element_at(weight, w), lambda x, y: x + y))
-    df = df.select("doc_id", F.size("w").cast("long").alias("tokens"), scores.alias("s"))
+    if model["words"] is None:
+        df = df.select("doc_id", F.size("w").cast("long").alias("tokens"), F.array(*[F.lit(x) for x in model["prior"]]).alias("s"))
+    else:
+        # rows are numbered where they stand and summed before the shuffle: one short row a document, whatever its words
+        df = df.withColumn("_row", F.monotonically_increasing_id())  # before the explode, which would number words
+        df = df.select("doc_id", "_row", F.size("w").cast("long").alias("tokens"), F.explode_outer(F.array_distinct("w")).alias("_word"))
+        known = model["words"].withColumnRenamed("word", "_known")  # words of a bounded sample
+        df = df.join(F.broadcast(known), F.col("_word") == F.col("_known"), "left")
+        sums = [F.coalesce(F.sum(f"_{d}"), F.lit(0.0)) + x for d, x in zip(DOMAINS, model["prior"], strict=True)]
+        df = df.groupBy("_row", "doc_id", "tokens").agg(F.array(*sums).alias("s")).select("doc_id", "tokens", "s")
     df = df.withColumn("e", F.transform("s", lambda x: F.exp(x - F.array_max("s"))))
     total = F.aggregate("e", F.lit(0.0), lambda a, x: a + x)
     df = df.withColumn("g", F.transform("e", lambda x: F.round(x / total * GRID)))
