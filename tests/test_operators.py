@@ -225,3 +225,12 @@ def test_key_queries_cover_every_row(spark):
             assert all(len(x) == 1 for x in sides.values())
     built = QUERIES["corpus_build"](spark, folder).select("rid")
     assert built.join(t.fx_keys.where("l_orderkey % 20 <> 0").select("rid"), "rid", "left_semi").count() > 0
+
+
+def test_shuffle_places_every_row(spark):
+    from tracekit.queries import QUERIES
+    from tracekit.queries.base import Tables
+
+    folder = "/root/testdata/sf0.001"
+    at = sorted(r["at"] for r in QUERIES["t15_shuffle_all"](spark, folder).collect())
+    assert at == list(range(1, Tables(spark, folder).fx_catalog.count() + 1))

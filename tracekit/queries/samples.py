@@ -109,6 +109,12 @@ def t15_shuffle(t):
     return first.withColumn("at", F.row_number().over(Window.orderBy(sampling.draw(0, "rid"), "rid")).cast("long"))
 
 
+@query(f"SELECT rid, row_number() OVER (ORDER BY {H0}, rid) AS at FROM {{fx_catalog}}")
+def t15_shuffle_all(t):
+    """The position of every row in the shuffle."""
+    return sampling.fraction_ranked(t.fx_catalog.select("rid"), ["rid"], 0).select("rid", C("_rank").cast("long").alias("at"))
+
+
 @query("SELECT rid, station, CAST(ceil(row_number() OVER (PARTITION BY station ORDER BY rid) / 10) AS INTEGER) AS batch FROM {fx_catalog}")
 def t16_batches(t):
     return sampling.batches(t.fx_catalog.select("rid", "station"), "station", 10, ["rid"])
