@@ -234,3 +234,14 @@ def test_shuffle_places_every_row(spark):
     folder = "/root/testdata/sf0.001"
     at = sorted(r["at"] for r in QUERIES["t15_shuffle_all"](spark, folder).collect())
     assert at == list(range(1, Tables(spark, folder).fx_catalog.count() + 1))
+
+
+def test_merged_statistic_never_gathers_a_group(spark):
+    df = spark.range(0, 40000, 1, 6).select(F.when(F.col("id") % 10 > 0, "hot").when(F.col("id") % 20 > 0, "cold").alias("g"), F.when(F.col("id") % 10 > 0, F.col("id").cast("double")).alias("v"))
+
+    def merge(states):
+        assert len(states) < 100  # states, not rows
+        return [states[:, 0].max(), states[:, 1].min()]
+
+    got = waveform.merged_statistic(df, ["g"], "v", lambda x: [x.max(), x.min()], merge, lambda s: s[0] - s[1]).collect()
+    assert {r.g: r.statistic for r in got} == {"hot": 39998.0, "cold": None, None: None}

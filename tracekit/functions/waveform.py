@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -303,3 +304,29 @@ def grouped_statistic(df: DataFrame, by: list[str], value: str, statistic: Calla
     """Any statistic of a group's values, for groups that fit a task; means and medians have built-in forms."""
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*by).schema)
     return df.select(*by, value).groupBy(*by).applyInPandas(lambda pdf: pdf.iloc[:1][by].assign(statistic=float(statistic(pdf[value].dropna().to_numpy()))), f"{kinds}, statistic double")
+
+
+def merged_statistic(df: DataFrame, by: list[str], value: str, partial: Callable[[np.ndarray], list[float]], merge: Callable[[np.ndarray], list[float]], finish: Callable[[np.ndarray], float]) -> DataFrame:
+    """A statistic of groups of any size: ``partial`` makes a state of some values, ``merge`` one of several (as rows), ``finish`` the result.
+
+    A task keeps one state for each group it meets; only states are shuffled. A group without values gets null.
+    """
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*by).schema)
+
+    def states(frames):
+        held: dict[tuple, list[float] | None] = {}
+        for pdf in frames:
+            for group, part in pdf.groupby(by, sort=False, dropna=False):
+                values, old = part[value].dropna().to_numpy(), held.setdefault(group, None)
+                if len(values):
+                    new = list(partial(values))
+                    held[group] = new if old is None else list(merge(np.array([old, new])))
+        if held:
+            yield pd.DataFrame([[*g, s] for g, s in held.items()], columns=[*by, "_state"])
+
+    def result(pdf):
+        found = [s for s in pdf["_state"] if s is not None]
+        return pdf.iloc[:1][by].assign(statistic=float(finish(np.array(merge(np.array([list(s) for s in found]))))) if found else None)
+
+    parts = df.select(*by, value).mapInPandas(states, f"{kinds}, _state array<double>")
+    return parts.groupBy(*by).applyInPandas(result, f"{kinds}, statistic double")

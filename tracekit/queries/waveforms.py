@@ -180,4 +180,4 @@ def y1_batch_scoring(t):
 
 @query("SELECT event_type, max(value) - min(value) AS statistic FROM events GROUP BY event_type")
 def y2_grouped_statistic(t):
-    return W.grouped_statistic(t.events, ["event_type"], "value", lambda x: x.max() - x.min())
+    return W.merged_statistic(t.events, ["event_type"], "value", lambda x: [x.max(), x.min()], lambda s: [s[:, 0].max(), s[:, 1].min()], lambda s: s[0] - s[1])
