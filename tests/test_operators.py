@@ -245,3 +245,18 @@ def test_merged_statistic_never_gathers_a_group(spark):
 
     got = waveform.merged_statistic(df, ["g"], "v", lambda x: [x.max(), x.min()], merge, lambda s: s[0] - s[1]).collect()
     assert {r.g: r.statistic for r in got} == {"hot": 39998.0, "cold": None, None: None}
+
+
+def test_pick_metrics_with_intervals(spark):
+    import inspect
+
+    from tracekit.queries.base import Tables
+
+    assert inspect.signature(metrics.bootstrap_ci).parameters["n_boot"].default == 1000
+    df = Tables(spark, "/root/testdata/sf0.001").fx_results
+    plain, got = metrics.pick_metrics(df, ["weight"]), metrics.pick_metrics(df, ["weight"], ci_key=["trace_id"])
+    rows = got.collect()
+    assert len(rows) == plain.count() and set(plain.columns) < set(got.columns)
+    for r in rows:
+        for name in ("p_mae_s", "s_mae_s", "p_recall", "s_recall"):
+            assert r[f"{name}_ci_lo"] < r[name] < r[f"{name}_ci_hi"]

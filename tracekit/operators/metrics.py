@@ -51,9 +51,19 @@ def mcc(tp: Column, fp: Column, fn: Column, tn: Column) -> Column:
     return F.when(under == 0, 0.0).otherwise((tp.cast("double") * tn - fp.cast("double") * fn) / F.sqrt(F.when(under > 0, under)))
 
 
-def pick_metrics(df: DataFrame, by: Sequence[str], p_threshold: float = P_PROB, s_threshold: float = S_PROB) -> DataFrame:
-    """One row a slice; an empty slice gives no row."""
-    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n_traces"), *phase_metrics("p", p_threshold), *phase_metrics("s", s_threshold), phase_mcc().alias("mcc")).withColumn("outlier_thr_s", F.lit(OUTLIER_S))
+def pick_metrics(df: DataFrame, by: Sequence[str], p_threshold: float = P_PROB, s_threshold: float = S_PROB, ci_key: Sequence[str] | None = None) -> DataFrame:
+    """One row a slice; an empty slice gives no row. ``ci_key``, the unique key of a row, adds bootstrap intervals of errors and recalls."""
+    out = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n_traces"), *phase_metrics("p", p_threshold), *phase_metrics("s", s_threshold), phase_mcc().alias("mcc")).withColumn("outlier_thr_s", F.lit(OUTLIER_S))
+    if ci_key is None:
+        return out
+    for phase, threshold in (("p", p_threshold), ("s", s_threshold)):
+        true = df.where(F.col(f"{phase}_in_window") >= 0)
+        for name, value in ((f"{phase}_mae_s", F.abs(f"{phase}_residual_s")), (f"{phase}_recall", (F.col(f"{phase}_prob") >= threshold).cast("double"))):
+            ci = bootstrap_ci(true.withColumn("_value", value), by, "_value", ci_key)
+            ci = ci.select(*[F.col(b).alias(f"_ci_{b}") for b in by], F.col("ci_lo").alias(f"{name}_ci_lo"), F.col("ci_hi").alias(f"{name}_ci_hi"))
+            same = [F.col(b).eqNullSafe(F.col(f"_ci_{b}")) for b in by]
+            out = out.join(ci, same, "left").drop(*[f"_ci_{b}" for b in by])
+    return out
 
 
 def degenerate_scorers(df: DataFrame, recall: float = 0.99, mae: float = 2.0, threshold: float = P_PROB) -> DataFrame:
@@ -85,7 +95,7 @@ def recall_curve(df: DataFrame, by: Sequence[str], step: float = 0.04, phase: st
     return threshold_sweep(df, by, [round(i * step, 6) for i in range(n + 1)], phase).select(*by, "threshold", "recall", "n_detected")
 
 
-def bootstrap_ci(df: DataFrame, by: Sequence[str], value: str, key: Sequence[str], n_boot: int = 200, level: float = 0.95, seed: int = 42, least: int = 5) -> DataFrame:
+def bootstrap_ci(df: DataFrame, by: Sequence[str], value: str, key: Sequence[str], n_boot: int = 1000, level: float = 0.95, seed: int = 42, least: int = 5) -> DataFrame:
     """Poisson bootstrap of the mean: each row gets one Poisson(1) weight a replicate, drawn from a hash of its key.
 
     A task keeps two vectors of ``n_boot`` sums for each group it meets and returns them; no row is ever copied. Null
