@@ -1,5 +1,6 @@
 """Exact unit expectations and invariants."""
 
+import hashlib
 import math
 import pathlib
 import random
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tracekit.functions import bins, clean, waveform
 from tracekit.functions.geo import haversine_km
-from tracekit.operators import filters, keys, metrics, profile, sampling, spacetime, splits
+from tracekit.operators import components, filters, keys, metrics, profile, sampling, spacetime, splits
 
 RESULT = "weight string, p_in_window int, s_in_window int, p_prob double, s_prob double, p_residual_s double, s_residual_s double"
 
@@ -102,6 +103,28 @@ def test_long_chains_of_keys(spark):
     assert {r.group_id for r in keys.key_components(k).collect()} == {"r0000"}
 
 
+def test_components_of_hard_shapes(spark):
+    """A path in shuffled order, two ramps that meet, stars and a clique, and loners, in a few rounds each."""
+    rng, n = random.Random(5), 1000
+    path = [f"a{i:04d}" for i in rng.sample(range(n), n)]
+    ramps = [f"b{i:04d}" for i in [*range(1, 400, 2), *range(400, 0, -2)]]
+    edges = list(zip(path, path[1:], strict=False)) + list(zip(ramps, ramps[1:], strict=False))
+    edges += [("c9", f"c{i}") for i in range(9)] + [(f"d{i}", f"d{j}") for i in range(6) for j in range(6)] + [("e0", None)]
+    ids = {x for e in edges for x in e if x} | {"f0"}
+    v, e = spark.createDataFrame([(x,) for x in ids], "id string"), spark.createDataFrame(edges, "a string, b string")
+    turns = []
+    real = components.checkpointed
+    components.checkpointed = lambda df: turns.append(1) or real(df)
+    try:
+        got = {r.id: r.component for r in components.smallest_labels(v, e).collect()}
+    finally:
+        components.checkpointed = real
+    least = {"a": "a0000", "b": "b0001", "c": "c0", "d": "d0", "e": "e0", "f": "f0"}
+    assert got == {x: least[x[0]] for x in ids}
+    assert len(turns) < 2 * 20 + 20  # two tables a round, and those that name the vertices
+    assert components.smallest_labels(v.limit(0), e.limit(0)).count() == 0
+
+
 def test_overlap_and_empty_exclusions(spark):
     df = spark.createDataFrame([("a",), ("b",), ("c",)], "rid string")
     k = spark.createDataFrame([("a", "1"), ("a", "2"), ("b", "3")], "rid string, event_key string")
@@ -187,13 +210,12 @@ def test_library_does_not_need_the_text_operators():
 
 
 def test_key_queries_cover_every_row(spark):
-    """Components and splits over the keys of all rows, against a union-find."""
+    """Components over the keys of all rows against a union-find, and the whole event-grouped split by hand."""
     from tracekit.queries import QUERIES
-    from tracekit.queries.base import AllKeys
+    from tracekit.queries.base import Tables
 
     folder = "/root/testdata/sf0.001"
-    t = AllKeys(spark, folder)
-    n_rows = t.lineitem.count()
+    t = Tables(spark, folder)
     row_keys = [(r.rid, r.event_key) for r in t.fx_rowkeys.collect()]
     parent: dict = {}
 
@@ -210,21 +232,23 @@ def test_key_queries_cover_every_row(spark):
         g = find(("r", rid))
         least[g] = min(rid, least.get(g, rid))
     want = {rid: least[find(("r", rid))] for rid, _ in row_keys}
-    assert {r.rid: r.group_id for r in QUERIES["t14_key_components_all"](spark, folder).collect()} == want
-    for name in ("t13_event_grouped_split_all", "j2_drop_overlapping_all", "j3_flag_overlap_all"):
-        rows = QUERIES[name](spark, folder).collect()
-        if name.startswith("j2"):
-            assert 0 < len(rows) < n_rows
-            continue
-        assert len(rows) == n_rows
-        if name.startswith("t13"):
-            sides: dict = {}
-            for r in rows:
-                if r.rid in want:
-                    sides.setdefault(want[r.rid], set()).add(r.split)
-            assert all(len(x) == 1 for x in sides.values())
-    built = QUERIES["corpus_build"](spark, folder).select("rid")
-    assert built.join(t.fx_keys.where("l_orderkey % 20 <> 0").select("rid"), "rid", "left_semi").count() > 0
+    assert {r.rid: r.group_id for r in QUERIES["t14_key_components"](spark, folder).collect()} == want
+
+    rows = {r.rid: r.vendor for r in t.fx_keys.select("rid", "vendor").collect()}
+    assert len(rows) == t.lineitem.count()
+    placed = {r for r, v in rows.items() if r not in want and v}
+    group = {r: want.get(r, f"row:{r}") for r in rows if r not in placed}
+    sizes: dict = {}
+    for g in group.values():
+        sizes[g] = sizes.get(g, 0) + 1
+    goal, at, begin, side = math.floor(0.1 * len(group)), 0, 0, iter(["val", "test", "train"])
+    now, split = next(side), {}
+    for g in sorted(sizes, key=lambda g: (hashlib.md5(f"0|{g}".encode()).hexdigest(), g)):
+        if now != "train" and at >= begin + goal:
+            begin, now = at, next(side)
+        split[g], at = now, at + sizes[g]
+    got = {r.rid: r.split for r in QUERIES["t13_event_grouped_split"](spark, folder).collect()}
+    assert got == {r: v if r in placed else split[group[r]] for r, v in rows.items()}
 
 
 def test_shuffle_places_every_row(spark):
@@ -232,10 +256,70 @@ def test_shuffle_places_every_row(spark):
     from tracekit.queries.base import Tables
 
     folder = "/root/testdata/sf0.001"
-    at = sorted(r["at"] for r in QUERIES["t15_shuffle_all"](spark, folder).collect())
+    at = sorted(r["at"] for r in QUERIES["t15_shuffle"](spark, folder).collect())
     assert at == list(range(1, Tables(spark, folder).fx_catalog.count() + 1))
 
 
+def test_exact_quantiles(spark):
+    """Against numpy, with nulls, ties, one value, and a group of a third outliers; a narrow sketch makes the brackets matter."""
+    from tracekit.operators import quantiles
+
+    rng = np.random.default_rng(4)
+    groups = {"a": rng.normal(size=5000), "b": np.repeat([1.0, 2.0], [10, 991]), "c": np.array([7.0]), "d": np.concatenate([rng.uniform(size=2000), 1e9 * rng.uniform(size=1000)]), None: rng.exponential(size=300), "e": rng.normal(size=1078), "f": rng.normal(size=14_001)}
+    rows = [(g, float(x)) for g, v in groups.items() for x in v] + [("a", None), ("none", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(6)
+    at = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
+    for accuracy in (50, 10_000):
+        got = {r.g: r.quantiles for r in quantiles.exact_quantiles(df, ["g"], "v", at, accuracy).collect()}
+        assert set(got) == set(groups)
+        for g, v in groups.items():
+            assert got[g] == pytest.approx(np.quantile(v, at).tolist(), rel=1e-12)
+    whole = quantiles.exact_quantiles(df, [], "v", [0.5]).first().quantiles
+    assert whole == pytest.approx([np.median(np.concatenate(list(groups.values())))])
+    assert quantiles.exact_quantiles(df.limit(0), ["g"], "v", [0.5]).count() == 0
+
+
+def test_divided_takes_the_first_of_the_draw(spark):
+    rows = [(f"r{i}", "xyz"[i % 7 % 3] if i % 11 else None) for i in range(3000)]
+    df = spark.createDataFrame(rows, "rid string, g string")
+    take = spark.createDataFrame([("x", 100), ("y", 0), ("z", 10_000), (None, 5)], "g string, _take int")
+    taken, left = sampling.divided(df, ["g"], take, ["rid"], 3)
+    first = {g: sorted((hashlib.md5(f"3|{r}".encode()).hexdigest(), r) for r, h in rows if h == g) for g in ("x", "y", "z", None)}
+    n = {"x": 100, "y": 0, "z": 10_000, None: 5}
+    assert {r.rid for r in taken.collect()} == {r for g in first for _, r in first[g][: n[g]]}
+    assert {r.rid for r in left.collect()} == {r for g in first for _, r in first[g][n[g] :]}
+
+
+def test_scores_of_many_micro_batches_and_late_deliveries(spark, tmp_path):
+    from tracekit.streaming import ingest
+
+    rows = lambda n, at, p: spark.createDataFrame([(i, "w", p, at) for i in range(n)], "trace_id long, weight string, p_prob double, scored_at int")
+    schema = rows(1, 1, 0.5).schema
+    place = f"file://{tmp_path}"
+    run = lambda: ingest.ingest_scores(ingest.new_shards(spark, f"{place}/in", schema, files_per_batch=1), f"{place}/out", f"{place}/state").awaitTermination()
+    held = lambda: sorted((r.trace_id, r.p_prob) for r in ingest.latest_scores(spark, f"{place}/out", schema).collect())
+    rows(30, 2, 0.5).repartition(4).write.mode("append").parquet(f"{place}/in")
+    run()
+    assert held() == [(i, 0.5) for i in range(30)]
+    rows(9, 1, 0.1).coalesce(1).write.mode("append").parquet(f"{place}/in")
+    run()
+    assert held() == [(i, 0.5) for i in range(30)]
+    rows(5, 3, 0.9).coalesce(1).write.mode("append").parquet(f"{place}/in")
+    run()
+    assert held() == [(i, 0.9) for i in range(5)]
+
+
+def test_shards_with_other_columns_are_united_by_name(spark, tmp_path):
+    from tracekit.sources import catalogs
+
+    for name, text in (("m_1.csv", "a,b\n1,2\n"), ("m_2.csv", "b,a\n4,3\n"), ("m_3.csv", 'c,"a"\n"x,y",5\n'), ("m_4.csv.partial", "a,b\n9,9\n"), ("m_5.csv", "")):
+        (tmp_path / name).write_text(text)
+    got = catalogs.read_shards(spark, f"file://{tmp_path}", "m_")
+    assert sorted((r.a, r.b, r.c, r.chunk) for r in got.collect()) == [("1", "2", None, "1"), ("3", "4", None, "2"), ("5", None, "x,y", "3")]
+    with pytest.raises(FileNotFoundError):
+        catalogs.read_shards(spark, f"file://{tmp_path}", "none_")
+
+
 def test_merged_statistic_never_gathers_a_group(spark):
     df = spark.range(0, 40000, 1, 6).select(F.when(F.col("id") % 10 > 0, "hot").when(F.col("id") % 20 > 0, "cold").alias("g"), F.when(F.col("id") % 10 > 0, F.col("id").cast("double")).alias("v"))
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import checkpointed
+from .components import smallest_labels
+
 NONE = "array<string>"
 
 
@@ -76,34 +77,13 @@ def key_coverage(df: DataFrame, row_keys: DataFrame, row: str = "rid", dataset:
     return df.join(keyed, row, "left").groupBy(dataset).agg(F.avg(F.coalesce("_k", F.lit(0))).alias("coverage"), F.count(F.lit(1)).alias("n_rows"))
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the shared checkpoint folder; a local one is set only where none is named."""
-    context = df.sparkSession.sparkContext
-    if not (context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()):
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return df.checkpoint()
-
-
-def key_components(row_keys: DataFrame, row: str = "rid", rounds: int = 40) -> DataFrame:
+def key_components(row_keys: DataFrame, row: str = "rid") -> DataFrame:
     """(row, group_id): rows connected through shared keys; the group is named by its smallest row.
 
-    Rows and keys take the smallest label of each other in turn, and a label then moves on to the label of the row that it
-    names (pointer jumping), so long chains settle in about the logarithm of their length. Where every row has one
-    key the group is the key's smallest row and no round is needed.
+    Each key links its rows to the smallest of them, so a key with very many rows gives one link a row and no
+    pairs; the rest is a matter of connected components.
     """
-    edges = checkpointed(row_keys.select(F.col(row).alias("row"), F.col("event_key").alias("key")).distinct())
-    most = edges.groupBy("row").count().agg(F.max("count")).first()[0]
-    by_key = edges.groupBy("key").agg(F.min("row").alias("low"))
-    labels = checkpointed(edges.join(by_key, "key").groupBy("row").agg(F.min("low").alias("label")))
-    if not most or most == 1:
-        return labels.select(F.col("row").alias(row), F.col("label").alias("group_id"))
-    for _ in range(rounds):
-        low = edges.join(labels, "row").groupBy("key").agg(F.min("label").alias("low"))
-        near = edges.join(low, "key").groupBy("row").agg(F.min("low").alias("near"))
-        step = checkpointed(labels.join(near, "row").select("row", F.col("label").alias("old"), F.least("label", "near").alias("next")))
-        named = step.select(F.col("row").alias("next"), F.col("next").alias("far"))
-        labels = checkpointed(step.join(named, "next", "left").select("row", "old", F.coalesce("far", "next").alias("label")))
-        if not labels.where("old <> label").limit(1).count():
-            return labels.select(F.col("row").alias(row), F.col("label").alias("group_id"))
-        labels = labels.select("row", "label")
-    raise RuntimeError(f"groups did not settle in {rounds} rounds")
+    edges = checkpointed(row_keys.select(F.col(row).alias("a"), F.col("event_key").alias("key")).distinct())
+    links = edges.join(edges.groupBy("key").agg(F.min("a").alias("b")), "key").select("a", "b")
+    found = smallest_labels(edges.select(F.col("a").alias("id")), links)
+    return found.select(F.col("id").alias(row), F.col("component").alias("group_id"))

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .quantiles import exact_quantiles, same_group, with_quantiles
+
 # Thresholds in seconds and probability.
 OUTLIER_S, OUTLIER_STRICT_S = 1.5, 1.0
 RECALL_THRESHOLDS = (0.1, 0.2, 0.3, 0.5, 0.7)
@@ -24,7 +26,7 @@ def phase_metrics(phase: str, threshold: float, recall_thresholds: Sequence[floa
     prob, residual = F.col(f"{phase}_prob"), F.col(f"{phase}_residual_s")
     true = F.col(f"{phase}_in_window") >= 0
     seen = true & (prob >= threshold)
-    out = [F.count_if(true).alias(f"n_{phase}_traces"), F.count_if(seen).alias(f"n_{phase}_detected"), _share(prob >= threshold, true).alias(f"{phase}_recall"), F.percentile(F.when(true, prob), F.lit(0.5)).alias(f"{phase}_med_prob")]
+    out = [F.count_if(true).alias(f"n_{phase}_traces"), F.count_if(seen).alias(f"n_{phase}_detected"), _share(prob >= threshold, true).alias(f"{phase}_recall")]
     out += [_share(prob >= x, true).alias(f"{phase}_recall_t{round(x * 10):02d}") for x in recall_thresholds]
     for suffix, rows in (("", true), ("_cond", seen)):
         r = F.abs(F.when(rows, residual))
@@ -54,6 +56,7 @@ def mcc(tp: Column, fp: Column, fn: Column, tn: Column) -> Column:
 def pick_metrics(df: DataFrame, by: Sequence[str], p_threshold: float = P_PROB, s_threshold: float = S_PROB, ci_key: Sequence[str] | None = None) -> DataFrame:
     """One row a slice; an empty slice gives no row. ``ci_key``, the unique key of a row, adds bootstrap intervals of errors and recalls."""
     out = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n_traces"), *phase_metrics("p", p_threshold), *phase_metrics("s", s_threshold), phase_mcc().alias("mcc")).withColumn("outlier_thr_s", F.lit(OUTLIER_S))
+    out = _median_probabilities(out, df, by)
     if ci_key is None:
         return out
     for phase, threshold in (("p", p_threshold), ("s", s_threshold)):
@@ -66,6 +69,15 @@ def pick_metrics(df: DataFrame, by: Sequence[str], p_threshold: float = P_PROB,
     return out
 
 
+def _median_probabilities(out: DataFrame, df: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Adds p_med_prob and s_med_prob; both phases share one run of the quantiles."""
+    probs = F.array(*[F.struct(F.lit(x).alias("phase"), F.when(F.col(f"{x}_in_window") >= 0, F.col(f"{x}_prob")).alias("prob")) for x in "ps"])
+    medians = exact_quantiles(df.select(*by, F.inline(probs)), [*by, "phase"], "prob", [0.5])
+    pick = lambda x: F.max(F.when(F.col("phase") == x, F.col("quantiles")[0])).alias(f"{x}_med_prob")
+    medians = medians.groupBy(*[F.col(b).alias(f"_g_{b}") for b in by]).agg(pick("p"), pick("s"))
+    return out.join(medians, same_group(out, medians, by), "left").drop(*[f"_g_{b}" for b in by])
+
+
 def degenerate_scorers(df: DataFrame, recall: float = 0.99, mae: float = 2.0, threshold: float = P_PROB) -> DataFrame:
     """(weight, degenerate): nearly everything is picked, and badly; over all rows, not only those with a true pick."""
     stats = df.groupBy("weight").agg(F.avg((F.col("p_prob") >= threshold).cast("int")).alias("_r"), F.avg(F.abs("p_residual_s")).alias("_m"))
@@ -73,24 +85,31 @@ def degenerate_scorers(df: DataFrame, recall: float = 0.99, mae: float = 2.0, th
 
 
 def threshold_sweep(df: DataFrame, by: Sequence[str], thresholds: Sequence[float], phase: str = "p") -> DataFrame:
-    """Recall, detected-only error and outliers by threshold, from one grouped pass: the thresholds become columns and are unpivoted."""
+    """Recall, detected-only error and outliers by threshold.
+
+    One histogram over the thresholds that a probability reaches, then sums over the cells above each threshold: a
+    row is counted once however many thresholds there are.
+    """
+    marks = sorted(float(x) for x in thresholds)
     prob, r = F.col(f"{phase}_prob"), F.abs(F.col(f"{phase}_residual_s"))
+    reached = F.size(F.filter(F.array(*map(F.lit, marks)), lambda x: x <= prob))
     true = F.col(f"{phase}_in_window") >= 0
-    parts = [
-        F.struct(
-            F.lit(float(x)).alias("threshold"),
-            F.count_if(true & (prob >= x)).alias("n_detected"),
-            _share(prob >= x, true).alias("recall"),
-            F.avg(F.when(true & (prob >= x), r)).alias("mae_cond"),
-            F.avg(F.when(true & (prob >= x), (r > OUTLIER_S).cast("int"))).alias("outlier_cond"),
-        )
-        for x in thresholds
-    ]
-    return df.groupBy(*by).agg(F.array(*parts).alias("_s")).select(*by, F.inline("_s"))
+    cells = df.groupBy(*by, F.when(true & prob.isNotNull(), reached).alias("_at")).agg(F.count(F.lit(1)).alias("n"), F.count(r).alias("k"), F.sum(r).alias("r"), F.count_if(r > OUTLIER_S).alias("o"))
+    held = cells.groupBy(*by).agg(F.collect_list(F.when(F.col("_at").isNotNull(), F.struct("_at", "n", "k", "r", "o"))).alias("_c"))  # at most one a threshold
+    add = lambda c, name, zero: F.aggregate(c, zero, lambda a, x: a + F.coalesce(x[name], zero))
+    none, nought = F.lit(0).cast("long"), F.lit(0.0)
+
+    def at(x, i):
+        over = F.filter("_c", lambda c: c["_at"] > i)
+        n, k = add(over, "n", none), add(over, "k", none)
+        some = F.nullif(k, none)
+        return F.struct(x.alias("threshold"), n.alias("n_detected"), (n / F.nullif(add(F.col("_c"), "n", none), none)).alias("recall"), (add(over, "r", nought) / some).alias("mae_cond"), (add(over, "o", none) / some).alias("outlier_cond"))
+
+    return held.select(*by, F.inline(F.transform(F.array(*map(F.lit, marks)), at)))
 
 
 def recall_curve(df: DataFrame, by: Sequence[str], step: float = 0.04, phase: str = "p") -> DataFrame:
-    """Recall from 0 to 1: one histogram of the probabilities, then counts above each step."""
+    """Recall from 0 to 1 in equal steps."""
     n = round(1 / step)
     return threshold_sweep(df, by, [round(i * step, 6) for i in range(n + 1)], phase).select(*by, "threshold", "recall", "n_detected")
 
@@ -130,9 +149,8 @@ def bootstrap_ci(df: DataFrame, by: Sequence[str], value: str, key: Sequence[str
 
 
 def box_summary(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
-    q = F.percentile(value, F.array(*[F.lit(x) for x in (0.1, 0.25, 0.5, 0.75, 0.9)]))
-    out = df.groupBy(*by).agg(q.alias("_q"), F.avg(value).alias("mean"), F.count(value).alias("n"))
-    return out.select(*by, *[F.col("_q")[i].alias(f"p{p}") for i, p in enumerate((10, 25, 50, 75, 90))], (F.col("_q")[3] - F.col("_q")[1]).alias("iqr"), "mean", "n")
+    out = df.groupBy(*by).agg(F.avg(value).alias("mean"), F.count(value).alias("n"))
+    return with_quantiles(out, df, by, value, {f"p{p}": p / 100 for p in (10, 25, 50, 75, 90)}).withColumn("iqr", F.col("p75") - F.col("p25"))
 
 
 def domain_ratio(df: DataFrame, in_domain: Column, value: Column, by: str = "weight") -> DataFrame:

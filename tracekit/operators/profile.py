@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quantiles import with_quantiles
+
 
 def dense_counts(df: DataFrame, axes: Sequence[str], **aggregates: Column) -> DataFrame:
     """Counts over the full grid of the axes' distinct values, zeros included."""
@@ -61,13 +63,18 @@ def sp_histogram(df: DataFrame, by: str, seconds: Column, width: float, bins: in
 
 
 def dataset_profile(df: DataFrame, by: str, event: str, distance: str, magnitude: str, rate: str, p: str, s: str, lat: str, lon: str) -> DataFrame:
-    q = F.percentile(distance, F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)))
+    """One row a dataset. Distinct events and rates are counted from their own grouped counts, quantiles by bracketing, so no task holds a dataset."""
     out = df.groupBy(by).agg(
-        F.count(F.lit(1)).alias("n"), F.countDistinct(event).alias("n_events"), F.min(distance).alias("dist_min"), q.alias("_q"), F.max(distance).alias("dist_max"),
-        F.percentile(magnitude, F.lit(0.5)).alias("mag_median"), F.stddev_samp(magnitude).alias("mag_std"), F.mode(rate, True).alias("dominant_rate"), F.sort_array(F.collect_set(rate)).alias("rates"),
+        F.count(F.lit(1)).alias("n"), F.min(distance).alias("dist_min"), F.max(distance).alias("dist_max"), F.stddev_samp(magnitude).alias("mag_std"),
         F.avg(F.col(p).isNotNull().cast("int")).alias("p_frac"), F.avg(F.col(s).isNotNull().cast("int")).alias("s_frac"), F.min(lat).alias("lat_min"), F.max(lat).alias("lat_max"), F.min(lon).alias("lon_min"), F.max(lon).alias("lon_max"),
     )
-    return out.select("*", *[F.col("_q")[i].alias(f"dist_p{k}") for i, k in enumerate((10, 50, 90))]).drop("_q")
+    events = df.where(F.col(event).isNotNull()).groupBy(by, event).agg(F.lit(1).alias("_e")).groupBy(F.col(by).alias("_g_e")).agg(F.count("_e").alias("n_events"))
+    held = df.where(F.col(rate).isNotNull()).groupBy(by, rate).agg(F.count(F.lit(1)).alias("_c"))
+    rates = held.groupBy(F.col(by).alias("_g_r")).agg(F.min_by(rate, F.struct(-F.col("_c"), F.col(rate))).alias("dominant_rate"), F.sort_array(F.collect_set(rate)).alias("rates"))
+    out = out.join(events, F.col(by).eqNullSafe(F.col("_g_e")), "left").join(rates, F.col(by).eqNullSafe(F.col("_g_r")), "left")
+    out = out.withColumn("n_events", F.coalesce("n_events", F.lit(0))).withColumn("rates", F.coalesce("rates", F.slice("rates", 1, 0))).drop("_g_e", "_g_r")
+    out = with_quantiles(out, df, [by], distance, {"dist_p10": 0.1, "dist_p50": 0.5, "dist_p90": 0.9})
+    return with_quantiles(out, df, [by], magnitude, {"mag_median": 0.5})
 
 
 def mix(df: DataFrame, by: str, kind: str) -> DataFrame:
@@ -77,9 +84,12 @@ def mix(df: DataFrame, by: str, kind: str) -> DataFrame:
 
 
 def describe(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
-    q = F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    out = df.groupBy(*by).agg(F.count(value).alias("count"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.min(value).alias("min"), q.alias("_q"), F.max(value).alias("max"))
-    return out.select("*", *[F.col("_q")[i].alias(f"q{p}") for i, p in enumerate((25, 50, 75))]).drop("_q")
+    out = df.groupBy(*by).agg(F.count(value).alias("count"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.min(value).alias("min"), F.max(value).alias("max"))
+    return with_quantiles(out, df, by, value, {"q25": 0.25, "q50": 0.5, "q75": 0.75})
+
+
+def median_by(df: DataFrame, by: Sequence[str], value: str, name: str = "median") -> DataFrame:
+    return with_quantiles(df.select(*by).distinct(), df, by, value, {name: 0.5})
 
 
 def pivot_counts(df: DataFrame, by: str, column: str, values: Sequence[str]) -> DataFrame:
@@ -137,17 +147,22 @@ def window_feasibility(df: DataFrame, p: Column, length: Column, rate: Column, w
     return df.withColumn("pad_left", left.cast("long")).withColumn("pad_right", right.cast("long")).withColumn("status", status)
 
 
-def fingerprint(df: DataFrame, by: str, columns: Sequence[str]) -> DataFrame:
-    """Order-independent digest of a multiset of rows: sorted row digests in 256 buckets, then a digest of the buckets."""
+def fingerprint(df: DataFrame, by: str, columns: Sequence[str], levels: Sequence[int] = (5, 2, 0)) -> DataFrame:
+    """Order-independent digest of a multiset of rows: sorted row digests by their first five digits, the digests of those
+    sorted by the first two, and so on. A million first buckets hold about a million rows each at 10^12 rows."""
     line = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
-    rows = df.select(F.col(by), F.sha2(line, 256).alias("_d"))
-    buckets = rows.groupBy(by, F.substring("_d", 1, 2).alias("_b")).agg(F.sha2(F.array_join(F.sort_array(F.collect_list("_d")), "\n"), 256).alias("_d"), F.count(F.lit(1)).alias("_n"))
-    return buckets.groupBy(by).agg(F.sum("_n").alias("n_rows"), F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_b", "_d"))), lambda x: x["_d"]), "\n"), 256).alias("sha256"))
+    held = df.select(F.col(by), F.sha2(line, 256).alias("_d"), F.lit(1).cast("long").alias("_n"))
+    held = held.withColumn("_b", F.col("_d"))
+    for digits in levels:
+        joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_b", "_d"))), lambda x: x["_d"]), "\n")
+        held = held.groupBy(by, F.substring("_b", 1, digits).alias("_p")).agg(F.sha2(joined, 256).alias("_d"), F.sum("_n").alias("_n")).withColumnRenamed("_p", "_b")
+    return held.select(by, F.col("_n").alias("n_rows"), F.col("_d").alias("sha256"))
 
 
 def group_sizes(df: DataFrame, key: str) -> DataFrame:
     sizes = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    return sizes.agg(F.count(F.lit(1)).alias("groups"), F.percentile("_n", F.lit(0.5)).alias("median"), F.avg("_n").alias("mean"), F.min("_n").alias("min"), F.max("_n").alias("max"))
+    out = sizes.agg(F.count(F.lit(1)).alias("groups"), F.avg("_n").alias("mean"), F.min("_n").alias("min"), F.max("_n").alias("max"))
+    return with_quantiles(out, sizes, [], "_n", {"median": 0.5})
 
 
 def null_rates(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quantiles import same_group
+
 
 def draw(seed: int | str, *keys: str) -> Column:
     """The random number of a row as 32 hexadecimal digits; order it as text."""
@@ -17,9 +19,49 @@ def uniform(seed: int | str, *keys: str) -> Column:
 
 
 def _ranked(df: DataFrame, group: list[str], key: list[str], seed, name: str = "_rank") -> DataFrame:
+    """Ranks under a literal limit only; ``ranked_in_groups`` is for whole groups."""
     return df.withColumn("_draw", draw(seed, *key)).withColumn(name, F.row_number().over(Window.partitionBy(*group).orderBy("_draw", *key))).drop("_draw")
 
 
+def _ranges(dealt: DataFrame, group: list[str]) -> DataFrame:
+    """Counts of 4096 ranges of the draw in each group, and how many rows lie in the ranges before."""
+    sizes = dealt.groupBy(*group, "_p").agg(F.count(F.lit(1)).alias("_c"))
+    before = F.coalesce(F.sum("_c").over(Window.partitionBy(*group).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return sizes.withColumn("_before", before)
+
+
+def _dealt(df: DataFrame, key: list[str], seed) -> DataFrame:
+    return df.withColumn("_draw", draw(seed, *key)).withColumn("_p", F.substring("_draw", 1, 3))
+
+
+def ranked_in_groups(df: DataFrame, group: list[str], key: list[str], seed=0, name: str = "_rank") -> DataFrame:
+    """Adds the row's number in the order of the draw inside its group, whatever the group's size: ranks inside 4096 ranges of
+    the draw, plus the counts of the ranges before."""
+    dealt = _dealt(df, key, seed)
+    before = _ranges(dealt, group).select(*[F.col(g).alias(f"_g_{g}") for g in [*group, "_p"]], "_before")
+    inside = dealt.withColumn("_i", F.row_number().over(Window.partitionBy(*group, "_p").orderBy("_draw", *key)))
+    joined = inside.join(before, same_group(inside, before, [*group, "_p"]))
+    return joined.withColumn(name, F.col("_i") + F.col("_before")).select(*df.columns, name)
+
+
+def divided(df: DataFrame, group: list[str], take: DataFrame, key: list[str], seed=0) -> tuple[DataFrame, DataFrame]:
+    """(taken, left): the first ``_take`` rows of each group in the order of the draw, and its other rows.
+
+    ``take(group, _take)``; groups that it lacks are in neither. Ranges of the draw that lie wholly before the
+    cut are taken as they are and those behind it left; only the one range of a group that the cut falls into is ranked.
+    """
+    dealt = _dealt(df, key, seed)
+    ranges = _ranges(dealt, group)
+    named = take.select(*[F.col(g).alias(f"_g_{g}") for g in group], F.col("_take").cast("long").alias("_take"))
+    room = F.least(F.col("_c"), F.greatest(F.lit(0), F.col("_take") - F.col("_before")))
+    held = ranges.join(named, same_group(ranges, named, group)).select(*[F.col(g).alias(f"_g_{g}") for g in [*group, "_p"]], "_c", room.alias("_room"))
+    rows = dealt.join(held, same_group(dealt, held, [*group, "_p"]))
+    inside = F.row_number().over(Window.partitionBy(*group, "_p").orderBy("_draw", *key))
+    cut = rows.where("_room > 0 AND _room < _c").withColumn("_i", inside)
+    taken = rows.where("_room = _c").select(*df.columns).unionByName(cut.where("_i <= _room").select(*df.columns))
+    return taken, rows.where("_room = 0").select(*df.columns).unionByName(cut.where("_i > _room").select(*df.columns))
+
+
 def sample_in_groups(df: DataFrame, group: list[str], n: int, key: list[str], seed=0) -> DataFrame:
     """At most n rows a group. Row numbers under a limit let Spark cut each partition to n before the shuffle."""
     return _ranked(df, group, key, seed).where(F.col("_rank") <= n).drop("_rank")
@@ -48,11 +90,14 @@ def proportional_cap(df: DataFrame, limit: int, stratum: str, key: list[str], se
     plan = joined.withColumn("_take", F.when(F.col("_n") <= limit, F.col("_c")).otherwise(take))
     short = plan.groupBy(*group).agg((F.lit(limit) - F.sum("_take")).alias("_short"))
     plan = plan.join(short, group) if group else plan.crossJoin(F.broadcast(short))  # one row
-    ranked = _ranked(df, [*group, stratum], key, seed).join(plan.select(*group, stratum, "_take", "_n", "_short"), [*group, stratum])
-    taken = ranked.where(F.col("_rank") <= F.col("_take"))
-    left = ranked.where((F.col("_rank") > F.col("_take")) & (F.col("_short") > 0) & (F.col("_n") > limit))
-    # the best ``limit`` of the rest hold every top-up
-    more = _ranked(left, group, key, f"{seed}+", "_more").where((F.col("_more") <= F.col("_short")) & (F.col("_more") <= limit)) if group else left.withColumn("_draw", draw(f"{seed}+", *key)).orderBy("_draw", *key).limit(limit).withColumn("_more", F.row_number().over(Window.orderBy("_draw", *key))).where(F.col("_more") <= F.col("_short")).drop("_draw")
+    taken, left = divided(df, [*group, stratum], plan.select(*group, stratum, "_take"), key, seed)
+    # the best ``limit`` of the rest hold every top-up; groups within the limit have no rest
+    lacking = plan.where((F.col("_n") > limit) & (F.col("_short") > 0)).select(*group, "_short").distinct()
+    if group:
+        more = _ranked(left, group, key, f"{seed}+", "_more").where(F.col("_more") <= limit).join(lacking, group).where(F.col("_more") <= F.col("_short"))
+    else:
+        best = left.withColumn("_draw", draw(f"{seed}+", *key)).orderBy("_draw", *key).limit(limit)
+        more = best.withColumn("_more", F.row_number().over(Window.orderBy("_draw", *key))).crossJoin(F.broadcast(lacking)).where(F.col("_more") <= F.col("_short"))  # one row
     return taken.select(*df.columns).unionByName(more.select(*df.columns))
 
 
@@ -70,7 +115,7 @@ def rebalance(df: DataFrame, fractions: dict[str, float], stratum: str, key: lis
     known = sizes.join(F.broadcast(target), stratum)  # a configuration table
     total = known.agg(F.min(F.floor(F.col("_c") / F.col("_f"))).alias("_t")).crossJoin(available).select(F.least("_t", "_all").alias("_total"))
     plan = known.crossJoin(F.broadcast(total)).select(stratum, F.bround(F.col("_total") * F.col("_f")).alias("_take"))
-    return _ranked(df, [stratum], key, seed).join(F.broadcast(plan), stratum).where(F.col("_rank") <= F.col("_take")).select(*df.columns)
+    return divided(df, [stratum], plan, key, seed)[0]
 
 
 def two_level_cap(df: DataFrame, outer: str, inner: str, inner_cap: int, outer_cap: int, key: list[str], seed=0) -> DataFrame:
@@ -87,8 +132,11 @@ def latitude_bands(df: DataFrame, lat: str, limit: int, key: list[str], seed=0)
     """``limit // 6`` rows of each 30-degree band, then any rows up to the limit; 90 degrees and null only as fill."""
     band = F.when((F.col(lat) >= -90) & (F.col(lat) < 90), F.floor((F.col(lat) + 90) / 30))
     each = max(1, limit // 6)
-    ranked = _ranked(df.withColumn("_band", band), ["_band"], key, seed).withColumn("_first", F.col("_band").isNotNull() & (F.col("_rank") <= each))
-    return ranked.withColumn("_draw", draw(seed, *key)).orderBy(F.desc("_first"), "_draw", *key).limit(limit).select(*df.columns)
+    banded = df.withColumn("_band", band)
+    first = sample_in_groups(banded.where("_band IS NOT NULL"), ["_band"], each, key, seed)  # ``limit`` rows at most
+    fill = sample(banded.join(first.select(*key), key, "left_anti"), limit, key, seed)
+    both = first.withColumn("_first", F.lit(True)).unionByName(fill.withColumn("_first", F.lit(False)))
+    return both.withColumn("_draw", draw(seed, *key)).orderBy(F.desc("_first"), "_draw", *key).limit(limit).select(*df.columns)
 
 
 def oversample(df: DataFrame, stratum: Column, factor: float, key: list[str], seed=0) -> DataFrame:

@@ -73,7 +73,7 @@ def a9_multi_aggregate(t):
 
 @query("SELECT CAST(year(shipped) AS INTEGER) AS year, quantile_cont(km, 0.5) AS median FROM {fx_catalog} GROUP BY 1")
 def a10_median_by_year(t):
-    return t.fx_catalog.groupBy(F.year("shipped").alias("year")).agg(F.percentile("km", F.lit(0.5)).alias("median"))
+    return profile.median_by(t.fx_catalog.select(F.year("shipped").alias("year"), "km"), ["year"], "km")
 
 
 @query("SELECT dataset, " + ", ".join(f"count(*) FILTER (distance_bin = '{b}') AS {b}" for b in BINS) + ", count(*) AS total FROM {fx_binned} GROUP BY dataset")
@@ -237,8 +237,10 @@ def a34_window_feasibility(t):
     return out.groupBy("dataset", "status").agg(F.count("*").alias("n"), F.max("pad_left").alias("max_left"), F.avg("pad_right").alias("mean_right"))
 
 
-@query("""WITH r AS (SELECT source, sha256(concat_ws('|', source, doc_id, coalesce(lang, ''))) AS d FROM documents), b AS (SELECT source, d[1:2] AS b, sha256(string_agg(d, chr(10) ORDER BY d)) AS d, count(*) AS n FROM r GROUP BY ALL)
-SELECT source, CAST(sum(n) AS BIGINT) AS n_rows, sha256(string_agg(d, chr(10) ORDER BY b)) AS sha256 FROM b GROUP BY source""")
+@query("""WITH r AS (SELECT source, sha256(concat_ws('|', source, doc_id, coalesce(lang, ''))) AS d FROM documents),
+b AS (SELECT source, d[1:5] AS b, sha256(string_agg(d, chr(10) ORDER BY d)) AS d, count(*) AS n FROM r GROUP BY ALL),
+c AS (SELECT source, b[1:2] AS b, sha256(string_agg(d, chr(10) ORDER BY b)) AS d, sum(n) AS n FROM b GROUP BY source, b[1:2])
+SELECT source, CAST(sum(n) AS BIGINT) AS n_rows, sha256(string_agg(d, chr(10) ORDER BY b)) AS sha256 FROM c GROUP BY source""")
 def a35_fingerprint(t):
     return profile.fingerprint(t.documents, "source", ["source", "doc_id", "lang"])
 

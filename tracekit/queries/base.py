@@ -32,7 +32,7 @@ FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey""",
   concat(l_returnflag, l_linestatus) AS dataset, concat('bucket', l_linenumber, '$', l_orderkey % 1000) AS trace_name, CAST(year(l_shipdate) AS STRING) AS chunk,
   CASE WHEN l_orderkey % 60 = 0 THEN NULL ELSE concat('o:', l_orderkey) END AS k1, CASE WHEN l_partkey % 50 = 0 THEN concat('p:', l_partkey) END AS k2, l_orderkey, l_partkey,
   CASE l_linenumber % 4 WHEN 0 THEN 'train' WHEN 1 THEN 'val' WHEN 2 THEN 'test' ELSE '' END AS vendor
-FROM {lineitem} WHERE l_orderkey % 20 = 0""",
+FROM {lineitem}""",
     "fx_rowkeys": """SELECT rid, dataset, trace_name, chunk, l_orderkey, k1 AS event_key FROM {fx_keys} WHERE k1 IS NOT NULL UNION ALL
 SELECT rid, dataset, trace_name, chunk, l_orderkey, k2 FROM {fx_keys} WHERE k2 IS NOT NULL""",
     "fx_points": """SELECT event_id, event_type, ts, CAST(user_id * 37 % 180 - 90 AS DOUBLE) AS lat, CAST(user_id * 73 % 360 - 180 AS DOUBLE) AS lon, user_id FROM {events}""",
@@ -46,9 +46,6 @@ SELECT rid, dataset, trace_name, chunk, l_orderkey, k2 FROM {fx_keys} WHERE k2 I
     "fx_wave3": """SELECT a.vec_id, a.label, a.vec_id % 64 AS pick, CAST(a.embedding AS DOUBLE[]) AS c0, CAST(b.embedding AS DOUBLE[]) AS c1, CAST(c.embedding AS DOUBLE[]) AS c2
 FROM {embeddings} a JOIN {embeddings} b ON b.vec_id = a.vec_id + 1 JOIN {embeddings} c ON c.vec_id = a.vec_id + 2""",
 }
-#: fx_keys holds one order in twenty, for the recursive SQL twins; these hold every row.
-VIEWS["fx_keys_all"] = VIEWS["fx_keys"].removesuffix(" WHERE l_orderkey % 20 = 0")
-VIEWS["fx_rowkeys_all"] = VIEWS["fx_rowkeys"].replace("{fx_keys}", "{fx_keys_all}")
 #: What only the spelling of a type sets apart.
 SPARK_TYPES = {"DOUBLE[]": "ARRAY<DOUBLE>"}
 
@@ -106,27 +103,3 @@ def query(oracle: str | None = None):
         return make
 
     return register
-
-
-class AllKeys(Tables):
-    """The tables with the keys of every row."""
-
-    def __getattr__(self, name: str) -> DataFrame:
-        return super().__getattr__(f"{name}_all" if name in ("fx_keys", "fx_rowkeys") else name)
-
-
-def keyed_query(oracle: str, twin: bool = True):
-    """Registers a function of the key views as it is and, with ``_all`` after its name, over the keys of every row.
-
-    Without ``twin`` the latter has no SQL: a recursive twin is too slow there.
-    """
-
-    def register(make: Callable[[Tables], DataFrame]):
-        query(oracle)(make)
-        name = f"{make.__name__}_all"
-        QUERIES[name] = lambda spark, sf_dir: make(AllKeys(spark, sf_dir))
-        if twin:
-            ORACLES[name] = with_views(oracle.replace("{fx_keys}", "{fx_keys_all}").replace("{fx_rowkeys}", "{fx_rowkeys_all}"))
-        return make
-
-    return register

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,21 +9,16 @@ from ..functions import bins
 from ..operators import joins, profile
 from ..plans import corpus
 from ..sources import catalogs
+from ..sources.scratch import new_folder
 from ..streaming import ingest
 from .aggregates import BINS, metrics_sql
-from .base import keyed_query, query
+from .base import query
 
 C = F.col
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder that executors share: in the checkpoint folder, or a local one where none is set."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return f"{shared}/job-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="spark-job-")
-
-
 def _catalog_csv(t) -> str:
-    place = scratch(t.spark)
+    place = new_folder(t.spark)
     t.fx_catalog.select("dataset", "trace_name", "source_id", C("p").cast("decimal(12,2)").alias("p"), C("line").alias("tag")).write.option("header", True).csv(f"{place}/catalog")
     return place
 
@@ -39,9 +31,12 @@ def s1_csv_catalog(t):
 
 @query("SELECT CAST(p_size % 5 AS STRING) || '.x' AS chunk, p_name, CAST(p_partkey AS STRING) AS p_partkey FROM part")
 def s2_sharded_catalog(t):
-    place = scratch(t.spark)
+    """Shards of two column orders, some with a column more."""
+    place = new_folder(t.spark)
     part = t.part.select("p_name", "p_partkey", (C("p_size") % 5).alias("k"))
-    part.repartition(5, "k").write.partitionBy("k").option("header", True).csv(f"{place}/by")
+    for some, columns in (("k < 3", ["p_name", "p_partkey"]), ("k >= 3", ["extra", "p_partkey", "p_name"])):
+        shards = part.where(some).withColumn("extra", F.lit("x")).select(*columns, "k")
+        shards.repartition(5, "k").write.mode("append").partitionBy("k").option("header", True).csv(f"{place}/by")
     _flatten(t.spark, f"{place}/by", f"{place}/shards", "meta_")
     return catalogs.read_shards(t.spark, f"{place}/shards", "meta_", ["p_name", "p_partkey"])
 
@@ -72,12 +67,15 @@ def s4_scan_and_filter(t):
 
 @query("SELECT DISTINCT 'docs' AS dataset, CAST(doc_id AS STRING) AS trace_name FROM labels WHERE toxic = 1 OR quality = 0")
 def s5_label_reports(t):
-    place = scratch(t.spark)
-    t.labels.where("toxic = 1 OR quality = 0").select(C("doc_id").alias("trace_name"), "quality").write.option("header", True).csv(f"{place}/report")
+    """Reports whose columns stand in two orders."""
+    place = new_folder(t.spark)
+    flagged = t.labels.where("toxic = 1 OR quality = 0").select(C("doc_id").alias("trace_name"), "quality")
+    for k, columns in enumerate((["trace_name", "quality"], ["quality", "trace_name"])):
+        flagged.where(C("trace_name") % 2 == k).select(*columns).write.mode("append").option("header", True).csv(f"{place}/report")
     return catalogs.label_reports(t.spark, {"docs": f"{place}/report"}, flag="part-")
 
 
-@keyed_query("SELECT 'event' AS kind, event_key AS name FROM (SELECT DISTINCT event_key FROM {fx_rowkeys} WHERE l_orderkey % 7 = 0 OR rid IN (SELECT rid FROM {fx_keys} WHERE l_orderkey % 7 = 0)) UNION ALL SELECT DISTINCT 'trace', concat(dataset, '/', trace_name) FROM {fx_keys} WHERE l_orderkey % 7 = 0")
+@query("SELECT 'event' AS kind, event_key AS name FROM (SELECT DISTINCT event_key FROM {fx_rowkeys} WHERE l_orderkey % 7 = 0 OR rid IN (SELECT rid FROM {fx_keys} WHERE l_orderkey % 7 = 0)) UNION ALL SELECT DISTINCT 'trace', concat(dataset, '/', trace_name) FROM {fx_keys} WHERE l_orderkey % 7 = 0")
 def s6_benchmark_exclusions(t):
     traces, events = catalogs.exclusions(t.fx_keys.where("l_orderkey % 7 = 0"), t.fx_rowkeys)
     return events.select(F.lit("event").alias("kind"), C("event_key").alias("name")).union(traces.select(F.lit("trace"), F.concat_ws("/", "dataset", "trace_name")))
@@ -85,14 +83,14 @@ def s6_benchmark_exclusions(t):
 
 @query("SELECT trace_id, weight, p_prob FROM {fx_results} WHERE weight IN ('click', 'view')")
 def s7_results_source(t):
-    place = scratch(t.spark)
+    place = new_folder(t.spark)
     catalogs.write_results(t.fx_results.select("trace_id", "weight", "p_prob"), f"{place}/results")
     return catalogs.read_results(t.spark, f"{place}/results", ["click", "view"]).select("trace_id", "weight", "p_prob")
 
 
 @query("SELECT dataset AS dataset_name, trace_name, chunk, p AS p_arrival_sample, s AS s_arrival_sample, km AS distance_km, distance_bin, 'p' AS p_col, 's' AS s_col, vendor AS split FROM {fx_binned}")
 def s8_manifest_sink(t):
-    place = scratch(t.spark)
+    place = new_folder(t.spark)
     df = t.fx_binned.select(C("dataset").alias("dataset_name"), "trace_name", "chunk", C("p").alias("p_arrival_sample"), C("s").alias("s_arrival_sample"), C("km").alias("distance_km"), "distance_bin", F.lit("p").alias("p_col"), F.lit("s").alias("s_col"), C("vendor").alias("split"))
     catalogs.write_manifest(df, f"{place}/manifest")
     return t.spark.read.parquet(f"{place}/manifest")
@@ -100,14 +98,14 @@ def s8_manifest_sink(t):
 
 @query("SELECT dataset, distance_bin, count(*) AS n FROM {fx_binned} GROUP BY ALL")
 def s9_report_sink(t):
-    place = scratch(t.spark)
+    place = new_folder(t.spark)
     profile.dense_counts(t.fx_binned, ["dataset", "distance_bin"]).write.parquet(f"{place}/report")
     return t.spark.read.parquet(f"{place}/report").where("n > 0")
 
 
 @query("SELECT trace_id, weight, p_prob FROM {fx_results} WHERE weight <> 'click' UNION ALL SELECT trace_id, weight, p_prob / 2 FROM {fx_results} WHERE weight = 'click'")
 def s10_replace_by_key(t):
-    place = scratch(t.spark)
+    place = new_folder(t.spark)
     old = t.fx_results.select("trace_id", "weight", "p_prob")
     catalogs.write_results(old, f"{place}/r")
     catalogs.write_results(old.where("weight = 'click'").withColumn("p_prob", C("p_prob") / 2), f"{place}/r")
@@ -116,7 +114,7 @@ def s10_replace_by_key(t):
 
 @query("SELECT trace_id, dataset FROM {fx_results} WHERE trace_id % 3 = 0 UNION SELECT trace_id, dataset FROM {fx_results} WHERE trace_id % 2 = 0")
 def s11_resumable_append(t):
-    place = scratch(t.spark)
+    place = new_folder(t.spark)
     df = t.fx_results.select("trace_id", "dataset")
     catalogs.append_new(df.where("trace_id % 3 = 0"), f"{place}/a", ["trace_id"])
     catalogs.append_new(df.where("trace_id % 2 = 0"), f"{place}/a", ["trace_id"])
@@ -144,7 +142,7 @@ def s15_manifest_datasets(t):
 @query("SELECT event_id, user_id FROM events")
 def k1_stream_manifest(t):
     """Two overlapping deliveries of shards; each key arrives once."""
-    place = scratch(t.spark)
+    place = new_folder(t.spark)
     df = t.events.select("event_id", "user_id", C("ts").cast("timestamp").alias("ts"))
     for part in (df.where("event_id % 3 < 2"), df.where("event_id % 3 > 0")):
         part.coalesce(2).write.mode("append").parquet(f"{place}/in")
@@ -154,14 +152,15 @@ def k1_stream_manifest(t):
 
 @query("SELECT trace_id, weight, CASE WHEN weight = 'click' THEN p_prob / 4 ELSE p_prob END AS p_prob FROM {fx_results} WHERE weight <> 'click' OR trace_id % 2 = 0")
 def k2_stream_scores(t):
-    """A second delivery for one weight replaces its first."""
-    place = scratch(t.spark)
-    df = t.fx_results.select("trace_id", "weight", "p_prob", F.lit(1).alias("scored_at"))
-    again = df.where("weight = 'click' AND trace_id % 2 = 0").withColumn("p_prob", C("p_prob") / 4).withColumn("scored_at", F.lit(2))
-    for part in (df, again):
-        part.coalesce(1).write.mode("append").parquet(f"{place}/in")
-        ingest.ingest_scores(ingest.new_shards(t.spark, f"{place}/in", df.schema), f"{place}/out", f"{place}/state").awaitTermination()
-    return t.spark.read.parquet(f"{place}/out").select("trace_id", "weight", "p_prob")
+    """A delivery in several micro-batches, a second one that replaces it for one weight, and an older one that arrives late."""
+    place = new_folder(t.spark)
+    df = t.fx_results.select("trace_id", "weight", "p_prob", F.lit(2).alias("scored_at"))
+    again = df.where("weight = 'click' AND trace_id % 2 = 0").withColumn("p_prob", C("p_prob") / 4).withColumn("scored_at", F.lit(3))
+    late = df.where("weight = 'view'").withColumn("p_prob", F.lit(-1.0)).withColumn("scored_at", F.lit(1))
+    for part in (df.repartition(3), again.coalesce(1), late.coalesce(1)):
+        part.write.mode("append").parquet(f"{place}/in")
+        ingest.ingest_scores(ingest.new_shards(t.spark, f"{place}/in", df.schema, files_per_batch=1), f"{place}/out", f"{place}/state").awaitTermination()
+    return ingest.latest_scores(t.spark, f"{place}/out", df.schema).select("trace_id", "weight", "p_prob")
 
 
 @query("SELECT CAST(epoch_us(time_bucket(INTERVAL 1 HOUR, ts)) // 1000000 AS BIGINT) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
@@ -200,8 +199,8 @@ def corpus_pool(t):
 @query()
 def corpus_build(t):
     """The whole training corpus; its parts have twins of their own, tests hold its invariants."""
-    df = t.fx_keys_all.join(t.fx_binned.select("rid", "distance_bin"), "rid")
-    out = corpus.build_corpus(df.select("rid", "dataset", "distance_bin", "vendor"), t.fx_rowkeys_all, {b: 0.25 for b in BINS}, 0.1, 0.1)
+    df = t.fx_keys.join(t.fx_binned.select("rid", "distance_bin"), "rid")
+    out = corpus.build_corpus(df.select("rid", "dataset", "distance_bin", "vendor"), t.fx_rowkeys, {b: 0.25 for b in BINS}, 0.1, 0.1)
     return out.select("rid", "dataset", "distance_bin", "split")
 
 

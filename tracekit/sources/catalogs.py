@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Sequence
 from functools import reduce
 
@@ -27,11 +28,52 @@ def prune(df: DataFrame, wanted: Sequence[str]) -> DataFrame:
     return df.select(*[f"`{c}`" for c in wanted if c in df.columns])
 
 
+def csv_files(spark: SparkSession, pattern: str) -> list[str]:
+    """Data files of a path, a folder or a glob, by name."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    place = hadoop.Path(pattern)
+    fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = []
+    for status in fs.globStatus(place) or []:
+        inside = fs.listStatus(status.getPath()) if status.isDirectory() else [status]
+        found += [x.getPath() for x in inside if x.isFile() and x.getPath().getName()[0] not in "._"]
+    return sorted(x.toString() for x in found)
+
+
+def csv_header(spark: SparkSession, path: str) -> tuple[str, ...]:
+    """Column names of one file, read without its rows."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    stream = place.getFileSystem(conf).open(place)
+    codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(place)
+    reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(codec.createInputStream(stream) if codec else stream, "UTF-8"))
+    try:
+        line = reader.readLine()
+    finally:
+        reader.close()
+    return tuple(next(csv.reader([line.removeprefix("\ufeff")]))) if line else ()
+
+
+def read_ragged(spark: SparkSession, files: Sequence[str]) -> DataFrame:
+    """CSV files whose headers differ in names or order: one read for each header, united by name; strings, absent columns null. Adds _file."""
+    by_header: dict[tuple[str, ...], list[str]] = {}
+    for f in files:
+        header = csv_header(spark, f)
+        if header:
+            by_header.setdefault(header, []).append(f)
+    if not by_header:
+        raise FileNotFoundError("no CSV file with a header")
+    frames = []
+    for header, paths in by_header.items():
+        strings = T.StructType([T.StructField(n, T.StringType()) for n in header])
+        frames.append(spark.read.schema(strings).option("header", True).csv(paths).select("*", F.col("_metadata.file_name").alias("_file")))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+
+
 def read_shards(spark: SparkSession, folder: str, prefix: str, columns: Sequence[str] | None = None) -> DataFrame:
     """All complete CSV shards ``<prefix><tag>.csv`` with their tag as ``chunk``; partial files do not match. An error if there are none."""
-    df = spark.read.option("header", True).option("inferSchema", False).csv(f"{folder}/{prefix}*.csv")
-    tag = F.regexp_extract(F.col("_metadata.file_name"), f"^{prefix}(.*)\\.csv$", 1)
-    df = df.withColumn("chunk", tag)
+    df = read_ragged(spark, csv_files(spark, f"{folder}/{prefix}*.csv"))
+    df = df.withColumn("chunk", F.regexp_extract("_file", f"^{prefix}(.*)\\.csv$", 1)).drop("_file")
     return prune(df, [*columns, "chunk"]) if columns else df
 
 
@@ -46,7 +88,7 @@ def scan_and_filter(df: DataFrame, columns: Sequence[str], p: str, s: str, bad:
 
 def label_reports(spark: SparkSession, paths: dict[str, str], flag: str = "multiplet") -> DataFrame:
     """(dataset, trace_name) of label reports, ``paths`` by dataset; only reports whose file name holds ``flag``."""
-    frames = [spark.read.option("header", True).option("inferSchema", False).csv(p).where(F.col("_metadata.file_name").contains(flag)).select(F.lit(d).alias("dataset"), "trace_name") for d, p in paths.items()]
+    frames = [read_ragged(spark, [f for f in csv_files(spark, p) if flag in f.rpartition("/")[2]]).select(F.lit(d).alias("dataset"), "trace_name") for d, p in paths.items()]
     return reduce(DataFrame.unionByName, frames).distinct()
 
 

@@ -1,4 +1,4 @@
-"""Incremental ingest with Structured Streaming: each key once, or the latest batch of a weight."""
+"""Incremental ingest with Structured Streaming: each key once, or the latest delivery of a weight."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from ..sources.catalogs import append_new, write_results
+from ..sources.catalogs import append_new
 
 
 def new_shards(spark: SparkSession, folder: str, schema: T.StructType, files_per_batch: int = 100) -> DataFrame:
@@ -25,13 +25,24 @@ def ingest_manifest(shards: DataFrame, target: str, checkpoint: str, keys: list[
 
 
 def ingest_scores(shards: DataFrame, target: str, checkpoint: str, key: str = "weight", order: str = "scored_at") -> StreamingQuery:
-    """The latest scores of a weight replace older ones as whole partitions."""
+    """Keeps every delivery of a weight under (weight, scored_at, micro-batch).
 
-    def replace(batch: DataFrame, _: int) -> None:
-        latest = batch.groupBy(F.col(key).alias("_key")).agg(F.max(order).alias("_last"))
-        write_results(batch.join(latest, (F.col(key) == F.col("_key")) & (F.col(order) == F.col("_last"))).drop("_key", "_last", "arrived"), target, key)
+    A delivery may span many micro-batches, a repeated micro-batch overwrites nothing but itself, and one that
+    arrives late lies beside a newer one without replacing it; ``latest_scores`` reads the newest.
+    """
 
-    return shards.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(replace).start()
+    def keep(batch: DataFrame, number: int) -> None:
+        rows = batch.drop("arrived").withColumn("micro_batch", F.lit(number).cast("long"))
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key, order, "micro_batch").parquet(target)
+
+    return shards.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(keep).start()
+
+
+def latest_scores(spark: SparkSession, target: str, schema: T.StructType, key: str = "weight", order: str = "scored_at") -> DataFrame:
+    """The rows of each weight's newest delivery; older ones are pruned as partitions."""
+    held = spark.read.schema(T.StructType([*schema.fields, T.StructField("micro_batch", T.LongType())])).parquet(target)
+    newest = held.groupBy(F.col(key).alias("_key")).agg(F.max(order).alias("_last"))  # reads no columns of the files
+    return held.join(newest, (F.col(key) == F.col("_key")) & (F.col(order) == F.col("_last")), "left_semi").select(*schema.names)
 
 
 def windowed_counts(events: DataFrame, time: str, by: str, width: str = "1 hour", lateness: str = "10 minutes") -> DataFrame:
