@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from functools import reduce
 
 import numpy as np
@@ -11,6 +9,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.components import smallest_labels  # noqa: F401
+from ..sources.scratch import checkpointed, shared_folder, written  # noqa: F401
+
 #: ASCII white space: space and U+0009 to U+000D.
 SPACES = r"[\x20\x09-\x0D]+"
 
@@ -19,28 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a local one is set only where none is named."""
-    context = spark.sparkContext
-    named = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
-    if not named:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return named or context.getCheckpointDir()
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
-
-
-def written(df: DataFrame) -> DataFrame:
-    """The same rows as a table in the shared folder, whose size the planner then knows."""
-    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that the table does not have."""
     taken = {c.lower() for c in df.columns}
@@ -54,6 +33,24 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACES, -1), lambda w: w != "")
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once for a row, however often it is used (inside lambdas too)."""
+    return F.transform(F.array(value), use)[0]
+
+
+def offsets(lengths: Column, chunk: int = 256) -> Column:
+    """Where each of some consecutive parts begins: running sums of an array of lengths, as long numbers.
+
+    An array only grows by copying, so sums run inside chunks and over the chunks' totals: linear for arrays of any
+    practical length.
+    """
+    run = lambda a: F.aggregate(a, F.array(F.lit(0).cast("long")), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
+    chunks = lambda a: F.transform(F.sequence(F.lit(0), F.floor((F.size(a) - 1) / chunk).cast("int")), lambda i: run(F.slice(a, i * chunk + 1, F.lit(chunk))))
+    moved = lambda parts, bases: F.flatten(F.transform(parts, lambda p, i: F.transform(F.slice(p, F.lit(1), F.size(p) - 1), lambda x: x + F.get(bases, i))))
+    whole = lambda a: let(chunks(a), lambda parts: let(run(F.transform(parts, lambda p: F.element_at(p, -1))), lambda bases: moved(parts, bases)))
+    return let(lengths, lambda a: F.when(F.size(a) > 0, whole(a)).otherwise(F.array().cast("array<bigint>")))
+
+
 def same(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
     """Null-safe equality of the named columns."""
     return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
@@ -67,34 +64,3 @@ def text_slices(batches, column: int, size: int):
             ends = [*(np.flatnonzero(np.diff(whole // size)) + 1), batch.num_rows]
             for low, high in zip([0, *ends], ends, strict=False):
                 yield batch.slice(low, high - low)
-
-
-def smallest_labels(vertices: DataFrame, edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """Connected components: ``vertices(id)`` with ``edges(a, b)`` -> ``(id, component)``, the smallest id reachable.
-
-    Every round takes the smallest label among the neighbours and then the label of that label, so the
-    number of rounds is about the logarithm of the longest path. Labels stay in tables; the driver only sees
-    how many of them changed. Minima are combined before the shuffle, so a vertex with very many edges is no
-    hot spot.
-    """
-    links = checkpointed(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct())
-    touched = links.select(F.col("a").alias("id")).distinct()
-    labels = checkpointed(touched.select("id", F.col("id").alias("component")))
-    for _ in range(rounds):
-        near = (
-            links.join(labels.withColumnRenamed("id", "b"), "b")
-            .groupBy(F.col("a").alias("id"))
-            .agg(F.min("component").alias("near"))
-        )
-        lower = labels.join(near, "id").select("id", "component", F.least("component", "near").alias("next"))
-        lower = checkpointed(lower)
-        jump = lower.select(F.col("id").alias("next"), F.col("next").alias("jumped"))
-        labels = checkpointed(lower.join(jump, "next", "left").select("id", F.coalesce("jumped", "next").alias("component"), (F.col("component") != F.coalesce("jumped", "next")).alias("changed")))
-        moved = labels.where("changed").limit(1).count()
-        labels = labels.select("id", "component")
-        if not moved:
-            break
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
-    found = labels.select("id", "component")
-    return vertices.select("id").distinct().join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
