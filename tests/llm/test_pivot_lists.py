@@ -43,11 +43,30 @@ def test_groups_copies_and_odd_vectors(spark):
     assert P.near_vectors(df.limit(0)).count() == 0
 
 
+def test_recall_at_the_threshold(spark):
+    """Pairs just above the threshold among random vectors, and a hot group of near copies that holds a third of its label."""
+    rng = np.random.default_rng(1)
+    n, d = 900, 32
+    turned = lambda u, c: c * u + np.sqrt(1 - c * c) * (lambda z: z / np.linalg.norm(z, axis=1, keepdims=True))((lambda z: z - (z * u).sum(1, keepdims=True) * u)(rng.normal(size=u.shape)))
+    a = P.unit(rng.normal(size=(n, d)))
+    hot = turned(np.repeat(P.unit(rng.normal(size=(1, d))), n, 0), 0.985)
+    m = np.concatenate([a, turned(a, rng.uniform(0.931, 0.95, size=(n, 1))), hot])
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(m)]
+    got = P.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(5), block=200)
+    exact = P.unit(m) @ P.unit(m).T >= 0.93
+    np.fill_diagonal(exact, False)
+    found = {r.vec_id: r.n_links for r in got.collect()}
+    want = exact.sum(1)
+    assert all(found[i] <= want[i] for i in range(len(m)))
+    for part in (slice(0, 2 * n), slice(2 * n, None)):
+        assert sum(found[i] for i in range(len(m))[part]) >= 0.98 * want[part].sum()
+
+
 def test_recall_on_the_given_vectors(spark):
-    df = spark.read.parquet("/root/testdata/check_s/embeddings.parquet").where("label = 1")
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     got = P.near_vectors(df)
-    pdf = df.toPandas()
-    u = P.unit(pdf["embedding"])
-    want = int(((u @ u.T) >= 0.93).sum()) - len(u)
-    found = got.agg(F.sum("n_links")).first()[0]
-    assert 0.9 * want <= found <= want
+    want = 0
+    for _, part in df.toPandas().groupby("label"):
+        u = P.unit(np.stack(part["embedding"]))
+        want += int(((u @ u.T) >= 0.93).sum()) - len(u)
+    assert got.agg(F.sum("n_links")).first()[0] == want
