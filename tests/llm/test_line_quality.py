@@ -46,13 +46,13 @@ def test_registered_limits_remove_boilerplate_of_small_and_large_hosts(spark, tm
     stock = " ".join(f"s{k}" for k in range(100))
     rows = [(i, "small", f"{stock}\n{own(i)}") for i in range(6)] + [(i, "large", (f"{stock}\n" if i < 130 else "") + own(i)) for i in range(10, 5000)]
     spark.createDataFrame(rows, "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r.doc_id: (r.kept, r.words_removed) for r in QUERIES["op10_host_boilerplate"](spark, str(tmp_path)).collect()}
+    got = {r.doc_id: (r.kept, r.words_removed) for r in QUERIES["op10_line_quality"](spark, str(tmp_path)).collect()}
     assert len(got) == len(rows)
     for i, _, text in rows:
         assert got[i] == ((False, 100) if stock in text else (True, 0))
 
 
-def test_boilerplate_query_against_its_sql(spark):
+def test_query_against_its_sql(spark):
     import duckdb
 
     from tracekit.llm.queries import ORACLES, QUERIES
@@ -60,7 +60,7 @@ def test_boilerplate_query_against_its_sql(spark):
     sf = "/root/testdata/sf0.01"
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
-    df = QUERIES["op10_host_boilerplate"](spark, sf)
-    want = con.execute(f"SELECT {', '.join(df.columns)} FROM ({ORACLES['op10_host_boilerplate']})").fetchall()
+    df = QUERIES["op10_line_quality"](spark, sf)
+    want = con.execute(f"SELECT {', '.join(df.columns)} FROM ({ORACLES['op10_line_quality']})").fetchall()
     got = [tuple(r) for r in df.collect()]
     assert sorted(got) == sorted(want) and sum(r[-1] for r in got) > 0

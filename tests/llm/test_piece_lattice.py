@@ -68,3 +68,29 @@ def test_query_columns_nulls_and_repeats(spark):
     assert [r.piece_ids for r in got if r.doc_id == 6] == [None]
     assert P.sampled_pieces(df.limit(0)).count() == 0
     assert P.encode(df).columns == ["doc_id", "text", "piece_ids"]
+
+
+def test_parts_and_company_change_nothing(lattice, monkeypatch):
+    """A text cut into parts, and one among others, gets the pieces that it gets whole and alone."""
+    rng = np.random.default_rng(3)
+    words = ["the", "of", "tion", "😀", "▁x", "  ", "ſ", "and\n", "q" * 70]
+    texts = [" ".join(rng.choice(words, 300)) for _ in range(5)] + ["", None, " lead", "x" * 200]
+    keys = np.arange(len(texts)) * 7919
+    alone = [lattice.segment([t], keys[i : i + 1], 0.4)[0] for i, t in enumerate(texts)]
+    together = lattice.segment(texts, keys, 0.4)
+    monkeypatch.setattr(P, "PART", 40)
+    cut = lattice.segment(texts, keys, 0.4)
+    for t, a, b, c in zip(texts, alone, together, cut, strict=True):
+        if t is None:
+            assert a is b is c is None
+        else:
+            assert a.tolist() == b.tolist() == c.tolist() and lattice.decode(a.tolist()) == t
+    assert "".join(part for _, part in P._parts(" " + texts[0])) == " " + texts[0] and len(list(P._parts(" " + texts[0]))) > 10
+
+
+def test_whole_table_is_lossless_and_made_of_pieces(spark, lattice):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    got = P.sampled_pieces(docs).join(docs.select("doc_id", "text"), "doc_id").collect()
+    assert len(got) == docs.count()
+    for r in got:
+        assert r.lossless and r.n_pieces == len(r.piece_ids or []) and (r.text is None or lattice.decode(r.piece_ids) == r.text)

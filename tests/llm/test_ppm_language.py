@@ -12,7 +12,7 @@ DE = ["der hund und die katze sind im haus", "ich gehe heute nicht in die schule
 
 def train(spark):
     rows = [("en", t) for t in EN] + [("de", t) for t in DE] + [(None, "zzz"), ("en", None)]
-    return P.fit(spark.createDataFrame(rows, "lang string, text string"), sample_docs=100)
+    return P.fit(spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, lang string, text string"), sample_docs=100)
 
 
 def bits(texts, text):
@@ -57,6 +57,26 @@ def test_predictions_and_odd_rows(spark):
     assert all(r.score == 0 for r in got if r.lang_pred == "und")
 
 
+def test_many_languages_and_copies_of_one_text(spark):
+    """Tables grow with the sample: a hundred languages of their own letters, one of them a thousand copies of one text."""
+    rng = np.random.default_rng(2)
+    rows = []
+    for k in range(100):
+        words = ["".join(chr(97 + (k * 7 + int(x)) % 26) for x in rng.integers(0, 9, 5)) for _ in range(30)]
+        texts = [" ".join(rng.choice(words, 20)) for _ in range(12)]
+        rows += [(f"l{k:03d}", t) for t in texts + ([texts[0]] * 1000 if k == 3 else [])]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, lang string, text string")
+    model = P.fit(df, sample_docs=10)
+    trees = P.tables(model)
+    assert len(trees.langs) == 100
+    grams = sum(len(c) for c in P.pickle.loads(model)[1])
+    assert len(trees.cost) <= 4 * grams + trees.width
+    sampled = P.fit(df.where("lang = 'l003'"), sample_docs=10)
+    assert sum(c[:, 1].sum() for c in P.pickle.loads(sampled)[1]) < 40 * len(rows[3 * 12][1])  # about ten texts, not a thousand
+    got = P.predict(df.dropDuplicates(["text"]), model)
+    assert got.where("lang = lang_pred").count() / got.count() > 0.95
+
+
 def test_without_labels_or_rows(spark):
     none = spark.createDataFrame([(1, "abc", None)], "doc_id long, text string, lang string")
     assert [(r.lang_pred, r.score) for r in P.language_table(none).collect()] == [("und", 0.0)]

@@ -43,3 +43,25 @@ def test_chat_digest_of_ties_nulls_and_odd_roles(spark):
     assert got[None].turns_sha256 == sha("a\nb\nz\nassistant\n\n")
     assert got[-1].loss_sha256 == sha(R.PROBE) and got[-1].loss_chars == len(R.PROBE)
     assert {r.conv_id for r in R.chat_digest(spark, df.limit(0)).collect()} == {-1}
+
+
+def test_trees_may_number_their_messages_alike_and_cycles_end(spark):
+    rows = [("t", "1", None, "user", "a", 1.0), ("t", "2", "1", "assistant", "b", 1.0), ("u", "1", None, "user", "c", 1.0), ("u", "2", "1", "assistant", "d", 1.0)]
+    rows += [("v", "1", "2", "user", "x", 1.0), ("v", "2", "1", "user", "y", 1.0), ("v", "3", "2", "user", "below", 1.0), ("v", "4", None, "user", "root", 1.0), ("w", "1", "1", "user", "self", 1.0)]
+    rows += [(None, "1", None, "user", "n", None), (None, "2", "1", "assistant", "m", None), ("t", None, "1", "user", "lost", 1.0)]
+    df = spark.createDataFrame(rows, SCHEMA).withColumn("up", R.F.lit(7)).withColumn("branch", R.F.lit("x")).withColumn("o_tree", R.F.lit("y"))
+    got = {r.tree: [tuple(t) for t in r.turns] for r in R.read_back(R.format_trees(df)).collect()}
+    assert got == {"t": [("user", "a"), ("assistant", "b")], "u": [("user", "c"), ("assistant", "d")], "v": [("user", "root")], None: [("user", "n"), ("assistant", "m")]}
+
+
+def test_repeated_messages_count_once(spark):
+    rows = [("t", "1", None, "user", "b", 1.0), ("t", "1", None, "user", "a", 1.0), ("t", "2", "1", "assistant", "c", 0.5), ("t", "2", "1", "assistant", "c", 0.5)]
+    got = R.read_back(R.format_trees(spark.createDataFrame(rows, SCHEMA))).collect()
+    assert len(got) == 1 and [tuple(t) for t in got[0].turns] == [("user", "a"), ("assistant", "c")] and got[0].loss_text == "c"
+
+
+def test_long_texts_and_many_turns(spark):
+    rows = [("t", f"{i:05d}", f"{i - 1:05d}" if i else None, "assistant" if i % 2 else "user", "x" * (i % 50) + ("é" * 300_000 if i == 7 else ""), 1.0) for i in range(1500)]
+    got = R.read_back(R.format_trees(spark.createDataFrame(rows, SCHEMA))).first()
+    assert [t.text for t in got.turns] == [r[4] for r in rows]
+    assert got.loss_text == "".join(r[4] for r in rows[1::2])

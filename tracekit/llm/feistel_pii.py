@@ -1,16 +1,20 @@
 """PII: format-preserving pseudonyms by a keyed Feistel permutation.
 
-Card numbers (Luhn), dates (real days of 1900-2099), IPv4 addresses, social security numbers and phone numbers are
-validated and then permuted within their own format: a value is written as a pair of numbers in Z_a x Z_b, and each of
-``ROUNDS`` rounds adds a keyed hash of one half to the other. That is a bijection for any a and b, so equal values get
-equal pseudonyms in every document, different values different ones, and separators, length, check digit and calendar stay
-valid. E-mail addresses, which are no numbers, get a keyed name at a reserved domain.
+Card numbers (Luhn), account numbers (IBAN, mod 97), dates (real days of 1900-2099), IPv4 addresses, social security numbers and
+phone numbers (7 to 15 digits, a country code that does not begin with 0) are validated and then permuted within their
+own format: a value is written as a pair of numbers in Z_a x Z_b, and each of ``ROUNDS`` rounds adds a keyed hash of one
+half to the other. That is a bijection for any a and b, so equal values get equal pseudonyms in every document, different
+values different ones, and separators, length, check digits and calendar stay valid. E-mail addresses, which are no
+numbers, get a keyed name at a reserved domain: 48 bits of a hash, no bijection, so two of ten million addresses meet with a chance
+of one in six.
+
+Whoever holds the key can undo the permutation, so it is a required argument and stands nowhere in the library.
 
 All of it is array expressions on the row: one pattern splits the text into gaps and hits, hits are rewritten, and both are
 joined again. No shuffle.
 
-Defined cases: null text stays null; hits that fail validation stay as they are; repeated rows and
-extra columns are kept (a column named like ``count_col`` is replaced).
+Defined cases: null text stays null; hits that fail validation stay as they are; digits that follow a letter or a dot, such as
+version numbers, are no address; repeated rows and extra columns are kept (a column named like ``count_col`` is replaced).
 """
 
 from __future__ import annotations
@@ -19,16 +23,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS = 8
-KEY = "tracekit-demo-key"  # a deployment passes its own
 
 EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
-IPV4 = r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\d|\.\d)"
+IPV4 = r"(?<![\p{L}\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\d|\.\d)"
 ISO = r"(?<!\d)\d{4}-\d{2}-\d{2}(?!\d)"
 DMY = r"(?<![\d./])\d{1,2}[/.]\d{1,2}[/.]\d{4}(?!\d)"
 SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
 PHONE = r"(?<![\p{L}\p{N}+])(?:\+\d{1,3}[ .-]?\(\d{1,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}|\+\d{1,3}[ .-]?\d(?:[ .-]\d{2}){4}|\+\d{1,3}(?:[ .-]?\d{2,4}){2,3}|\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\d|[.-]\d)"
 CARD = r"(?<!\d)(?:\d{13,19}|\d{4}(?<sep>[ -])\d{4}\k<sep>\d{4}\k<sep>\d{1,7}|\d{4}(?<gap>[ -])\d{6}\k<gap>\d{5})(?!\d)"
-ANY = "|".join([EMAIL, IPV4, ISO, DMY, SSN, PHONE, CARD])
+IBAN = r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])"
+ANY = "|".join([EMAIL, IBAN, IPV4, ISO, DMY, SSN, PHONE, CARD])
 FIRST_DAY, DAYS_A, DAYS_B = "1900-01-01", 17, 4297  # 17 * 4297 days end with 2099-12-31
 
 
@@ -87,6 +91,32 @@ def card(key: str, m: Column) -> Column:
     return out[0]
 
 
+def mod97(text: Column) -> Column:
+    """Letters count as 10 to 35 and every character as one or two decimal digits."""
+    digit = lambda c: F.when(c.rlike("[0-9]"), c.cast("int")).otherwise(F.ascii(c) - 55)
+    return F.aggregate(F.filter(F.split(text, ""), lambda c: c != ""), F.lit(0), lambda a, c: (a * F.when(c.rlike("[0-9]"), 10).otherwise(100) + digit(c)) % 97)
+
+
+def iban(key: str, m: Column) -> Column:
+    """Country and letters stay, digits after the check digits are permuted (18 at a time) and the check digits follow."""
+
+    def made(plain):
+        country, body = F.substring(plain, 1, 2), F.substr(plain, F.lit(5))
+        digits = F.regexp_replace(body, r"\D", "")
+        head, tail = F.substring(digits, 1, 18), F.substr(digits, F.lit(19))
+        some = lambda d, tag: F.when(F.length(d) > 1, permuted_digits(key, F.concat(F.lit(tag), country), d)).otherwise(d)
+        return F.transform(F.array(in_format(body, F.concat(some(head, "iban"), some(tail, "iban+")))), lambda b: F.concat(country, F.lpad((98 - mod97(F.concat(b, country, F.lit("00")))).cast("string"), 2, "0"), b))[0]
+
+    def spaced(plain):
+        """As the original was grouped: one character of the new number for each of its own."""
+        step = lambda acc, c: F.when(c == " ", F.struct(F.concat(acc["out"], c).alias("out"), acc["k"].alias("k"))).otherwise(F.struct(F.concat(acc["out"], F.substr(plain, acc["k"], F.lit(1))).alias("out"), (acc["k"] + 1).alias("k")))
+        return F.aggregate(F.split(m, ""), F.struct(F.lit("").alias("out"), F.lit(1).alias("k")), step, lambda a: a["out"])
+
+    plain = F.replace(m, F.lit(" "), F.lit(""))
+    fine = (F.length(plain) <= 34) & (mod97(F.concat(F.substr(plain, F.lit(5)), F.substring(plain, 1, 4))) == 1)
+    return F.when(fine, F.transform(F.array(plain), lambda p: F.transform(F.array(made(p)), spaced)[0])[0]).otherwise(m)
+
+
 def ipv4(key: str, m: Column) -> Column:
     o = lambda k: F.split_part(m, F.lit("."), F.lit(k)).cast("int")
     fine = (o(1) < 256) & (o(2) < 256) & (o(3) < 256) & (o(4) < 256)
@@ -104,11 +134,12 @@ def ssn(key: str, m: Column) -> Column:
 
 
 def phone(key: str, m: Column) -> Column:
-    """A country code after a plus sign stays."""
+    """A country code after a plus sign stays. Numbers of fewer than 7 or more than 15 digits, or with a country code that begins with 0, are none."""
     head = F.regexp_extract(m, r"^(\+\d{1,3}[ .(-]|\+\d)", 1)
     rest = F.substr(m, F.length(head) + 1)
     digits = _only_digits(rest)
-    return F.when(F.length(digits).between(4, 18), F.concat(head, in_format(rest, permuted_digits(key, F.lit("phone"), digits)))).otherwise(m)
+    fine = F.length(_only_digits(m)).between(7, 15) & ~m.startswith("+0")
+    return F.when(fine & (F.length(digits) > 1), F.concat(head, in_format(rest, permuted_digits(key, F.lit("phone"), digits)))).otherwise(m)
 
 
 def date(key: str, m: Column) -> Column:
@@ -137,7 +168,7 @@ def email(key: str, m: Column) -> Column:
     return F.concat(F.lit("u"), F.substring(F.sha2(F.concat_ws("|", F.lit(key), F.lit("email"), F.lower(m)), 256), 1, 12), F.lit("@example.org"))
 
 
-KINDS = {"email": (EMAIL, email), "ipv4": (IPV4, ipv4), "iso": (ISO, date), "dmy": (DMY, date), "ssn": (SSN, ssn), "phone": (PHONE, phone), "card": (CARD, card)}
+KINDS = {"email": (EMAIL, email), "iban": (IBAN, iban), "ipv4": (IPV4, ipv4), "iso": (ISO, date), "dmy": (DMY, date), "ssn": (SSN, ssn), "phone": (PHONE, phone), "card": (CARD, card)}
 
 
 def pseudonym(key: str, m: Column) -> Column:
@@ -147,8 +178,10 @@ def pseudonym(key: str, m: Column) -> Column:
     return out
 
 
-def pseudonymise(docs: DataFrame, text_col: str = "text", key: str = KEY, count_col: str | None = None) -> DataFrame:
-    """The same rows with ``text_col`` rewritten; ``count_col`` names a column for the number of values replaced."""
+def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", count_col: str | None = None) -> DataFrame:
+    """The same rows with ``text_col`` rewritten under a secret key; ``count_col`` names a column for the number of values replaced."""
+    if not key:
+        raise ValueError("a key is needed")
     row, text = F.col("row"), F.col("row")[text_col]  # the input as one struct: no name of ours can clash
     hits = F.transform(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)), lambda m: F.struct(m.alias("old"), pseudonym(key, m).alias("new")))
     df = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).withColumn("hits", F.when(text.rlike("[0-9@]"), hits))

@@ -2,8 +2,8 @@
 
 Base counts are array expressions on each row. The corpus rule hashes normalised lines, counts for each host the
 distinct documents (distinct texts: exact copies are one document) that hold a line, and removes lines above
-the host's limit, ``max(least_docs, share * documents of the host)``, or ``most_docs`` where that is less. A document is
-rejected when less than ``min_words`` words or ``min_left`` of its words remain. ``BOILERPLATE`` holds limits that fit small and large hosts.
+the host's limit: a share of its documents, but at least ``least_docs`` and at most ``most_docs`` (a line on more pages than that
+is boilerplate, however large the host). A document is rejected when less than ``min_words`` words or ``min_left`` of its words remain.
 
 Hot lines: the distinct step is keyed by (host, line, text), the count is combined before its shuffle, and
 frequent lines are unique on their side of the join.
@@ -20,8 +20,7 @@ from pyspark.sql import functions as F
 from .common import SPACES, words, written
 
 WINDOW = 8
-#: More than two texts of a small host, five in a hundred of a middling one, a hundred of any host.
-BOILERPLATE = {"least_docs": 2, "share": 0.05, "most_docs": 100}
+LEAST_DOCS, SHARE, MOST_DOCS = 2, 0.05, 100
 
 
 def normalised(line: Column) -> Column:
@@ -61,7 +60,7 @@ def base_failed() -> Column:
     return (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
 
 
-def frequent_line_words(docs: DataFrame, host_col: str = "source", text_col: str = "text", least_docs: int = 100, share: float = 0.01, most_docs: int | None = None) -> DataFrame:
+def frequent_line_words(docs: DataFrame, host_col: str = "source", text_col: str = "text", least_docs: int = LEAST_DOCS, share: float = SHARE, most_docs: int = MOST_DOCS) -> DataFrame:
     """(host, text_key, words_removed): words of each distinct text that stand in lines above the host's limit."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     lines = docs.select(F.col(host_col).alias("host"), F.xxhash64(text).alias("text_key"), F.explode(F.split(text, "\n", -1)).alias("line"))
@@ -69,8 +68,8 @@ def frequent_line_words(docs: DataFrame, host_col: str = "source", text_col: str
     lines = lines.select("host", "text_key", F.xxhash64("line").alias("line_key"), F.length("line").alias("line_len"), F.size(F.split("line", " ", -1)).alias("n"))
     held = lines.select("host", "line_key", "line_len", "text_key").distinct()
     docs_of = docs.select(F.col(host_col).alias("host"), F.xxhash64(text).alias("text_key")).groupBy("host", "text_key").agg(F.count(F.lit(1)).alias("copies"))
-    limit = F.greatest(F.lit(least_docs), F.ceil(F.lit(share) * F.count(F.lit(1))))
-    limits = docs_of.groupBy("host").agg((limit if most_docs is None else F.least(F.lit(most_docs), limit)).alias("limit"))
+    limit = F.least(F.lit(most_docs), F.greatest(F.lit(least_docs), F.ceil(F.lit(share) * F.count(F.lit(1)))))
+    limits = docs_of.groupBy("host").agg(limit.alias("limit"))
     over = held.groupBy("host", "line_key", "line_len").agg(F.count(F.lit(1)).alias("docs"))
     over = over.join(limits.withColumnRenamed("host", "l_host"), F.col("host").eqNullSafe(F.col("l_host"))).where("docs > limit")
     # lines above the limit are few; as a table they are broadcast if they are small, and the lines need no second shuffle then
@@ -82,7 +81,7 @@ def frequent_line_words(docs: DataFrame, host_col: str = "source", text_col: str
     return removed.join(c, F.col("host").eqNullSafe(F.col("c_host")) & (F.col("text_key") == F.col("c_key"))).select("host", "text_key", (F.col("removed") / F.col("copies")).cast("long").alias("words_removed"))
 
 
-def quality_rules(docs: DataFrame, id_col: str = "doc_id", host_col: str = "source", text_col: str = "text", least_docs: int = 100, share: float = 0.01, min_words: int = 20, min_left: float = 0.3, most_docs: int | None = None) -> DataFrame:
+def quality_rules(docs: DataFrame, id_col: str = "doc_id", host_col: str = "source", text_col: str = "text", least_docs: int = LEAST_DOCS, share: float = SHARE, most_docs: int = MOST_DOCS, min_words: int = 20, min_left: float = 0.3) -> DataFrame:
     """One row per input row with the counts, base_failed, words_removed and kept."""
     counted = with_counts(docs.select(F.col(id_col).alias("doc_id"), F.col(host_col).alias("host"), F.col(text_col).alias("text")))
     counted = counted.withColumn("text_key", F.xxhash64(F.coalesce("text", F.lit("")))).drop("text")
@@ -102,7 +101,7 @@ rep AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc
 cov AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM rep, unnest(range(0, 8)) AS u(k) GROUP BY doc_id),
 txt AS (SELECT DISTINCT source, t FROM d),
 norm AS (SELECT source, t, lower(trim(regexp_replace(l, '[\x20\x09-\x0D]+', ' ', 'g'))) AS line FROM txt, unnest(string_split(t, chr(10))) AS u(l)),
-lim AS (SELECT source, greatest(100, ceil(0.01 * count(*))) AS lim FROM txt GROUP BY source),
+lim AS (SELECT source, least(100, greatest(2, ceil(0.05 * count(*)))) AS lim FROM txt GROUP BY source),
 freq AS (SELECT source, line FROM norm JOIN lim USING (source) WHERE line <> '' GROUP BY source, line HAVING count(DISTINCT t) > any_value(lim)),
 rem AS (SELECT source, t, sum(len(string_split(line, ' '))) AS n FROM norm JOIN freq USING (source, line) GROUP BY source, t),
 o AS (SELECT c.doc_id, CAST(len(ws) AS BIGINT) AS n_words,
@@ -117,6 +116,3 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   NOT base_failed AND n_words - words_removed >= 20 AND n_words - words_removed >= 0.3 * n_words AS kept, words_removed
 FROM f
 """
-
-#: The same with the limits of ``BOILERPLATE``.
-BOILERPLATE_ORACLE = ORACLE.replace("greatest(100, ceil(0.01 * count(*)))", "least(100, greatest(2, ceil(0.05 * count(*))))")

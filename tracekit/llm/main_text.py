@@ -1,13 +1,19 @@
 """HTML main text by a maximum-scoring subsequence.
 
-A page is a sequence of words and tags. Words score positive by the element that holds them, tags negative by their name;
-the weights are log odds of lying inside or outside the main container, counted on labelled pages: those that mark it
-(``article``, ``main`` or ``role=main``), a bounded sample of ``sample_pages``. One linear scan finds the contiguous run
-with the largest sum, which is then widened to whole blocks. Subtrees that name themselves as menus, sidebars, notices,
-adverts, forms, scripts, comments and the like score nothing and leave no text.
+A page is a sequence of words and tags. Words score by the element that holds them and by the class names and id of the
+nearest element that has any, tags negative by their name; the weights are log odds of lying inside or outside the
+main container, counted on labelled pages: those that mark it (``article``, ``main`` or ``role=main``), a bounded sample of
+``sample_pages`` drawn by id and content. Names count that ``support`` sampled pages hold. One linear scan finds the
+contiguous run with the largest sum, which is then widened to whole blocks.
+
+What lies inside the run and still is no part of an article (adverts, notices, forms, comments and the like) leaves no text:
+elements of such kinds, and those whose class or id is, as a whole, one of the fixed ``NAMES`` or a compound of names and parts
+of a layout. A name that only contains such a word says nothing, headings and text blocks are no boilerplate by their id,
+and where everything marked as the main container lies inside elements of such names, it counts nevertheless.
 
 Defined cases: null or empty html, or a page without words, gives an empty text; unclosed or misnested tags are
-tolerated; a ``br`` ends a block; the result has one row per input row; extra columns are ignored.
+tolerated; a ``br`` ends a block; formulas keep their text without annotations; without labelled pages fixed weights hold; the
+result has one row per input row; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -15,6 +21,7 @@ from __future__ import annotations
 import html as entities
 import math
 import re
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,17 +31,18 @@ TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(
 ATTRIBUTE = re.compile(r"([^\s=\"'<>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 
 # Element names and naming habits.
-RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "xmp", "svg", "math"}
+RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "xmp"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
-DROPPED = {"head", "nav", "footer", "aside", "form", "button", "select", "dialog", "menu", "object", "audio", "video", "canvas", "figcaption"} - {"figcaption"}
+INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr",
+          "math", "mi", "mn", "mo", "ms", "mtext", "mrow", "msup", "msub", "msubsup", "mfrac", "msqrt", "mroot", "mstyle", "semantics", "svg", "g", "text", "tspan", "path", "annotation", "annotation-xml", "desc", "metadata", "defs"}
+DROPPED = {"head", "nav", "footer", "aside", "form", "button", "select", "dialog", "menu", "object", "audio", "video", "canvas", "annotation", "annotation-xml", "desc", "metadata", "defs"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar"}
 NAMES = set(
     "ad ads adv advert adverts advertisement advertising adsense banner promo promotion sponsor sponsored sidebar menu nav navbar navigation "
     "breadcrumb breadcrumbs footer header masthead topbar cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe "
     "signup login search comment comments respond replies reply disqus share sharing social related recommended widget toolbar pagination pager copyright legal".split()
 )
-STEMS = ("advert", "sponsor", "sidebar", "navbar", "navigation", "breadcrumb", "footer", "cookie", "newsletter", "comment", "promo", "popup", "pagination", "related")
+SOFT = set("legal related search reply header footer widget respond menu".split())  # of a paragraph or heading they may be the subject
 PARTS = set("box list area section block slot unit wrap wrapper container bar links form widget posts articles icons buttons inner item items site post page entry top bottom left right inline".split())
 TEXTS = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "hgroup"}  # inside an article their ids say nothing
 CONTAINERS = {"article", "main"}
@@ -46,40 +54,61 @@ def _attributes(text: str) -> dict[str, str]:
     return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(text)}
 
 
-def _boilerplate(name: str) -> bool:
-    """A whole name, or a compound of nothing but names and parts such as box or list; inside an article other words are its subject."""
+def _boilerplate(name: str, inside: bool = False) -> bool:
+    """A whole name, or a compound of nothing but names and parts such as box or list; other words are a subject.
+    Inside an article a header is its own."""
+    names = NAMES - {"header"} if inside else NAMES
     split = [x.lower() for x in re.split(r"[^A-Za-z]+|(?<=[a-z])(?=[A-Z])", name) if x]
     if len(split) == 1 and split[0] not in NAMES:  # commentlist: a name and a part run together
         split = next(([split[0][: -len(p)], p] for p in PARTS if split[0].endswith(p)), split)
-    # an article's own header belongs to it
-    return bool(split) and split != ["header"] and any(x in NAMES and x != "header" for x in split) and all(x in NAMES or x in PARTS for x in split)
+    return any(x in names for x in split) and all(x in NAMES or x in PARTS for x in split)
 
 
-def _unwanted(name: str, attributes: dict[str, str], inside: bool) -> bool:
-    if name in DROPPED or name == "header" and not inside or "hidden" in attributes or attributes.get("aria-hidden") == "true":
-        return True
+def _unwanted(name: str, attributes: dict[str, str], inside: bool) -> str:
+    """"hard" for elements that never hold an article, "soft" for those that are called so, or nothing."""
+    if name in DROPPED or "hidden" in attributes or attributes.get("aria-hidden") == "true":
+        return "hard"
     if attributes.get("role", "").lower() in ROLES or "display:none" in attributes.get("style", "").replace(" ", "").lower():
-        return True
+        return "hard"
     if name in CONTAINERS or name in ("body", "html") or attributes.get("role") == "main":
-        return False
-    called = f"{attributes.get('class', '')} {attributes.get('id', '')}"
-    names = {x.lower() for x in re.split(r"[^A-Za-z]+|(?<=[a-z])(?=[A-Z])", called) if x}
-    if inside:
-        # ids of headings and text blocks are their subject
-        return any(_boilerplate(x) for x in (attributes.get("class", "") if name in TEXTS else called).split())
-    return bool(names & NAMES) or any(x.startswith(STEMS) for x in names)
+        return ""
+    if name == "header" and not inside:
+        return "soft"
+    classes = attributes.get("class", "").split()
+    if name in TEXTS:  # ids of headings and text blocks are their subject
+        return "soft" if any(_boilerplate(x) and x.lower() not in SOFT for x in classes) else ""
+    return "soft" if any(_boilerplate(x, inside) for x in [*classes, *attributes.get("id", "").split()]) else ""
+
+
+class Item(NamedTuple):
+    """A tag or a text run of a page, in page order."""
+
+    kind: str  # t(ag), b(lock tag) or w(ords)
+    name: str  # of the tag, or of the element that gives words their context
+    words: int
+    text: str
+    dropped: bool
+    inside: bool  # in a main container
+    called: tuple[str, ...]  # class names and id of the nearest element that has any
 
 
-def items(page: str) -> list[tuple[str, str, int, str, bool, bool]]:
-    """(kind, class, words, text, dropped, in container) of every tag and text run, in page order; kind: t(ag), b(lock tag) or w(ords)."""
+class _Open(NamedTuple):
+    name: str
+    hard: bool
+    soft: bool
+    inside: bool
+    context: str
+    called: tuple[str, ...]
+
+
+def _items(page: str, forgiving: bool) -> list[Item]:
     out, at, raw = [], 0, None
-    stack = [("", False, False, "body")]  # name; dropped and in the container by itself or what holds it; context of words
+    stack = [_Open("", False, False, False, "body", ())]
 
     def text(piece: str) -> None:
         if piece:
-            decoded = entities.unescape(piece)
-            _, dropped, inside, context = stack[-1]
-            out.append(("w", context, len(decoded.split()), decoded, dropped, inside))
+            decoded, now = entities.unescape(piece), stack[-1]
+            out.append(Item("w", now.context, len(decoded.split()), decoded, now.hard or now.soft, now.inside, now.called))
 
     while True:
         if raw:  # nothing but its own end tag counts inside
@@ -92,80 +121,107 @@ def items(page: str) -> list[tuple[str, str, int, str, bool, bool]]:
         at, name = m.end(), (m[2] or "").lower()
         if not name:
             if m[0].startswith("<![CDATA["):
-                text(m[0][9:-3])
+                text(m[0][9:].removesuffix("]]>"))
             continue
-        _, dropped, inside, context = stack[-1]
+        now = stack[-1]
         kind = "t" if name in INLINE else "b"
-        out.append((kind, name, 0, "", dropped or name in RAW, inside))
+        out.append(Item(kind, name, 0, "", now.hard or now.soft or name in RAW, now.inside, now.called))
         if m[1]:
-            depth = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == name), None)
+            depth = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].name == name), None)
             # an end tag closes what is open inside it, but an inline one does not reach past a block
-            if depth is not None and not (name in INLINE and any(x[0] not in INLINE for x in stack[depth + 1 :])):
+            if depth is not None and not (name in INLINE and any(x.name not in INLINE for x in stack[depth + 1 :])):
                 del stack[depth:]
         elif name in RAW:
             raw = name
         elif name not in VOID and not m[3].rstrip().endswith("/"):
             if name not in INLINE:  # blocks end an open paragraph and what it left open
-                depth = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] not in INLINE), None)
-                if depth is not None and (stack[depth][0] == "p" or stack[depth][0] == name and name in ("li", "td", "th", "tr", "dd", "dt", "option")):
+                depth = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].name not in INLINE), None)
+                if depth is not None and (stack[depth].name == "p" or stack[depth].name == name and name in ("li", "td", "th", "tr", "dd", "dt", "option")):
                     del stack[depth:]
-                    _, dropped, inside, context = stack[-1]
+                    now = stack[-1]
             attributes = _attributes(m[3])
-            out[-1] = (kind, name, 0, "", dropped or _unwanted(name, attributes, inside), inside)
             main = name in CONTAINERS or attributes.get("role") == "main"
-            stack.append((name, dropped or _unwanted(name, attributes, inside), inside or main, name if name in CONTEXTS else context))
+            why = _unwanted(name, attributes, now.inside)
+            hard, soft = now.hard or why == "hard", (now.soft and not (main and forgiving)) or why == "soft"
+            called = tuple(x.lower() for x in [*attributes.get("class", "").split(), *attributes.get("id", "").split()]) or now.called
+            out[-1] = Item(kind, name, 0, "", hard or soft, now.inside, called)
+            stack.append(_Open(name, hard, soft, now.inside or main, name if name in CONTEXTS else now.context, called))
+
 
+def items(page: str) -> list[Item]:
+    """The page as tags and text runs. If all words of its main containers lie in elements of unwanted names, those do not count."""
+    found = _items(page, False)
+    if any(x.inside and x.words for x in found) and not any(x.inside and x.words and not x.dropped for x in found):
+        return _items(page, True)
+    return found
 
-def fit(pages: DataFrame, html_col: str = "html", sample_pages: int = 2000) -> dict[str, float]:
-    """Weights of word contexts ("w:p") and tags ("t:li") from labelled pages."""
-    labelled = pages.select(F.col(html_col).alias("html")).where(F.col("html").rlike(r"(?i)<(article|main)[\s>]|role=.?main"))
-    draw = F.pmod(F.xxhash64("html", F.lit(3)), F.lit(1 << 30)) / float(1 << 30)
+
+def fit(pages: DataFrame, html_col: str = "html", sample_pages: int = 2000, id_col: str = "page_id", support: int = 5) -> dict[str, float]:
+    """Weights of word contexts ("w:p"), tags ("t:li") and names ("n:sidebar") from labelled pages."""
+    labelled = pages.select(F.col(html_col).alias("html"), F.xxhash64(F.lit(3), F.col(id_col), F.col(html_col)).alias("draw")).where(F.col("html").rlike(r"(?i)<(article|main)[\s>]|role=.?main"))
     total = labelled.count()
-    sample = labelled.where(draw < F.lit(sample_pages / max(total, 1)))
+    sample = labelled.where(F.pmod("draw", F.lit(1 << 30)) / float(1 << 30) < F.lit(sample_pages / max(total, 1))).select("html")
 
     def count(batches):
         for batch in batches:
-            sums: dict[tuple[str, bool], int] = {}
+            sums: dict[tuple[str, bool], list[int]] = {}
             for page in batch.column(0).to_pylist():
-                for kind, name, n, _, _, inside in items(page):
-                    key = (f"w:{name}" if kind == "w" else f"t:{name}"[:40], inside)
-                    sums[key] = sums.get(key, 0) + (n if kind == "w" else 1)
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in sums]), pa.array([i for _, i in sums]), pa.array(list(sums.values()), pa.int64())], ["token", "inside", "n"])
-
-    counted = sample.mapInArrow(count, "token string, inside boolean, n long").groupBy("token").agg(F.sum(F.when(F.col("inside"), F.col("n"))).alias("inside"), F.sum(F.when(~F.col("inside"), F.col("n"))).alias("outside"))
+                own: dict[tuple[str, bool], int] = {}
+                for x in items(page):
+                    for token in ([f"w:{x.name}", *(f"n:{c}" for c in set(x.called))] if x.kind == "w" else [f"t:{x.name}"]):
+                        own[token, x.inside] = own.get((token, x.inside), 0) + (x.words if x.kind == "w" else 1)
+                for key, n in own.items():
+                    held = sums.setdefault(key, [0, 0])
+                    held[0] += n
+                    held[1] += 1
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in sums]), pa.array([i for _, i in sums]), pa.array([n for n, _ in sums.values()], pa.int64()), pa.array([d for _, d in sums.values()], pa.int64())], ["token", "inside", "n", "pages"])
+
+    counted = sample.mapInArrow(count, "token string, inside boolean, n long, pages long")
+    counted = counted.groupBy("token").agg(F.coalesce(F.sum(F.when(F.col("inside"), F.col("n"))), F.lit(0)).alias("inside"), F.coalesce(F.sum(F.when(~F.col("inside"), F.col("n"))), F.lit(0)).alias("outside"), F.sum("pages").alias("pages"))
     weights = {}
-    for r in counted.orderBy(F.desc(F.coalesce("inside", F.lit(0)) + F.coalesce("outside", F.lit(0))), "token").limit(400).collect():
-        odds = math.log(((r.inside or 0) + 1) / ((r.outside or 0) + 1))
-        weights[r.token] = min(max(odds, 0.1), 1.0) if r.token[0] == "w" else -min(max(-odds, 0.1), 3.0)
+    for r in counted.where(F.col("pages") >= support).collect():  # tokens of a bounded sample
+        odds = math.log((r.inside + 1) / (r.outside + 1))
+        low, high = {"w": (0.1, 1.0), "n": (-2.0, 0.5), "t": (-3.0, -0.1)}[r.token[0]]
+        weights[r.token] = min(max(odds, low), high)
     return weights
 
 
-def extract(page: str | None, weights: dict[str, float]) -> str:
-    found = items(page or "")
-    best = (0.0, 0, 0)
-    run, start = 0.0, 0
-    for i, (kind, name, n, _, dropped, _) in enumerate(found):
-        if dropped:
-            continue
+def score(x: Item, weights: dict[str, float]) -> float:
+    if x.kind != "w":
+        return weights.get(f"t:{x.name}", -0.2 if x.kind == "t" or x.name in FLOW else -1.0)
+    names = [weights[f"n:{c}"] for c in x.called if f"n:{c}" in weights]
+    each = weights.get(f"w:{x.name}", 1.0) + (sum(names) / len(names) if names else 0.0)
+    return x.words * min(max(each, -1.0), 1.0)
+
+
+def best_run(scores: list[float]) -> tuple[float, int, int]:
+    """The contiguous run with the largest sum above zero, as (sum, first, end); the empty run if there is none."""
+    best, run, start = (0.0, 0, 0), 0.0, 0
+    for i, s in enumerate(scores):
         if run <= 0:
             run, start = 0.0, i
-        run += n * weights.get(f"w:{name}", 1.0) if kind == "w" else weights.get(f"t:{name}", -0.2 if kind == "t" or name in FLOW else -1.0)
+        run += s
         if run > best[0]:
             best = (run, start, i + 1)
-    _, low, high = best
+    return best
+
+
+def extract(page: str | None, weights: dict[str, float]) -> str:
+    found = items(page or "")
+    _, low, high = best_run([0.0 if x.dropped else score(x, weights) for x in found])
     if high == 0:
         return ""
-    while low > 0 and found[low - 1][0] != "b":
+    while low > 0 and found[low - 1].kind != "b":
         low -= 1
-    while high < len(found) and found[high][0] != "b":
+    while high < len(found) and found[high].kind != "b":
         high += 1
     blocks, now = [], []
-    for kind, _, _, words, dropped, _ in found[low:high]:
-        if kind == "b":
+    for x in found[low:high]:
+        if x.kind == "b":
             blocks.append(now)
             now = []
-        elif kind == "w" and not dropped:
-            now.append(words)
+        elif x.kind == "w" and not x.dropped:
+            now.append(x.text)
     joined = (" ".join("".join(b).split()) for b in [*blocks, now])
     return "\n".join(b for b in joined if b)
 

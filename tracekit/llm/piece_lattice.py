@@ -3,13 +3,17 @@
 The pieces of a public model span a lattice over each text. A piece's weight is a Zipf law of its rank in the model,
 ``log p = -log(rank + shift)`` up to a constant, raised to ``alpha`` (small: flat, large: close to the best path). The forward
 pass sums the weights of all segmentations up to every character; the backward pass draws pieces from the end in proportion.
-Random numbers are a hash of the row's key, the seed and the character position, so a row's segmentation depends on nothing
-else: not on partitions, batches or other rows.
+Random numbers are a hash of the row's key, the seed and the character position, and the chances at a node are summed
+from the node's own edges, so a row's segmentation depends on nothing else: not on partitions, batches or other rows.
 
 Pieces hold a word mark only at their start, so the lattice falls apart at spaces: the forward pass runs once over the
 distinct chunks of a batch, in arrays, and only the draws run over all of the text. Characters that the model lacks, and literal
 word marks, become byte pieces, so decoding returns every text exactly.
 
+Pieces are found by two independent 64-bit hashes of their characters and their length. A text is segmented in parts of
+``PART`` characters that end at spaces, so a text of any length takes bounded memory unless it holds an unbroken run of characters
+that long, which is one part.
+
 The model file is read on the driver and its pieces are broadcast (their number is fixed by the model). Defined cases: a null
 text gives null pieces, an empty one none; repeated rows with equal keys get equal segmentations; null keys are a key of
 their own; extra columns are kept.
@@ -19,6 +23,7 @@ from __future__ import annotations
 
 import functools
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -31,9 +36,11 @@ from .common import fresh, text_slices
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 BYTES = 2_500_000  # of text in one piece of work
+PART = 1_000_000  # characters of one text segmented at once
 SHIFT = 8.0
 SLOT_BITS = 20
 _BASE = 0x9E3779B97F4A7C15 | 1
+_CHECK = 0xD1342543DE82EF95  # of a second hash
 CHUNK = re.compile(r" *[^ ]+| +")
 
 
@@ -76,9 +83,11 @@ class Lattice:
         rank[np.argsort(-np.array([scores[i] for i in usable]), kind="stable")] = np.arange(len(usable))
         self.longest = max(len(pieces[i]) for i in usable)
         power = _powers(_BASE, self.longest + 1)
-        hashes = np.array([int((_mixed(self._codes(pieces[i].replace(MARK, " "))) * power[: len(pieces[i])]).sum(dtype=np.uint64)) for i in usable], np.uint64)
+        codes = [_mixed(self._codes(pieces[i].replace(MARK, " "))) for i in usable]
+        hashes, checks = (np.array([int((c * p[: len(c)]).sum(dtype=np.uint64)) for c in codes], np.uint64) for p in (power, _powers(_CHECK, self.longest + 1)))
         order = np.argsort(hashes)
         self.hashes, self.ids = hashes[order], np.array(usable, np.int32)[order]
+        self.checks, self.sizes = checks[order], np.array([len(c) for c in codes])[order]
         self.logp = -np.log(rank + SHIFT)[order]
         self.byte_logp = -np.log(len(usable) + SHIFT)
         # pieces by the top bits of their hash; those that collide go to a next table
@@ -90,7 +99,7 @@ class Lattice:
             self.slots.append(table)
             left = left[table[slot[left]] != left]
         self.hashes = np.append(self.hashes, ~self.hashes[-1])
-        self.inverse = pow(_BASE, -1, 2**64)
+        self.inverse, self.inverse_check = pow(_BASE, -1, 2**64), pow(_CHECK, -1, 2**64)
         self.bytes = [p.replace(MARK, " ").encode() for p in pieces]
         for b, i in enumerate(byte_ids):
             self.bytes[i] = bytes([b])
@@ -114,8 +123,8 @@ class Lattice:
     def forward(self, chunks: list[str], alpha: float):
         """Over distinct chunks: where each begins, the code point at each node, and the edges that end at each node.
 
-        Edges are grouped by node; ``cum`` is the running sum of their chances, which grows by one a node: the edge
-        drawn at a node is the first whose sum passes the node's number plus a random fraction.
+        Edges are grouped by node; ``cum`` is the running sum of their chances, which starts anew at each node: the edge
+        drawn is the first whose sum passes a random fraction.
         """
         n = np.array([len(c) for c in chunks], np.int64)
         begin = np.cumsum(n + 1) - (n + 1)
@@ -123,8 +132,9 @@ class Lattice:
         pos = np.arange(size) - np.repeat(begin, n + 1)
         codes = np.zeros(size, np.uint64)
         codes[pos > 0] = self._codes("".join(chunks))
-        total = np.cumsum(np.where(pos > 0, _mixed(codes) * _powers(_BASE, size), np.uint64(0)), dtype=np.uint64)
-        back = _powers(self.inverse, size + 1)
+        mixed = np.where(pos > 0, _mixed(codes), np.uint64(0))
+        total, second = (np.cumsum(mixed * _powers(b, size), dtype=np.uint64) for b in (_BASE, _CHECK))
+        back, back_second = _powers(self.inverse, size + 1), _powers(self.inverse_check, size + 1)
         order = np.argsort(pos, kind="stable")[len(chunks) :]  # nodes after the first ones, by position
         rank = np.full(size, -1, np.int64)
         rank[order] = np.arange(len(order))
@@ -138,6 +148,9 @@ class Lattice:
                 break
             h = (total[at] - total[at - length]) * back[at - length + 1]
             found, k = self.find(h)
+            sure = np.flatnonzero(found)
+            here, piece = at[sure], k[sure]
+            found[sure] = (self.sizes[piece] == length) & ((second[here] - second[here - length]) * back_second[here - length + 1] == self.checks[piece])
             if length == 1:
                 found &= ~mark[at]
                 known[at[found]] = True
@@ -169,7 +182,11 @@ class Lattice:
             whole = np.add.reduceat(x, firsts)
             reach[order[low:high]] = top + np.log(whole)
             chance[e:f] = x / np.repeat(whole, per[low:high])
-        return begin, n, c, rank, edge, lengths, ids, np.cumsum(chance)
+        cum = chance.copy()
+        for k in range(1, int(per.max())):  # a turn for each length of a piece
+            more = edge[:-1][per > k] + k
+            cum[more] += cum[more - 1]
+        return begin, n, c, rank, edge, lengths, ids, cum
 
     def segment(self, texts: list[str | None], keys: np.ndarray, alpha: float) -> list[np.ndarray | None]:
         """Sampled piece ids of every text."""
@@ -178,9 +195,21 @@ class Lattice:
 
     def segment_all(self, texts: list[str | None], keys: np.ndarray, alpha: float) -> tuple[np.ndarray, np.ndarray]:
         """Sampled piece ids of all texts in one array, and where each text's begin (one more than texts)."""
+        if all(t is None or len(t) <= PART for t in texts):
+            return self._segment([" " + t if t else t for t in texts], keys, np.zeros(len(texts), np.int64), alpha)
+        whole, sizes = [], []
+        for t, key in zip(texts, keys.tolist(), strict=True):
+            sizes.append(0)
+            for start, part in _parts(" " + t if t else t):
+                whole.append(self._segment([part], np.array([key]), np.array([start]), alpha)[0])
+                sizes[-1] += len(whole[-1])
+        return np.concatenate([np.empty(0, np.int32), *whole]), np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+
+    def _segment(self, texts: list[str | None], keys: np.ndarray, starts: np.ndarray, alpha: float) -> tuple[np.ndarray, np.ndarray]:
+        """The same for texts, or parts of texts, with the space that goes before a text; ``starts`` are their places in their texts."""
         index, flat, count = _Index(), [], []
         for t in texts:
-            found = CHUNK.findall(" " + t) if t else ()
+            found = CHUNK.findall(t) if t else ()
             flat.extend(map(index.__getitem__, found))
             count.append(len(found))
         if not index:
@@ -193,7 +222,7 @@ class Lattice:
         start = ends - n[chunk]
         with np.errstate(over="ignore"):
             seed = _mixed(keys.astype(np.int64).view(np.uint64) + np.uint64(0x632BE59BD9B4E019))[doc]
-            seed -= chars[doc].astype(np.uint64) * np.uint64(_BASE)  # places count from the start of the text
+            seed += (starts[doc] - chars[doc]).astype(np.uint64) * np.uint64(_BASE)  # places count from the start of the text
         # a piece is written where its last character stands, so reading in order needs no sort
         out, point = np.full(int(ends[-1]) + 1, -1, np.int32), np.empty(0, np.int64)
         live, at = np.arange(len(chunk)), n[chunk].copy()
@@ -203,11 +232,11 @@ class Lattice:
             point = start[live] + at
             draw = (_mixed(seed[live] + point.astype(np.uint64) * np.uint64(_BASE)) >> np.uint64(11)) * 2.0**-53
             turn = rank[node]
-            pick, last, goal = edge[turn], edge[turn + 1] - 1, turn + draw
-            on = np.flatnonzero((cum[pick] <= goal) & (pick < last))
+            pick, last = edge[turn], edge[turn + 1] - 1
+            on = np.flatnonzero((cum[pick] <= draw) & (pick < last))
             while on.size:
                 pick[on] += 1
-                on = on[(cum[pick[on]] <= goal[on]) & (pick[on] < last[on])]
+                on = on[(cum[pick[on]] <= draw[on]) & (pick[on] < last[on])]
             ids = piece[pick]
             out[point] = ids
             raw = np.flatnonzero(ids == -2)
@@ -234,6 +263,19 @@ class Lattice:
         return b"".join(map(self.bytes.__getitem__, ids)).decode()[1:]
 
 
+def _parts(text: str | None):
+    """(place, part) of a text cut before spaces, in parts of about PART characters."""
+    at = 0
+    while text and at < len(text):
+        end = at + PART
+        if end < len(text):  # a cut lies between a character and a space, where no piece crosses
+            while end < len(text) and not (text[end] == " " and text[end - 1] != " "):
+                end = text.find(" ", end + 1)
+                end = len(text) if end < 0 else end
+        yield at, text[at:end]
+        at = end
+
+
 @functools.lru_cache(maxsize=2)
 def _lattice(token: int, load) -> Lattice:
     return Lattice(*load())
@@ -243,15 +285,16 @@ class _Shared:
     """The broadcast model of a query; one lattice a Python worker."""
 
     def __init__(self, spark, path: str):
-        self.model = spark.sparkContext.broadcast(read_model(path))
-        self.key = hash(path)
+        model = read_model(path)
+        self.model = spark.sparkContext.broadcast(model)
+        self.key = zlib.crc32(repr(model).encode())  # another model at the same path is another lattice
 
     def get(self) -> Lattice:
         return _lattice(self.key, _Loader(self.model))
 
 
 class _Loader:
-    """Equal for all uses, so that the cache keys by path alone."""
+    """Equal for all uses, so that the cache keys by the model's digest alone."""
 
     def __init__(self, model):
         self.model = model

@@ -7,7 +7,11 @@ finally one of 256 equal bytes. A text goes to the language with the shortest co
 under equal priors.
 
 Counting runs as a Spark job over the sampled rows; the counts (bounded by the sample) are broadcast, and each Python
-worker expands them once to a table of costs by (context, byte, language). Scoring is one table lookup a byte.
+worker turns them once into tables: one row of costs for every (context, byte) that any language has seen, and one of
+escape costs for every context. A byte that no language has seen after its context pays the escape and is looked up after the
+next shorter one. Tables grow with what the sample holds times the languages, not with contexts times bytes. The score
+compares whole code lengths, so for anything longer than a line it is close to 1 for the right language;
+``bits_per_byte`` says how well the text fits.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0; without labelled rows everything is
 ``und``; null ids are never learned from and never held out; repeated rows and extra columns are kept as they are.
@@ -23,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh
+from .common import fresh, written
 
 ORDER = 3
 SLICE = 500_000  # bytes scored at once
@@ -41,14 +45,12 @@ def _grams(text: str) -> np.ndarray:
     return (b[:-3] << 24) | (b[1:-2] << 16) | (b[2:-1] << 8) | b[3:]
 
 
-def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", sample_docs: int = 250) -> bytes:
-    """Frozen counts of (language, four bytes) from about ``sample_docs`` labelled texts of each language."""
-    rows = labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang IS NOT NULL AND text IS NOT NULL")
-    # language codes are few; the limit only bounds what a broken column could send to the driver
-    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(1000).collect()
-    draw = F.pmod(F.xxhash64("text", F.lit(11)), F.lit(1 << 30)) / float(1 << 30)
-    chance = F.create_map(*[F.lit(x) for r in sizes for x in (r.lang, sample_docs / r.n)]) if sizes else F.create_map().cast("map<string,double>")
-    sample = rows.where(draw < F.element_at(chance, F.col("lang"))).select("lang", "text")
+def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", sample_docs: int = 250, id_col: str = "doc_id") -> bytes:
+    """Frozen counts of (language, four bytes) from about ``sample_docs`` labelled texts of each language, drawn by id and text."""
+    rows = labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.lit(11), F.col(id_col), F.col(text_col)).alias("draw")).where("lang IS NOT NULL AND text IS NOT NULL")
+    sizes = written(rows.groupBy(F.col("lang").alias("l_lang")).agg((sample_docs / F.count(F.lit(1))).alias("chance")))  # a row a language
+    draw = F.pmod("draw", F.lit(1 << 30)) / float(1 << 30)
+    sample = rows.join(sizes, F.col("lang") == F.col("l_lang")).where(draw < F.col("chance")).select("lang", "text")
 
     def count(batches):
         for batch in batches:
@@ -61,50 +63,89 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", sam
     return pickle.dumps((langs, [counts.loc[counts["lang"] == x, ["gram", "n"]].to_numpy(np.int64) for x in langs]))
 
 
-@functools.lru_cache(maxsize=2)
-def tables(model: bytes):
-    """langs, symbol of a byte, node of a context of three symbols, cost[node, symbol, language] in bits."""
-    langs, counts = pickle.loads(model)
-    used = np.unique(np.concatenate([(c[:, :1] >> np.array([24, 16, 8, 0])).ravel() & 255 for c in counts])) if langs else np.empty(0, np.int64)
-    width = len(used) + 1  # the last symbol stands for bytes never seen
-    symbol = np.full(256, width - 1, np.int64)
-    symbol[used] = np.arange(len(used))
-    split = [np.stack([symbol[(c[:, 0] >> s) & 255] for s in (24, 16, 8, 0)], 1) for c in counts]
-    node = np.zeros(width**ORDER, np.int32)  # the longest context seen in any language
-    cost = [np.full((1, width, len(langs)), 8.0, np.float32)]  # every byte equally likely
-    begin, parent_of = 1, {(): 0}
-    for order in range(ORDER + 1):
-        contexts = np.unique(np.concatenate([s[:, ORDER - order : ORDER] for s in split]), axis=0) if langs else np.empty((0, order), np.int64)
-        keys = [tuple(x) for x in contexts.tolist()]
-        parents = np.array([parent_of[k[1:]] for k in keys], np.int64) if order else np.zeros(len(keys), np.int64)
-        known = np.concatenate(cost)[parents]
-        index = {k: i for i, k in enumerate(keys)}
-        weights = width ** np.arange(order, dtype=np.int64)[::-1]
-        place = np.full(width**order, -1, np.int64)
-        place[(contexts * weights).sum(1)] = np.arange(len(keys))
-        for at, (s, c) in enumerate(zip(split, counts, strict=True)):
-            n = np.zeros((len(keys), width))
-            np.add.at(n, (place[(s[:, ORDER - order : ORDER] * weights).sum(1)], s[:, ORDER]), c[:, 1])
-            total, kinds = n.sum(1, keepdims=True), (n > 0).sum(1, keepdims=True)
+class Trees:
+    """The context trees of all languages.
+
+    A node is a context of 0 to ORDER symbols; ``node`` finds the longest one that ends a context of ORDER symbols,
+    ``parent`` the next shorter one. ``place[node, symbol]`` is the row of ``cost`` (rows x languages, bits) or -1 where no language
+    has seen the symbol after the context; then ``escape[node]`` (0 for languages that lack the context) is paid.
+    """
+
+    def __init__(self, model: bytes):
+        self.langs, counts = pickle.loads(model)
+        k = len(self.langs)
+        used = np.unique(np.concatenate([(c[:, :1] >> np.array([24, 16, 8, 0])).ravel() & 255 for c in counts])) if k else np.empty(0, np.int64)
+        self.width = width = len(used) + 1  # the last symbol stands for bytes never seen
+        self.symbol = np.full(256, width - 1, np.int64)
+        self.symbol[used] = np.arange(len(used))
+        gram, n = (np.concatenate([c[:, i] for c in counts]) if k else np.empty(0, np.int64) for i in (0, 1))
+        lang = np.repeat(np.arange(k), [len(c) for c in counts])
+        symbols = [self.symbol[(gram >> s) & 255] for s in (24, 16, 8, 0)]
+        self.node = np.zeros(width**ORDER, np.int32)
+        self.parent, escape, cost, place = [np.zeros(1, np.int32)], [np.zeros((1, k))], [np.full((width, k), 8.0)], [np.arange(width)[None, :]]  # node 0: any byte equally likely
+        nodes, rows, before = 1, width, None
+        for order in range(ORDER + 1):
+            code = np.zeros(len(gram), np.int64)
+            for s in symbols[ORDER - order : ORDER]:
+                code = code * width + s
+            contexts, context = np.unique(code, return_inverse=True) if order else (np.zeros(min(len(gram), 1), np.int64), code)
+            shorter = contexts % width ** (order - 1) if order else contexts
+            up = before[1][np.searchsorted(before[0], shorter)] if order else np.zeros(len(contexts), np.int32)
+            seen, entry = np.unique(context * width + symbols[ORDER], return_inverse=True)
+            held = np.zeros((len(seen), k))
+            np.add.at(held, (entry, lang), n)
+            at, symbol = seen // width, seen % width
+            total, kinds = np.zeros((len(contexts), k)), np.zeros((len(contexts), k))
+            np.add.at(total, at, held)
+            np.add.at(kinds, at, held > 0)
             with np.errstate(divide="ignore", invalid="ignore"):
-                seen, escape = -np.log2(n / (total + kinds)), -np.log2(kinds / (total + kinds))
-            known[:, :, at] = np.where(total > 0, np.where(n > 0, seen, escape + known[:, :, at]), known[:, :, at])
-        cost.append(known.astype(np.float32))
-        parent_of = {k: begin + i for k, i in index.items()} if order else {(): begin}
-        spread = np.arange(begin, begin + len(keys))
-        if order == ORDER:
-            node[(contexts * weights).sum(1)] = spread
-        else:  # all contexts of three symbols that end like this one
-            grid = node.reshape(-1, width**order)
-            grid[:, (contexts * weights).sum(1)] = spread
-        begin += len(keys)
-    return langs, symbol, node, np.concatenate(cost), width
+                out = np.where(total > 0, -np.log2(kinds / (total + kinds)), 0.0)
+                known = -np.log2(held / (total + kinds)[at])
+            grid = np.concatenate(place)
+            lower = np.concatenate(cost)[grid[up[at], symbol]]  # what is seen after a context is seen after shorter ones
+            cost.append(np.where(held > 0, known, out[at] + lower))
+            spot = np.full((len(contexts), width), -1, np.int64)
+            spot[at, symbol] = rows + np.arange(len(seen))
+            place.append(spot)
+            escape.append(out)
+            self.parent.append(up.astype(np.int32))
+            number = (nodes + np.arange(len(contexts))).astype(np.int32)
+            if order == ORDER:
+                self.node[contexts] = number
+            elif len(contexts):
+                self.node.reshape(-1, width**order)[:, contexts] = number  # all contexts of three symbols that end like this one
+            before = (contexts, number)
+            nodes, rows = nodes + len(contexts), rows + len(seen)
+        self.parent, self.escape, self.cost, self.place = np.concatenate(self.parent), np.concatenate(escape).astype(np.float32), np.concatenate(cost).astype(np.float32), np.concatenate(place).astype(np.int32)
+
+    def bits(self, data: np.ndarray) -> np.ndarray:
+        """(bytes - 3, languages) code lengths of every byte after the first three."""
+        s = self.symbol[data]
+        node, symbol = self.node[(s[:-3] * self.width + s[1:-2]) * self.width + s[2:-1]], s[3:]
+        row = self.place[node, symbol]
+        out = self.cost[row]
+        open_ = np.flatnonzero(row < 0)
+        if len(open_):
+            out[open_] = 0.0
+        while len(open_):
+            out[open_] += self.escape[node[open_]]
+            node[open_] = self.parent[node[open_]]
+            row = self.place[node[open_], symbol[open_]]
+            done = row >= 0
+            out[open_[done]] += self.cost[row[done]]
+            open_ = open_[~done]
+        return out
+
+
+@functools.lru_cache(maxsize=2)
+def tables(model: bytes) -> Trees:
+    return Trees(model)
 
 
 def code_lengths(model: bytes, texts: list[str]) -> np.ndarray:
     """Bits of every text under every language."""
-    langs, symbol, node, cost, width = tables(model)
-    bits = np.zeros((len(texts), len(langs)))
+    trees = tables(model)
+    bits = np.zeros((len(texts), len(trees.langs)))
     data = [np.frombuffer(b"\0\0\0" + t.encode(), np.uint8) for t in texts]
     n = np.array([len(d) - 3 for d in data], np.int64)
     at = 0
@@ -113,15 +154,14 @@ def code_lengths(model: bytes, texts: list[str]) -> np.ndarray:
         while end < len(texts) and (end == at or size + n[end] <= SLICE):
             size, end = size + n[end], end + 1
         joined = np.concatenate(data[at:end])
+        ends = np.cumsum(n[at:end] + 3)
         for low in range(0, len(joined), SLICE):  # a very long text takes several turns
-            s = symbol[joined[max(0, low - 3) : low + SLICE]]
-            context = (s[:-3] * width + s[1:-2]) * width + s[2:-1]
-            each = cost[node[context], s[3:]]
+            each = trees.bits(joined[max(0, low - 3) : low + SLICE])
             first = max(low, 3) if low else 3
-            ends = np.cumsum(n[at:end] + 3)
-            owner = np.searchsorted(ends, np.arange(first, first + len(each)), side="right")
-            inside = np.arange(first, first + len(each)) - (ends - n[at:end] - 3)[owner] >= 3
-            for k in range(len(langs)):
+            place = np.arange(first, first + len(each))
+            owner = np.searchsorted(ends, place, side="right")
+            inside = place - (ends - n[at:end] - 3)[owner] >= 3
+            for k in range(len(trees.langs)):
                 bits[at:end, k] += np.bincount(owner[inside], each[inside, k], minlength=end - at)
         at = end
     return bits

@@ -1,17 +1,22 @@
 """Chat formatting over reply trees.
 
-Messages form trees through ``parent``. Root-to-leaf paths are enumerated by iterative self-joins that double the
-distance: jump tables (node -> ancestor 2^k above) are built while any node has one, then the (leaf, node) rows of
-every path are filled from the largest jump down. The number of joins is twice the logarithm of the deepest path,
-rows never exceed the total length of the paths, and texts join only the chosen paths. Branches of a tree are ranked
-by the mean score of their messages.
+Messages form trees through ``parent``; a message is named by its tree and its number or name there. Root-to-leaf paths are
+enumerated by iterative self-joins that double the distance: jump tables (node -> ancestor 2^k above) are built while
+any node has one, then the (leaf, node) rows of every path are filled from the largest jump down. The number of
+joins is twice the logarithm of the deepest path, rows never exceed the total length of the paths, and texts join only
+the chosen paths. Branches of a tree are ranked by the mean score of their messages (ties: the smaller leaf).
+
+A node with an ancestor as many steps above as its tree has nodes lies on a cycle or hangs below one, so the rounds end
+there, whatever the table holds.
 
 The template marks every turn with ``<|turn|>role\n`` and ``<|end|>\n``. Inside roles and texts a backslash is doubled
 and every control string gets a backslash after its first character, so no control string can occur there and
 dropping one backslash per pair restores the text. The loss mask lists the spans of assistant texts.
 
-Defined cases: null role or text is empty; a null tree id is one tree; a message whose parent is missing is a root; rows of
-a cycle belong to no path; an empty table gives an empty result; extra columns are ignored.
+Defined cases: null role or text is empty; a null tree is one tree; a null node belongs to no path; a message whose parent
+is missing is a root; rows of a cycle, or below one, belong to no path; of repeated (tree, node) rows the smallest parent,
+the largest score and the smallest (role, text) count; a null score is 0; an empty table gives an empty result; extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import checkpointed
+from .common import checkpointed, offsets, written
 
 OPEN, CLOSE = "<|turn|>", "<|end|>\n"
 #: Strings that chat templates use as controls, apart from our own ``<|``.
@@ -38,43 +43,64 @@ def unescaped(text: Column) -> Column:
     return F.regexp_replace(text, r"(?s)\\(.)", "$1")
 
 
-def paths(nodes: DataFrame, rounds: int = 40) -> DataFrame:
+def _beside(rows: DataFrame, other: DataFrame, node: str = "node") -> Column:
+    """Equality of tree and node with a table whose columns are called ``o_tree`` and ``o_node``."""
+    return rows["tree"].eqNullSafe(other["o_tree"]) & (rows[node] == other["o_node"])
+
+
+def paths(nodes: DataFrame) -> DataFrame:
     """``nodes(tree, node, parent)`` -> ``(tree, leaf, node, up)``: the nodes of every root-to-leaf path, ``up`` steps above its leaf."""
-    nodes = checkpointed(nodes.select("tree", "node", "parent"))
-    known = nodes.select(F.col("node").alias("parent"))
-    jump = checkpointed(nodes.where("parent IS NOT NULL").join(known, "parent", "left_semi").select("node", F.col("parent").alias("over")))
-    leaves = nodes.join(jump.select(F.col("over").alias("node")), "node", "left_anti").select("tree", F.col("node").alias("leaf"), "node", F.lit(0).alias("up"))
-    jumps = []
+    nodes = checkpointed(nodes.where("node IS NOT NULL").groupBy("tree", "node").agg(F.min("parent").alias("parent")))
+    most = nodes.groupBy("tree").count().agg(F.max("count")).first()[0] or 0
+    known = nodes.select(F.col("tree").alias("o_tree"), F.col("node").alias("o_node"))
+    children = nodes.where("parent IS NOT NULL")
+    jump = checkpointed(children.join(known, _beside(children, known, "parent"), "left_semi").select("tree", "node", F.col("parent").alias("over")))
+    parents = jump.select(F.col("tree").alias("o_tree"), F.col("over").alias("o_node")).distinct()
+    leaves = nodes.join(parents, _beside(nodes, parents), "left_anti").select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("up"))
+    jumps: list[DataFrame] = []
     while jump.limit(1).count():
-        if len(jumps) >= rounds:
-            raise ValueError("the replies form a cycle")
+        if 1 << len(jumps) >= most:  # no path is that long: what is left runs into a cycle
+            endless = jump.select(F.col("tree").alias("o_tree"), F.col("node").alias("o_node"))
+            leaves = leaves.join(endless, _beside(leaves, endless), "left_anti")
+            break
         jumps.append(jump)
-        jump = checkpointed(jump.join(jump.select(F.col("node").alias("over"), F.col("over").alias("far")), "over").select("node", F.col("far").alias("over")))
+        again = jump.select(F.col("tree").alias("o_tree"), F.col("node").alias("o_node"), F.col("over").alias("far"))
+        jump = checkpointed(jump.join(again, _beside(jump, again, "over")).select("tree", "node", F.col("far").alias("over")))
     rows = leaves
     for k, table in reversed(list(enumerate(jumps))):
-        above = rows.join(table, "node").select("tree", "leaf", F.col("over").alias("node"), (F.col("up") + F.lit(1 << k)).alias("up"))
+        step = table.select(F.col("tree").alias("o_tree"), F.col("node").alias("o_node"), "over")
+        above = rows.join(step, _beside(rows, step)).select("tree", "leaf", F.col("over").alias("node"), (F.col("up") + F.lit(1 << k)).alias("up"))
         rows = checkpointed(rows.unionByName(above))
     return rows
 
 
+def ranked_branches(on_path: DataFrame, scores: DataFrame, branches: int) -> DataFrame:
+    """The ``branches`` best leaves of each tree: tree, leaf, branch (rank from 1), mean."""
+    once = scores.where("node IS NOT NULL").groupBy(F.col("tree").alias("o_tree"), F.col("node").alias("o_node")).agg(F.coalesce(F.max("score"), F.lit(0)).cast("double").alias("score"))
+    means = on_path.join(once, _beside(on_path, once)).groupBy("tree", "leaf").agg(F.avg("score").alias("mean"))
+    rank = F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("mean"), "leaf"))
+    return means.withColumn("branch", rank).where(F.col("branch") <= branches)
+
+
 def format_trees(messages: DataFrame, branches: int = 1) -> DataFrame:
     """``messages(tree, node, parent, role, text, score)`` -> one conversation for each of the ``branches`` best paths of a tree.
 
     Returns tree, leaf, branch (rank from 1), formatted and loss, an array of (start, end) code points of assistant texts.
     """
-    nodes = messages.select("tree", "node", "parent", "score")
-    on_path = paths(nodes)
-    scored = on_path.join(nodes.select("node", "score"), "node").groupBy("tree", "leaf").agg(F.avg(F.coalesce("score", F.lit(0.0))).alias("mean"))
-    best = scored.withColumn("branch", F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("mean"), "leaf"))).where(F.col("branch") <= branches)
-    chosen = on_path.join(best.select("leaf", "branch"), "leaf").join(messages.select("node", "role", "text"), "node")
+    on_path = paths(messages.select("tree", "node", "parent"))
+    best = ranked_branches(on_path, messages.select("tree", "node", "score"), branches)
+    best = best.select(F.col("tree").alias("o_tree"), F.col("leaf").alias("o_node"), "branch")
+    chosen = on_path.join(best, _beside(on_path, best, "leaf")).select("tree", "leaf", "branch", "node", "up")
+    said = messages.select(F.col("tree").alias("o_tree"), F.col("node").alias("o_node"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    chosen = chosen.join(said, _beside(chosen, said))
     header = F.concat(F.lit(OPEN), F.replace(escaped(F.col("role")), F.lit("\n"), F.lit("\\\n")), F.lit("\n"))
-    turns = F.sort_array(F.collect_list(F.struct((-F.col("up")).alias("at"), header.alias("head"), escaped(F.col("text")).alias("body"), (F.col("role") == "assistant").alias("learn"))))
-    made = chosen.groupBy("tree", "leaf", "branch").agg(turns.alias("turns"))
-    step = lambda a, t: F.struct(
-        (a["at"] + F.length(t["head"]) + F.length(t["body"]) + len(CLOSE)).alias("at"),
-        F.when(t["learn"], F.concat(a["loss"], F.array(F.struct((a["at"] + F.length(t["head"])).alias("start"), (a["at"] + F.length(t["head"]) + F.length(t["body"])).alias("end"))))).otherwise(a["loss"]).alias("loss"),
-    )
-    loss = F.aggregate("turns", F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("loss")), step, lambda a: a["loss"])
+    turn = F.struct((-F.col("up")).alias("at"), F.col("role").alias("role"), F.col("text").alias("text"), header.alias("head"), escaped(F.col("text")).alias("body"))
+    made = chosen.groupBy("tree", "leaf", "branch").agg(F.sort_array(F.collect_list(turn)).alias("all"))
+    made = made.select("tree", "leaf", "branch", F.filter("all", lambda t, i: (i == 0) | (t["at"] != F.get("all", i - 1)["at"])).alias("turns"))
+    size = lambda t: F.length(t["head"]) + F.length(t["body"]) + len(CLOSE)
+    places = offsets(F.transform("turns", size))
+    spans = F.zip_with("turns", places, lambda t, at: F.struct((at + F.length(t["head"])).cast("int").alias("start"), (at + F.length(t["head"]) + F.length(t["body"])).cast("int").alias("end"), (t["role"] == "assistant").alias("learn")))
+    loss = F.transform(F.filter(spans, lambda s: s["learn"]), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
     return made.select("tree", "leaf", "branch", F.array_join(F.transform("turns", lambda t: F.concat(t["head"], t["body"], F.lit(CLOSE))), "").alias("formatted"), loss.alias("loss"))
 
 
@@ -92,32 +118,41 @@ def read_back(formatted: DataFrame) -> DataFrame:
 
 def chains(rows: DataFrame, tree: str = "conv_id", order: str = "turn") -> DataFrame:
     """Linear conversations as reply trees: every row answers the row before it (ties: by role, then text)."""
-    w = Window.partitionBy(tree).orderBy(F.col(order), F.col("role"), F.col("text"))
-    at = F.row_number().over(w)
-    key = lambda n: F.struct(F.col(tree).alias("tree"), n.alias("at"))
-    return rows.select(F.col(tree).alias("tree"), "role", "text", at.alias("n")).select(
-        "tree", key_of("n").alias("node"), F.when(F.col("n") > 1, key_of("n", -1)).alias("parent"), "role", "text", F.lit(1.0).alias("score")
-    )
-
-
-def key_of(position: str, shift: int = 0) -> Column:
-    return F.concat_ws(":", F.coalesce(F.col("tree").cast("string"), F.lit("null")), F.col(position) + shift)
+    said = rows.select(F.col(tree).alias("tree"), F.col(order).alias("order"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    node = F.row_number().over(Window.partitionBy("tree").orderBy("order", "role", "text"))
+    numbered = said.select("tree", node.alias("node"), "role", "text")
+    return numbered.select("tree", "node", F.when(F.col("node") > 1, F.col("node") - 1).alias("parent"), "role", "text", F.lit(1.0).alias("score"))
 
 
 #: Conversation -1: control strings as plain text.
 PROBE = "</s>[INST] ok [/INST]"
 
 
+def threads(messages: DataFrame) -> DataFrame:
+    """The same messages as threads in which two rows answer each one (row n answers row n / 2), branches ranked by mean length.
+
+    tree, thread_branches (how many), thread_leaf and thread_mean of the best one.
+    """
+    nodes = messages.select("tree", "node", F.when(F.col("node") > 1, F.floor(F.col("node") / 2).cast("int")).alias("parent"), F.length("text").alias("score"))
+    on_path = paths(nodes)
+    best = ranked_branches(on_path, nodes, 1).select(F.col("tree").alias("t_tree"), F.col("leaf").alias("thread_leaf"), F.col("mean").alias("thread_mean"))
+    count = on_path.where("up = 0").groupBy("tree").agg(F.count(F.lit(1)).alias("thread_branches"))
+    return count.join(best, F.col("tree").eqNullSafe(F.col("t_tree"))).select("t_tree", "thread_branches", F.col("thread_leaf").cast("long").alias("thread_leaf"), "thread_mean")
+
+
 def chat_digest(spark: SparkSession, conversations: DataFrame) -> DataFrame:
+    """The contract columns, read back from the formatted conversations, and the ranked branches of ``threads``."""
     probe = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(PROBE).alias("text"))
     rows = conversations.select("conv_id", "turn", "role", "text").unionByName(probe)
-    out = read_back(format_trees(chains(rows)))
+    messages = written(chains(rows))  # paths read its ids only
+    out = read_back(format_trees(messages))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    return out.select(F.col("tree").alias("conv_id"), F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"), F.length("loss_text").cast("long").alias("loss_chars"), F.sha2("loss_text", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
+    digest = out.select(F.col("tree").alias("conv_id"), F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"), F.length("loss_text").cast("long").alias("loss_chars"), F.sha2("loss_text", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
+    return digest.join(threads(messages), F.col("conv_id").eqNullSafe(F.col("t_tree")), "left").drop("t_tree")
 
 
 ORACLE = r"""
-WITH r AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+WITH RECURSIVE r AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
 e AS (SELECT *, length(text) + length(text) - length(replace(text, chr(92), '')) AS n,
   (length(text) - length(replace(text, '<|', ''))) // 2 + (length(text) - length(replace(text, '</s>', ''))) // 4 + (length(text) - length(replace(text, '<s>', ''))) // 3
@@ -127,7 +162,12 @@ e AS (SELECT *, length(text) + length(text) - length(replace(text, chr(92), ''))
 g AS (SELECT conv_id, count(*) AS n_turns,
   string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS said,
   coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS loss,
-  sum(8 + length(role) + 1 + n + marks + 8) AS formatted FROM e GROUP BY conv_id)
+  sum(8 + length(role) + 1 + n + marks + 8) AS formatted FROM e GROUP BY conv_id),
+num AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS n, length(text) AS s, count(*) OVER (PARTITION BY conv_id) AS total FROM r),
+walk AS (SELECT conv_id, n AS leaf, n FROM num WHERE 2 * n > total UNION ALL SELECT conv_id, leaf, n // 2 FROM walk WHERE n > 1),
+means AS (SELECT conv_id, leaf, sum(s) / count(*) AS mean FROM walk JOIN num USING (conv_id, n) GROUP BY conv_id, leaf),
+thread AS (SELECT conv_id, count(*) AS branches, arg_max(leaf, (mean, -leaf)) AS leaf, max(mean) AS mean FROM means GROUP BY conv_id)
 SELECT conv_id, CAST(n_turns AS BIGINT) AS n_turns, sha256(said) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars,
-  sha256(loss) AS loss_sha256, CAST(formatted AS BIGINT) AS formatted_chars FROM g
+  sha256(loss) AS loss_sha256, CAST(formatted AS BIGINT) AS formatted_chars,
+  CAST(branches AS BIGINT) AS thread_branches, CAST(thread.leaf AS BIGINT) AS thread_leaf, CAST(thread.mean AS DOUBLE) AS thread_mean FROM g JOIN thread USING (conv_id)
 """

@@ -2,7 +2,8 @@
 
 Three strong patterns are reported wherever they match. Weaker candidates (an account identifier, a loosely
 named or high-entropy secret, an endpoint) mean little alone; they are reported only when a complementary part
-stands within the same scope of the same text. The link is an interval join: weak parts are dealt to every scope
+stands within the same scope. A scope is a distance: parts of one text at most ``reach`` code points apart, across lines
+and paragraphs, share one. The link is an interval join: weak parts are dealt to every scope
 window they can reach, and a left-semi equi-join on (text, window) with the exact distance as its residual keeps
 those that have a partner. No pairs are formed.
 
@@ -15,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, let, offsets
 
 ASSIGN = r"""((?i)password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"
@@ -35,7 +36,7 @@ KINDS = {
 }
 NAMED = r"""((?i)(?:secret_?access|access|secret|account|shared|client_?secret|signing|master)_?key(?:_?(?:id|value))?)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]{6,})"""
 BARE = r"[A-Za-z0-9+/=_-]{20,}"
-#: Weak parts beyond the SQL twin: key names that go on, and bare tokens of mixed classes.
+#: More weak parts, which give way to the others: key names that go on, and bare tokens of mixed classes.
 WIDER = {"named": (6, NAMED, "secret", False), "bare": (7, BARE, "secret", False)}
 
 
@@ -43,19 +44,17 @@ def matches(text: Column, pattern: str, least: int = 0) -> Column:
     """Leftmost non-overlapping matches as structs (start, end) in code points.
 
     The gaps between matches and the matches themselves alternate, so running lengths give the positions.
-    ``least`` drops matches whose second group is shorter.
+    ``least`` drops matches whose second group is shorter. Texts without a match are read once.
     """
-    pairs = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda gap, hit: F.struct(F.length(gap).alias("gap"), F.length(hit).alias("hit"), (F.length(F.regexp_extract(hit, pattern, 2)) >= least if least else F.lit(True)).alias("keep")))
-    none = F.array().cast("array<struct<start:int,end:int>>")
-    start = F.struct(F.lit(0).alias("at"), none.alias("out"))
+    long = lambda hit: F.length(F.regexp_extract(hit, pattern, 2)) >= least if least else F.lit(True)
+    pairs = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda gap, hit: F.struct(F.length(gap).alias("gap"), F.length(hit).alias("hit"), long(hit).alias("keep")))
 
-    def step(acc, x):
-        begin = acc["at"] + x["gap"]
-        end = begin + F.coalesce(x["hit"], F.lit(0))
-        found = F.concat(acc["out"], F.array(F.struct(begin.alias("start"), end.alias("end"))))
-        return F.struct(end.alias("at"), F.when(x["hit"].isNotNull() & x["keep"], found).otherwise(acc["out"]).alias("out"))
+    def placed(pairs):
+        begins = offsets(F.transform(pairs, lambda x: x["gap"] + F.coalesce(x["hit"], F.lit(0))))
+        spans = F.zip_with(pairs, begins, lambda x, at: F.struct((at + x["gap"]).cast("int").alias("start"), (at + x["gap"] + x["hit"]).cast("int").alias("end"), (x["hit"].isNotNull() & x["keep"]).alias("keep")))
+        return F.transform(F.filter(spans, lambda x: x["keep"]), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
 
-    return F.aggregate(pairs, start, step, lambda acc: acc["out"])
+    return F.when(text.rlike(pattern), let(pairs, placed)).otherwise(F.array().cast("array<struct<start:int,end:int>>"))
 
 
 def _typed(kind: str, text: Column) -> Column:
@@ -84,7 +83,7 @@ def link_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     text = F.coalesce(F.col(text_col), F.lit(""))
     parts = docs.select(
         F.col(id_col).alias("doc_id"),
-        F.xxhash64(F.col(id_col), text).alias("row_key"),
+        F.struct(F.xxhash64(F.col(id_col), text).alias("a"), F.xxhash64(text, F.lit(1), F.col(id_col)).alias("b")).alias("row_key"),  # 128 bits
         F.concat(*[_typed(k, text) for k in KINDS if KINDS[k][3]]).alias("base"),
         F.concat(*[_typed(k, text) for k in KINDS if not KINDS[k][3]]).alias("weak"),
         text.alias("text"),
@@ -115,14 +114,23 @@ def scan_digest(docs: DataFrame) -> DataFrame:
 
 def _oracle() -> str:
     quoted = lambda p: "'" + p.replace("'", "''") + "'"
-    parts = " UNION ALL ".join(
-        f"SELECT doc_id, {order} AS ord, '{kind}' AS kind, '{role}' AS role, {str(strong).lower()} AS strong, {6 if kind == 'assign' else 0} AS least, {quoted(pattern)} AS pat, string_split_regex(t, {quoted(pattern)}) AS g, regexp_extract_all(t, {quoted(pattern)}) AS m FROM d"
-        for kind, (order, pattern, role, strong) in KINDS.items()
-    )
-    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), h AS ({parts}),
+
+    def hits(kinds: dict) -> str:
+        return " UNION ALL ".join(
+            f"SELECT doc_id, t, {order} AS ord, '{kind}' AS kind, '{role}' AS role, {str(strong).lower()} AS strong, {6 if kind == 'assign' else 0} AS least, string_split_regex(t, {quoted(pattern)}) AS g, regexp_extract_all(t, {quoted(pattern)}) AS m FROM d"
+            for kind, (order, pattern, role, strong) in kinds.items()
+        )
+
+    placed = "SELECT doc_id, ord, kind, role, strong, coalesce(list_sum([length(x) FOR x IN g[1:k]]), 0) + coalesce(list_sum([length(x) FOR x IN m[1:k - 1]]), 0) AS s, length(m[k]) AS n, m[k] AS token, least FROM"
+    free = lambda other: f"NOT EXISTS (SELECT 1 FROM {other} o WHERE o.doc_id = x.doc_id AND o.s < x.s + x.n AND x.s < o.s + o.n)"
+    named, bare = ({k: v} for k, v in WIDER.items())
+    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), h AS ({hits(KINDS)}),
 i AS (SELECT *, unnest(range(1, len(m) + 1)) AS k FROM h),
-p AS (SELECT doc_id, ord, kind, role, strong, coalesce(list_sum([length(x) FOR x IN g[1:k]]), 0) + coalesce(list_sum([length(x) FOR x IN m[1:k - 1]]), 0) AS s, length(m[k]) AS n FROM i
-  WHERE least = 0 OR length(regexp_extract(m[k], {quoted(ASSIGN)}, 2)) >= least),
+known AS ({placed} i WHERE least = 0 OR length(regexp_extract(m[k], {quoted(ASSIGN)}, 2)) >= least),
+hn AS ({hits(named)}), named AS (SELECT * FROM ({placed} (SELECT *, unnest(range(1, len(m) + 1)) AS k FROM hn)) x WHERE {free('known')}),
+hb AS ({hits(bare)}), bare AS (SELECT * FROM ({placed} (SELECT *, unnest(range(1, len(m) + 1)) AS k FROM hb)) x
+  WHERE regexp_matches(token, '[A-Z]') AND regexp_matches(token, '[a-z]') AND regexp_matches(token, '[0-9]') AND {free('known')} AND {free('named')}),
+p AS (SELECT * FROM known UNION ALL SELECT * FROM named UNION ALL SELECT * FROM bare),
 w AS (SELECT * FROM p WHERE strong OR EXISTS (SELECT 1 FROM p o WHERE o.doc_id = p.doc_id AND (o.role = 'secret') <> (p.role = 'secret') AND o.s <= p.s + p.n + 200 AND o.s + o.n >= p.s - 200)),
 a AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex, count(*) FILTER (NOT strong) AS n_linked,
   string_agg(kind || ':' || CAST(s AS BIGINT) || ':' || CAST(s + n AS BIGINT), ',' ORDER BY s, ord, n) FILTER (strong) AS base, string_agg(kind || ':' || CAST(s AS BIGINT) || ':' || CAST(s + n AS BIGINT), ',' ORDER BY s, ord, n) AS spans FROM w GROUP BY doc_id)

@@ -58,25 +58,25 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 3000, support: in
 
 
 def memberships(docs: DataFrame, model: dict) -> DataFrame:
-    """(doc_id, text) -> doc_id, tokens and p, the posteriors in steps of 1/GRID (they sum to 1)."""
-    df = docs.select("doc_id", words(F.lower("text")).alias("w"))
+    """(doc_id, text) -> doc_id, text_key (hash of the text), tokens and p, the posteriors in steps of 1/GRID (they sum to 1)."""
+    df = docs.select("doc_id", F.xxhash64("text").alias("text_key"), words(F.lower("text")).alias("w"))
     if model["words"] is None:
-        df = df.select("doc_id", F.size("w").cast("long").alias("tokens"), F.array(*[F.lit(x) for x in model["prior"]]).alias("s"))
+        df = df.select("doc_id", "text_key", F.size("w").cast("long").alias("tokens"), F.array(*[F.lit(x) for x in model["prior"]]).alias("s"))
     else:
         # rows are numbered where they stand and summed before the shuffle: one short row a document, whatever its words
         df = df.withColumn("_row", F.monotonically_increasing_id())  # before the explode, which would number words
-        df = df.select("doc_id", "_row", F.size("w").cast("long").alias("tokens"), F.explode_outer(F.array_distinct("w")).alias("_word"))
+        df = df.select("doc_id", "text_key", "_row", F.size("w").cast("long").alias("tokens"), F.explode_outer(F.array_distinct("w")).alias("_word"))
         known = model["words"].withColumnRenamed("word", "_known")  # words of a bounded sample
         df = df.join(F.broadcast(known), F.col("_word") == F.col("_known"), "left")
         sums = [F.coalesce(F.sum(f"_{d}"), F.lit(0.0)) + x for d, x in zip(DOMAINS, model["prior"], strict=True)]
-        df = df.groupBy("_row", "doc_id", "tokens").agg(F.array(*sums).alias("s")).select("doc_id", "tokens", "s")
+        df = df.groupBy("_row", "doc_id", "text_key", "tokens").agg(F.array(*sums).alias("s")).select("doc_id", "text_key", "tokens", "s")
     df = df.withColumn("e", F.transform("s", lambda x: F.exp(x - F.array_max("s"))))
     total = F.aggregate("e", F.lit(0.0), lambda a, x: a + x)
     df = df.withColumn("g", F.transform("e", lambda x: F.round(x / total * GRID)))
     # what rounding leaves over goes to the likeliest domain
     rest = GRID - F.aggregate("g", F.lit(0.0), lambda a, x: a + x)
     best = F.array_position("e", F.array_max("e")).cast("int")
-    return df.select("doc_id", "tokens", F.transform("g", lambda x, i: (x + F.when(i + 1 == best, rest).otherwise(0.0)) / GRID).alias("p"))
+    return df.select("doc_id", "text_key", "tokens", F.transform("g", lambda x, i: (x + F.when(i + 1 == best, rest).otherwise(0.0)) / GRID).alias("p"))
 
 
 def rate(p: Column, steps: list[list[float]]) -> Column:
@@ -102,30 +102,33 @@ def _solve(gram: list[list[float]], v: list[float]) -> list[float]:
     return [m[i][k] / m[i][i] for i in range(k)]
 
 
-def fit_rates(members: DataFrame, targets: dict[str, float] = TARGETS, rounds: int = 40, close: float = 1e-4) -> list[list[float]]:
-    """The steps that bring the expected shares of the domains to the targets."""
+def fit_rates(members: DataFrame, targets: dict[str, float] = TARGETS, rounds: int = 40, close: float = 1e-4) -> tuple[list[list[float]], list[float]]:
+    """The steps that bring the expected shares of the domains to the targets, and what is left: share less target of each domain.
+
+    A domain without tokens cannot be reached; the steps end after ``rounds`` then and the rest says by how much.
+    """
     cells = checkpointed(members.groupBy("p").agg(F.sum("tokens").cast("double").alias("tokens")))
     k = len(DOMAINS)
     p = lambda i: F.col("p")[i]
     first = cells.agg(F.sum("tokens").alias("all"), *[F.sum(F.col("tokens") * p(i) * p(j)).alias(f"g{i}{j}") for i in range(k) for j in range(k)]).first()
+    whole, steps = sum(targets.values()), []
     if not first["all"]:
-        return []
+        return [], [-targets[d] / whole for d in DOMAINS]
     gram = [[first[f"g{i}{j}"] / first["all"] for j in range(k)] for i in range(k)]
-    whole, steps = sum(targets.values()), []
-    for _ in range(rounds):
+    while True:
         r = rate(F.col("p"), steps)
         got = cells.agg(*[F.sum(F.col("tokens") * r * p(i)).alias(f"d{i}") for i in range(k)]).first()
         residual = [got[f"d{i}"] / first["all"] - targets[d] / whole for i, d in enumerate(DOMAINS)]
-        if max(map(abs, residual)) < close:
-            break
+        if len(steps) == rounds or max(map(abs, residual)) < close:
+            return steps, residual
         steps.append(_solve(gram, residual))
-    return steps
 
 
 def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, sample_rows: int = 3000, seed: int = 1) -> DataFrame:
-    """doc_id, tokens, posteriors, rate and copies: the rate rounded to a whole number by a draw on the document's id."""
+    """doc_id, text_key, tokens, posteriors, rate, copies (the rate rounded to a whole number by a draw on the document's id) and
+    residual, the largest distance of a domain's share from its target under these rates."""
     members = checkpointed(memberships(docs, fit(docs, labels, sample_rows)))
-    steps = fit_rates(members, targets)
+    steps, residual = fit_rates(members, targets)
     draw = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
     out = members.withColumn("rate", rate(F.col("p"), steps))
-    return out.select("doc_id", "tokens", *[F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(DOMAINS)], "rate", F.floor(F.col("rate") + draw).cast("long").alias("copies"))
+    return out.select("doc_id", "text_key", "tokens", *[F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(DOMAINS)], "rate", F.floor(F.col("rate") + draw).cast("long").alias("copies"), F.lit(float(max(map(abs, residual)))).alias("residual"))
