@@ -25,9 +25,9 @@ def brute(rows, width, percent):
     return {i: (len(x), label.get(i)) for i, x in sets}
 
 
-def check(spark, rows, width=2, percent=80):
+def check(spark, rows, width=2, percent=80, **options):
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("rep", M.F.lit(1)).withColumn("n", M.F.lit("x"))
-    got = M.near_duplicates(df, width=width, percent=percent).collect()
+    got = M.near_duplicates(df, width=width, percent=percent, **options).collect()
     assert len(got) == len(rows)
     want = brute(rows, width, percent)
     for r in got:
@@ -82,7 +82,6 @@ def test_signature_distance_follows_similarity():
 
 
 def test_large_components_are_compared_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(M, "LARGE", 3)
     monkeypatch.setattr(M, "BLOCK", 4)
     rng = random.Random(11)
     rows = []
@@ -93,4 +92,43 @@ def test_large_components_are_compared_in_blocks(spark, monkeypatch):
             for _ in range(c % 12):
                 edit[rng.randrange(100)] = f"z{rng.randrange(10**6)}"
             rows.append((g * 1000 + (c * 37) % 100, " ".join(edit)))
+    check(spark, rows, large=3)
+
+
+def groups_beside(sizes, seed=13):
+    """Groups whose originals share three words in five: lists hold members of all of them."""
+    rng, rows = random.Random(seed), []
+    for g, n in enumerate(sizes):
+        base = [f"k{i}" for i in range(60)] + [f"g{g}x{i}" for i in range(40)]
+        for c in range(n):
+            edit = list(base)
+            for _ in range(1 + c % 5):
+                edit[rng.randrange(100)] = f"z{rng.randrange(10**6)}"
+            rows.append((g * 1000 + c, " ".join(edit)))
+    return rows
+
+
+def test_components_on_both_sides_of_the_limit_between_the_two_ways(spark):
+    check(spark, groups_beside([M.LARGE - 1, M.LARGE, M.LARGE + 1, 3]))
+
+
+def test_long_lists_are_dealt_to_blocks(spark, monkeypatch):
+    monkeypatch.setattr(M, "LIST", 4)
+    check(spark, groups_beside([1] * 30 + [2] * 5))
+
+
+def test_very_long_text_repeated_ids_and_shuffled_chain(spark):
+    rng = random.Random(3)
+    words = [f"v{i}" for i in range(60_000)]
+    long = list(words)
+    for i in rng.sample(range(60_000), 1000):
+        long[i] = "x"
+    rows = [(2, " ".join(words)), (1, " ".join(long))]
+    at, ids = [f"a{i}" for i in range(40)], rng.sample(range(100, 1000), 60)
+    for i in ids:  # every text is near the next one only, and ids are in no order
+        rows.append((i, " ".join(at)))
+        at = at[3:] + [f"c{i}x{k}" for k in range(3)]
     check(spark, rows)
+    twice = spark.createDataFrame([(5, "a b c d"), (5, "a b c d"), (5, "q r s t"), (4, "q r s t")], "doc_id long, text string")
+    got = sorted((r.doc_id, r.component_id, r.kept) for r in M.near_duplicates(twice, width=2).collect())
+    assert got == [(4, 4, True), (5, 4, False), (5, 5, True), (5, 5, True)]

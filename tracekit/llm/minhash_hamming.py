@@ -11,15 +11,19 @@ Links are confirmed on the full shingle sets. Nothing emits all pairs of a group
 2. each key list compares its members with one pivot only, the member that lies in the most and longest lists (the
    original that many edited copies share), which is linear in the keys;
 3. only lists that still hold several components are compared further, and only across components. Members of small
-   components are joined by key, with size, signature distance and "their first common key" inside the join condition.
-   Members beside a large
-   component (``LARGE`` or more) are compared with all of it on full sets, in blocks of ``BLOCK`` by ``BLOCK`` that
-   return at most one link a member. That is the exact way for the rest: afterwards every pair within reach that shares a
-   key is either compared or already in one component.
+   components are joined by key, with size, signature distance and "their first common key" inside the join condition; a
+   list of more than ``LIST`` of them is dealt to blocks whose pairs are keys of their own, so no task holds a whole list.
+   Members beside a large component (``large`` or more) are compared with all of it on full sets, in blocks of
+   ``BLOCK`` by ``BLOCK`` that return at most one link a member. That is the exact way for the rest: afterwards every
+   pair within reach that shares a key is either compared or already in one component. ``large`` sets only which of the two
+   exact ways is taken.
+
+What is looked up by component (a row for each large component) is a written table: the planner knows its size and broadcasts
+it while it is small, so that the members of one huge component do not meet in a task.
 
 Defined cases: text that is null or has no words gives an empty set that links with nothing; one word is one shingle;
 rows with a null id link with nothing and are their own component (null, kept); repeated ids each take the component of
-their own text; extra columns are ignored; an empty table gives an empty result.
+their own text; a text of any length is one set; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,12 +36,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, smallest_labels, text_slices
+from .common import checkpointed, smallest_labels, text_slices, written
 
 CHUNKS, IN_CHUNK = 10, 4
 CODES = CHUNKS * IN_CHUNK
 REACH = 2 * CHUNKS - 1
-LARGE, BLOCK = 32, 128
+LARGE, BLOCK, LIST = 32, 128, 512
 BYTES = 4_000_000  # of text hashed at once
 
 _MULTIPLY = np.random.default_rng(20240607).integers(1, 2**63, CODES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -91,8 +95,8 @@ def _mix_light(x: np.ndarray, k: int) -> np.ndarray:
     return (y ^ (y >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
 
 
-def sketch(docs: DataFrame, width: int = 2) -> DataFrame:
-    """(doc_id, text) -> doc_id, n_shingles, d1, d2 (digest of the set), codes."""
+def sketch(docs: DataFrame, width: int) -> DataFrame:
+    """(doc_id, text, text_key) -> doc_id, text_key, n_shingles, d1, d2 (digest of the set), codes."""
 
     def run(batches):
         for b in text_slices(batches, 1, BYTES):
@@ -101,12 +105,12 @@ def sketch(docs: DataFrame, width: int = 2) -> DataFrame:
             sums = [np.concatenate([[np.uint64(0)], np.cumsum(_mix(sets + np.uint64(s)))]) for s in (1, 2)]
             digests = [pa.array((c[bounds[1:]] - c[bounds[:-1]]).view(np.int64)) for c in sums]
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(codes) + 1) * CODES, pa.int32()), pa.array(codes.ravel().astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(bounds)), *digests, lists], ["doc_id", "n_shingles", "d1", "d2", "codes"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(np.diff(bounds)), *digests, lists], ["doc_id", "text_key", "n_shingles", "d1", "d2", "codes"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, codes array<int>")
+    return docs.mapInArrow(run, "doc_id long, text_key long, n_shingles long, d1 long, d2 long, codes array<int>")
 
 
-def set_table(docs: DataFrame, width: int = 2) -> DataFrame:
+def set_table(docs: DataFrame, width: int) -> DataFrame:
     """(doc_id, text) -> doc_id, items: the sorted distinct shingle hashes."""
 
     def run(batches):
@@ -139,16 +143,12 @@ def _near(a: str, b: str, percent: int):
     return (100 * small >= percent * large) & (differ <= REACH)
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose full sets reach the similarity."""
-    both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("items").alias("ia")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("items").alias("ib")), "b")
-    common = F.size(F.array_intersect("ia", "ib"))
-    return both.where(100 * common >= percent * (F.size("ia") + F.size("ib") - common)).select("a", "b")
-
-
 def confirmed_in_blocks(pairs: DataFrame, sets: DataFrame, percent: int, each: int = 256) -> DataFrame:
-    """The same for many pairs of few documents: documents are dealt to blocks and every pair of blocks is a task of about
-    ``each`` pairs, so a set travels once for a task and not once for a pair."""
+    """Pairs (a, b) whose full sets reach the similarity.
+
+    Documents are dealt to blocks and every pair of blocks is a task of about ``each`` pairs, so a set travels once for a task
+    and not once for a pair: an original with very many edited copies is shipped to as many tasks as there are blocks.
+    """
     pairs = checkpointed(pairs.select("a", "b"))
     n = max(1, math.ceil(math.sqrt(pairs.count() / each)))
     block = lambda c: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
@@ -168,34 +168,37 @@ def _links(pairs: pd.DataFrame, held: pd.DataFrame, percent: int) -> pd.DataFram
     return pairs.loc[keep, ["a", "b"]]
 
 
-def _across(lists: DataFrame, labels: DataFrame, sig: DataFrame, source: DataFrame, width: int, percent: int) -> DataFrame:
+def _across(lists: DataFrame, labels: DataFrame, sig: DataFrame, source: DataFrame, width: int, percent: int, large: int) -> DataFrame:
     """Links between members of different components that share a list."""
-    sizes = labels.groupBy("component").agg(F.count(F.lit(1)).alias("members"))
-    named = labels.join(sizes, "component").select(F.col("id").alias("rep"), "component", "members")
+    sizes = labels.groupBy("component").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") >= large)
+    sizes = written(sizes)  # a row for each large component
+    named = labels.join(sizes, "component", "left").select(F.col("id").alias("rep"), "component", F.coalesce("members", F.lit(0)).alias("members"))
     member = lists.join(named, "rep")
-    mixed = member.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("held").alias("held")).where("lo <> hi AND held > 2")
-    rest = checkpointed(member.join(mixed.select("key"), "key", "left_semi").select("key", "slot", "rep", "component", "members"))
-
-    small = rest.where(F.col("members") < LARGE).join(sig, "rep")
-    l, r = (small.select(F.col("key").alias(f"{x}key"), F.col("slot").alias(f"{x}slot"), F.col("rep").alias(x), F.col("component").alias(f"{x}c"), F.col("n").alias(f"{x}n"), F.col("codes").alias(f"{x}codes")) for x in "ab")
-    pairs = l.join(r, (F.col("akey") == F.col("bkey")) & (F.col("a") < F.col("b")) & (F.col("ac") != F.col("bc")) & _near("a", "b", percent) & (F.col("aslot") == _first_slot("acodes", "bcodes")))
+    mixed = member.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("held").alias("held"), F.count_if(F.col("members") == 0).alias("few")).where("lo <> hi AND held > 2")
+    rest = checkpointed(member.join(mixed.select("key", "few"), "key").select("key", "slot", "rep", "component", "members", "few"))
+
+    blocks = F.ceil(F.col("few") / LIST).cast("int")
+    small = rest.where("members = 0 AND few > 1").withColumn("part", F.pmod(F.xxhash64("rep", F.lit(3)), blocks).cast("int"))
+    small = small.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).join(sig, "rep")
+    l, r = (small.select(F.col("key").alias(f"{x}key"), F.least("part", "other").alias(f"{x}i"), F.greatest("part", "other").alias(f"{x}j"), F.col("part").alias(f"{x}part"), F.col("slot").alias(f"{x}slot"), F.col("rep").alias(x), F.col("component").alias(f"{x}c"), F.col("n").alias(f"{x}n"), F.col("codes").alias(f"{x}codes")) for x in "ab")
+    met = (F.col("akey") == F.col("bkey")) & (F.col("ai") == F.col("bi")) & (F.col("aj") == F.col("bj")) & ((F.col("ai") == F.col("aj")) | (F.col("apart") != F.col("bpart")))
+    pairs = l.join(r, met & (F.col("a") < F.col("b")) & (F.col("ac") != F.col("bc")) & _near("a", "b", percent) & (F.col("aslot") == _first_slot("acodes", "bcodes")))
     pairs = checkpointed(pairs.select("a", "b").distinct())
 
-    large = rest.where(F.col("members") >= LARGE).select(F.col("key").alias("lkey"), F.col("component").alias("into"), F.col("members").alias("of")).distinct()
+    beside = rest.where("members > 0").select(F.col("key").alias("lkey"), F.col("component").alias("into"), F.col("members").alias("of")).distinct()
     smaller = F.struct("members", "component") < F.struct("of", "into")
-    asks = checkpointed(rest.join(large, (F.col("key") == F.col("lkey")) & smaller).select("rep", "into").distinct())
+    asks = checkpointed(rest.join(beside, (F.col("key") == F.col("lkey")) & smaller).select("rep", "into").distinct())
+    load = asks.groupBy("into").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))
+    load = written(load.join(sizes.withColumnRenamed("component", "into"), "into").select("into", "parts", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks")))
+    held = labels.join(load, F.col("component") == F.col("into")).select(F.col("id").alias("doc_id"), "into", "parts", "blocks")
 
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).union(asks.select("rep"))
-    held = named.join(asks.select(F.col("into").alias("component")).distinct(), "component", "left_semi").select(F.col("rep").alias("doc_id"), F.col("component").alias("into"))
-    wanted = wanted.union(held.select("doc_id")).distinct()
+    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).union(asks.select("rep")).union(held.select("doc_id")).distinct()
     sets = checkpointed(set_table(source.join(wanted, "doc_id", "left_semi"), width))
 
-    load = asks.groupBy("into").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))
-    load = load.join(sizes.withColumnRenamed("component", "into"), "into").select("into", "parts", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
     deal = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n)).cast("int")
     all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     asking = asks.withColumnRenamed("rep", "doc_id").join(load, "into").select("into", "doc_id", deal("parts").alias("part"), all_of("blocks").alias("block"), F.lit(True).alias("asks"))
-    asked = held.join(load, "into").select("into", "doc_id", all_of("parts").alias("part"), deal("blocks").alias("block"), F.lit(False).alias("asks"))
+    asked = held.select("into", "doc_id", all_of("parts").alias("part"), deal("blocks").alias("block"), F.lit(False).alias("asks"))
     tasks = asking.unionByName(asked).join(sets, "doc_id")
     found = tasks.groupBy("into", "part", "block").applyInPandas(lambda pdf: _first_links(pdf, percent), "a long, b long")
     return confirmed_in_blocks(pairs, sets, percent).union(found.select(F.least("a", "b"), F.greatest("a", "b")))
@@ -204,6 +207,8 @@ def _across(lists: DataFrame, labels: DataFrame, sig: DataFrame, source: DataFra
 def _first_links(pdf: pd.DataFrame, percent: int, columns: int = 20_000) -> pd.DataFrame:
     """For each asking set of one block the first set of the component that it links with."""
     asks = pdf["asks"].to_numpy(bool)
+    if asks.all() or not asks.any():
+        return pd.DataFrame({"a": [], "b": []}, dtype="int64")
     ids, n = pdf["doc_id"].to_numpy(np.int64), pdf["items"].map(len).to_numpy()
     owner = np.repeat(np.arange(len(pdf)), n)
     _, item = np.unique(np.concatenate(pdf["items"].to_list()), return_inverse=True)
@@ -221,10 +226,10 @@ def _first_links(pdf: pd.DataFrame, percent: int, columns: int = 20_000) -> pd.D
     return pd.DataFrame({"a": ids[q[hit]], "b": ids[m[linked.argmax(1)[hit]]]})
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id, kept."""
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, large: int = LARGE) -> DataFrame:
+    """One row per input row: doc_id, n_shingles, component_id, kept, text_key (hash of the row's text)."""
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    base = checkpointed(sketch(source, width))
+    base = checkpointed(sketch(source.withColumn("text_key", F.xxhash64("text")), width))
     classes = base.where("doc_id IS NOT NULL AND n_shingles > 0").groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("codes").alias("codes"))
     reps = checkpointed(classes)
     sig = reps.groupBy("rep").agg(F.max("n_shingles").alias("n"), F.max_by("codes", "n_shingles").alias("codes"))
@@ -243,17 +248,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return set_table(source.join(ids, "doc_id", "left_semi"), width)
 
     sets = checkpointed(sets_of(first))
-    links = checkpointed(confirmed(first, sets, percent))
+    links = checkpointed(confirmed_in_blocks(first, sets, percent))
     labels = checkpointed(smallest_labels(sig.select(F.col("rep").alias("id")), links))
 
-    more = checkpointed(_across(lists, labels, sig, source, width, percent).join(links, ["a", "b"], "left_anti"))
+    more = checkpointed(_across(lists, labels, sig, source, width, percent, large).join(links, ["a", "b"], "left_anti"))
     if more.limit(1).count():
         links = links.union(more)
         labels = checkpointed(smallest_labels(sig.select(F.col("rep").alias("id")), links))
     named = reps.join(labels.withColumnRenamed("id", "rep"), "rep").select("n_shingles", "d1", "d2", F.col("component").alias("component_id"))
     out = base.join(named, ["n_shingles", "d1", "d2"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"), "text_key")
 
 
 ORACLE = r"""
