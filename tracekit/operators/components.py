@@ -5,7 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.scratch import checkpointed
+from ..sources.scratch import checkpointed, written
+
+CROWD = 64  # rows that look up one value: from here on the value is offered to all tasks
+
+
+def led(rows: DataFrame, column: str, values: DataFrame, crowded: DataFrame, to: str) -> DataFrame:
+    """``rows`` with ``values(key, value)`` of ``column`` in its place as ``to``; what has no value stays.
+
+    ``crowded(key, value)``, a written table, holds those of them that very many rows ask for. The planner knows its size and broadcasts
+    it while it is small, so that those rows do not meet in one task; where it is not small, a skewed join is split by AQE.
+    """
+    rest = [c for c in rows.columns if c != column]
+    many = crowded.select(F.col("key").alias("_k"), F.col("value").alias("_v"))
+    warm = rows.join(many, F.col(column) == F.col("_k")).select(*rest, F.coalesce("_v", column).alias(to))
+    cold = rows.join(many.select("_k"), F.col(column) == F.col("_k"), "left_anti")
+    few = values.select(F.col("key").alias("_k"), F.col("value").alias("_v"))
+    cold = cold.join(few, F.col(column) == F.col("_k"), "left").select(*rest, F.coalesce("_v", column).alias(to))
+    return warm.unionByName(cold)
+
+
+def _crowds(rows: DataFrame, column: str, values: DataFrame) -> DataFrame:
+    many = rows.groupBy(F.col(column).alias("key")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= CROWD).select("key")
+    return written(many.join(values, "key", "left").select("key", "value"))
 
 
 def smallest_labels(vertices: DataFrame, edges: DataFrame, seed: int = 7) -> DataFrame:
@@ -17,8 +39,9 @@ def smallest_labels(vertices: DataFrame, edges: DataFrame, seed: int = 7) -> Dat
     component or the order of its ids, that removes a constant share of its vertices in expectation, so the number of rounds
     is logarithmic and needs no limit: a round without progress is followed by one with other hashes.
 
-    Links only shrink, the driver sees only whether any are left, and minima are combined before their shuffle, so
-    a vertex with very many links is no hot spot there. Null ids have no links and are components of their own.
+    Links only shrink, the driver sees only whether any are left, and minima are combined before their shuffle. A vertex
+    with very many links, or the root of a giant component, is looked up by broadcast (see ``led``). Null ids
+    have no links and are components of their own.
     """
     both = edges.select("a", "b").union(edges.select("b", "a"))
     links = checkpointed(both.where("a <> b").distinct())
@@ -30,22 +53,20 @@ def smallest_labels(vertices: DataFrame, edges: DataFrame, seed: int = 7) -> Dat
         else:
             drawn = lambda c: F.struct(F.xxhash64(F.lit(seed + turn), c).alias("draw"), F.col(c).alias("id"))  # noqa: B023, E731
             first = F.least(drawn("a"), F.min(drawn("b")))["id"]
-        moves.append(checkpointed(links.groupBy("a").agg(first.alias("to"))))
-        ends = moves[-1].select(F.col("a").alias("b"), F.col("to").alias("far"))
-        moved = links.join(moves[-1], "a").select("to", "b").join(ends, "b").select(F.col("to").alias("a"), F.col("far").alias("b"))
+        move = checkpointed(links.groupBy(F.col("a").alias("key")).agg(first.alias("value"), F.count(F.lit(1)).alias("links")))
+        crowded = written(move.where(F.col("links") >= CROWD).select("key", "value"))
+        move = move.select("key", "value")
+        moves.append(move)
+        moved = led(led(links, "a", move, crowded, "a"), "b", move, crowded, "b")
         links = checkpointed(moved.where("a <> b").distinct())
     whole = vertices.select("id").distinct()
     if not moves:
         return whole.select("id", F.col("id").alias("component"))
     root = moves[-1]
     for move in reversed(moves[:-1]):
-        later = root.select(F.col("a").alias("to"), F.col("to").alias("end"))
-        root = move.join(later, "to", "left").select("a", F.coalesce("end", "to").alias("to"))
-        if len(moves) > 8:
-            root = checkpointed(root)
+        root = checkpointed(led(move, "value", root, _crowds(move, "value", root), "value"))
     if len(moves) > 2:  # rounds by hash end at any vertex of a component
-        root = checkpointed(root)
-        low = root.groupBy("to").agg(F.min("a").alias("low"))
-        root = root.join(low, "to").select("a", F.col("low").alias("to"))
-    found = root.select(F.col("a").alias("id"), F.col("to").alias("component"))
+        low = checkpointed(root.groupBy(F.col("value").alias("key")).agg(F.min("key").alias("value")))
+        root = led(root, "value", low, _crowds(root, "value", low), "value")
+    found = root.select(F.col("key").alias("id"), F.col("value").alias("component"))
     return whole.join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
