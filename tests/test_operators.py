@@ -344,3 +344,56 @@ def test_pick_metrics_with_intervals(spark):
     for r in rows:
         for name in ("p_mae_s", "s_mae_s", "p_recall", "s_recall"):
             assert r[f"{name}_ci_lo"] < r[name] < r[f"{name}_ci_hi"]
+
+
+def test_leaderboard_with_intervals(spark):
+    from tracekit.plans import corpus
+    from tracekit.queries.base import Tables
+
+    results = Tables(spark, "/root/testdata/sf0.001").fx_results
+    inside = F.col("trained_models").contains("ds1")
+    plain, got = corpus.leaderboard(results, inside), corpus.leaderboard(results, inside, ["trace_id"])
+    rows = got.collect()
+    assert set(got.columns) - set(plain.columns) == {f"{m}_ci_{e}" for m in ("p_mae_s", "s_mae_s", "p_recall", "s_recall") for e in ("lo", "hi")}
+    assert len(rows) == plain.count() and sum(r.p_mae_s_ci_lo <= r.p_mae_s <= r.p_mae_s_ci_hi for r in rows if r.n_p_traces > 20) > 20
+
+
+def test_merging_noise_is_resumable_and_keeps_parts_apart(spark, tmp_path):
+    from tracekit.plans import build
+    from tracekit.sources import catalogs
+
+    blank = spark.createDataFrame([("d", "t0", "train"), ("d", "t1", "val")], "dataset_name string, trace_name string, split string")
+    for f in catalogs.MANIFEST.fields:
+        if f.name not in blank.columns:
+            blank = blank.withColumn(f.name, F.lit(None).cast(f.dataType))
+    target = f"file://{tmp_path}"
+    catalogs.write_manifest(blank, f"{target}/manifest")
+    noise = spark.range(100).select(F.concat(F.lit("n"), "id").alias("trace_name"))
+    audit = noise.withColumn("max_p", F.when(F.col("trace_name") == "n7", 0.5).otherwise(0.01)).withColumn("max_s", F.lit(0.0))
+    held = lambda: [(r.trace_name, r.split) for r in build.read_manifest(spark, target).where("dataset_name = 'noise_global'").collect()]
+    build.merge_noise(noise.limit(40), audit, target)
+    first = held()
+    build.merge_noise(noise, audit, target)
+    second = held()
+    build.merge_noise(noise, audit, target)
+    assert sorted(held()) == sorted(second) and set(first) < set(second)
+    assert len(second) == 99 and len({n for n, _ in second}) == 99 and "n7" not in dict(second)
+
+
+def test_corpus_build_is_the_split_then_balanced(spark):
+    """corpus_build against its parts: the event-grouped split, of whose training part each bin keeps its first rows by the draw."""
+    from tracekit.queries import QUERIES
+    from tracekit.queries.base import Tables
+
+    folder = "/root/testdata/sf0.001"
+    bins_of = {r.rid: r.distance_bin for r in Tables(spark, folder).fx_binned.select("rid", "distance_bin").collect()}
+    vendor = {r.rid: r.vendor for r in Tables(spark, folder).fx_keys.select("rid", "vendor").collect()}
+    split = {r.rid: r.split for r in QUERIES["t13_event_grouped_split"](spark, folder).collect()}
+    got = {r.rid: r.split for r in QUERIES["corpus_build"](spark, folder).collect()}
+    train: dict = {}
+    for rid, s in split.items():
+        if s == "train":
+            train.setdefault(bins_of[rid], []).append((hashlib.md5(f"0|{rid}".encode()).hexdigest(), rid))
+    least = min(min(int(len(v) / 0.25) for v in train.values()), sum(map(len, train.values())))
+    want = {rid: s for rid, s in split.items() if s != "train"} | {rid: "train" for v in train.values() for _, rid in sorted(v)[: round(least * 0.25)]}
+    assert len(vendor) == len(split) and got == want

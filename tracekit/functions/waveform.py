@@ -153,9 +153,10 @@ def gaussian_labels(length: int, p: Column, s: Column, sigma: float = 10.0) -> d
     return {"p_label": a, "s_label": b, "noise_label": F.zip_with(a, b, lambda x, y: F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.greatest(x, y))))}
 
 
-def hashed(seed: int, *parts) -> Column:
-    """Uniform number in (0, 1) from a hash."""
-    return (F.pmod(F.xxhash64(F.lit(seed), *parts), F.lit(1 << 40)) + 0.5) / float(1 << 40)
+def hashed(seed: int, *parts, at: int = 0) -> Column:
+    """Uniform number in (0, 1) from eight digits of an MD5, which any engine can repeat; ``at`` picks one of four."""
+    digits = F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), *parts)), 8 * at + 1, 8)
+    return (F.conv(digits, 16, 10).cast("double") + 0.5) / float(1 << 32)
 
 
 def augmented(w: Column, seed: int, *key: Column, flip: float = 0.1, noise_db: float | None = None, mask: float = 0.0) -> Column:
@@ -163,7 +164,7 @@ def augmented(w: Column, seed: int, *key: Column, flip: float = 0.1, noise_db: f
     gain = (0.5 + 1.5 * hashed(seed, F.lit("gain"), *key)) * F.when(hashed(seed, F.lit("flip"), *key) < flip, -1.0).otherwise(1.0) * F.when(hashed(seed, F.lit("mask"), *key) < mask, 0.0).otherwise(1.0)
     if noise_db is None:
         return F.transform(F.array(gain), lambda g: F.transform(w, lambda x: x * g))[0]
-    normal = lambda i: F.sqrt(-2 * F.log(hashed(seed, F.lit("u"), i, *key))) * F.cos(2 * np.pi * hashed(seed, F.lit("v"), i, *key))
+    normal = lambda i: F.sqrt(-2 * F.log(hashed(seed, F.lit("n"), i, *key))) * F.cos(2 * np.pi * hashed(seed, F.lit("n"), i, *key, at=1))
     return F.transform(F.array(gain), lambda g: F.transform(w, lambda x, i: x * g + normal(i) * 10 ** (-noise_db / 20)))[0]
 
 

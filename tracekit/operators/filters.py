@@ -30,6 +30,44 @@ def regime(year: Column, uncertainty: Column, before: int, most: float) -> Colum
     return (year >= before) | (uncertainty <= most)
 
 
+def in_years(time: Column | str, first: int, last: int) -> Column:
+    return F.year(time).between(first, last)
+
+
+def only_bins(df: DataFrame, bins: list[str], column: str = "distance_bin") -> DataFrame:
+    """A focused subset of labelled bins."""
+    return df.where(F.col(column).isin(*bins))
+
+
+def ok_only(df: DataFrame, status: str = "status") -> DataFrame:
+    return df.where(F.col(status) == "ok")
+
+
+def supported(df: DataFrame, n: str, more_than: int) -> DataFrame:
+    """Rows of an aggregate that enough rows stand behind."""
+    return df.where(F.col(n) > more_than)
+
+
+def in_ranges(df: DataFrame, **ranges: tuple[float, float]) -> DataFrame:
+    """Rows whose columns lie in physical ranges, ends included; nulls go."""
+    for column, (low, high) in ranges.items():
+        df = df.where(F.col(column).between(low, high))
+    return df
+
+
+def partitioned(df: DataFrame, category: str, parts: dict[str, list[str]], name: str = "part") -> DataFrame:
+    """Rows whose category belongs to one of the named parts, which is added."""
+    table = F.create_map(*[F.lit(x) for part, values in parts.items() for v in values for x in (v, part)])
+    return df.withColumn(name, F.try_element_at(table, F.col(category))).where(F.col(name).isNotNull())
+
+
+def drop_flagged(df: DataFrame, flagged: DataFrame, keys: list[str], by: str) -> tuple[DataFrame, DataFrame]:
+    """(rows that no report flags, n_before and n_removed by a column)."""
+    marked = df.join(flagged.select(*keys).distinct().withColumn("_bad", F.lit(True)), keys, "left")
+    counts = marked.groupBy(by).agg(F.count(F.lit(1)).alias("n_before"), F.count("_bad").alias("n_removed"))
+    return marked.where("_bad IS NULL").drop("_bad"), counts
+
+
 def clean_noise(max_p: Column, max_s: Column, p_limit: float, s_limit: float) -> Column:
     return (max_p < p_limit) & (max_s < s_limit)
 

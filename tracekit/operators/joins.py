@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -79,3 +81,24 @@ def shard_index(rows: DataFrame, shards: DataFrame, trace: str = "trace_name", s
 
 def ranked(df: DataFrame, group: list[str], order: list) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy(*order)))
+
+
+def mask_lookup(df: DataFrame, mask: DataFrame, keys: list[str]) -> DataFrame:
+    """Adds verifiable and leaked from row masks, each key once; rows without a mask are neither."""
+    once = mask.groupBy(*keys).agg(F.bool_and("verifiable").alias("verifiable"), F.bool_or("leaked").alias("leaked"))
+    return df.join(once, keys, "left").withColumns({c: F.coalesce(c, F.lit(False)) for c in ("verifiable", "leaked")})
+
+
+def at_position(curves: DataFrame, results: DataFrame, keys: list[str], curve: str, pick: str, name: str = "at_pick") -> DataFrame:
+    """The curve's value at the pick (null outside of it) beside each trace's results."""
+    return curves.select(*keys, F.get(curve, F.col(pick).cast("int")).alias(name)).join(results, keys, "left")
+
+
+def ragged_union(frames: list[DataFrame]) -> DataFrame:
+    """Rows of frames with different columns; what a frame lacks is null."""
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+
+
+def common_keys(a: DataFrame, b: DataFrame, key: str = "event_key") -> DataFrame:
+    """How many keys two sets share, as a one-row table."""
+    return a.select(key).intersect(b.select(key)).agg(F.count(F.lit(1)).alias("n"))

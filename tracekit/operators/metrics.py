@@ -115,12 +115,13 @@ def recall_curve(df: DataFrame, by: Sequence[str], step: float = 0.04, phase: st
 
 
 def bootstrap_ci(df: DataFrame, by: Sequence[str], value: str, key: Sequence[str], n_boot: int = 1000, level: float = 0.95, seed: int = 42, least: int = 5) -> DataFrame:
-    """Poisson bootstrap of the mean: each row gets one Poisson(1) weight a replicate, drawn from a hash of its key.
+    """Poisson bootstrap of the mean: each row gets one Poisson(1) weight a replicate, drawn from an MD5 of its key that is
+    mixed with the replicate's number (splitmix64).
 
     A task keeps two vectors of ``n_boot`` sums for each group it meets and returns them; no row is ever copied. Null
     below ``least`` values.
     """
-    rows = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"), F.xxhash64(F.lit(seed), *key).alias("_h"))
+    rows = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"), F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), *key)), 1, 15), 16, 10).cast("long").alias("_h"))
     names, limits = list(by), np.cumsum([np.exp(-1) / f for f in np.cumprod([1, *range(1, 12)])])
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*by).schema)
 
@@ -144,7 +145,7 @@ def bootstrap_ci(df: DataFrame, by: Sequence[str], value: str, key: Sequence[str
     long = parts.select(*by, "_n", F.posexplode(F.arrays_zip("_vw", "_w")).alias("replicate", "_x"))
     means = long.groupBy(*by, "replicate").agg((F.sum("_x._vw") / F.nullif(F.sum("_x._w"), F.lit(0.0))).alias("_mean"), F.sum("_n").alias("_n"))
     low, high = (1 - level) / 2, (1 + level) / 2
-    ci = lambda q: F.when(F.max("_n") >= least, F.percentile("_mean", F.lit(q)))
+    ci = lambda q: F.when(F.max("_n") >= least, F.percentile("_mean", F.lit(q)))  # of n_boot values
     return means.groupBy(*by).agg(F.max("_n").alias("n"), ci(low).alias("ci_lo"), ci(high).alias("ci_hi"))
 
 
@@ -160,3 +161,21 @@ def domain_ratio(df: DataFrame, in_domain: Column, value: Column, by: str = "wei
 
 def class_accuracy(df: DataFrame, truth: str, predicted: str) -> DataFrame:
     return df.groupBy(truth).agg(F.count(F.lit(1)).alias("n"), F.avg((F.col(truth) == F.col(predicted)).cast("int")).alias("accuracy"))
+
+
+def ranking(df: DataFrame, metric: Column | str, by: str = "weight", n: str = "n") -> DataFrame:
+    """Mean of a metric by weight, smallest first."""
+    return df.groupBy(by).agg(F.avg(metric).alias("mean"), F.count(F.lit(1)).alias(n)).orderBy("mean", by)
+
+
+def smallest(df: DataFrame, value: str, key: str, k: int) -> DataFrame:
+    """The k rows with the smallest values (ties by key): a distributed top-k."""
+    return df.where(F.col(value).isNotNull()).orderBy(value, key).limit(k)
+
+
+def best_per_metric(table: DataFrame, weight: str, higher: Sequence[str] = (), lower: Sequence[str] = ()) -> DataFrame:
+    """(metric, best, value): the weight with the largest or smallest value of each metric, ties by name."""
+    cases = [F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value"), (sign * F.col(m)).cast("double").alias("cost")) for sign, names in ((-1, higher), (1, lower)) for m in names]
+    long = table.select(F.col(weight).alias("_weight"), F.inline(F.array(*cases))).where("value IS NOT NULL")
+    found = long.groupBy("metric").agg(F.min_by(F.struct("_weight", "value"), F.struct("cost", "_weight")).alias("_b"))
+    return found.select("metric", F.col("_b._weight").alias("best"), F.col("_b.value").alias("value"))

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .quantiles import with_quantiles
+from .quantiles import same_group, with_quantiles
 
 
 def dense_counts(df: DataFrame, axes: Sequence[str], **aggregates: Column) -> DataFrame:
@@ -92,6 +92,58 @@ def median_by(df: DataFrame, by: Sequence[str], value: str, name: str = "median"
     return with_quantiles(df.select(*by).distinct(), df, by, value, {name: 0.5})
 
 
+def summary(df: DataFrame, by: Sequence[str], count: str = "n", distinct: dict[str, str] | None = None, **aggregates: Column) -> DataFrame:
+    """Named aggregates of each group, largest group first. Distinct values are counted from their own grouped rows."""
+    out = df.groupBy(*by).agg(F.count(F.lit(1)).alias(count), *[c.alias(k) for k, c in aggregates.items()])
+    for name, column in (distinct or {}).items():
+        held = df.where(F.col(column).isNotNull()).select(*by, column).distinct().groupBy(*[F.col(b).alias(f"_g_{b}") for b in by]).agg(F.count(F.lit(1)).alias(name))
+        out = out.join(held, same_group(out, held, by), "left").drop(*[f"_g_{b}" for b in by]).na.fill(0, [name])
+    return out.orderBy(F.desc(count), *by)
+
+
+def over_thresholds(df: DataFrame, scores: Sequence[Column], thresholds: dict[str, float]) -> DataFrame:
+    """How many rows have a score above each threshold; ``thresholds`` gives the columns their names."""
+    top = F.greatest(*scores)
+    return df.agg(F.count(F.lit(1)).alias("n"), *[F.count_if(top > x).alias(k) for k, x in thresholds.items()])
+
+
+def contamination(df: DataFrame, by: str, flag: Column) -> DataFrame:
+    return df.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.count_if(flag).alias("flagged"), F.avg(flag.cast("int")).alias("rate"))
+
+
+def before_after(df: DataFrame, by: str, removed: Column) -> DataFrame:
+    """Rows of each group before and after a filter."""
+    return df.groupBy(by).agg(F.count(F.lit(1)).alias("before"), F.count_if(~F.coalesce(removed, F.lit(False))).alias("after"))
+
+
+def skip_reasons(df: DataFrame, reason: Column) -> DataFrame:
+    """Counts of what stands before the first colon of a reason."""
+    return df.groupBy(F.split_part(reason, F.lit(":"), F.lit(1)).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def filter_rate(df: DataFrame, by: str, kept: Column) -> DataFrame:
+    """Percentage of each group that a filter keeps."""
+    return df.groupBy(by).agg((F.avg(F.coalesce(kept, F.lit(False)).cast("int")) * 100).alias("pct"))
+
+
+def pick_type(p: Column, s: Column) -> Column:
+    has_p, has_s = p.isNotNull(), s.isNotNull()
+    return F.when(has_p & has_s, "p_and_s").when(has_p, "p_only").when(has_s, "s_only").otherwise("none")
+
+
+def pick_type_pivot(df: DataFrame, by: str, p: str, s: str) -> DataFrame:
+    """Counts of pick types by bin, zeros filled."""
+    return df.withColumn("_kind", pick_type(F.col(p), F.col(s))).groupBy(by).pivot("_kind", ["p_and_s", "p_only", "s_only", "none"]).count().na.fill(0)
+
+
+def median_bin(df: DataFrame, by: str, value: Column, width: float) -> DataFrame:
+    """The first bin at which a group's cumulative count reaches its half."""
+    counts = df.groupBy(by, F.floor(value / width).alias("_bin")).agg(F.count(F.lit(1)).alias("_n"))
+    w = Window.partitionBy(by)  # a few bins a group
+    run = counts.withColumn("_cum", F.sum("_n").over(w.orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0))).withColumn("_total", F.sum("_n").over(w))
+    return run.where("_cum >= _total / 2").groupBy(by).agg(F.min("_bin").cast("long").alias("median_bin"))
+
+
 def pivot_counts(df: DataFrame, by: str, column: str, values: Sequence[str]) -> DataFrame:
     """Counts by a fixed column set, zeros filled, largest total first."""
     out = df.groupBy(by).pivot(column, list(values)).count().na.fill(0)

@@ -47,10 +47,13 @@ def noise_corpus(df: DataFrame, audit: DataFrame, cap: int, p_limit: float, s_li
     return sampling.ratio_split(named, 0.9, [key], seed)
 
 
-def leaderboard(results: DataFrame, in_domain) -> DataFrame:
-    """Metrics of every weight by bin (and all bins) and split (all, in, cross), with degenerate scorers marked, best first."""
+def leaderboard(results: DataFrame, in_domain, ci_key: list[str] | None = None) -> DataFrame:
+    """Metrics of every weight by bin (and all bins) and split (all, in, cross), with degenerate scorers marked, best first.
+
+    ``ci_key``, the unique key of a result, adds bootstrap intervals of errors and recalls.
+    """
     which = F.when(in_domain, F.array(F.lit("all"), F.lit("in"))).otherwise(F.array(F.lit("all"), F.lit("cross")))
     sliced = splits.expand_slices(results, splits=which).drop("dist_bin").withColumnRenamed("slice_bin", "dist_bin")
-    table = metrics.pick_metrics(sliced, ["weight", "split", "dist_bin"])
+    table = metrics.pick_metrics(sliced, ["weight", "split", "dist_bin"], ci_key=ci_key)
     marked = table.join(metrics.degenerate_scorers(results), "weight", "left")
     return marked.orderBy("degenerate", "p_mae_s", "weight", "split", "dist_bin")

@@ -1,4 +1,4 @@
 """One registered query for each operator of the inventory."""
 
-from . import aggregates, jobs, projections, samples, selections, waveforms  # noqa: F401
+from . import aggregates, builds, jobs, projections, samples, selections, waveforms  # noqa: F401
 from .base import ORACLES, QUERIES  # noqa: F401

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from ..operators import metrics, profile
@@ -68,7 +70,7 @@ def a8_describe(t):
 
 @query("SELECT dataset, category, count(*) AS n, avg(km) AS km, max(mag) AS mag, count(DISTINCT station) AS stations FROM {fx_catalog} GROUP BY ALL ORDER BY n DESC")
 def a9_multi_aggregate(t):
-    return t.fx_catalog.groupBy("dataset", "category").agg(F.count("*").alias("n"), F.avg("km").alias("km"), F.max("mag").alias("mag"), F.countDistinct("station").alias("stations")).orderBy(F.desc("n"), "dataset", "category")
+    return profile.summary(t.fx_catalog, ["dataset", "category"], distinct={"stations": "station"}, km=F.avg("km"), mag=F.max("mag"))
 
 
 @query("SELECT CAST(year(shipped) AS INTEGER) AS year, quantile_cont(km, 0.5) AS median FROM {fx_catalog} GROUP BY 1")
@@ -157,9 +159,20 @@ def a18_at_position_mcc(t):
     return t.fx_results.groupBy("weight").agg(metrics.mcc(F.count_if(p & s), F.count_if(~p & s), F.count_if(p & ~s), F.count_if(~p & ~s)).alias("mcc"))
 
 
-@query()
+_MOD, _UP = "18446744073709551616::UHUGEINT", "::UHUGEINT"
+_POISSON = [round(sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)), 17) for k in range(12)]
+
+
+@query(f"""WITH r AS (SELECT weight, abs(p_residual_s) AS v, CAST('0x' || substr(md5(concat_ws('|', '42', trace_id)), 1, 15) AS UBIGINT) AS h FROM {{fx_results}} WHERE p_residual_s IS NOT NULL),
+k AS (SELECT CAST((i{_UP} * 11400714819323198485{_UP}) % {_MOD} AS UBIGINT) AS t, i FROM range(1, 1001) x(i)),
+a AS (SELECT weight, v, i, CAST((h{_UP} + t{_UP}) % {_MOD} AS UBIGINT) AS z FROM r CROSS JOIN k),
+b AS (SELECT weight, v, i, CAST((xor(z, z >> 30){_UP} * 13787848793156543929{_UP}) % {_MOD} AS UBIGINT) AS z FROM a),
+c AS (SELECT weight, v, i, CAST((xor(z, z >> 27){_UP} * 10723151780598845931{_UP}) % {_MOD} AS UBIGINT) AS z FROM b),
+u AS (SELECT weight, v, i, CAST(xor(z, z >> 31) >> 11 AS DOUBLE) / 9007199254740992 AS u FROM c),
+w AS (SELECT weight, v, i, {" + ".join(f"CAST(u > {x!r} AS INTEGER)" for x in _POISSON)} AS w FROM u),
+m AS (SELECT weight, i, sum(v * w) / sum(w) AS mean, count(*) AS n FROM w GROUP BY weight, i)
+SELECT weight, max(n) AS n, quantile_cont(mean, 0.025) AS ci_lo, quantile_cont(mean, 0.975) AS ci_hi FROM m GROUP BY weight""")
 def a19_bootstrap_ci(t):
-    """A resampled interval has no SQL twin; tests hold it against normal theory."""
     return metrics.bootstrap_ci(t.fx_results.withColumn("r", F.abs("p_residual_s")), ["weight"], "r", ["trace_id"])
 
 
@@ -189,19 +202,18 @@ def a22_recall_curve(t):
 
 @query("SELECT count(*) AS n, " + ", ".join(f"count(*) FILTER (p_prob > {x} OR s_prob > {x}) AS over_{k}" for k, x in (("01", 0.1), ("03", 0.3), ("05", 0.5), ("07", 0.7))) + " FROM {fx_results}")
 def a26_noise_screen(t):
-    over = lambda x: F.count_if((C("p_prob") > x) | (C("s_prob") > x))
-    return t.fx_results.agg(F.count("*").alias("n"), *[over(x).alias(f"over_{k}") for k, x in (("01", 0.1), ("03", 0.3), ("05", 0.5), ("07", 0.7))])
+    return profile.over_thresholds(t.fx_results, [C("p_prob"), C("s_prob")], {"over_01": 0.1, "over_03": 0.3, "over_05": 0.5, "over_07": 0.7})
 
 
 @query("SELECT dataset, count(*) AS n, count(*) FILTER (p_prob > 0.3) AS flagged, avg(CASE WHEN p_prob > 0.3 THEN 1 ELSE 0 END) AS rate FROM {fx_results} GROUP BY dataset")
 def a27_contamination_rate(t):
-    return t.fx_results.groupBy("dataset").agg(F.count("*").alias("n"), F.count_if(C("p_prob") > 0.3).alias("flagged"), F.avg((C("p_prob") > 0.3).cast("int")).alias("rate"))
+    return profile.contamination(t.fx_results, "dataset", C("p_prob") > 0.3)
 
 
 @query("SELECT segment, count(*) AS before, count(*) FILTER (NOT coalesce(p_prob > 0.3, false)) AS after FROM {fx_geo} LEFT JOIN {fx_results} ON id = trace_id GROUP BY segment")
 def a28_before_after(t):
     joined = t.fx_geo.join(t.fx_results.select(C("trace_id").alias("id"), "p_prob"), "id", "left")
-    return joined.groupBy("segment").agg(F.count("*").alias("before"), F.count_if(~F.coalesce(C("p_prob") > 0.3, F.lit(False))).alias("after"))
+    return profile.before_after(joined, "segment", C("p_prob") > 0.3)
 
 
 @query("SELECT a.dataset, b.distance_bin, coverage FROM (SELECT DISTINCT dataset FROM {fx_binned}) a CROSS JOIN (SELECT DISTINCT distance_bin FROM {fx_binned}) b LEFT JOIN (SELECT dataset, distance_bin, avg(CASE WHEN s IS NULL THEN 0 ELSE 1 END) AS coverage FROM {fx_binned} GROUP BY ALL) USING (dataset, distance_bin)")
@@ -248,7 +260,7 @@ def a35_fingerprint(t):
 @query("SELECT split_part(reason, ':', 1) AS reason, count(*) AS n FROM (SELECT CASE event_id % 3 WHEN 0 THEN 'short:' || user_id WHEN 1 THEN 'flat' ELSE 'nan:x:y' END AS reason FROM events) GROUP BY 1")
 def a36_skip_reasons(t):
     reason = F.when(C("event_id") % 3 == 0, F.concat(F.lit("short:"), "user_id")).when(C("event_id") % 3 == 1, "flat").otherwise("nan:x:y")
-    return t.events.groupBy(F.split_part(reason, F.lit(":"), F.lit(1)).alias("reason")).agg(F.count("*").alias("n"))
+    return profile.skip_reasons(t.events, reason)
 
 
 @query("SELECT count(*) AS groups, quantile_cont(n, 0.5) AS median, avg(n) AS mean, min(n) AS min, max(n) AS max FROM (SELECT count(*) AS n FROM {fx_catalog} GROUP BY station)")
@@ -269,7 +281,7 @@ def a40_metric_pivot(t):
 
 @query("SELECT category, avg(CASE WHEN km > 1500 THEN 1 ELSE 0 END) * 100 AS pct FROM {fx_catalog} GROUP BY category")
 def a41_filter_rate(t):
-    return t.fx_catalog.groupBy("category").agg((F.avg(F.coalesce(C("km") > 1500, F.lit(False)).cast("int")) * 100).alias("pct"))
+    return profile.filter_rate(t.fx_catalog, "category", C("km") > 1500)
 
 
 @query("SELECT truth, count(*) AS n, avg(CASE WHEN truth = pred THEN 1 ELSE 0 END) AS accuracy FROM (SELECT label % 3 AS truth, list_position(embedding[1:3], list_max(embedding[1:3])) - 1 AS pred FROM embeddings) GROUP BY truth")
@@ -287,7 +299,7 @@ def a43_pool_summary(t):
 
 @query("SELECT dataset, count(DISTINCT trace_name) AS traces, count(DISTINCT source_id) AS events FROM {fx_catalog} GROUP BY dataset")
 def a44_distinct_counts(t):
-    return t.fx_catalog.groupBy("dataset").agg(F.countDistinct("trace_name").alias("traces"), F.countDistinct("source_id").alias("events"))
+    return profile.summary(t.fx_catalog, ["dataset"], distinct={"traces": "trace_name", "events": "source_id"}).drop("n")
 
 
 @query("SELECT dataset, CAST(floor(log10(km + 0.1) / 0.1) AS BIGINT) AS x, CAST(floor(mag / 0.25) AS BIGINT) AS y, count(*) AS n FROM {fx_catalog} WHERE km IS NOT NULL AND mag IS NOT NULL GROUP BY ALL")
@@ -307,6 +319,4 @@ def a47_share_matrix(t):
 
 @query("SELECT distance_bin, count(*) FILTER (km IS NOT NULL AND s IS NOT NULL) AS p_and_s, count(*) FILTER (km IS NOT NULL AND s IS NULL) AS p_only, count(*) FILTER (km IS NULL AND s IS NOT NULL) AS s_only, count(*) FILTER (km IS NULL AND s IS NULL) AS \"none\" FROM {fx_binned} GROUP BY distance_bin")
 def a48_pick_type_pivot(t):
-    has_p, has_s = C("km").isNotNull(), C("s").isNotNull()
-    kind = F.when(has_p & has_s, "p_and_s").when(has_p, "p_only").when(has_s, "s_only").otherwise("none")
-    return t.fx_binned.withColumn("kind", kind).groupBy("distance_bin").pivot("kind", ["p_and_s", "p_only", "s_only", "none"]).count().na.fill(0)
+    return profile.pick_type_pivot(t.fx_binned, "distance_bin", "km", "s")

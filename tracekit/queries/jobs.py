@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import bins
 from ..operators import joins, profile
 from ..plans import corpus
 from ..sources import catalogs
@@ -13,6 +12,7 @@ from ..sources.scratch import new_folder
 from ..streaming import ingest
 from .aggregates import BINS, metrics_sql
 from .base import query
+from .projections import COARSE_SQL, TECTONIC_SQL
 
 C = F.col
 
@@ -41,17 +41,17 @@ def s2_sharded_catalog(t):
     return catalogs.read_shards(t.spark, f"{place}/shards", "meta_", ["p_name", "p_partkey"])
 
 
-def _flatten(spark: SparkSession, source: str, target: str, prefix: str) -> None:
-    """Moves ``k=<tag>/part-*.csv`` to ``<prefix><tag>.x.csv`` beside a partial file that readers must not see."""
+def _flatten(spark: SparkSession, source: str, target: str, prefix: str, kind: str = "csv", suffix: str = ".x.csv") -> None:
+    """Moves ``k=<tag>/part-*`` to ``<prefix><tag><suffix>`` beside a partial file that readers must not see."""
     hadoop = spark._jvm.org.apache.hadoop.fs
     base = hadoop.Path(source)
     fs = base.getFileSystem(spark._jsc.hadoopConfiguration())
     fs.mkdirs(hadoop.Path(target))
     for folder in fs.globStatus(hadoop.Path(f"{source}/k=*")):
         tag = folder.getPath().getName().split("=")[1]
-        for f in fs.globStatus(hadoop.Path(f"{folder.getPath()}/part-*.csv")):
-            fs.rename(f.getPath(), hadoop.Path(f"{target}/{prefix}{tag}.x.csv"))
-    fs.create(hadoop.Path(f"{target}/{prefix}9.csv.partial")).close()
+        for f in fs.globStatus(hadoop.Path(f"{folder.getPath()}/part-*.{kind}")):
+            fs.rename(f.getPath(), hadoop.Path(f"{target}/{prefix}{tag}{suffix}"))
+    fs.create(hadoop.Path(f"{target}/{prefix}9{suffix}.partial")).close()
 
 
 @query("SELECT o_orderkey, o_orderstatus FROM orders")
@@ -212,13 +212,9 @@ def benchmark_build(t):
     return corpus.build_benchmark(t.fx_catalog, 50, 120).select("rid", "dataset", "physics_bin")
 
 
-_REGIONS = " ".join(f"WHEN {' AND '.join(x for x in (f'lat > {s}' if s is not None else '', f'lat < {n}' if n is not None else '', f'lon > {w}' if w is not None else '', f'lon < {e}' if e is not None else '') if x)} THEN '{name}'" for name, s, n, w, e in bins.REGIONS)
-_TECTONIC = " ".join(f"WHEN lat > {s} AND lat < {n} AND lon > {w} AND lon < {e} THEN '{name}'" for name, s, n, w, e in bins.TECTONIC)
-
-
 @query(f"""WITH b AS (SELECT id, lat, lon, md5(concat_ws('|', '0', id)) AS h, CASE WHEN lat >= -90 AND lat < 90 THEN floor((lat + 90) / 30) END AS band FROM {{fx_geo}} WHERE id IN (SELECT trace_id FROM {{fx_results}} WHERE p_prob < 0.6 AND s_prob < 0.6)),
 r AS (SELECT *, row_number() OVER (PARTITION BY band ORDER BY h, id) AS r FROM b), k AS (SELECT * FROM r ORDER BY (band IS NOT NULL AND r <= 33) DESC, h, id LIMIT 200)
-SELECT id, lat, lon, CASE WHEN lat IS NULL OR lon IS NULL THEN 'unknown' {_REGIONS} ELSE 'Pacific_or_other' END AS region, CASE WHEN lat IS NULL OR lon IS NULL THEN 'stable' {_TECTONIC} ELSE 'stable' END AS tectonic,
+SELECT id, lat, lon, {COARSE_SQL} AS region, {TECTONIC_SQL} AS tectonic,
  CASE WHEN row_number() OVER (ORDER BY h, id) <= floor(count(*) OVER () * 0.9) THEN 'train' ELSE 'val' END AS split FROM k""")
 def noise_corpus(t):
     """Screened noise by latitude, named and split."""

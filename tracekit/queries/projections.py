@@ -104,29 +104,43 @@ def p17_p_only_policy(t):
     return t.fx_binned.select("rid", clean.p_only_policy(C("s"), C("distance_bin")).alias("s"))
 
 
-@query("""SELECT id, CASE WHEN lat IS NULL OR lon IS NULL THEN 'unknown' WHEN lat > 67 THEN 'Arctic' WHEN lat < -60 THEN 'Antarctica'
+COARSE_SQL = """CASE WHEN lat IS NULL OR lon IS NULL THEN 'unknown' WHEN lat > 67 THEN 'Arctic' WHEN lat < -60 THEN 'Antarctica'
  WHEN lat > 10 AND lat < 80 AND lon > -170 AND lon < -50 THEN 'North_America' WHEN lat > -60 AND lat < 15 AND lon > -90 AND lon < -30 THEN 'South_America'
  WHEN lat > 35 AND lat < 75 AND lon > -15 AND lon < 40 THEN 'Europe' WHEN lat > -40 AND lat < 35 AND lon > -20 AND lon < 55 THEN 'Africa'
  WHEN lat > 5 AND lat < 80 AND lon > 40 AND lon < 100 THEN 'Central_Asia' WHEN lat > -15 AND lat < 50 AND lon > 100 AND lon < 150 THEN 'East_Asia'
- WHEN lat > -45 AND lat < -10 AND lon > 110 AND lon < 155 THEN 'Australia' ELSE 'Pacific_or_other' END AS region FROM {fx_geo}""")
+ WHEN lat > -45 AND lat < -10 AND lon > 110 AND lon < 155 THEN 'Australia' ELSE 'Pacific_or_other' END"""
+
+
+@query(f"SELECT id, {COARSE_SQL} AS region FROM {{fx_geo}}")
 def p18_coarse_region(t):
     return t.fx_geo.select("id", bins.coarse_region(C("lat"), C("lon")).alias("region"))
 
 
-@query("""SELECT id, CASE WHEN (lat > 30 AND lat < 50 AND lon > 130 AND lon < 150) OR (lat > -10 AND lat < 10 AND lon > 115 AND lon < 130) OR (lat > -40 AND lat < 0 AND lon > -80 AND lon < -60)
- OR (lat > 50 AND lat < 65 AND lon > -170 AND lon < -140) THEN 'subduction' WHEN (lat > -30 AND lat < 20 AND lon > 25 AND lon < 45) OR (lat > 60 AND lat < 68 AND lon > -30 AND lon < -10) THEN 'rift' ELSE 'stable' END AS tectonic FROM {fx_geo}""")
-def p19_tectonic_class(t):
-    return t.fx_geo.select("id", bins.tectonic_class(C("lat"), C("lon"), "stable").alias("tectonic"))
+TECTONIC_SQL = """CASE WHEN (lat > 30 AND lat < 50 AND lon > 130 AND lon < 150) OR (lat > -10 AND lat < 10 AND lon > 115 AND lon < 130) OR (lat > -40 AND lat < 0 AND lon > -80 AND lon < -60)
+ OR (lat > 50 AND lat < 65 AND lon > -170 AND lon < -140) THEN 'subduction' WHEN (lat > -30 AND lat < 20 AND lon > 25 AND lon < 45) OR (lat > 60 AND lat < 68 AND lon > -30 AND lon < -10) THEN 'rift' ELSE 'stable' END"""
 
 
-def _fine_sql() -> str:
-    boxes = ", ".join(f"({i}, '{n}', {s}, {'lat_open' if h else x}, {w}, {e}, {x}, {str(h).lower()})".replace("lat_open", "NULL") for i, (n, s, x, w, e, h) in enumerate(bins.FINE_REGIONS))
-    return f"""WITH box(rank, name, south, closed, west, east, north, half) AS (VALUES {boxes}),
-hit AS (SELECT id, arg_min(name, rank) AS region FROM {{fx_geo}} JOIN box ON lat >= south AND lon BETWEEN west AND east AND (CASE WHEN half THEN lat < north ELSE lat <= north END) GROUP BY id)
-SELECT g.id, CASE WHEN lat IS NULL OR lon IS NULL THEN 'Unknown' ELSE coalesce(region, 'Global/Unknown') END AS region FROM {{fx_geo}} g LEFT JOIN hit ON g.id = hit.id"""
+@query(f"SELECT id, {TECTONIC_SQL} AS tectonic FROM {{fx_geo}}")
+def p19_tectonic_class(t):
+    return t.fx_geo.select("id", bins.tectonic_class(C("lat"), C("lon"), "stable").alias("tectonic"))
 
 
-@query(_fine_sql())
+@query("""SELECT id, CASE WHEN lat IS NULL OR lon IS NULL THEN 'Unknown'
+ WHEN lat BETWEEN 54 AND 72 AND lon BETWEEN -170 AND -130 THEN 'Alaska' WHEN lat BETWEEN 42 AND 52 AND lon BETWEEN -126 AND -116 THEN 'Pacific Northwest'
+ WHEN lat >= 36 AND lat < 42 AND lon BETWEEN -125 AND -118 THEN 'Northern California' WHEN lat >= 32 AND lat < 36 AND lon BETWEEN -121 AND -114 THEN 'Southern California'
+ WHEN lat BETWEEN 25 AND 37 AND lon BETWEEN -107 AND -93 THEN 'Texas / Oklahoma' WHEN lat BETWEEN 18 AND 23 AND lon BETWEEN -162 AND -154 THEN 'Hawaii'
+ WHEN lat BETWEEN 15 AND 75 AND lon BETWEEN -170 AND -50 THEN 'North America' WHEN lat BETWEEN 8 AND 24 AND lon BETWEEN -90 AND -60 THEN 'Caribbean / Central America'
+ WHEN lat >= -60 AND lat < 15 AND lon BETWEEN -82 AND -30 THEN 'South America' WHEN lat BETWEEN 45 AND 50 AND lon BETWEEN 5 AND 12 THEN 'Switzerland / Alpine'
+ WHEN lat BETWEEN 36 AND 48 AND lon BETWEEN 6 AND 19 THEN 'Italy / Apennines' WHEN lat BETWEEN 34 AND 42 AND lon BETWEEN 19 AND 30 THEN 'Greece / Aegean'
+ WHEN lat BETWEEN 36 AND 43 AND lon BETWEEN 26 AND 47 THEN 'Turkey / Caucasus' WHEN lat BETWEEN 35 AND 44 AND lon BETWEEN -10 AND 5 THEN 'Iberian Peninsula'
+ WHEN lat BETWEEN 63 AND 67 AND lon BETWEEN -25 AND -13 THEN 'Iceland' WHEN lat BETWEEN 35 AND 72 AND lon BETWEEN -30 AND 47 THEN 'Europe'
+ WHEN lat >= -35 AND lat < 37 AND lon BETWEEN -20 AND 52 THEN 'Africa' WHEN lat BETWEEN 10 AND 40 AND lon BETWEEN 35 AND 65 THEN 'Middle East'
+ WHEN lat BETWEEN 21 AND 26 AND lon BETWEEN 119 AND 123 THEN 'Taiwan' WHEN lat BETWEEN 24 AND 46 AND lon BETWEEN 122 AND 148 THEN 'Japan / Ryukyu'
+ WHEN lat BETWEEN -10 AND 25 AND lon BETWEEN 95 AND 145 THEN 'Southeast Asia' WHEN lat BETWEEN 6 AND 36 AND lon BETWEEN 68 AND 92 THEN 'India / South Asia'
+ WHEN lat BETWEEN 36 AND 55 AND lon BETWEEN 52 AND 88 THEN 'Central Asia' WHEN lat BETWEEN 18 AND 55 AND lon BETWEEN 88 AND 145 THEN 'China / East Asia'
+ WHEN lat BETWEEN 50 AND 75 AND lon BETWEEN 30 AND 180 THEN 'Russia / Siberia' WHEN lat BETWEEN -48 AND -34 AND lon BETWEEN 166 AND 178 THEN 'New Zealand'
+ WHEN lat BETWEEN -50 AND 20 AND lon BETWEEN 130 AND 180 THEN 'Pacific / Oceania' WHEN lat BETWEEN -50 AND 20 AND lon BETWEEN -180 AND -100 THEN 'Eastern Pacific'
+ ELSE 'Global/Unknown' END AS region FROM {fx_geo}""")
 def p20_fine_region(t):
     return t.fx_geo.select("id", bins.fine_region(C("lat"), C("lon")).alias("region"))
 

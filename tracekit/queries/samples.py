@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import joins, sampling, splits
+from ..operators import joins, metrics, profile, sampling, splits
 from .base import query
 
 C = F.col
@@ -15,12 +15,12 @@ H0, H1, H0P, H0Q = (_H.format(s=s) for s in ("0", "1", "0+", "0''"))
 
 @query("SELECT weight, avg(p_prob) AS mean, count(*) AS n FROM {fx_results} GROUP BY weight ORDER BY mean, weight")
 def t1_leaderboard(t):
-    return t.fx_results.groupBy("weight").agg(F.avg("p_prob").alias("mean"), F.count("*").alias("n")).orderBy("mean", "weight")
+    return metrics.ranking(t.fx_results, "p_prob")
 
 
 @query("SELECT trace_id, p_residual_s FROM {fx_results} WHERE p_residual_s IS NOT NULL ORDER BY p_residual_s, trace_id LIMIT 25")
 def t2_top_k(t):
-    return t.fx_results.where("p_residual_s IS NOT NULL").orderBy("p_residual_s", "trace_id").limit(25).select("trace_id", "p_residual_s")
+    return metrics.smallest(t.fx_results, "p_residual_s", "trace_id", 25).select("trace_id", "p_residual_s")
 
 
 @query(f"""WITH b AS (SELECT *, count(*) OVER (PARTITION BY dataset) AS n, count(*) OVER (PARTITION BY dataset, distance_bin) AS c, row_number() OVER (PARTITION BY dataset, distance_bin ORDER BY {H0}, rid) AS r FROM {{fx_binned}}),
@@ -124,10 +124,7 @@ def w1_random_rank(t):
 
 @query("WITH c AS (SELECT dataset, floor(p / 500) AS bin, count(*) AS n FROM {fx_catalog} GROUP BY ALL), k AS (SELECT dataset, bin, sum(n) OVER (PARTITION BY dataset ORDER BY bin) AS cum, sum(n) OVER (PARTITION BY dataset) AS total FROM c) SELECT dataset, CAST(min(bin) AS BIGINT) AS median_bin FROM k WHERE cum >= total / 2 GROUP BY dataset")
 def w2_median_bin(t):
-    counts = t.fx_catalog.groupBy("dataset", F.floor(C("p") / 500).alias("bin")).agg(F.count("*").alias("n"))
-    w = Window.partitionBy("dataset")  # a few bins a dataset
-    run = counts.withColumn("cum", F.sum("n").over(w.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0))).withColumn("total", F.sum("n").over(w))
-    return run.where("cum >= total / 2").groupBy("dataset").agg(F.min("bin").cast("long").alias("median_bin"))
+    return profile.median_bin(t.fx_catalog, "dataset", C("p"), 500)
 
 
 @query("SELECT dataset, distance_bin, n / sum(n) OVER (PARTITION BY dataset) AS share FROM (SELECT dataset, distance_bin, count(*) AS n FROM {fx_binned} GROUP BY ALL)")
@@ -145,8 +142,7 @@ def w4_rolling_mean(t):
 @query("WITH m AS (SELECT weight, avg(p_prob) AS recall, avg(abs(p_residual_s)) AS mae FROM {fx_results} GROUP BY weight) SELECT 'recall' AS metric, arg_max(weight, recall) AS best, max(recall) AS value FROM m UNION ALL SELECT 'mae', arg_min(weight, mae), min(mae) FROM m")
 def w5_best_per_metric(t):
     m = t.fx_results.groupBy("weight").agg(F.avg("p_prob").alias("recall"), F.avg(F.abs("p_residual_s")).alias("mae"))
-    long = m.selectExpr("weight", "stack(2, 'recall', recall, -recall, 'mae', mae, mae) AS (metric, value, cost)")
-    return joins.first_by(long, ["metric"], ["cost", "weight"]).select("metric", C("weight").alias("best"), "value")
+    return metrics.best_per_metric(m, "weight", higher=["recall"], lower=["mae"])
 
 
 @query("""WITH g AS (SELECT l_orderkey, count(*) AS size FROM {fx_keys} GROUP BY l_orderkey), r AS (SELECT *, sum(size) OVER (ORDER BY md5(concat_ws('|', '0', CAST(l_orderkey AS STRING))), CAST(l_orderkey AS STRING)) - size AS before FROM g)

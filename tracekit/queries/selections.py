@@ -37,12 +37,12 @@ def f5_regime_filter(t):
 
 @query("SELECT rid FROM {fx_catalog} WHERE year(shipped) BETWEEN 1997 AND 2000")
 def f6_temporal_window(t):
-    return t.fx_catalog.where(F.year("shipped").between(1997, 2000)).select("rid")
+    return t.fx_catalog.where(filters.in_years("shipped", 1997, 2000)).select("rid")
 
 
 @query("SELECT rid FROM {fx_binned} WHERE distance_bin IN ('local', 'regional')")
 def f7_focused_subset(t):
-    return t.fx_binned.where(C("distance_bin").isin("local", "regional")).select("rid")
+    return filters.only_bins(t.fx_binned, ["local", "regional"]).select("rid")
 
 
 @query("SELECT c.id FROM {fx_geo} c WHERE EXISTS (SELECT 1 FROM {fx_results} r WHERE r.trace_id = c.id AND p_prob < 0.3 AND s_prob < 0.3)")
@@ -58,23 +58,23 @@ def f9_early_pick(t):
 
 @query("SELECT trace_id FROM {fx_results} WHERE p_in_window >= 0")
 def f10_status_ok(t):
-    return t.fx_results.withColumn("status", F.when(C("p_in_window") >= 0, "ok").otherwise("skipped")).where("status = 'ok'").select("trace_id")
+    return filters.ok_only(t.fx_results.withColumn("status", F.when(C("p_in_window") >= 0, "ok").otherwise("skipped"))).select("trace_id")
 
 
 @query("SELECT dataset, count(*) AS n FROM {fx_catalog} GROUP BY dataset HAVING count(*) > 5000")
 def f11_minimum_support(t):
-    return t.fx_catalog.groupBy("dataset").agg(F.count("*").alias("n")).where("n > 5000")
+    return filters.supported(t.fx_catalog.groupBy("dataset").agg(F.count("*").alias("n")), "n", 5000)
 
 
 @query("SELECT regr_slope(km, sp) AS slope, count(*) AS n FROM (SELECT km, (s - p) / 100 AS sp FROM {fx_catalog}) WHERE km BETWEEN 10 AND 3000 AND sp BETWEEN 1 AND 8")
 def f12_physical_range(t):
-    return t.fx_catalog.select("km", ((C("s") - C("p")) / 100).alias("sp")).where("km BETWEEN 10 AND 3000 AND sp BETWEEN 1 AND 8").agg(F.regr_slope("km", "sp").alias("slope"), F.count("*").alias("n"))
+    fine = filters.in_ranges(t.fx_catalog.select("km", ((C("s") - C("p")) / 100).alias("sp")), km=(10, 3000), sp=(1, 8))
+    return fine.agg(F.regr_slope("km", "sp").alias("slope"), F.count("*").alias("n"))
 
 
 @query("SELECT rid, CASE WHEN category IN ('1-URGENT', '2-HIGH') THEN 'impulsive' ELSE 'emergent' END AS part FROM {fx_catalog} WHERE category <> '5-LOW'")
 def f13_category_partitions(t):
-    part = F.when(C("category").isin("1-URGENT", "2-HIGH"), "impulsive").otherwise("emergent")
-    return t.fx_catalog.where("category <> '5-LOW'").select("rid", part.alias("part"))
+    return filters.partitioned(t.fx_catalog, "category", {"impulsive": ["1-URGENT", "2-HIGH"], "emergent": ["3-MEDIUM", "4-NOT SPECIFIED"]}).select("rid", "part")
 
 
 @query("SELECT trace_id, dataset IN (SELECT concat('ds', grp % 6) FROM {fx_geo}) AS in_domain FROM {fx_results}")
@@ -114,8 +114,7 @@ _FLAGGED = "SELECT doc_id FROM labels WHERE toxic = 1 OR quality = 0"
 
 @query(f"SELECT source, count(*) AS n_before, count(l.doc_id) AS n_removed FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM ({_FLAGGED})) l USING (doc_id) GROUP BY source")
 def f18_drop_flagged(t):
-    flagged = t.labels.where("toxic = 1 OR quality = 0").select("doc_id").distinct().withColumn("bad", F.lit(1))
-    return t.documents.select("doc_id", "source").join(flagged, "doc_id", "left").groupBy("source").agg(F.count("*").alias("n_before"), F.count("bad").alias("n_removed"))
+    return filters.drop_flagged(t.documents.select("doc_id", "source"), t.labels.where("toxic = 1 OR quality = 0"), ["doc_id"], "source")[1]
 
 
 @query(f"SELECT doc_id, source FROM documents WHERE doc_id NOT IN ({_FLAGGED})")
@@ -162,8 +161,7 @@ def j6_space_time_join(t):
 
 @query(f"SELECT trace_id, coalesce(v, false) AS verifiable, coalesce(l, false) AS leaked FROM {{fx_results}} LEFT JOIN ({_MASK}) USING (dataset, user_id)")
 def j7_mask_lookup(t):
-    once = _mask(t).groupBy("dataset", "user_id").agg(F.bool_and("verifiable").alias("verifiable"), F.bool_or("leaked").alias("leaked"))
-    return t.fx_results.join(once, ["dataset", "user_id"], "left").select("trace_id", F.coalesce("verifiable", F.lit(False)).alias("verifiable"), F.coalesce("leaked", F.lit(False)).alias("leaked"))
+    return joins.mask_lookup(t.fx_results, _mask(t), ["dataset", "user_id"]).select("trace_id", "verifiable", "leaked")
 
 
 @query("SELECT rid, x.top FROM {fx_catalog} LEFT JOIN (SELECT dataset, trace_name, arg_min(price, rid) AS top FROM {fx_catalog} GROUP BY ALL) x USING (dataset, trace_name)")
@@ -222,8 +220,7 @@ def j15_raw_vs_clean(t):
 
 @query("SELECT vec_id, embedding[pick + 1] AS at_pick, p_prob FROM {fx_wave} LEFT JOIN {fx_results} ON vec_id = trace_id")
 def j16_at_position_join(t):
-    scores = t.fx_wave.select("vec_id", F.get("embedding", "pick").alias("at_pick"))
-    return scores.join(t.fx_results.select(C("trace_id").alias("vec_id"), "p_prob"), "vec_id", "left")
+    return joins.at_position(t.fx_wave, t.fx_results.select(C("trace_id").alias("vec_id"), "p_prob"), ["vec_id"], "embedding", "pick")
 
 
 # --- event keys ---------------------------------------------------------------------------------------------
@@ -286,7 +283,7 @@ def a25_parent_leak_summary(t):
 @query("SELECT c_custkey AS id, c_acctbal AS bal, NULL AS size FROM customer UNION ALL SELECT p_partkey, NULL, p_size FROM part")
 def u1_ragged_union(t):
     a = t.customer.select(C("c_custkey").alias("id"), C("c_acctbal").alias("bal"))
-    return a.unionByName(t.part.select(C("p_partkey").alias("id"), C("p_size").alias("size")), allowMissingColumns=True)
+    return joins.ragged_union([a, t.part.select(C("p_partkey").alias("id"), C("p_size").alias("size"))])
 
 
 @query("SELECT rid FROM {fx_catalog} EXCEPT SELECT rid FROM {fx_catalog} WHERE line = 1")
@@ -298,8 +295,7 @@ def u2_difference(t):
 @query("SELECT count(*) AS n FROM (SELECT event_key FROM {fx_rowkeys} WHERE l_orderkey % 3 = 0 INTERSECT SELECT event_key FROM {fx_rowkeys} WHERE l_orderkey % 3 = 1)")
 def u3_intersection_count(t):
     k = t.fx_rowkeys
-    part = lambda m: k.where(f"l_orderkey % 3 = {m}").select("event_key")
-    return part(0).intersect(part(1)).agg(F.count("*").alias("n"))
+    return joins.common_keys(k.where("l_orderkey % 3 = 0"), k.where("l_orderkey % 3 = 1"))
 
 
 @query("SELECT DISTINCT event_key FROM {fx_rowkeys}")

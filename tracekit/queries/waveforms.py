@@ -11,11 +11,25 @@ from .base import query
 C = F.col
 
 
-@query("SELECT vec_id, c0[1] AS a, 0.0 AS b, len(c0) AS n, c1[2] AS turned FROM {fx_wave3}")
+def _text(w, scale: float = 1e6):
+    """A whole array as one text of rounded numbers."""
+    return F.array_join(F.transform(w, lambda x: F.bround(x * scale).cast("long").cast("string")), ",")
+
+
+def _text_sql(w: str, scale: str = "1e6") -> str:
+    return f"array_to_string([CAST(CAST(round_even(x * {scale}, 0) AS BIGINT) AS STRING) FOR x IN {w}], ',')"
+
+
+def _drawn(seed: int, *parts: str, at: int = 0) -> str:
+    """The uniform number of ``functions.waveform.hashed``."""
+    return f"((CAST('0x' || substr(md5(concat_ws('|', '{seed}', {', '.join(parts)})), {8 * at + 1}, 8) AS BIGINT) + 0.5) / 4294967296.0)"
+
+
+@query(f"SELECT vec_id, {_text_sql('c0')} AS a, {_text_sql('[0.0 FOR x IN c0]')} AS b, {_text_sql('c1')} AS turned, {_text_sql('c2')} AS third FROM {{fx_wave3}}")
 def x1_three_channels(t):
     two = W.three_channels(F.array("c0", "c1"))
     turned = W.three_channels(F.zip_with("c0", F.arrays_zip("c1", "c2"), lambda x, y: F.array(x, y["c1"], y["c2"])))
-    return t.fx_wave3.select("vec_id", two[0][0].alias("a"), two[2][5].alias("b"), F.size(two[2]).cast("long").alias("n"), turned[1][1].alias("turned"))
+    return t.fx_wave3.select("vec_id", _text(two[0]).alias("a"), _text(two[2]).alias("b"), _text(turned[1]).alias("turned"), _text(turned[2]).alias("third"))
 
 
 @query()
@@ -33,10 +47,6 @@ def x3_anchored_window(t):
     return t.fx_wave3.select("vec_id", out["offset"].cast("long").alias("offset"), out["start"].cast("long").alias("start"), _text(out["window"]).alias("w"))
 
 
-def _text(w):
-    return F.array_join(F.transform(w, lambda x: F.bround(x * 1e6).cast("long").cast("string")), ",")
-
-
 def _padded(start: str, n: int) -> str:
     return f"array_to_string([CASE WHEN {start} + i < 0 OR {start} + i >= 64 THEN '0' ELSE CAST(CAST(round_even(c0[{start} + i + 1] * 1e6, 0) AS BIGINT) AS STRING) END FOR i IN range(0, {n})], ',')"
 
@@ -63,19 +73,22 @@ def x6_pre_event(t):
     return t.fx_wave3.select("vec_id", F.when(held.isNotNull(), _text(held)).alias("w"))
 
 
-_STD = "greatest(-10, least(10, (c0[1] - list_avg(c0)) / (CASE WHEN list_stddev_pop(c0) < 1e-6 THEN 1 ELSE list_stddev_pop(c0) END)))"
+def _scaled(w: str, least: str) -> str:
+    return f"[(x - list_avg({w})) / (CASE WHEN list_stddev_pop({w}) < {least} THEN 1 ELSE list_stddev_pop({w}) END) FOR x IN {w}]"
 
 
-@query(f"SELECT vec_id, round({_STD}, 6) AS first FROM {{fx_wave3}}")
+@query(f"SELECT vec_id, {_text_sql('[greatest(-10, least(10, y)) FOR y IN ' + _scaled('c0', '1e-6') + ']')} AS plain, {_text_sql('[greatest(-0.5, least(0.5, y)) FOR y IN ' + _scaled('c1', '1e-6') + ']')} AS tight FROM {{fx_wave3}}")
 def x7_std_normalise(t):
-    return t.fx_wave3.select("vec_id", F.round(W.normalise(C("c0"))[0], 6).alias("first"))
+    return t.fx_wave3.select("vec_id", _text(W.normalise(C("c0"))).alias("plain"), _text(W.normalise(C("c1"), clip=0.5)).alias("tight"))
+
+
+_EVERY = "list_max([abs(x) FOR x IN list_concat(c0, list_concat(c1, c2))])"
 
 
-@query("""SELECT vec_id, round((c0[1] - list_avg(c0)) / list_stddev_pop(c0), 6) AS zero, round(c0[1] / list_max([abs(x) FOR x IN c0]), 6) AS peak,
- round(c0[1] / list_max([abs(x) FOR x IN list_concat(c0, list_concat(c1, c2))]), 6) AS global_peak FROM {fx_wave3}""")
+@query(f"""SELECT vec_id, {_text_sql(_scaled('c0', '1e-10'))} AS zero, {_text_sql('[y / list_max([abs(z) FOR z IN c0]) FOR y IN c0]')} AS peak, {_text_sql(f'[y / {_EVERY} FOR y IN c0]')} AS global_peak FROM {{fx_wave3}}""")
 def x7b_normalise_modes(t):
     every = W.normalise(C("c0"), "peak", peak=W.global_peak(F.array("c0", "c1", "c2")))
-    return t.fx_wave3.select("vec_id", F.round(W.normalise(C("c0"), "zero", 1e-10)[0], 6).alias("zero"), F.round(W.normalise(C("c0"), "peak")[0], 6).alias("peak"), F.round(every[0], 6).alias("global_peak"))
+    return t.fx_wave3.select("vec_id", _text(W.normalise(C("c0"), "zero", 1e-10)).alias("zero"), _text(W.normalise(C("c0"), "peak")).alias("peak"), _text(every).alias("global_peak"))
 
 
 def _db(c: str) -> str:
@@ -101,16 +114,21 @@ def x10_noise_gate(t):
 
 
 @query("""WITH l AS (SELECT vec_id, [exp(-pow(i - pick, 2) / 200.0) FOR i IN range(0, 64)] AS a, [CASE WHEN vec_id % 3 = 0 THEN 0 ELSE exp(-pow(i - pick - 20, 2) / 200.0) END FOR i IN range(0, 64)] AS b FROM {fx_wave3})
-SELECT vec_id, round(list_sum(a), 6) AS p, round(list_sum(b), 6) AS s, round(list_sum([1 - greatest(a[i], b[i]) FOR i IN range(1, 65)]), 6) AS noise FROM l""")
+SELECT vec_id, """ + f"""{_text_sql('a')} AS p, {_text_sql('b')} AS s, {_text_sql('[1 - greatest(a[i], b[i]) FOR i IN range(1, 65)]')} AS noise FROM l""")
 def x11_gaussian_labels(t):
     out = W.gaussian_labels(64, C("pick"), F.when(C("vec_id") % 3 != 0, C("pick") + 20))
-    return t.fx_wave3.select("vec_id", *[F.round(W.total(out[f"{k}_label"]), 6).alias(k) for k in ("p", "s", "noise")])
+    return t.fx_wave3.select("vec_id", *[_text(out[f"{k}_label"]).alias(k) for k in ("p", "s", "noise")])
 
 
-@query()
+_GAIN = f"(0.5 + 1.5 * {_drawn(7, repr('gain'), 'vec_id')}) * CASE WHEN {_drawn(7, repr('flip'), 'vec_id')} < 0.1 THEN -1 ELSE 1 END * CASE WHEN {_drawn(7, repr('mask'), 'vec_id')} < 0.2 THEN 0 ELSE 1 END"
+_NORMAL = f"sqrt(-2 * ln({_drawn(7, repr('n'), 'i', 'vec_id')})) * cos(2 * pi() * {_drawn(7, repr('n'), 'i', 'vec_id', at=1)})"
+
+
+@query(f"SELECT vec_id, {_text_sql(f'[c0[i + 1] * {_GAIN} + {_NORMAL} * 0.1 FOR i IN range(0, 64)]', '1e5')} AS noisy, {_text_sql(f'[y * {_GAIN} FOR y IN c0]', '1e5')} AS plain FROM {{fx_wave3}}")
 def x12_augmentation(t):
-    """Random gains and noise; tests check range, chance of flips and noise level."""
-    return t.fx_wave3.select("vec_id", F.round(W.augmented(C("c0"), 7, C("vec_id"), noise_db=20.0)[0], 6).alias("first"))
+    """Gains, flips, masks and noise at 20 dB."""
+    noisy, plain = (W.augmented(C("c0"), 7, C("vec_id"), noise_db=db, mask=0.2) for db in (20.0, None))
+    return t.fx_wave3.select("vec_id", _text(noisy, 1e5).alias("noisy"), _text(plain, 1e5).alias("plain"))
 
 
 _HELD = "list_slice(curve, greatest(0, pick - 10) + 1, least(64, pick + 10))"
@@ -155,17 +173,16 @@ def x19_snippet(t):
     return t.fx_wave3.select("vec_id", _text(W.snippet(C("c0"), C("pick").cast("int"), 8, 24)).alias("w"))
 
 
-@query("SELECT vec_id, 40 AS n, 80 AS padded, 0 AS tail FROM {fx_wave3}")
+@query(f"SELECT vec_id, {_text_sql('c0[start + 1:start + 40]')} AS crop, {_text_sql('list_concat(c0, [0.0 FOR i IN range(0, 16)])')} AS padded FROM (SELECT vec_id, c0, CAST(floor({_drawn(3, 'vec_id')} * 25) AS BIGINT) AS start FROM {{fx_wave3}})")
 def x20_noise_crop(t):
-    long = W.noise_crop(C("c0"), 80, 3, C("vec_id"))
-    return t.fx_wave3.select("vec_id", F.size(W.noise_crop(C("c0"), 40, 3, C("vec_id"))).cast("long").alias("n"), F.size(long).cast("long").alias("padded"), F.get(long, F.lit(79)).cast("long").alias("tail"))
+    return t.fx_wave3.select("vec_id", _text(W.noise_crop(C("c0"), 40, 3, C("vec_id"))).alias("crop"), _text(W.noise_crop(C("c0"), 80, 3, C("vec_id"))).alias("padded"))
 
 
-@query("SELECT vec_id, vec_id % 3 <> 0 AS fetch_ok, CASE WHEN vec_id % 3 <> 0 THEN c0[1] ELSE 0 END AS first FROM {fx_wave3}")
+@query(f"SELECT vec_id, vec_id % 3 <> 0 AS fetch_ok, {_text_sql('CASE WHEN vec_id % 3 <> 0 THEN list_concat(c0, list_concat(c1, c2)) ELSE [0.0 FOR i IN range(0, 192)] END')} AS wf FROM {{fx_wave3}}")
 def x21_fetch_fallback(t):
     df = t.fx_wave3
     found = df.where("vec_id % 3 <> 0").select("vec_id", F.array("c0", "c1", "c2").alias("wf"))
-    return W.with_fallback(df.select("vec_id"), found, ["vec_id"], 64).select("vec_id", "fetch_ok", C("wf")[0][0].alias("first"))
+    return W.with_fallback(df.select("vec_id"), found, ["vec_id"], 64).select("vec_id", "fetch_ok", _text(F.flatten("wf")).alias("wf"))
 
 
 def _energy():
