@@ -397,3 +397,19 @@ def test_corpus_build_is_the_split_then_balanced(spark):
     least = min(min(int(len(v) / 0.25) for v in train.values()), sum(map(len, train.values())))
     want = {rid: s for rid, s in split.items() if s != "train"} | {rid: "train" for v in train.values() for _, rid in sorted(v)[: round(least * 0.25)]}
     assert len(vendor) == len(split) and got == want
+
+
+def test_scratch_tables_are_cleared_and_clusters_need_a_shared_folder(spark):
+    from types import SimpleNamespace
+
+    from tracekit.sources import scratch
+
+    held = scratch.written(spark.range(5))
+    folder = scratch._made[-1].removeprefix("file://")
+    assert held.count() == 5 and pathlib.Path(folder).exists()
+    scratch.clear(spark)
+    assert not pathlib.Path(folder).exists() and not scratch._made
+    nothing = SimpleNamespace(get=lambda name: None)
+    bare = SimpleNamespace(sparkContext=SimpleNamespace(master="spark://host:7077", getConf=lambda: nothing, getCheckpointDir=lambda: None))
+    with pytest.raises(RuntimeError):
+        scratch.shared_folder(bare)

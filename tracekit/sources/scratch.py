@@ -32,8 +32,24 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Folders of this process, for ``clear``.
+_made: list[str] = []
+
+
 def new_folder(spark: SparkSession, prefix: str = "job") -> str:
-    return f"{shared_folder(spark)}/{prefix}-{uuid.uuid4().hex}"
+    _made.append(f"{shared_folder(spark)}/{prefix}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes the tables and job folders that this process has written, once nothing reads them any more.
+
+    Checkpoints are Spark's own; ``spark.cleaner.referenceTracking.cleanCheckpoints`` removes those out of reach.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    while _made:
+        place = path(_made.pop())
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def written(df: DataFrame) -> DataFrame:
