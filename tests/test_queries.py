@@ -1,6 +1,7 @@
 """Every registered query of the library against its SQL twin in DuckDB."""
 
 import math
+import os
 import pathlib
 
 import duckdb
@@ -8,7 +9,7 @@ import pytest
 
 from tracekit.queries import ORACLES, QUERIES
 
-SF = "/root/testdata/sf0.001"
+SF = os.environ.get("TEST_SF", "/root/testdata/sf0.001")
 
 
 @pytest.fixture(scope="module")

@@ -114,28 +114,35 @@ def recall_curve(df: DataFrame, by: Sequence[str], step: float = 0.04, phase: st
     return threshold_sweep(df, by, [round(i * step, 6) for i in range(n + 1)], phase).select(*by, "threshold", "recall", "n_detected")
 
 
+def _finalised(z: np.ndarray) -> np.ndarray:
+    """The finaliser of MurmurHash3 on 32-bit words."""
+    z = (z ^ (z >> np.uint32(16))) * np.uint32(2246822507)
+    z = (z ^ (z >> np.uint32(13))) * np.uint32(3266489909)
+    return z ^ (z >> np.uint32(16))
+
+
 def bootstrap_ci(df: DataFrame, by: Sequence[str], value: str, key: Sequence[str], n_boot: int = 1000, level: float = 0.95, seed: int = 42, least: int = 5) -> DataFrame:
-    """Poisson bootstrap of the mean: each row gets one Poisson(1) weight a replicate, drawn from an MD5 of its key that is
-    mixed with the replicate's number (splitmix64).
+    """Poisson bootstrap of the mean: each row gets one Poisson(1) weight a replicate, drawn from two words of an MD5 of its key
+    that are mixed with the replicate's number (the finaliser of MurmurHash3, once a word).
 
     A task keeps two vectors of ``n_boot`` sums for each group it meets and returns them; no row is ever copied. Null
     below ``least`` values.
     """
-    rows = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"), F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), *key)), 1, 15), 16, 10).cast("long").alias("_h"))
+    word = lambda at: F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), *key)), at, 8), 16, 10).cast("long")
+    rows = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"), word(1).alias("_a"), word(9).alias("_b"))
     names, limits = list(by), np.cumsum([np.exp(-1) / f for f in np.cumprod([1, *range(1, 12)])])
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*by).schema)
 
     def partial(frames):
         held: dict[tuple, np.ndarray] = {}
-        turns = np.arange(1, n_boot + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        turns = np.arange(1, n_boot + 1, dtype=np.uint32) * np.uint32(2654435769)
         for pdf in frames:
             for group, part in pdf.groupby(names, sort=False, dropna=False):
                 sums = held.setdefault(group, np.zeros((3, n_boot)))
                 for at in range(0, len(part), 2000):
-                    h = part["_h"].to_numpy()[at : at + 2000].view(np.uint64)[:, None] + turns[None, :]
-                    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-                    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-                    w = np.searchsorted(limits, ((h ^ (h >> np.uint64(31))) >> np.uint64(11)) * 2.0**-53).astype(float)
+                    first, second = (part[c].to_numpy(np.int64)[at : at + 2000].astype(np.uint32)[:, None] for c in ("_a", "_b"))
+                    z = _finalised(_finalised(first + turns[None, :]) ^ second)
+                    w = np.searchsorted(limits, (z + 0.5) / 2.0**32).astype(float)
                     v = part["_v"].to_numpy()[at : at + 2000]
                     sums += np.stack([v @ w, w.sum(0), np.full(n_boot, len(v))])
         if held:

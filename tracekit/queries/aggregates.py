@@ -159,17 +159,22 @@ def a18_at_position_mcc(t):
     return t.fx_results.groupBy("weight").agg(metrics.mcc(F.count_if(p & s), F.count_if(~p & s), F.count_if(p & ~s), F.count_if(~p & ~s)).alias("mcc"))
 
 
-_MOD, _UP = "18446744073709551616::UHUGEINT", "::UHUGEINT"
-_POISSON = [round(sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)), 17) for k in range(12)]
+_POISSON = [sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) for k in range(12)]
+_MIX = [("z", "xor(z, z >> 16) * 2246822507 % 4294967296"), ("z", "xor(z, z >> 13) * 3266489909 % 4294967296"), ("z", "xor(z, z >> 16)")]
 
 
-@query(f"""WITH r AS (SELECT weight, abs(p_residual_s) AS v, CAST('0x' || substr(md5(concat_ws('|', '42', trace_id)), 1, 15) AS UBIGINT) AS h FROM {{fx_results}} WHERE p_residual_s IS NOT NULL),
-k AS (SELECT CAST((i{_UP} * 11400714819323198485{_UP}) % {_MOD} AS UBIGINT) AS t, i FROM range(1, 1001) x(i)),
-a AS (SELECT weight, v, i, CAST((h{_UP} + t{_UP}) % {_MOD} AS UBIGINT) AS z FROM r CROSS JOIN k),
-b AS (SELECT weight, v, i, CAST((xor(z, z >> 30){_UP} * 13787848793156543929{_UP}) % {_MOD} AS UBIGINT) AS z FROM a),
-c AS (SELECT weight, v, i, CAST((xor(z, z >> 27){_UP} * 10723151780598845931{_UP}) % {_MOD} AS UBIGINT) AS z FROM b),
-u AS (SELECT weight, v, i, CAST(xor(z, z >> 31) >> 11 AS DOUBLE) / 9007199254740992 AS u FROM c),
-w AS (SELECT weight, v, i, {" + ".join(f"CAST(u > {x!r} AS INTEGER)" for x in _POISSON)} AS w FROM u),
+def _mixed_sql(source: str, first: str) -> str:
+    """A chain of subqueries that finalises z, which is made from the source's columns."""
+    out = f"SELECT weight, v, i, b, {first} AS z FROM {source}"
+    for name, step in _MIX:
+        out = f"SELECT weight, v, i, b, {step} AS {name} FROM ({out})"
+    return out
+
+
+@query(f"""WITH d AS (SELECT weight, abs(p_residual_s) AS v, md5(concat_ws('|', '42', trace_id)) AS h FROM {{fx_results}} WHERE p_residual_s IS NOT NULL),
+r AS (SELECT weight, v, CAST('0x' || substr(h, 1, 8) AS UBIGINT) AS a, CAST('0x' || substr(h, 9, 8) AS UBIGINT) AS b FROM d), k AS (SELECT CAST(i AS UBIGINT) * 2654435769 % 4294967296 AS t, i FROM range(1, 1001) x(i)),
+one AS ({_mixed_sql('(SELECT r.*, k.* FROM r CROSS JOIN k)', '(a + t) % 4294967296')}), two AS ({_mixed_sql('one', 'xor(z, b)')}),
+w AS (SELECT weight, v, i, {" + ".join(f"CAST((z + 0.5::DOUBLE) / 4294967296 > {x!r}::DOUBLE AS INTEGER)" for x in _POISSON)} AS w FROM two),
 m AS (SELECT weight, i, sum(v * w) / sum(w) AS mean, count(*) AS n FROM w GROUP BY weight, i)
 SELECT weight, max(n) AS n, quantile_cont(mean, 0.025) AS ci_lo, quantile_cont(mean, 0.975) AS ci_hi FROM m GROUP BY weight""")
 def a19_bootstrap_ci(t):

@@ -179,7 +179,7 @@ def leaderboard(t):
 
 
 
-@query("""WITH ex AS (SELECT DISTINCT dataset, trace_name FROM {fx_catalog} WHERE source_id % 97 = 0), ok AS (SELECT * FROM {fx_catalog} WHERE p >= 0 AND s IS NOT NULL AND (dataset, trace_name) NOT IN (SELECT (dataset, trace_name) FROM ex) AND source_id % 50 <> 0),
+@query("""WITH ex AS (SELECT DISTINCT dataset, trace_name FROM {fx_catalog} WHERE source_id % 997 = 0 OR source_id % 991 = 1), ok AS (SELECT * FROM {fx_catalog} WHERE p >= 0 AND s IS NOT NULL AND (dataset, trace_name) NOT IN (SELECT (dataset, trace_name) FROM ex) AND source_id % 50 <> 0),
 b AS (SELECT rid, dataset, CASE WHEN km IS NULL THEN 'unknown' WHEN km < 150 THEN 'local' WHEN km < 1500 THEN 'regional' ELSE 'teleseismic' END AS distance_bin FROM ok),
 c AS (SELECT *, count(*) OVER (PARTITION BY dataset) AS n, count(*) OVER (PARTITION BY dataset, distance_bin) AS c, row_number() OVER (PARTITION BY dataset, distance_bin ORDER BY md5(concat_ws('|', '0', rid)), rid) AS r FROM b),
 p AS (SELECT *, CASE WHEN n <= 400 THEN c ELSE least(c, greatest(1, CAST(round_even(400 * c / n, 0) AS BIGINT))) END AS take FROM c),
@@ -187,12 +187,12 @@ s AS (SELECT dataset, 400 - sum(take) AS short FROM (SELECT DISTINCT dataset, di
 m AS (SELECT p.*, short, row_number() OVER (PARTITION BY p.dataset, r > take ORDER BY md5(concat_ws('|', '0+', rid)), rid) AS more FROM p JOIN s ON p.dataset = s.dataset)
 SELECT rid, dataset, distance_bin FROM m WHERE r <= take OR (n > 400 AND more <= short)""")
 def corpus_pool(t):
-    """Picks, exclusions by name and by event, bins and caps, as one job."""
+    """Picks, exclusions by benchmark, label report and event, bins and caps, as one job."""
     df = t.fx_catalog
     row_keys = df.select("rid", F.concat(F.lit("o:"), "source_id").alias("event_key"))
     excluded = df.where("source_id % 50 = 0").select(F.concat(F.lit("o:"), "source_id").alias("event_key"))
-    bench = df.where("source_id % 97 = 0").select("dataset", "trace_name")
-    out = corpus.prepare_catalog(df.select("rid", "dataset", "trace_name", "p", "s", "km", "vendor"), 400, bench, bench.limit(0), row_keys, excluded)
+    bench, bad = (df.where(rule).select("dataset", "trace_name") for rule in ("source_id % 997 = 0", "source_id % 991 = 1"))
+    out = corpus.prepare_catalog(df.select("rid", "dataset", "trace_name", "p", "s", "km", "vendor"), 400, bench, bad, row_keys, excluded)
     return out.select("rid", "dataset", "distance_bin")
 
 
