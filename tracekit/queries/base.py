@@ -103,3 +103,18 @@ def query(oracle: str | None = None):
         return make
 
     return register
+
+
+#: Rows connected through shared keys, and the event-grouped split of T13, as common table expressions. Rows and keys pass on
+#: the smallest row that they know of; a keyed recursion keeps one label for each.
+COMPONENTS_SQL = """WITH RECURSIVE e AS (SELECT DISTINCT rid AS a, '~' || event_key AS b FROM {fx_rowkeys}), link AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+cc(id, label) USING KEY (id) AS (SELECT a, min(b) FROM (SELECT a, a AS b FROM link UNION ALL SELECT b, a FROM link) GROUP BY a
+  UNION (SELECT u.id, min(v.label) AS label FROM recurring.cc u JOIN link ON link.a = u.id JOIN cc v ON v.id = link.b WHERE v.label < u.label GROUP BY u.id)),
+comp AS (SELECT id AS rid, label AS group_id FROM cc WHERE id NOT LIKE '~%')"""
+SPLIT_SQL = COMPONENTS_SQL + """,
+named AS (SELECT k.rid, k.vendor, c.group_id IS NULL AND k.vendor <> '' AS placed, coalesce(c.group_id, 'row:' || k.rid) AS group_id FROM {fx_keys} k LEFT JOIN comp c ON k.rid = c.rid),
+g AS (SELECT group_id, count(*) AS size FROM named WHERE NOT placed GROUP BY group_id), m AS (SELECT sum(size) AS m FROM g),
+run AS (SELECT group_id, size, sum(size) OVER (ORDER BY md5(concat_ws('|', '0', group_id)), group_id) - size AS before FROM g),
+v AS (SELECT coalesce(max(before + size), 0) AS stop FROM run, m WHERE before < floor(0.1 * m)),
+s AS (SELECT group_id, CASE WHEN before < floor(0.1 * m) THEN 'val' WHEN before >= stop AND before < stop + floor(0.1 * m) THEN 'test' ELSE 'train' END AS split FROM run, m, v),
+dealt AS (SELECT rid, CASE WHEN placed THEN vendor ELSE split END AS split FROM named LEFT JOIN s USING (group_id))"""

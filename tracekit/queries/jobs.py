@@ -11,7 +11,7 @@ from ..sources import catalogs
 from ..sources.scratch import new_folder
 from ..streaming import ingest
 from .aggregates import BINS, metrics_sql
-from .base import query
+from .base import SPLIT_SQL, query
 from .projections import COARSE_SQL, TECTONIC_SQL
 
 C = F.col
@@ -196,9 +196,12 @@ def corpus_pool(t):
     return out.select("rid", "dataset", "distance_bin")
 
 
-@query()
+@query(f"""{SPLIT_SQL}, b AS (SELECT rid, f.dataset, distance_bin, split FROM dealt JOIN {{fx_binned}} f USING (rid)),
+cnt AS (SELECT distance_bin, count(*) AS c FROM b WHERE split = 'train' GROUP BY distance_bin), tot AS (SELECT least(min(CAST(floor(c / 0.25) AS BIGINT)), sum(c)) AS total FROM cnt),
+r AS (SELECT *, row_number() OVER (PARTITION BY split, distance_bin ORDER BY md5(concat_ws('|', '0', rid)), rid) AS r FROM b)
+SELECT rid, dataset, distance_bin, split FROM r, tot WHERE split <> 'train' OR r <= round_even(total * 0.25, 0)""")
 def corpus_build(t):
-    """The whole training corpus; its parts have twins of their own, tests hold its invariants."""
+    """The event-grouped split of all rows, its training part balanced by distance."""
     df = t.fx_keys.join(t.fx_binned.select("rid", "distance_bin"), "rid")
     out = corpus.build_corpus(df.select("rid", "dataset", "distance_bin", "vendor"), t.fx_rowkeys, {b: 0.25 for b in BINS}, 0.1, 0.1)
     return out.select("rid", "dataset", "distance_bin", "split")

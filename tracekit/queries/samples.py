@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import joins, metrics, profile, sampling, splits
-from .base import query
+from .base import SPLIT_SQL, query
 
 C = F.col
 _H = "md5(concat_ws('|', '{s}', rid))"
@@ -90,9 +90,8 @@ def t12_ratio_split(t):
     return sampling.ratio_split(t.fx_catalog.select("rid"), 0.9, ["rid"], 0)
 
 
-@query()
+@query(f"{SPLIT_SQL} SELECT rid, split FROM dealt")
 def t13_event_grouped_split(t):
-    """A recursive twin over the keys of all rows is too slow; a test computes the whole split by hand."""
     return splits.event_grouped_split(t.fx_keys.select("rid", "vendor"), t.fx_rowkeys, 0.1, 0.1).select("rid", "split")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import filters, joins, keys, spacetime
-from .base import query
+from .base import COMPONENTS_SQL, query
 
 C = F.col
 
@@ -252,9 +252,8 @@ def a39_key_coverage(t):
     return keys.key_coverage(t.fx_keys, t.fx_rowkeys)
 
 
-@query()
+@query(f"{COMPONENTS_SQL} SELECT rid, group_id FROM comp")
 def t14_key_components(t):
-    """A recursive twin over the keys of all rows is too slow; a test holds it against a union-find."""
     return keys.key_components(t.fx_rowkeys)
 
 
