@@ -76,6 +76,7 @@ def test_sampling_invariants(spark):
     same = sampling.proportional_cap(df.repartition(7), 200, "stratum", ["rid"], dataset="dataset")
     assert same.exceptAll(sampling.proportional_cap(df, 200, "stratum", ["rid"], dataset="dataset")).count() == 0
     assert sampling.proportional_cap(df, 10_000, "stratum", ["rid"], dataset="dataset").count() == 3000
+    assert 300 <= sampling.proportional_cap(df, 300, "stratum", ["rid"]).count() <= 302
     two = sampling.two_level_cap(df, "stratum", "dataset", 30, 50, ["rid"]).groupBy("stratum").count().collect()
     assert all(r["count"] <= 50 for r in two)
     balanced = {r.stratum: r["count"] for r in sampling.rebalance(df, {"x": 0.5, "y": 0.5}, "stratum", ["rid"]).groupBy("stratum").count().collect()}

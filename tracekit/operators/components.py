@@ -10,24 +10,28 @@ from ..sources.scratch import checkpointed, written
 CROWD = 64  # rows that look up one value: from here on the value is offered to all tasks
 
 
-def led(rows: DataFrame, column: str, values: DataFrame, crowded: DataFrame, to: str) -> DataFrame:
+def led(rows: DataFrame, column: str, values: DataFrame, crowded: DataFrame | None, to: str) -> DataFrame:
     """``rows`` with ``values(key, value)`` of ``column`` in its place as ``to``; what has no value stays.
 
-    ``crowded(key, value)``, a written table, holds those of them that very many rows ask for. The planner knows its size and broadcasts
-    it while it is small, so that those rows do not meet in one task; where it is not small, a skewed join is split by AQE.
+    ``crowded(key, value)``, a written table, holds those of them that very many rows ask for, if there are any. The planner knows its
+    size and broadcasts it while it is small, so that those rows do not meet in one task; where it is not small, a skewed join is
+    split by AQE.
     """
     rest = [c for c in rows.columns if c != column]
-    many = crowded.select(F.col("key").alias("_k"), F.col("value").alias("_v"))
-    warm = rows.join(many, F.col(column) == F.col("_k")).select(*rest, F.coalesce("_v", column).alias(to))
-    cold = rows.join(many.select("_k"), F.col(column) == F.col("_k"), "left_anti")
     few = values.select(F.col("key").alias("_k"), F.col("value").alias("_v"))
-    cold = cold.join(few, F.col(column) == F.col("_k"), "left").select(*rest, F.coalesce("_v", column).alias(to))
-    return warm.unionByName(cold)
+    found = lambda df, other, how: df.join(other, F.col(column) == F.col("_k"), how)
+    named = lambda df: df.select(*rest, F.coalesce("_v", column).alias(to))
+    if crowded is None:
+        return named(found(rows, few, "left"))
+    many = crowded.select(F.col("key").alias("_k"), F.col("value").alias("_v"))
+    cold = found(rows, many.select("_k"), "left_anti")
+    return named(found(rows, many, "inner")).unionByName(named(found(cold, few, "left")))
 
 
-def _crowds(rows: DataFrame, column: str, values: DataFrame) -> DataFrame:
-    many = rows.groupBy(F.col(column).alias("key")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= CROWD).select("key")
-    return written(many.join(values, "key", "left").select("key", "value"))
+def _crowded(counts: DataFrame, values: DataFrame) -> DataFrame | None:
+    """The values of keys that ``counts(key, n)`` says are asked for by a crowd, as a written table; None if there are none."""
+    many = counts.where(F.col("n") >= CROWD).select("key")
+    return written(many.join(values, "key", "left").select("key", "value")) if many.limit(1).count() else None
 
 
 def smallest_labels(vertices: DataFrame, edges: DataFrame, seed: int = 7) -> DataFrame:
@@ -53,9 +57,9 @@ def smallest_labels(vertices: DataFrame, edges: DataFrame, seed: int = 7) -> Dat
         else:
             drawn = lambda c: F.struct(F.xxhash64(F.lit(seed + turn), c).alias("draw"), F.col(c).alias("id"))  # noqa: B023, E731
             first = F.least(drawn("a"), F.min(drawn("b")))["id"]
-        move = checkpointed(links.groupBy(F.col("a").alias("key")).agg(first.alias("value"), F.count(F.lit(1)).alias("links")))
-        crowded = written(move.where(F.col("links") >= CROWD).select("key", "value"))
-        move = move.select("key", "value")
+        counted = checkpointed(links.groupBy(F.col("a").alias("key")).agg(first.alias("value"), F.count(F.lit(1)).alias("n")))
+        move = counted.select("key", "value")
+        crowded = _crowded(counted, move)
         moves.append(move)
         moved = led(led(links, "a", move, crowded, "a"), "b", move, crowded, "b")
         links = checkpointed(moved.where("a <> b").distinct())
@@ -63,10 +67,11 @@ def smallest_labels(vertices: DataFrame, edges: DataFrame, seed: int = 7) -> Dat
     if not moves:
         return whole.select("id", F.col("id").alias("component"))
     root = moves[-1]
+    asked = lambda rows: rows.groupBy(F.col("value").alias("key")).agg(F.count(F.lit(1)).alias("n"))
     for move in reversed(moves[:-1]):
-        root = checkpointed(led(move, "value", root, _crowds(move, "value", root), "value"))
+        root = checkpointed(led(move, "value", root, _crowded(asked(move), root), "value"))
     if len(moves) > 2:  # rounds by hash end at any vertex of a component
         low = checkpointed(root.groupBy(F.col("value").alias("key")).agg(F.min("key").alias("value")))
-        root = led(root, "value", low, _crowds(root, "value", low), "value")
+        root = led(root, "value", low, _crowded(asked(root), low), "value")
     found = root.select(F.col("key").alias("id"), F.col("value").alias("component"))
     return whole.join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
