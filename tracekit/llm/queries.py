@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import feistel_pii, line_quality, main_text, merkle_proofs, minhash_hamming, piece_lattice, pivot_lists, ppm_language, reply_trees, secret_links, soft_mixing, token_alignment
+from . import feistel_pii, line_quality, main_text, merkle_proofs, minhash_hamming, nb_toxicity, piece_lattice, pivot_lists, ppm_language, reply_trees, secret_links, soft_mixing, token_alignment
 from .common import table
 
 
@@ -60,7 +60,11 @@ def op12_merkle_proofs(spark, sf_dir):
     return merkle_proofs.manifest_digest(table(spark, sf_dir, "documents"))
 
 
-_ALL = (op1_piece_lattice, op2_secret_links, op3_ppm_language, op4_feistel_pii, op5_soft_mixing, op6_main_text, op7_minhash_hamming, op8_pivot_lists, op9_chat_format, op10_line_quality, op11_token_alignment, op12_merkle_proofs)
+def op13_nb_toxicity(spark, sf_dir):
+    return nb_toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+_ALL = (op1_piece_lattice, op2_secret_links, op3_ppm_language, op4_feistel_pii, op5_soft_mixing, op6_main_text, op7_minhash_hamming, op8_pivot_lists, op9_chat_format, op10_line_quality, op11_token_alignment, op12_merkle_proofs, op13_nb_toxicity)
 QUERIES = {f.__name__: f for f in _ALL}
 ORACLES = {
     "op2_secret_links": secret_links.ORACLE,
