@@ -121,7 +121,8 @@ def manifest(leaves: DataFrame, by: str, order: Sequence[str], leaf_col: str = "
     parent = node(F.col("g"), F.col("level") + 1, F.floor(F.col("idx") / fan))
     segment, nothing = F.array(F.struct("before", "after")).alias("segment"), F.lit(None).cast("binary")
     last = F.col("level") + 1 == F.col("height")
-    low = nodes.select(*NODE, F.when(last, node(F.lit(TOP), F.lit(0), F.col("g"))).otherwise(parent).alias("up"), segment, nothing.alias("subroot"))
+    above_subroot = F.when(F.lit(sizes["groups"] > 1), node(F.lit(TOP), F.lit(0), F.col("g")))  # a lone subroot is the root
+    low = nodes.select(*NODE, F.when(~last, parent).otherwise(above_subroot).alias("up"), segment, nothing.alias("subroot"))
     high = above.select(*NODE, F.when(~last, parent).alias("up"), segment, F.when(F.col("level") == 0, F.col("digest")).alias("subroot"))
     alone = F.col("height") == 0
     rows = rows.select(*leaves.columns, F.when(alone, TOP).otherwise(F.col("g")).cast("long").alias("g"), F.lit(0).alias("level"), F.when(alone, F.col("g")).otherwise(F.col("idx")).alias("idx"))

@@ -78,7 +78,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, sample_rows: int) -> Dat
     share = {k: min(1.0, sample_rows / 2 / n) for k, n in sizes.items()}
     chance = F.when(F.col("_toxic") == 1, share.get(1, 0.0)).otherwise(share.get(0, 0.0))
     draw = F.pmod(F.xxhash64(F.lit(23), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    chosen = named.where(draw < chance).select(F.col("doc_id").alias("_id"), "_toxic", (1 / chance).alias("_weight"))
+    chosen = named.where(draw < chance).select(F.col("doc_id").alias("_id"), "_toxic", (1 / F.nullif(chance, F.lit(0.0))).alias("_weight"))
     joined = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))  # sample_rows short rows, expected
     return joined.select("text", F.col("_toxic").alias("toxic"), F.col("_weight").alias("weight"))
 
