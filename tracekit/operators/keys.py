@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.scratch import checkpointed
+from ..sources.scratch import written
 from .components import smallest_labels
 
 NONE = "array<string>"
+FEW = 200_000  # linking keys among which no crowded one is sought
 
 
 def scalar_key(dataset: Column, event: Column) -> Column:
@@ -77,13 +78,45 @@ def key_coverage(df: DataFrame, row_keys: DataFrame, row: str = "rid", dataset:
     return df.join(keyed, row, "left").groupBy(dataset).agg(F.avg(F.coalesce("_k", F.lit(0))).alias("coverage"), F.count(F.lit(1)).alias("n_rows"))
 
 
-def key_components(row_keys: DataFrame, row: str = "rid") -> DataFrame:
+def row_ends(row_keys: DataFrame, row: str = "rid") -> DataFrame:
+    """(a, low, high, n): each row with its smallest and largest key and how many it lists."""
+    return row_keys.groupBy(F.col(row).alias("a")).agg(F.min("event_key").alias("low"), F.max("event_key").alias("high"), F.count("event_key").alias("n"))
+
+
+def key_labels(row_keys: DataFrame, row: str = "rid", known: DataFrame | None = None, ends: DataFrame | None = None) -> DataFrame:
+    """(key, label) of the keys that rows link to other keys, label being the smallest key of theirs; all other keys stand alone.
+
+    Only rows with two keys or more link keys, a small part of most corpora, so components are sought on this small graph
+    and not on all rows. ``known`` are the labels of rows before these: their components enter as one vertex each, and
+    the result is that of all rows together. ``ends`` is the table of ``row_ends`` if it is at hand.
+    """
+    several = (row_ends(row_keys, row) if ends is None else ends).where("low <> high")
+    links = several.select(F.col("low").alias("a"), F.col("high").alias("b"))
+    more = several.where("n > 2").select(F.col("a").alias("_a"), "low")  # their other keys are looked up
+    if more.limit(1).count():
+        others = row_keys.select(F.col(row).alias("_r"), F.col("event_key").alias("b")).join(more, F.col("_r") == F.col("_a")).where("b <> low")
+        links = links.unionByName(others.select(F.col("low").alias("a"), "b"))
+    links = written(links.distinct())
+    ends = links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id"))).distinct()
+    if known is None:
+        return smallest_labels(ends, links, few=FEW).select(F.col("id").alias("key"), F.col("component").alias("label"))
+    old = known.select(F.col("key").alias("_k"), F.col("label").alias("_l"))
+    mapped = lambda df, c: df.join(old, F.col(c) == F.col("_k"), "left").withColumn(c, F.coalesce("_l", c)).drop("_k", "_l")
+    whole = smallest_labels(mapped(ends, "id").distinct(), mapped(mapped(links, "a"), "b").where("a <> b").distinct(), few=FEW)
+    whole = written(whole.select(F.col("id").alias("_id"), F.col("component").alias("_c")))
+    moved = known.join(whole, F.col("label") == F.col("_id"), "left").select("key", F.coalesce("_c", "label").alias("label"))
+    fresh = ends.join(old, F.col("id") == F.col("_k"), "left_anti").join(whole, F.col("id") == F.col("_id")).select(F.col("id").alias("key"), F.col("_c").alias("label"))
+    return moved.unionByName(fresh)
+
+
+def key_components(row_keys: DataFrame, row: str = "rid", labels: DataFrame | None = None) -> DataFrame:
     """(row, group_id): rows connected through shared keys; the group is named by its smallest row.
 
-    Each key links its rows to the smallest of them, so a key with very many rows gives one link a row and no
-    pairs; the rest is a matter of connected components.
+    Every row belongs to the component of its smallest key (``labels``, see ``key_labels``; found here if not given). Names are minima
+    that are combined before their shuffle, so a key with very many rows costs one row each and no pairs.
     """
-    edges = checkpointed(row_keys.select(F.col(row).alias("a"), F.col("event_key").alias("key")).distinct())
-    links = edges.join(edges.groupBy("key").agg(F.min("a").alias("b")), "key").select("a", "b")
-    found = smallest_labels(edges.select(F.col("a").alias("id")), links)
-    return found.select(F.col("id").alias(row), F.col("component").alias("group_id"))
+    ends = written(row_ends(row_keys, row))
+    found = (labels if labels is not None else key_labels(row_keys, row, ends=ends)).select(F.col("key").alias("_k"), "label")
+    rows = written(ends.join(found, F.col("low") == F.col("_k"), "left").select("a", F.coalesce("label", "low").alias("label")))
+    names = rows.groupBy(F.col("label").alias("_l")).agg(F.min("a").alias("group_id"))
+    return rows.join(names, F.col("label") == F.col("_l")).select(F.col("a").alias(row), "group_id")

@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .bootstrap import OfSums, intervals, mean
 from .quantiles import exact_quantiles, same_group, with_quantiles
 
 # Thresholds in seconds and probability.
@@ -54,19 +53,20 @@ def mcc(tp: Column, fp: Column, fn: Column, tn: Column) -> Column:
 
 
 def pick_metrics(df: DataFrame, by: Sequence[str], p_threshold: float = P_PROB, s_threshold: float = S_PROB, ci_key: Sequence[str] | None = None) -> DataFrame:
-    """One row a slice; an empty slice gives no row. ``ci_key``, the unique key of a row, adds bootstrap intervals of errors and recalls."""
+    """One row a slice; an empty slice gives no row. ``ci_key``, the unique key of a row, adds bootstrap intervals of
+    errors, recalls and the MCC, all in one pass."""
     out = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n_traces"), *phase_metrics("p", p_threshold), *phase_metrics("s", s_threshold), phase_mcc().alias("mcc")).withColumn("outlier_thr_s", F.lit(OUTLIER_S))
     out = _median_probabilities(out, df, by)
     if ci_key is None:
         return out
+    asked = {"mcc": mcc_of_sums()}
     for phase, threshold in (("p", p_threshold), ("s", s_threshold)):
-        true = df.where(F.col(f"{phase}_in_window") >= 0)
-        for name, value in ((f"{phase}_mae_s", F.abs(f"{phase}_residual_s")), (f"{phase}_recall", (F.col(f"{phase}_prob") >= threshold).cast("double"))):
-            ci = bootstrap_ci(true.withColumn("_value", value), by, "_value", ci_key)
-            ci = ci.select(*[F.col(b).alias(f"_ci_{b}") for b in by], F.col("ci_lo").alias(f"{name}_ci_lo"), F.col("ci_hi").alias(f"{name}_ci_hi"))
-            same = [F.col(b).eqNullSafe(F.col(f"_ci_{b}")) for b in by]
-            out = out.join(ci, same, "left").drop(*[f"_ci_{b}" for b in by])
-    return out
+        true = F.col(f"{phase}_in_window") >= 0
+        asked[f"{phase}_mae_s"] = mean(F.when(true, F.abs(f"{phase}_residual_s")))
+        asked[f"{phase}_recall"] = mean(F.when(true, (F.col(f"{phase}_prob") >= threshold).cast("double")))
+    ci = intervals(df, by, asked, ci_key)
+    ci = ci.select(*[F.col(b).alias(f"_g_{b}") for b in by], *[f"{n}_{e}" for n in asked for e in ("ci_lo", "ci_hi")])
+    return (out.join(ci, same_group(out, ci, by), "left") if by else out.crossJoin(F.broadcast(ci))).drop(*[f"_g_{b}" for b in by])  # one row each
 
 
 def _median_probabilities(out: DataFrame, df: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -84,8 +84,8 @@ def degenerate_scorers(df: DataFrame, recall: float = 0.99, mae: float = 2.0, th
     return stats.select("weight", F.coalesce((F.col("_r") > recall) & (F.col("_m") > mae), F.lit(False)).alias("degenerate"))
 
 
-def threshold_sweep(df: DataFrame, by: Sequence[str], thresholds: Sequence[float], phase: str = "p") -> DataFrame:
-    """Recall, detected-only error and outliers by threshold.
+def threshold_sweep(df: DataFrame, by: Sequence[str], thresholds: Sequence[float], phase: str = "p", medians: bool = False) -> DataFrame:
+    """Recall, detected-only error and outliers by threshold; ``medians`` adds the exact detected-only median error.
 
     One histogram over the thresholds that a probability reaches, then sums over the cells above each threshold: a
     row is counted once however many thresholds there are.
@@ -105,7 +105,41 @@ def threshold_sweep(df: DataFrame, by: Sequence[str], thresholds: Sequence[float
         some = F.nullif(k, none)
         return F.struct(x.alias("threshold"), n.alias("n_detected"), (n / F.nullif(add(F.col("_c"), "n", none), none)).alias("recall"), (add(over, "r", nought) / some).alias("mae_cond"), (add(over, "o", none) / some).alias("outlier_cond"))
 
-    return held.select(*by, F.inline(F.transform(F.array(*map(F.lit, marks)), at)))
+    out = held.select(*by, F.inline(F.transform(F.array(*map(F.lit, marks)), at)))
+    return with_medians(out, df.select(*by, F.when(true, reached).alias("_at"), r.alias("_v")), by, marks) if medians else out
+
+
+def with_medians(out: DataFrame, rows: DataFrame, by: Sequence[str], marks: Sequence[float], cells: int = 256) -> DataFrame:
+    """Adds median_cond to a sweep: for each threshold the median _v of rows whose _at, the thresholds they reach, lies above its number.
+
+    The thresholds' subsets are nested, so one histogram by (_at, cell of the value), its cells bounded by sample quantiles, serves all:
+    summed over the _at above a threshold it names the cells that hold the median. Only values of those cells are counted,
+    again by _at, and given to the thresholds that ask for their cell.
+    """
+    by = list(by)
+    rows = rows.select(*by, "_at", F.nanvl(F.col("_v").cast("double"), F.lit(None)).alias("_v")).where("_v IS NOT NULL AND _at > 0")
+    edges = rows.groupBy(*by).agg(F.approx_percentile("_v", F.array(*[F.lit((k + 1) / cells) for k in range(cells - 1)]), F.lit(10 * cells)).alias("_e")).select(*[F.col(b).alias(f"_g_{b}") for b in by], "_e")
+    dealt = rows.join(edges, same_group(rows, edges, by)) if by else rows.crossJoin(F.broadcast(edges))  # one row
+    # edges below the value, by halving; equal values share a cell
+    halve = lambda acc, _: F.when(acc["l"] >= acc["h"], acc).otherwise(F.when(F.get("_e", F.shiftright(acc["l"] + acc["h"], 1)) < F.col("_v"), F.struct((F.shiftright(acc["l"] + acc["h"], 1) + 1).alias("l"), acc["h"].alias("h"))).otherwise(F.struct(acc["l"].alias("l"), F.shiftright(acc["l"] + acc["h"], 1).alias("h"))))
+    cell = F.aggregate(F.sequence(F.lit(0), F.lit(cells.bit_length())), F.struct(F.lit(0).alias("l"), F.lit(cells - 1).alias("h")), halve)["l"]
+    dealt = dealt.select(*by, "_at", "_v", cell.alias("_cell"))
+    above = F.explode(F.transform(F.sequence(F.lit(0), F.col("_at") - 1), lambda i: i)).alias("_i")  # of counts, not of rows
+    counts = dealt.groupBy(*by, "_at", "_cell").agg(F.count(F.lit(1)).alias("_n")).select(*by, "_cell", "_n", above).groupBy(*by, "_i", "_cell").agg(F.sum("_n").alias("_n"))
+    whole = Window.partitionBy(*by, "_i")  # a row a cell
+    counts = counts.withColumn("_before", F.sum("_n").over(whole.orderBy("_cell")) - F.col("_n")).withColumn("_place", 0.5 * (F.sum("_n").over(whole) - 1))
+    asked = counts.where((F.col("_before") <= F.ceil("_place")) & (F.floor("_place") < F.col("_before") + F.col("_n")))
+    asked = asked.groupBy(*[F.col(b).alias(f"_g_{b}") for b in [*by, "_cell"]]).agg(F.collect_list(F.struct("_i", "_before", "_place")).alias("_need"))  # a row a threshold
+    held = dealt.join(asked, same_group(dealt, asked, [*by, "_cell"])).groupBy(*by, "_cell", "_at", "_v", "_need").agg(F.count(F.lit(1)).alias("_n"))
+    given = held.select(*by, "_cell", "_v", "_n", F.inline(F.filter("_need", lambda s: s["_i"] < F.col("_at")))).groupBy(*by, "_cell", "_i", "_before", "_place", "_v").agg(F.sum("_n").alias("_n"))
+    given = given.withColumn("_upto", F.col("_before") + F.sum("_n").over(Window.partitionBy(*by, "_cell", "_i").orderBy("_v")))
+    reach = lambda rank: F.min(F.when(F.col("_upto") > rank, F.col("_v")))
+    found = given.groupBy(*[F.col(b).alias(f"_g_{b}") for b in by], "_i", "_place").agg(reach(F.floor("_place")).alias("_x"), reach(F.ceil("_place")).alias("_y"))
+    names = F.array(*map(F.lit, marks))
+    found = found.select(*[f"_g_{b}" for b in by], F.get(names, F.col("_i")).alias("_g_threshold"), ((F.col("_x") + F.col("_y")) / 2).alias("median_cond"))
+    return out.join(found, same_group(out, found, [*by, "threshold"]), "left").drop(*[f"_g_{b}" for b in [*by, "threshold"]])
+
+
 
 
 def recall_curve(df: DataFrame, by: Sequence[str], step: float = 0.04, phase: str = "p") -> DataFrame:
@@ -114,46 +148,23 @@ def recall_curve(df: DataFrame, by: Sequence[str], step: float = 0.04, phase: st
     return threshold_sweep(df, by, [round(i * step, 6) for i in range(n + 1)], phase).select(*by, "threshold", "recall", "n_detected")
 
 
-def _finalised(z: np.ndarray) -> np.ndarray:
-    """The finaliser of MurmurHash3 on 32-bit words."""
-    z = (z ^ (z >> np.uint32(16))) * np.uint32(2246822507)
-    z = (z ^ (z >> np.uint32(13))) * np.uint32(3266489909)
-    return z ^ (z >> np.uint32(16))
+def bootstrap_ci(df: DataFrame, by: Sequence[str], value: str, key: Sequence[str], n_boot: int = 1000, level: float = 0.95, seed: int = 42, least: int = 5) -> DataFrame:
+    """(by, n, ci_lo, ci_hi): Poisson bootstrap of the mean over values that are not null; null below ``least`` of them."""
+    ci = intervals(df.where(F.col(value).isNotNull()), by, {"v": mean(F.col(value))}, key, n_boot, level, seed, least)
+    return ci.select(*by, F.col("v_n").alias("n"), F.col("v_ci_lo").alias("ci_lo"), F.col("v_ci_hi").alias("ci_hi"))
 
 
-def bootstrap_ci(df: DataFrame, by: Sequence[str], value: str, key: Sequence[str], n_boot: int = 1000, level: float = 0.95, seed: int = 42, least: int = 5) -> DataFrame:
-    """Poisson bootstrap of the mean: each row gets one Poisson(1) weight a replicate, drawn from two words of an MD5 of its key
-    that are mixed with the replicate's number (the finaliser of MurmurHash3, once a word).
+def mcc_of_sums() -> OfSums:
+    """The P-against-S correlation as a function of three weighted counts."""
+    both = (F.col("p_in_window") >= 0) & (F.col("s_in_window") >= 0)
+    count = lambda condition: F.when(condition, F.lit(1.0))
 
-    A task keeps two vectors of ``n_boot`` sums for each group it meets and returns them; no row is ever copied. Null
-    below ``least`` values.
-    """
-    word = lambda at: F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), *key)), at, 8), 16, 10).cast("long")
-    rows = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"), word(1).alias("_a"), word(9).alias("_b"))
-    names, limits = list(by), np.cumsum([np.exp(-1) / f for f in np.cumprod([1, *range(1, 12)])])
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*by).schema)
-
-    def partial(frames):
-        held: dict[tuple, np.ndarray] = {}
-        turns = np.arange(1, n_boot + 1, dtype=np.uint32) * np.uint32(2654435769)
-        for pdf in frames:
-            for group, part in pdf.groupby(names, sort=False, dropna=False):
-                sums = held.setdefault(group, np.zeros((3, n_boot)))
-                for at in range(0, len(part), 2000):
-                    first, second = (part[c].to_numpy(np.int64)[at : at + 2000].astype(np.uint32)[:, None] for c in ("_a", "_b"))
-                    z = _finalised(_finalised(first + turns[None, :]) ^ second)
-                    w = np.searchsorted(limits, (z + 0.5) / 2.0**32).astype(float)
-                    v = part["_v"].to_numpy()[at : at + 2000]
-                    sums += np.stack([v @ w, w.sum(0), np.full(n_boot, len(v))])
-        if held:
-            yield pd.DataFrame([[*g, list(s[0]), list(s[1]), int(s[2][0])] for g, s in held.items()], columns=[*names, "_vw", "_w", "_n"])
-
-    parts = rows.mapInPandas(partial, f"{kinds}, _vw array<double>, _w array<double>, _n long")
-    long = parts.select(*by, "_n", F.posexplode(F.arrays_zip("_vw", "_w")).alias("replicate", "_x"))
-    means = long.groupBy(*by, "replicate").agg((F.sum("_x._vw") / F.nullif(F.sum("_x._w"), F.lit(0.0))).alias("_mean"), F.sum("_n").alias("_n"))
-    low, high = (1 - level) / 2, (1 + level) / 2
-    ci = lambda q: F.when(F.max("_n") >= least, F.percentile("_mean", F.lit(q)))  # of n_boot values
-    return means.groupBy(*by).agg(F.max("_n").alias("n"), ci(low).alias("ci_lo"), ci(high).alias("ci_hi"))
+    def value(s: list[Column]) -> Column:
+        n, a, b = s
+        under = (a + b) * (2 * n - a - b)
+        return F.when(n > 0, F.when(under == 0, 0.0).otherwise((a - b) / F.sqrt(F.when(under > 0, under))))
+
+    return OfSums((count(both), count(both & (F.col("p_prob") > F.col("s_prob"))), count(both & (F.col("s_prob") > F.col("p_prob")))), value, both)
 
 
 def box_summary(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:

@@ -46,7 +46,7 @@ def rolling_mean(df: DataFrame, group: Sequence[str], order: Sequence[str], valu
     """
     at = numbered(df.withColumn("_v", F.nanvl(F.col(value).cast("double"), F.lit(None))), group, order)
     sizes = at.groupBy(*group).agg(F.count(F.lit(1)).alias("_size")).select(*[F.col(g).alias(f"_g_{g}") for g in group], (width if isinstance(width, Column) else F.lit(width)).cast("long").alias("_width"))
-    rows = at.join(sizes, same_group(at, sizes, group)).drop(*[f"_g_{g}" for g in group])
+    rows = (at.join(sizes, same_group(at, sizes, group)) if group else at.crossJoin(F.broadcast(sizes))).drop(*[f"_g_{g}" for g in group])  # one row
     rows = rows.withColumn("_block", F.floor((F.col("_at") - 1) / F.col("_width"))).withColumn("_o", (F.col("_at") - 1) % F.col("_width")).withColumn("_piece", F.floor(F.col("_o") / PIECE))
     blocks, pieces = [*group, "_block"], [*group, "_block", "_piece"]
     front, rear = (Window.partitionBy(*pieces).orderBy(o).rowsBetween(Window.unboundedPreceding, 0) for o in (F.col("_o"), F.desc("_o")))

@@ -15,14 +15,15 @@ def same_group(left: DataFrame, right: DataFrame, by: Sequence[str], prefix: str
 
 
 def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, at: Sequence[float], accuracy: int = 10_000) -> DataFrame:
-    """(by, quantiles): linearly interpolated quantiles of each group, in the order of ``at``; groups without values have no row.
+    """(by, quantiles): linearly interpolated quantiles of each group, in the order of ``at``; NaN is no value, and groups
+    without values have no row.
 
     A percentile aggregate holds every distinct value of a group in one task. Here a mergeable sketch with a rank error of
     1/accuracy brackets each quantile, one pass counts what lies below a bracket, and only the values inside it, a few
     ten-thousandths of the group, are ranked.
     """
     by, slack = list(by), 3 / accuracy
-    rows = df.select(*by, F.col(value).cast("double").alias("_v")).where("_v IS NOT NULL")
+    rows = df.select(*by, F.nanvl(F.col(value).cast("double"), F.lit(None)).alias("_v")).where("_v IS NOT NULL")
     ends = [min(max(q + s, 0.0), 1.0) for q in at for s in (-slack, slack)]
     sketch = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.approx_percentile("_v", F.array(*map(F.lit, ends)), F.lit(accuracy)).alias("_m"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
     few = F.col("_n") * slack < 4  # a bracket must hold the ranks on both sides of the quantile; so few values are ranked as they are

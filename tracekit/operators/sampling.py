@@ -80,21 +80,22 @@ def cap(df: DataFrame, n: int, key: list[str], seed=0) -> DataFrame:
 def proportional_cap(df: DataFrame, limit: int, stratum: str, key: list[str], seed=0, dataset: str | None = None) -> DataFrame:
     """Stratified cap of each dataset: ``max(1, round(limit * share))`` rows a stratum, topped up to the limit from the rest.
 
-    Rounding is half-even and may exceed the limit; datasets within the limit stay whole.
+    Rounding is half-even and may exceed the limit; datasets within the limit stay whole; a null dataset or stratum is one like others.
     """
     group = [dataset] if dataset else []
     sizes = df.groupBy(*group, stratum).agg(F.count(F.lit(1)).alias("_c"))
     totals = sizes.groupBy(*group).agg(F.sum("_c").alias("_n"))
-    joined = sizes.join(totals, group) if group else sizes.crossJoin(F.broadcast(totals))  # one row
+    beside = lambda left, right: left.join(right, same_group(left, right, group)).drop(*[f"_g_{g}" for g in group]) if group else left.crossJoin(F.broadcast(right))  # one row
+    joined = beside(sizes, totals.withColumnsRenamed({g: f"_g_{g}" for g in group}))
     take = F.least("_c", F.greatest(F.lit(1), F.bround(limit * F.col("_c") / F.col("_n")).cast("long")))
     plan = joined.withColumn("_take", F.when(F.col("_n") <= limit, F.col("_c")).otherwise(take))
     short = plan.groupBy(*group).agg((F.lit(limit) - F.sum("_take")).alias("_short"))
-    plan = plan.join(short, group) if group else plan.crossJoin(F.broadcast(short))  # one row
+    plan = beside(plan, short.withColumnsRenamed({g: f"_g_{g}" for g in group}))
     taken, left = divided(df, [*group, stratum], plan.select(*group, stratum, "_take"), key, seed)
     # the best ``limit`` of the rest hold every top-up; groups within the limit have no rest
-    lacking = plan.where((F.col("_n") > limit) & (F.col("_short") > 0)).select(*group, "_short").distinct()
+    lacking = plan.where((F.col("_n") > limit) & (F.col("_short") > 0)).select(*[F.col(g).alias(f"_g_{g}") for g in group], "_short").distinct()
     if group:
-        more = _ranked(left, group, key, f"{seed}+", "_more").where(F.col("_more") <= limit).join(lacking, group).where(F.col("_more") <= F.col("_short"))
+        more = beside(_ranked(left, group, key, f"{seed}+", "_more").where(F.col("_more") <= limit), lacking).where(F.col("_more") <= F.col("_short"))
     else:
         best = left.withColumn("_draw", draw(f"{seed}+", *key)).orderBy("_draw", *key).limit(limit)
         more = best.withColumn("_more", F.row_number().over(Window.orderBy("_draw", *key))).crossJoin(F.broadcast(lacking)).where(F.col("_more") <= F.col("_short"))  # one row
@@ -173,7 +174,3 @@ def shuffled(df: DataFrame, key: list[str], seed=0) -> DataFrame:
     """Sorted by the draw, for export."""
     return df.withColumn("_draw", draw(seed, *key)).orderBy("_draw", *key).drop("_draw")
 
-
-def batches(df: DataFrame, client: str, size: int, order: list[str]) -> DataFrame:
-    return df.withColumn("batch", F.ceil(F.row_number().over(Window.partitionBy(client).orderBy(*order)) / size).cast("int"))
-

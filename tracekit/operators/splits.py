@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
 from .keys import key_components
 from .sampling import draw
 
@@ -41,6 +42,7 @@ def event_grouped_split(df: DataFrame, row_keys: DataFrame, val: float, test: fl
     named = df.join(groups, row, "left")
     placed = F.col("group_id").isNull() & F.col(vendor).isin("train", "val", "test")
     named = named.withColumn("_placed", placed).withColumn("group_id", F.coalesce("group_id", F.concat(F.lit("row:"), F.col(row))))
+    named = written(named)  # read three times
     sizes = named.where("NOT _placed").groupBy("group_id").agg(F.count(F.lit(1)).alias("size"))
     total = sizes.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("_m"))
     part = lambda f: total.select(F.floor(f * F.col("_m")).cast("long").alias("_target"))

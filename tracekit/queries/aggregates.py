@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from ..operators import metrics, profile
+from ..operators import bootstrap, metrics, profile
 from .base import query
 
 C = F.col
@@ -181,6 +181,23 @@ def a19_bootstrap_ci(t):
     return metrics.bootstrap_ci(t.fx_results.withColumn("r", F.abs("p_residual_s")), ["weight"], "r", ["trace_id"])
 
 
+_BOTH = "(p_in_window >= 0 AND s_in_window >= 0)"
+
+
+@query(f"""WITH d AS (SELECT weight, abs(p_residual_s) AS v, CAST({_BOTH} AS INTEGER) AS n, CAST({_BOTH} AND p_prob > s_prob AS INTEGER) AS x, CAST({_BOTH} AND s_prob > p_prob AS INTEGER) AS y, md5(concat_ws('|', '42', trace_id)) AS h FROM {{fx_results}}),
+r AS (SELECT weight, struct_pack(v := v, n := n, x := x, y := y) AS v, CAST('0x' || substr(h, 1, 8) AS UBIGINT) AS a, CAST('0x' || substr(h, 9, 8) AS UBIGINT) AS b FROM d), k AS (SELECT CAST(i AS UBIGINT) * 2654435769 % 4294967296 AS t, i FROM range(1, 1001) x(i)),
+one AS ({_mixed_sql('(SELECT r.*, k.* FROM r CROSS JOIN k)', '(a + t) % 4294967296')}), two AS ({_mixed_sql('one', 'xor(z, b)')}),
+w AS (SELECT weight, v.v AS v, v.n AS n, v.x AS x, v.y AS y, i, {" + ".join(f"CAST((z + 0.5::DOUBLE) / 4294967296 > {x!r}::DOUBLE AS INTEGER)" for x in _POISSON)} AS w FROM two),
+s AS (SELECT weight, i, sum(w * n) AS n, sum(w * x) AS x, sum(w * y) AS y FROM w GROUP BY weight, i), mcc AS (SELECT weight, CASE WHEN n > 0 THEN CASE WHEN (x + y) * (2 * n - x - y) = 0 THEN 0.0 ELSE (x - y) / sqrt((x + y) * (2 * n - x - y)) END END AS m FROM s),
+g AS (SELECT weight, i, v, sum(w) AS w FROM w WHERE v IS NOT NULL AND w > 0 GROUP BY weight, i, v), u AS (SELECT *, sum(w) OVER (PARTITION BY weight, i ORDER BY v) AS upto, (sum(w) OVER (PARTITION BY weight, i) - 1) / 2 AS place FROM g),
+q AS (SELECT weight, i, (min(v) FILTER (upto > floor(place)) + min(v) FILTER (upto > ceil(place))) / 2 AS m FROM u GROUP BY weight, i)
+SELECT weight, mcc_ci_lo, mcc_ci_hi, median_ci_lo, median_ci_hi, mcc_n, median_n FROM (SELECT weight, quantile_cont(m, 0.025) AS mcc_ci_lo, quantile_cont(m, 0.975) AS mcc_ci_hi FROM mcc GROUP BY weight)
+ JOIN (SELECT weight, quantile_cont(m, 0.025) AS median_ci_lo, quantile_cont(m, 0.975) AS median_ci_hi FROM q GROUP BY weight) USING (weight) JOIN (SELECT weight, sum(n) AS mcc_n, count(v) AS median_n FROM d GROUP BY weight) USING (weight)""")
+def a19_bootstrap_statistics(t):
+    """Intervals of the P-against-S correlation, a function of counts, and of the median error."""
+    return bootstrap.intervals(t.fx_results, ["weight"], {"mcc": metrics.mcc_of_sums(), "median": bootstrap.Quantile(F.abs("p_residual_s"))}, ["trace_id"])
+
+
 @query("SELECT weight, coalesce(avg(CASE WHEN p_prob >= 0.3 THEN 1 ELSE 0 END) > 0.5 AND avg(abs(p_residual_s)) > 2, false) AS degenerate FROM {fx_results} GROUP BY weight")
 def a20_degenerate_scorers(t):
     return metrics.degenerate_scorers(t.fx_results, recall=0.5)
@@ -189,15 +206,15 @@ def a20_degenerate_scorers(t):
 def _sweep_sql(values: str, columns: str) -> str:
     true = "p_in_window >= 0"
     return f"""SELECT weight, dist_bin, threshold, {columns} FROM (SELECT weight, dist_bin, CAST(t AS DOUBLE) AS threshold, count(*) FILTER ({true} AND p_prob >= t) AS n_detected, avg(CASE WHEN p_prob >= t THEN 1 ELSE 0 END) FILTER ({true}) AS recall,
- avg(abs(p_residual_s)) FILTER ({true} AND p_prob >= t) AS mae_cond, avg(CASE WHEN abs(p_residual_s) > 1.5 THEN 1 ELSE 0 END) FILTER ({true} AND p_prob >= t) AS outlier_cond FROM {{fx_results}} CROSS JOIN ({values}) x(t) GROUP BY ALL)"""
+ avg(abs(p_residual_s)) FILTER ({true} AND p_prob >= t) AS mae_cond, median(abs(p_residual_s)) FILTER ({true} AND p_prob >= t) AS median_cond, avg(CASE WHEN abs(p_residual_s) > 1.5 THEN 1 ELSE 0 END) FILTER ({true} AND p_prob >= t) AS outlier_cond FROM {{fx_results}} CROSS JOIN ({values}) x(t) GROUP BY ALL)"""
 
 
 _SWEEP = [0.05, 0.1, 0.2, 0.3, 0.5, 0.7]
 
 
-@query(_sweep_sql("VALUES " + ", ".join(f"({x}::DOUBLE)" for x in _SWEEP), "n_detected, recall, mae_cond, outlier_cond"))
+@query(_sweep_sql("VALUES " + ", ".join(f"({x}::DOUBLE)" for x in _SWEEP), "n_detected, recall, mae_cond, outlier_cond, median_cond"))
 def a21_threshold_sweep(t):
-    return metrics.threshold_sweep(t.fx_results, ["weight", "dist_bin"], _SWEEP)
+    return metrics.threshold_sweep(t.fx_results, ["weight", "dist_bin"], _SWEEP, medians=True)
 
 
 @query(_sweep_sql("SELECT round(i * 0.04, 6)::DOUBLE FROM range(0, 26) r(i)", "recall, n_detected"))

@@ -28,6 +28,7 @@ FROM {events}""",
   concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(round(l_extendedprice * 100) AS BIGINT), CAST(l_quantity AS BIGINT), CAST(round(l_discount * 100) AS BIGINT), CAST(round(l_tax * 100) AS BIGINT), year(l_shipdate) * 10000 + month(l_shipdate) * 100 + day(l_shipdate)) AS rid
 FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey""",
     "fx_binned": """SELECT *, CASE WHEN km IS NULL OR km < 0 THEN 'unknown' WHEN km < 150 THEN 'local' WHEN km < 1500 THEN 'regional' ELSE 'teleseismic' END AS distance_bin FROM {fx_catalog}""",
+    "fx_shared": """SELECT rid, CASE WHEN line = 7 THEN NULL ELSE dataset END AS dataset, CASE WHEN line = 6 THEN NULL ELSE distance_bin END AS distance_bin FROM {fx_binned}""",
     "fx_keys": """SELECT concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(round(l_extendedprice * 100) AS BIGINT), CAST(l_quantity AS BIGINT), CAST(round(l_discount * 100) AS BIGINT), CAST(round(l_tax * 100) AS BIGINT), year(l_shipdate) * 10000 + month(l_shipdate) * 100 + day(l_shipdate)) AS rid,
   concat(l_returnflag, l_linestatus) AS dataset, concat('bucket', l_linenumber, '$', l_orderkey % 1000) AS trace_name, CAST(year(l_shipdate) AS STRING) AS chunk,
   CASE WHEN l_orderkey % 60 = 0 THEN NULL ELSE concat('o:', l_orderkey) END AS k1, CASE WHEN l_partkey % 50 = 0 THEN concat('p:', l_partkey) END AS k2, l_orderkey, l_partkey,

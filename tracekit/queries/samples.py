@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import joins, metrics, profile, sampling, splits
+from ..operators import joins, metrics, order, profile, sampling, splits
 from .base import SPLIT_SQL, query
 
 C = F.col
@@ -23,13 +23,13 @@ def t2_top_k(t):
     return metrics.smallest(t.fx_results, "p_residual_s", "trace_id", 25).select("trace_id", "p_residual_s")
 
 
-@query(f"""WITH b AS (SELECT *, count(*) OVER (PARTITION BY dataset) AS n, count(*) OVER (PARTITION BY dataset, distance_bin) AS c, row_number() OVER (PARTITION BY dataset, distance_bin ORDER BY {H0}, rid) AS r FROM {{fx_binned}}),
+@query(f"""WITH b AS (SELECT *, count(*) OVER (PARTITION BY dataset) AS n, count(*) OVER (PARTITION BY dataset, distance_bin) AS c, row_number() OVER (PARTITION BY dataset, distance_bin ORDER BY {H0}, rid) AS r FROM {{fx_shared}}),
 p AS (SELECT *, CASE WHEN n <= 500 THEN c ELSE least(c, greatest(1, CAST(round_even(500 * c / n, 0) AS BIGINT))) END AS take FROM b),
 s AS (SELECT dataset, 500 - sum(take) AS short FROM (SELECT DISTINCT dataset, distance_bin, take FROM p) GROUP BY dataset),
-m AS (SELECT p.*, short, row_number() OVER (PARTITION BY p.dataset, r > take ORDER BY {H0P}, rid) AS more FROM p JOIN s ON p.dataset = s.dataset)
+m AS (SELECT p.*, short, row_number() OVER (PARTITION BY p.dataset, r > take ORDER BY {H0P}, rid) AS more FROM p JOIN s ON p.dataset IS NOT DISTINCT FROM s.dataset)
 SELECT rid, dataset, distance_bin FROM m WHERE r <= take OR (n > 500 AND more <= short)""")
 def t3_proportional_cap(t):
-    return sampling.proportional_cap(t.fx_binned.select("rid", "dataset", "distance_bin"), 500, "distance_bin", ["rid"], 0, "dataset")
+    return sampling.proportional_cap(t.fx_shared, 500, "distance_bin", ["rid"], 0, "dataset")
 
 
 _FRACTIONS = {"local": 0.40, "regional": 0.25, "teleseismic": 0.25, "unknown": 0.10}
@@ -103,7 +103,7 @@ def t15_shuffle(t):
 
 @query("SELECT rid, station, CAST(ceil(row_number() OVER (PARTITION BY station ORDER BY rid) / 10) AS INTEGER) AS batch FROM {fx_catalog}")
 def t16_batches(t):
-    return sampling.batches(t.fx_catalog.select("rid", "station"), "station", 10, ["rid"])
+    return order.in_batches(t.fx_catalog.select("rid", "station"), "station", 10, ["rid"])
 
 
 @query(f"SELECT rid, category FROM (SELECT rid, category, row_number() OVER (PARTITION BY category ORDER BY {H1}, rid) AS r FROM {{fx_catalog}}) WHERE r <= 3")
@@ -132,10 +132,17 @@ def w3_share(t):
     return counts.select("dataset", "distance_bin", (C("n") / F.sum("n").over(Window.partitionBy("dataset"))).alias("share"))
 
 
-@query("SELECT event_type, event_id, avg(value) OVER (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS smooth FROM events")
+_WIDTH = "CAST(greatest(10, count(*) OVER ({over}) // 100) AS BIGINT)"
+
+
+@query(f"""WITH w AS (SELECT event_type, event_id, value, {_WIDTH.format(over="PARTITION BY event_type")} AS w, {_WIDTH.format(over="")} AS w_all FROM events)
+SELECT event_type, event_id, avg(value) OVER (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN w - 1 PRECEDING AND CURRENT ROW) AS smooth,
+  avg(value) OVER (ORDER BY event_id ROWS BETWEEN w_all - 1 PRECEDING AND CURRENT ROW) AS smooth_all FROM w""")
 def w4_rolling_mean(t):
-    w = Window.partitionBy("event_type").orderBy("event_id").rowsBetween(-19, 0)
-    return t.events.select("event_type", "event_id", F.avg("value").over(w).alias("smooth"))
+    """Over the last hundredth of each type's events, ten at least, and over all events as one group."""
+    width = F.greatest(F.lit(10), F.floor(C("_size") / 100))
+    one = order.rolling_mean(t.events.select("event_type", "event_id", "value"), ["event_type"], ["event_id"], "value", width)
+    return order.rolling_mean(one, [], ["event_id"], "value", width, "smooth_all").drop("value")
 
 
 @query("WITH m AS (SELECT weight, avg(p_prob) AS recall, avg(abs(p_residual_s)) AS mae FROM {fx_results} GROUP BY weight) SELECT 'recall' AS metric, arg_max(weight, recall) AS best, max(recall) AS value FROM m UNION ALL SELECT 'mae', arg_min(weight, mae), min(mae) FROM m")
