@@ -117,7 +117,8 @@ def s11_resumable_append(t):
     place = new_folder(t.spark)
     df = t.fx_results.select("trace_id", "dataset")
     catalogs.append_new(df.where("trace_id % 3 = 0"), f"{place}/a", ["trace_id"])
-    catalogs.append_new(df.where("trace_id % 2 = 0"), f"{place}/a", ["trace_id"])
+    even = df.where("trace_id % 2 = 0")
+    catalogs.append_new(even.unionByName(even.where("trace_id % 5 < 2")), f"{place}/a", ["trace_id"])  # some rows repeat
     return t.spark.read.parquet(f"{place}/a")
 
 
@@ -141,28 +142,40 @@ def s15_manifest_datasets(t):
 
 @query("SELECT event_id, user_id FROM events")
 def k1_stream_manifest(t):
-    """Two overlapping deliveries of shards; each key arrives once."""
+    """Two overlapping deliveries of shards, the second with rows sent twice; each key arrives once. The small buckets make the index grow."""
     place = new_folder(t.spark)
     df = t.events.select("event_id", "user_id", C("ts").cast("timestamp").alias("ts"))
-    for part in (df.where("event_id % 3 < 2"), df.where("event_id % 3 > 0")):
+    more = df.where("event_id % 3 > 0")
+    for part in (df.where("event_id % 3 < 2"), more.unionByName(more.where("event_id % 5 = 0"))):
         part.coalesce(2).write.mode("append").parquet(f"{place}/in")
-        ingest.ingest_manifest(ingest.new_shards(t.spark, f"{place}/in", df.schema), f"{place}/out", f"{place}/state", ["event_id"]).awaitTermination()
+        ingest.ingest_manifest(ingest.new_shards(t.spark, f"{place}/in", df.schema), f"{place}/out", f"{place}/state", ["event_id"], full=500).awaitTermination()
     return t.spark.read.parquet(f"{place}/out").select("event_id", "user_id")
 
 
 @query("SELECT trace_id, weight, CASE WHEN weight = 'click' THEN p_prob / 4 ELSE p_prob END AS p_prob FROM {fx_results} WHERE weight <> 'click' OR trace_id % 2 = 0")
 def k2_stream_scores(t):
-    """A delivery in several micro-batches, a second one that replaces it for one weight, and an older one that arrives late."""
+    """A delivery in several micro-batches and the same once more, one that replaces it for one weight, an older one that arrives late, and a newer
+    one that broke off."""
     place = new_folder(t.spark)
     df = t.fx_results.select("trace_id", "weight", "p_prob", F.lit(2).alias("scored_at"))
     again = df.where("weight = 'click' AND trace_id % 2 = 0").withColumn("p_prob", C("p_prob") / 4).withColumn("scored_at", F.lit(3))
     late = df.where("weight = 'view'").withColumn("p_prob", F.lit(-1.0)).withColumn("scored_at", F.lit(1))
-    for part in (df.repartition(3), again.coalesce(1), late.coalesce(1)):
-        part.write.mode("append").parquet(f"{place}/in")
-        ingest.ingest_scores(ingest.new_shards(t.spark, f"{place}/in", df.schema, files_per_batch=1), f"{place}/out", f"{place}/state").awaitTermination()
+    broken = df.where("weight = 'view' AND trace_id % 3 = 0").withColumn("p_prob", F.lit(-2.0)).withColumn("scored_at", F.lit(9))
+    for k, part in enumerate((df.repartition(3), df.repartition(2), again.coalesce(1), late.coalesce(1), broken.coalesce(1))):
+        part.write.parquet(f"{place}/in/delivery={k}")
+        if k == 4:
+            _delete(t.spark, f"{place}/in/delivery={k}/_SUCCESS")
+        ingest.ingest_scores(ingest.new_deliveries(t.spark, f"{place}/in", df.schema, files_per_batch=1), f"{place}/out", f"{place}/state").awaitTermination()
+        ingest.publish(t.spark, f"{place}/in", f"{place}/out", df.schema)
+    ingest.compact(t.spark, f"{place}/out", df.schema)
     return ingest.latest_scores(t.spark, f"{place}/out", df.schema).select("trace_id", "weight", "p_prob")
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, False)
+
+
 @query("SELECT CAST(epoch_us(time_bucket(INTERVAL 1 HOUR, ts)) // 1000000 AS BIGINT) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
 def k3_windowed_counts(t):
     out = ingest.windowed_counts(t.events.withColumn("ts", C("ts").cast("timestamp")), "ts", "event_type")

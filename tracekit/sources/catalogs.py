@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .keyindex import firsts
+
 # Columns of a training manifest.
 MANIFEST = T.StructType([T.StructField(n, T.StringType()) for n in ("dataset_name", "trace_name", "chunk")] + [T.StructField(n, T.DoubleType()) for n in ("p_arrival_sample", "s_arrival_sample", "distance_km")] + [T.StructField(n, T.StringType()) for n in ("distance_bin", "p_col", "s_col")])
 
@@ -117,8 +119,11 @@ def write_results(df: DataFrame, path: str, key: str = "weight") -> None:
 
 
 def append_new(df: DataFrame, path: str, keys: Sequence[str]) -> None:
-    """Appends the rows whose keys the target does not hold."""
-    spark = df.sparkSession
+    """Appends the rows whose keys the target does not hold; keys that repeat count once, by their smallest row.
+
+    For one delivery into a table of keys; ``keyindex.append_new_keys`` is for a stream of them.
+    """
+    spark, df = df.sparkSession, firsts(df, keys)
     target = spark.read.schema(df.schema).parquet(path) if _exists(spark, path) else None
     fresh = df if target is None else df.join(target.select(*keys).distinct(), list(keys), "left_anti")
     fresh.select(*df.columns).write.mode("append").parquet(path)
