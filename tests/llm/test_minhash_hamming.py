@@ -132,3 +132,37 @@ def test_very_long_text_repeated_ids_and_shuffled_chain(spark):
     twice = spark.createDataFrame([(5, "a b c d"), (5, "a b c d"), (5, "q r s t"), (4, "q r s t")], "doc_id long, text string")
     got = sorted((r.doc_id, r.component_id, r.kept) for r in M.near_duplicates(twice, width=2).collect())
     assert got == [(4, 4, True), (5, 4, False), (5, 5, True), (5, 5, True)]
+
+
+def by_text(rows, width=2, percent=80):
+    """(id, text) -> the smallest id reachable from that text over links of texts, whatever ids they share."""
+    one = brute([(k, t) for k, (_, t) in enumerate(rows)], width, percent)
+    lowest = {}
+    for k, (i, _) in enumerate(rows):
+        lowest[one[k][1]] = min(lowest.get(one[k][1], i), i)
+    return sorted((i, one[k][0], lowest[one[k][1]]) for k, (i, _) in enumerate(rows))
+
+
+def repeated(spark, rows):
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in M.near_duplicates(df, width=2).collect())
+    assert got == by_text(rows)
+
+
+def test_ids_that_several_texts_share(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(n)) for x, n in (("a", 60), ("b", 200)))
+    repeated(spark, [(3, f"{a} x"), (5, a), (5, b), (9, f"{b} y")])
+
+
+def test_random_tables_with_repeated_ids(spark):
+    for seed in range(3):
+        rng = random.Random(seed)
+        texts = []
+        for g in range(12):
+            base = [f"g{g}w{i}" for i in range(rng.choice([3, 30, 80]))]
+            for _ in range(rng.randint(1, 6)):
+                edit = list(base)
+                if rng.random() < 0.7:
+                    edit[rng.randrange(len(edit))] = f"e{rng.randrange(10**6)}"
+                texts.append(" ".join(edit))
+        repeated(spark, [(rng.randrange(20), t) for t in texts] + [(rng.randrange(20), rng.choice(texts)) for _ in range(20)])

@@ -230,8 +230,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row per input row: doc_id, n_shingles, component_id, kept, text_key (hash of the row's text)."""
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     base = checkpointed(sketch(source.withColumn("text_key", F.xxhash64("text")), width))
-    classes = base.where("doc_id IS NOT NULL AND n_shingles > 0").groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("codes").alias("codes"))
-    reps = checkpointed(classes)
+    classes = base.where("doc_id IS NOT NULL AND n_shingles > 0").groupBy("n_shingles", "d1", "d2").agg(F.min(F.struct("doc_id", "text_key")).alias("of"), F.first("codes").alias("codes"))
+    reps = checkpointed(classes.select("n_shingles", "d1", "d2", F.col("of.doc_id").alias("rep"), F.col("of.text_key").alias("text_key"), "codes"))
+    shared_ids = reps.groupBy("rep").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count() > 0
+    if shared_ids:  # an id that several sets have can't stand for each of them: they are numbered
+        reps = checkpointed(reps.withColumnRenamed("rep", "of").withColumn("rep", F.monotonically_increasing_id()))
+        of = reps.select("rep", F.col("of").alias("_of"), F.col("text_key").alias("_key"))
+        rows = source.withColumn("text_key", F.xxhash64("text"))
+        source = rows.join(of, (F.col("doc_id") == F.col("_of")) & (F.col("text_key") == F.col("_key"))).dropDuplicates(["rep"]).select(F.col("rep").alias("doc_id"), "text")
     sig = reps.groupBy("rep").agg(F.max("n_shingles").alias("n"), F.max_by("codes", "n_shingles").alias("codes"))
     keys = _keys(reps)
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
@@ -255,7 +261,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if more.limit(1).count():
         links = links.union(more)
         labels = checkpointed(smallest_labels(sig.select(F.col("rep").alias("id")), links))
-    named = reps.join(labels.withColumnRenamed("id", "rep"), "rep").select("n_shingles", "d1", "d2", F.col("component").alias("component_id"))
+    named = reps.join(labels.withColumnRenamed("id", "rep"), "rep")
+    if shared_ids:  # back to ids: the smallest of a component's sets
+        lowest = named.groupBy(F.col("component").alias("_c")).agg(F.min("of").alias("_id"))
+        named = named.join(lowest, F.col("component") == F.col("_c")).withColumn("component", F.col("_id"))
+    named = named.select("n_shingles", "d1", "d2", F.col("component").alias("component_id"))
     out = base.join(named, ["n_shingles", "d1", "d2"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"), "text_key")
