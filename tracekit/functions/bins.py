@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Edges and labels.
@@ -129,6 +129,12 @@ def fine_region(lat: Column, lon: Column) -> Column:
     return _chain(cases, "Global/Unknown")
 
 
+def region_table(spark: SparkSession) -> DataFrame:
+    """The regions as the rules of ``operators.spacetime.first_box``."""
+    rows = [(n, *map(float, edges), half_open, i) for i, (n, *edges, half_open) in enumerate(FINE_REGIONS)]
+    return spark.createDataFrame(rows, "name string, south double, north double, west double, east double, half_open boolean, priority int")
+
+
 def instrument_class(channel: Column) -> Column:
     code = F.upper(F.trim(F.coalesce(channel, F.lit(""))))
     band, kind = F.substring(code, 1, 1), F.substring(code, 2, 1)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 import numpy as np
@@ -10,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ZERO = "array<double>"
+Scorer = Callable[[], Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]]
 
 
 def zeros(n: Column | int) -> Column:
@@ -221,23 +223,36 @@ def with_fallback(df: DataFrame, waveforms: DataFrame, keys: list[str], length:
 # --- numpy in Arrow batches: what array expressions cannot say ------------------------------------------------------------
 
 
+@functools.lru_cache(maxsize=64)
+def _filter_bank(up: int, down: int) -> tuple[np.ndarray, int]:
+    """One row of taps for each phase, and how many samples before an output the first one is."""
+    half = 10 * max(up, down)
+    t = np.arange(-half, half + 1)
+    taps = np.sinc(t / max(up, down)) * np.kaiser(2 * half + 1, 5.0)
+    taps *= up / taps.sum()
+    reach = half // up + 1
+    at = half + np.arange(up)[:, None] + up * np.arange(reach, -reach - 1, -1)[None, :]  # of sample base - reach .. base + reach
+    return np.where((at >= 0) & (at < len(taps)), taps[np.clip(at, 0, len(taps) - 1)], 0.0), reach
+
+
 def _fir_resample(w: np.ndarray, up: int, down: int) -> np.ndarray:
-    """Windowed-sinc polyphase resampling; the straight line through the ends is taken out before and put back after."""
-    g = np.gcd(up, down)
+    """Windowed-sinc polyphase resampling: output m takes the phase ``m * down mod up`` of the filter and the samples around
+    ``m * down / up``, and no others are computed. The straight line through the ends is taken out before and put back after."""
+    g = int(np.gcd(up, down))
     up, down = up // g, down // g
     n = len(w)
     if up == down or n == 0:
         return w
+    bank, reach = _filter_bank(up, down)
     line = np.linspace(w[0], w[-1], n)
-    half = 10 * max(up, down)
-    t = np.arange(-half, half + 1)
-    taps = np.sinc(t / max(up, down)) * np.kaiser(2 * half + 1, 5.0)
-    taps *= up / taps.sum()
-    spread = np.zeros((n - 1) * up + 1)
-    spread[::up] = w - line
-    out = np.convolve(spread, taps)[half : half + len(spread)][::down]
+    padded = np.concatenate([np.zeros(reach), w - line, np.zeros(reach + 1)])
     size = -(-n * up // down)
-    out = np.concatenate([out, np.zeros(max(0, size - len(out)))])[:size]
+    base, phase = np.divmod(np.arange(size, dtype=np.int64) * down, up)
+    around = np.lib.stride_tricks.sliding_window_view(padded, 2 * reach + 1)
+    out = np.empty(size)
+    for p in np.unique(phase):  # a product of a view and one row of taps each
+        own = phase == p
+        out[own] = around[base[own]] @ bank[p]
     return out + np.interp(np.arange(size) * down / up, np.arange(n), line)
 
 
@@ -270,35 +285,58 @@ def resampled(df: DataFrame, wf: str, rate: str, target: float, method: str = "p
     return df.mapInPandas(run, df.schema)
 
 
-def scored(df: DataFrame, wf: str, scorer: Callable[[], Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]], length: int, batch: int = 128) -> DataFrame:
-    """Adds p_curve, s_curve and score_status from a scorer (B, C, T) -> two (B, T) arrays.
+def scored(df: DataFrame, wf: str, scorer: Scorer | dict[str, Scorer], length: int, batch: int = 128) -> DataFrame:
+    """Adds p_curve, s_curve and score_status from a scorer (B, C, T) -> two (B, T) arrays; of several scorers by name, a row each and
+    the name as ``scorer``.
 
-    ``scorer`` is a factory called once a task. Short inputs are zero-padded on the right and outputs cut to their length; a
-    batch that fails gets null curves and the error as its status, the job goes on.
+    A scorer is a factory called once a task. Short inputs are zero-padded on the right and outputs cut to their length. A batch that
+    fails is halved until the trace that fails is alone: it gets null curves and the error as its status, all others their scores. A
+    scorer that cannot be made, or whose output has another shape, fails for its own rows only; the job goes on.
     """
+    several = isinstance(scorer, dict)
+    makers = scorer if several else {"": scorer}
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
 
+    def attempt(score, block: np.ndarray) -> list[tuple]:
+        """(p, s, status) of each trace."""
+        try:
+            p, s = (np.asarray(x) for x in score(block))
+            if p.shape != (len(block), length) or s.shape != p.shape:
+                raise ValueError(f"curves of shape {p.shape} and {s.shape}")
+            return [(p[i], s[i], "ok") for i in range(len(block))]
+        except Exception as error:  # a scorer is foreign code
+            if len(block) == 1:
+                return [(None, None, f"error: {error}"[:200])]
+            half = len(block) // 2
+            return attempt(score, block[:half]) + attempt(score, block[half:])
+
     def run(frames):
-        score = scorer()
+        made = {}
+        for name, maker in makers.items():
+            try:
+                made[name] = maker()
+            except Exception as error:  # likewise
+                made[name] = str(error)
         for pdf in frames:
             for at in range(0, len(pdf), batch):
-                part = pdf.iloc[at : at + batch].copy()
-                sizes = [min(length, len(x[0])) for x in part[wf]]
-                block = np.zeros((len(part), len(part[wf].iloc[0]), length), np.float32)
+                part = pdf.iloc[at : at + batch]
+                sizes = [0 if x is None or not len(x) else min(length, len(x[0])) for x in part[wf]]
+                block = np.zeros((len(part), max((0 if x is None else len(x) for x in part[wf]), default=0), length), np.float32)
                 for i, x in enumerate(part[wf]):
-                    for k, w in enumerate(x):
+                    for k, w in enumerate([] if x is None else x):
                         block[i, k, : sizes[i]] = np.asarray(w, np.float32)[: sizes[i]]
-                try:
-                    p, s = score(block)
-                    part["p_curve"] = [p[i, :n].tolist() for i, n in enumerate(sizes)]
-                    part["s_curve"] = [s[i, :n].tolist() for i, n in enumerate(sizes)]
-                    part["score_status"] = "ok"
-                except Exception as error:  # a scorer is foreign code
-                    part["p_curve"] = part["s_curve"] = None
-                    part["score_status"] = f"error: {error}"[:200]
-                yield part
-
-    return df.mapInPandas(run, f"{kept}, p_curve array<float>, s_curve array<float>, score_status string")
+                for name, score in made.items():
+                    found = [(None, None, f"error: {score}"[:200])] * len(part) if isinstance(score, str) else attempt(score, block)
+                    out = part.copy()
+                    if several:
+                        out["scorer"] = name
+                    for k, column in enumerate(("p_curve", "s_curve")):
+                        out[column] = [None if f[k] is None else f[k][:n].tolist() for f, n in zip(found, sizes, strict=True)]
+                    out["score_status"] = [f[2] for f in found]
+                    yield out
+
+    named = ", scorer string" if several else ""
+    return df.mapInPandas(run, f"{kept}{named}, p_curve array<float>, s_curve array<float>, score_status string")
 
 
 def grouped_statistic(df: DataFrame, by: list[str], value: str, statistic: Callable[[np.ndarray], float]) -> DataFrame:

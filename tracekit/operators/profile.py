@@ -211,6 +211,31 @@ def fingerprint(df: DataFrame, by: str, columns: Sequence[str], levels: Sequence
     return held.select(by, F.col("_n").alias("n_rows"), F.col("_d").alias("sha256"))
 
 
+#: Modulus and width of the sums of a multiset digest: a Mersenne prime above 15 hexadecimal digits.
+PRIME, DIGITS, SUMS = (1 << 61) - 1, 15, 4
+
+
+def multiset_states(df: DataFrame, by: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """(by, n_rows, h0 .. h3): four modular sums of the 240 leading bits of each row's SHA-256 with its fields' lengths, so a null, an empty
+    field and a moved boundary differ. States add up: see ``merged_states``."""
+    fields = [F.coalesce(F.concat(F.length(F.col(c).cast("string")).cast("string"), F.lit(":"), F.col(c).cast("string")), F.lit("-")) for c in columns]
+    held = df.select(*by, F.sha2(F.concat_ws("|", *fields), 256).alias("_d"))
+    part = lambda i: F.conv(F.substring("_d", 1 + DIGITS * i, DIGITS), 16, 10).cast("decimal(20,0)")
+    sums = [F.pmod(F.sum(part(i)), F.lit(PRIME).cast("decimal(20,0)")).cast("long").alias(f"h{i}") for i in range(SUMS)]
+    return held.groupBy(*by).agg(F.count(F.lit(1)).alias("n_rows"), *sums)
+
+
+def merged_states(states: DataFrame, by: Sequence[str]) -> DataFrame:
+    """The states of unions from those of their parts; nothing of the parts is read again."""
+    sums = [F.pmod(F.sum(F.col(f"h{i}").cast("decimal(20,0)")), F.lit(PRIME).cast("decimal(20,0)")).cast("long").alias(f"h{i}") for i in range(SUMS)]
+    return states.groupBy(*by).agg(F.sum("n_rows").alias("n_rows"), *sums)
+
+
+def multiset_digest(states: DataFrame, by: Sequence[str]) -> DataFrame:
+    """(by, n_rows, digest)."""
+    return states.select(*by, "n_rows", F.sha2(F.concat_ws("|", "n_rows", *[f"h{i}" for i in range(SUMS)]), 256).alias("digest"))
+
+
 def group_sizes(df: DataFrame, key: str) -> DataFrame:
     sizes = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
     out = sizes.agg(F.count(F.lit(1)).alias("groups"), F.avg("_n").alias("mean"), F.min("_n").alias("min"), F.max("_n").alias("max"))

@@ -279,6 +279,17 @@ def a35_fingerprint(t):
     return profile.fingerprint(t.documents, "source", ["source", "doc_id", "lang"])
 
 
+_LINE = "concat_ws('|', " + ", ".join(f"coalesce(length(CAST({c} AS STRING)) || ':' || CAST({c} AS STRING), '-')" for c in ("doc_id", "lang", "n_chars")) + ")"
+
+
+@query(f"""WITH d AS (SELECT source, sha256({_LINE}) AS d FROM documents), s AS (SELECT source, count(*) AS n, {", ".join(f"CAST(sum(CAST('0x' || d[{15 * i + 1}:{15 * i + 15}] AS HUGEINT)) % ((1::HUGEINT << 61) - 1) AS BIGINT) AS h{i}" for i in range(4))} FROM d GROUP BY source)
+SELECT source, n AS n_rows, sha256(concat_ws('|', n, h0, h1, h2, h3)) AS digest FROM s""")
+def a35_multiset_digest(t):
+    """The digest of each source from the states of its languages' parts."""
+    parts = profile.multiset_states(t.documents, ["source", "lang"], ["doc_id", "lang", "n_chars"])
+    return profile.multiset_digest(profile.merged_states(parts, ["source"]), ["source"])
+
+
 @query("SELECT split_part(reason, ':', 1) AS reason, count(*) AS n FROM (SELECT CASE event_id % 3 WHEN 0 THEN 'short:' || user_id WHEN 1 THEN 'flat' ELSE 'nan:x:y' END AS reason FROM events) GROUP BY 1")
 def a36_skip_reasons(t):
     reason = F.when(C("event_id") % 3 == 0, F.concat(F.lit("short:"), "user_id")).when(C("event_id") % 3 == 1, "flat").otherwise("nan:x:y")

@@ -7,6 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from ..functions import bins, clean, geo
+from ..operators import spacetime
 from .base import query
 
 C = F.col
@@ -145,6 +146,18 @@ def p20_fine_region(t):
     return t.fx_geo.select("id", bins.fine_region(C("lat"), C("lon")).alias("region"))
 
 
+_BOXES = ", ".join(f"({i}, '{n}', {s}, {t}, {w}, {e}, {h})" for i, (n, s, t, w, e, h) in enumerate(bins.FINE_REGIONS))
+
+
+@query(f"""WITH b(priority, name, south, north, west, east, half_open) AS (VALUES {_BOXES}),
+f AS (SELECT id, arg_min(name, priority) AS name FROM {{fx_geo}} JOIN b ON lat >= south AND (lat < north OR lat = north AND NOT half_open) AND lon BETWEEN west AND east GROUP BY id)
+SELECT g.id, CASE WHEN g.lat IS NULL OR g.lon IS NULL THEN 'Unknown' ELSE coalesce(f.name, 'Global/Unknown') END AS region FROM {{fx_geo}} g LEFT JOIN f ON f.id = g.id""")
+def p20_region_table(t):
+    """The rules as a table, for sets of any size."""
+    boxes = bins.region_table(t.spark)
+    return spacetime.first_box(t.fx_geo.select("id", "lat", "lon"), boxes, ["id"], "lat", "lon").select("id", "region")
+
+
 _HAV = "2 * 6371.0 * asin(sqrt(least(1.0, pow(sin((radians(lat2) - radians(lat)) / 2), 2) + cos(radians(lat)) * cos(radians(lat2)) * pow(sin((radians(lon2) - radians(lon)) / 2), 2))))"
 
 

@@ -153,6 +153,16 @@ _NEAR = """SELECT b.event_id, bool_or(c.event_id IS NOT NULL) AS leaked FROM {fx
  WHERE b.event_type <> 'click' GROUP BY b.event_id"""
 
 
+_NEAR_ALL = _NEAR.replace("INTERVAL 300 SECOND", "INTERVAL 6 HOUR").replace("<= 500", "<= 30")
+
+
+@query(_NEAR_ALL)
+def j6_near_in_place(t):
+    """A long time and a short distance: place decides, up to the poles and over 180 degrees."""
+    p = t.fx_points
+    return spacetime.near_in_space_time(p.where("event_type <> 'click'"), p.where("event_type = 'click'"), "event_id", 6 * 3600, 30).select("event_id", "leaked")
+
+
 @query(_NEAR)
 def j6_space_time_join(t):
     p = t.fx_points
