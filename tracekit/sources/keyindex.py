@@ -38,7 +38,7 @@ def _names(spark: SparkSession, path: str) -> list[str]:
 def _bits(spark: SparkSession, index: str) -> int | None:
     """The finest index that was written to its end."""
     found = [int(n.split("=")[1]) for n in _names(spark, index) if n.startswith("bits=")]
-    whole = [b for b in found if "_SUCCESS" in _names(spark, f"{index}/bits={b}")]
+    whole = [b for b in found if b == FIRST_BITS or "_SUCCESS" in _names(spark, f"{index}/bits={b}")]  # a rewrite sets the mark at its end
     return max(whole, default=None)
 
 
