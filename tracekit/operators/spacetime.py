@@ -71,9 +71,9 @@ def near_in_space_time(rows: DataFrame, corpus: DataFrame, row: str, seconds: fl
     probe = probe.withColumn("_pcell", F.explode(cells.near_stretches(F.col("_x"), F.col("_pband"))))
     close = (F.abs(F.col("_at") - F.col("_t")) <= cells.micros) & (haversine_km(F.col("_y"), F.col("_x"), F.col("_lat"), F.col("_lon")) <= km)
     same = (F.col("_pb") == F.col("_b")) & (F.col("_pband") == F.col("_band")) & (F.col("_pcell") == F.col("_cell"))
-    hit = probe.join(events, same & close, "left_semi").select(F.col(row).alias("_row")).distinct()
-    joined = df.withColumn("verifiable", verifiable).join(hit, F.col(row) == F.col("_row"), "left")
-    return joined.withColumn("leaked", F.col("_row").isNotNull()).drop("_row", "_at")
+    hit = probe.join(events, same & close, "left_semi").select(F.col(row).alias("_hit")).distinct()
+    joined = df.withColumn("verifiable", verifiable).join(hit, F.col(row) == F.col("_hit"), "left")
+    return joined.withColumn("leaked", F.col("_hit").isNotNull()).drop("_hit", "_at")
 
 
 def first_box(points: DataFrame, boxes: DataFrame, key: list[str], lat: str, lon: str, name: str = "region", unknown: str = "Unknown", outside: str = "Global/Unknown") -> DataFrame:

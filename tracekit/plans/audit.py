@@ -8,6 +8,9 @@ from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.spacetime import near_in_space_time
+from ..sources.scratch import written
+
 
 def derived_keys(frames: dict[str, DataFrame], derive: Callable[[DataFrame, str], DataFrame], columns: list[str]) -> tuple[DataFrame | None, dict[str, str]]:
     """(columns, dataset, event_key) of all datasets whose keys can be derived, and why the others failed.
@@ -59,6 +62,29 @@ def audit_families(benchmark: DataFrame, trained: DataFrame, weights: DataFrame,
     return out, masks
 
 
+def audit_parents(benchmark: DataFrame, corpora: dict[str, DataFrame | None], seconds: float = 2.0, km: float = 10.0, time: str = "ts", lat: str = "lat", lon: str = "lon") -> tuple[DataFrame, DataFrame]:
+    """(summary, row masks) of benchmark rows against the full corpora that public weights were trained on.
+
+    ``benchmark(dataset, trace_name, time, lat, lon)``, ``corpora`` by name with the same three columns, or None where the corpus is
+    not at hand: such a one gets a line of nulls and no mask. A row leaks if any corpus event lies within both tolerances; rows
+    without time or place are not verifiable. A mask row is (corpus, dataset, trace_name, verifiable, leaked).
+    """
+    spark, masks = benchmark.sparkSession, None
+    rows = benchmark.select("dataset", "trace_name", time, lat, lon).withColumn("_row", F.struct("dataset", "trace_name"))
+    for name, corpus in corpora.items():  # a handful of configurations
+        if corpus is not None:
+            found = near_in_space_time(rows, corpus, "_row", seconds, km, time, lat, lon).groupBy("dataset", "trace_name").agg(F.bool_or("verifiable").alias("verifiable"), F.bool_or("leaked").alias("leaked"))
+            found = found.select(F.lit(name).alias("corpus"), "dataset", "trace_name", "verifiable", "leaked")
+            masks = found if masks is None else masks.unionByName(found)
+    if masks is None:
+        masks = spark.createDataFrame([], "corpus string, dataset string, trace_name string, verifiable boolean, leaked boolean")
+    masks = written(masks)
+    counts = masks.groupBy("corpus", "dataset").agg(F.count(F.lit(1)).alias("n_benchmark_rows"), F.count_if("verifiable").alias("n_verifiable"), F.count_if("leaked").alias("n_leaked"))
+    summary = counts.withColumn("unverifiable_row_frac", 1 - F.col("n_verifiable") / F.col("n_benchmark_rows")).withColumn("leaked_row_frac", F.col("n_leaked") / F.nullif(F.col("n_verifiable"), F.lit(0)))
+    absent = spark.createDataFrame([(name,) for name, corpus in corpora.items() if corpus is None], "corpus string")
+    return summary.unionByName(absent, allowMissingColumns=True), masks
+
+
 def write_masks(masks: DataFrame, target: str) -> DataFrame:
     """One folder a family, as ``filters.clean_holdout`` reads them."""
     masks.write.mode("overwrite").partitionBy("manifest_family").parquet(target)

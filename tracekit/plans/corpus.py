@@ -57,3 +57,19 @@ def leaderboard(results: DataFrame, in_domain, ci_key: list[str] | None = None)
     table = metrics.pick_metrics(sliced, ["weight", "split", "dist_bin"], ci_key=ci_key)
     marked = table.join(metrics.degenerate_scorers(results), "weight", "left")
     return marked.orderBy("degenerate", "p_mae_s", "weight", "split", "dist_bin")
+
+
+def clean_leaderboard(results: DataFrame, in_domain, own, own_mask: DataFrame, own_keys: list[str], parent_mask: DataFrame, parent_keys: list[str], corpus, ci_key: list[str] | None = None) -> DataFrame:
+    """Metrics by weight, bin (and all bins) and split, with the splits that leakage audits allow.
+
+    Beside all, in_domain and cross_domain, own weights get clean_holdout, the rows that their family's mask (``own_mask`` with verifiable
+    and leaked by ``own_keys``) shows to be free of training events, and public weights cross_domain_clean, their cross-domain
+    rows that share no event with their ``corpus`` (``parent_mask`` by corpus and ``parent_keys``); a corpus without any verifiable row
+    gives no such split. ``in_domain``, ``own`` and ``corpus`` are columns of ``results``.
+    """
+    marked = filters.clean_holdout(results.withColumns({"_in": in_domain, "_own": own}), own_mask, own_keys, F.col("_own"))
+    marked = filters.parent_clean(marked, parent_mask, parent_keys, corpus, ~F.col("_in"))
+    which = [F.lit("all"), F.when(F.col("_in"), "in_domain").otherwise("cross_domain"), F.when(F.col("_own") & F.col("clean"), "clean_holdout"), F.when(~F.col("_own") & F.col("parent_clean"), "cross_domain_clean")]
+    sliced = splits.expand_slices(marked, splits=F.array_compact(F.array(*which))).drop("dist_bin").withColumnRenamed("slice_bin", "dist_bin")
+    table = metrics.pick_metrics(sliced, ["weight", "split", "dist_bin"], ci_key=ci_key)
+    return table.join(metrics.degenerate_scorers(results), "weight", "left").orderBy("degenerate", "p_mae_s", "weight", "split", "dist_bin")

@@ -181,6 +181,11 @@ def a19_bootstrap_ci(t):
     return metrics.bootstrap_ci(t.fx_results.withColumn("r", F.abs("p_residual_s")), ["weight"], "r", ["trace_id"])
 
 
+#: (key, i, w): the Poisson weights of a table's keys, as a common table expression.
+DRAWS_SQL = f"""words AS (SELECT DISTINCT {{key}}, CAST('0x' || substr(md5(concat_ws('|', '42', {{key}})), 1, 8) AS UBIGINT) AS a, CAST('0x' || substr(md5(concat_ws('|', '42', {{key}})), 9, 8) AS UBIGINT) AS b FROM {{source}}),
+turns AS (SELECT CAST(i AS UBIGINT) * 2654435769 % 4294967296 AS t, i FROM range(1, 1001) x(i)), z0 AS (SELECT {{key}}, i, b, (a + t) % 4294967296 AS z FROM words CROSS JOIN turns),
+{", ".join(f"z{k + 1} AS (SELECT {{key}}, i, b, {step} AS z FROM z{k})" for k, step in enumerate([s for _, s in _MIX] + ["xor(z, b)"] + [s for _, s in _MIX]))},
+draws AS (SELECT {{key}}, i, {" + ".join(f"CAST((z + 0.5::DOUBLE) / 4294967296 > {x!r}::DOUBLE AS INTEGER)" for x in _POISSON)} AS w FROM z7)"""
 _BOTH = "(p_in_window >= 0 AND s_in_window >= 0)"
 
 

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from ..plans import audit, build, waveforms
+from ..plans import audit, build, corpus, waveforms
+from ..plans import evaluation as evaluation_plan
 from ..sources import catalogs, registry
 from ..sources.scratch import new_folder
-from .aggregates import BINS
+from .aggregates import BINS, DRAWS_SQL, metrics_sql
 from .base import query
 from .jobs import _flatten
-from .waveforms import _scaled, _text, _text_sql
+from .waveforms import _absent, _energy, _picky, _scaled, _text, _text_sql
 
 C = F.col
 
@@ -184,3 +186,102 @@ def weight_registry(t):
     every = weights.select(F.concat(F.lit("net_ft_"), "weight").alias("weight")).union(t.spark.range(1).select(F.lit("bare")))
     return registry.resolved(every, found, "old/train.csv", "old/val.csv").join(registry.families(found), "weight", "left")
 
+
+_CORPORA = {"clicks": "event_type = 'click'", "few": "event_id % 40 = 0"}
+_MET = """EXISTS (SELECT 1 FROM {{fx_points}} c WHERE ({which}) AND c.ts BETWEEN b.ts - INTERVAL 300 SECOND AND b.ts + INTERVAL 300 SECOND
+ AND 2 * 6371.0 * asin(sqrt(least(1.0, pow(sin((radians(c.lat) - radians(b.lat)) / 2), 2) + cos(radians(b.lat)) * cos(radians(c.lat)) * pow(sin((radians(c.lon) - radians(b.lon)) / 2), 2)))) <= 500)"""
+_PARENTS = "masks AS (" + " UNION ALL ".join(f"SELECT '{n}' AS corpus, event_type AS dataset, event_id AS trace_name, event_id % 11 <> 0 AS verifiable, event_id % 11 <> 0 AND {_MET.format(which='c.' + w)} AS leaked FROM {{fx_points}} b" for n, w in _CORPORA.items()) + ")"
+
+
+def _parents(t):
+    p = t.fx_points
+    bench = p.select(C("event_type").alias("dataset"), C("event_id").cast("string").alias("trace_name"), "ts", "lat", F.when(C("event_id") % 11 != 0, C("lon")).alias("lon"))
+    return audit.audit_parents(bench, {**{n: p.where(w) for n, w in _CORPORA.items()}, "elsewhere": None}, 300, 500)
+
+
+@query(f"""WITH {_PARENTS}, s AS (SELECT corpus, dataset, count(*) AS n_benchmark_rows, count(*) FILTER (verifiable) AS n_verifiable, count(*) FILTER (leaked) AS n_leaked FROM masks GROUP BY ALL)
+SELECT *, 1 - n_verifiable / n_benchmark_rows AS unverifiable_row_frac, n_leaked / nullif(n_verifiable, 0) AS leaked_row_frac FROM s UNION ALL BY NAME SELECT 'elsewhere' AS corpus""")
+def parent_audit(t):
+    """Benchmark rows against the corpora of public weights by time and place; a corpus that is not at hand is listed."""
+    return _parents(t)[0]
+
+
+_DEALT = """results AS (SELECT *, weight < 'm' AS own, contains(trained_models, 'ds1') AS inside, CASE WHEN weight < 'p' THEN 'clicks' ELSE 'elsewhere' END AS corpus FROM {fx_results}),
+marked AS (SELECT r.*, own AND trace_id % 7 <> 0 AND trace_id % 5 <> 0 AS clean, NOT own AND r.corpus = 'clicks' AND NOT inside AND trace_id % 11 <> 0 AND trace_id % 3 <> 0 AS parent_clean FROM results r),
+sliced AS (SELECT * EXCLUDE (dist_bin), unnest([dist_bin, 'all']) AS dist_bin FROM (SELECT *, unnest(list_filter(['all', CASE WHEN inside THEN 'in_domain' ELSE 'cross_domain' END, CASE WHEN clean THEN 'clean_holdout' END, CASE WHEN parent_clean THEN 'cross_domain_clean' END], lambda x: x IS NOT NULL)) AS split FROM marked))"""
+_ASKED = {"p_mae_s": ("abs(p_residual_s)", "p_in_window >= 0"), "s_mae_s": ("abs(s_residual_s)", "s_in_window >= 0"), "p_recall": ("CAST(p_prob >= 0.3 AS INTEGER)", "p_in_window >= 0"), "s_recall": ("CAST(s_prob >= 0.3 AS INTEGER)", "s_in_window >= 0")}
+_BOTH_SQL = "(p_in_window >= 0 AND s_in_window >= 0)"
+_STATES = ", ".join([f"CASE WHEN {w} THEN {v} END AS v_{n}" for n, (v, w) in _ASKED.items()] + [f"CAST({_BOTH_SQL} AS INTEGER) AS m_n", f"CAST({_BOTH_SQL} AND p_prob > s_prob AS INTEGER) AS m_a", f"CAST({_BOTH_SQL} AND s_prob > p_prob AS INTEGER) AS m_b"])
+_MEANS = ", ".join(f"sum(w * v_{n}) / nullif(sum(w) FILTER (v_{n} IS NOT NULL), 0) AS {n}" for n in _ASKED)
+_ENDS = ", ".join(f"CASE WHEN any_value(c_{n}) >= 5 THEN quantile_cont({n}, {q}) END AS {n}_ci_{e}" for n in (*_ASKED, "mcc") for q, e in ((0.025, "lo"), (0.975, "hi")))
+_HELD = ", ".join([f"count(v_{n}) AS c_{n}" for n in _ASKED] + ["sum(m_n) AS c_mcc"])
+
+
+@query(f"""WITH {_DEALT}, {DRAWS_SQL.format(source="results", key="trace_id")},
+states AS (SELECT weight, split, dist_bin, trace_id, {_STATES} FROM sliced), sizes AS (SELECT weight, split, dist_bin, {_HELD} FROM states GROUP BY ALL),
+boots AS (SELECT weight, split, dist_bin, i, {_MEANS}, sum(w * m_n) AS n, sum(w * m_a) AS a, sum(w * m_b) AS b FROM states JOIN draws USING (trace_id) GROUP BY ALL),
+each AS (SELECT *, CASE WHEN n > 0 THEN CASE WHEN (a + b) * (2 * n - a - b) = 0 THEN 0.0 ELSE (a - b) / sqrt((a + b) * (2 * n - a - b)) END END AS mcc FROM boots),
+ends AS (SELECT weight, split, dist_bin, {_ENDS} FROM each JOIN sizes USING (weight, split, dist_bin) GROUP BY ALL)
+SELECT m.*, e.* EXCLUDE (weight, split, dist_bin), degenerate FROM ({metrics_sql("sliced", "weight, split, dist_bin")}) m JOIN ends e USING (weight, split, dist_bin)
+ JOIN (SELECT weight, coalesce(avg(CASE WHEN p_prob >= 0.3 THEN 1 ELSE 0 END) > 0.99 AND avg(abs(p_residual_s)) > 2, false) AS degenerate FROM {{fx_results}} GROUP BY weight) USING (weight)""")
+def clean_leaderboard(t):
+    """All five splits with bootstrap intervals of errors, recalls and the correlation."""
+    r = t.fx_results
+    own_mask = r.select("weight", "trace_id", (C("trace_id") % 7 != 0).alias("verifiable"), (C("trace_id") % 5 == 0).alias("leaked"))
+    parents = r.select(F.lit("clicks").alias("corpus"), "trace_id", (C("trace_id") % 11 != 0).alias("verifiable"), (C("trace_id") % 3 == 0).alias("leaked")).distinct()
+    kinds = F.when(C("weight") < "p", "clicks").otherwise("elsewhere")
+    return corpus.clean_leaderboard(r, C("trained_models").contains("ds1"), C("weight") < "m", own_mask, ["weight", "trace_id"], parents, ["trace_id"], kinds, ["trace_id"]).drop("corpus")
+
+
+def _edges():
+    return lambda block: (np.abs(block[:, 2]), np.abs(block[:, 0]))
+
+
+def _index(t):
+    picks = [F.when(C("vec_id") % 10 == 0, -1).otherwise(C("pick")).cast("int").alias("p_in_window"), F.when(C("vec_id") % 4 == 0, -1).otherwise(63 - C("pick")).cast("int").alias("s_in_window")]
+    return t.fx_wave3.select("vec_id", *picks, F.concat(F.lit("bin"), C("vec_id") % 3).alias("dist_bin"), F.when(C("vec_id") % 13 == 0, "skipped").otherwise("ok").alias("status"))
+
+
+def _waves(t):
+    return t.fx_wave3.select("vec_id", F.array("c0", "c1", "c2").alias("wf"))
+
+
+_NORMAL = lambda c: f"[CAST((x - list_avg({c})) / (CASE WHEN list_stddev_pop({c}) < 1e-10 THEN 1 ELSE list_stddev_pop({c}) END) AS FLOAT) FOR x IN {c}]"
+_SCORES = f"""n AS (SELECT vec_id, CASE WHEN vec_id % 10 = 0 THEN -1 ELSE pick END AS p_in_window, CASE WHEN vec_id % 4 = 0 THEN -1 ELSE 63 - pick END AS s_in_window, 'bin' || (vec_id % 3) AS dist_bin,
+ [abs(y) FOR y IN {_NORMAL('c0')}] AS a, [abs(y) FOR y IN {_NORMAL('c1')}] AS b, [abs(y) FOR y IN {_NORMAL('c2')}] AS c FROM {{fx_wave3}} WHERE vec_id % 13 <> 0),
+curves AS (SELECT vec_id, p_in_window, s_in_window, dist_bin, 'energy' AS weight, a AS p, b AS s FROM n UNION ALL SELECT vec_id, p_in_window, s_in_window, dist_bin, 'edges', c, a FROM n)"""
+
+
+def _picked_sql(source: str) -> str:
+    held = lambda x: f"list_slice({x}, greatest(0, {x}_in_window - 10) + 1, least(64, {x}_in_window + 10))"
+    columns = [f"CAST(CASE WHEN {x}_in_window >= 0 THEN list_max({held(x)}) ELSE 0 END AS DOUBLE) AS {x}_prob, CASE WHEN {x}_in_window >= 0 THEN (list_position({held(x)}, list_max({held(x)})) - 1 + greatest(0, {x}_in_window - 10) - {x}_in_window) / 100 END AS {x}_residual_s" for x in "ps"]
+    return f"SELECT vec_id, weight, dist_bin, p_in_window, s_in_window, {', '.join(columns)} FROM {source}"
+
+
+@query(f"WITH {_SCORES} SELECT * FROM ({_picked_sql('curves')})")
+def evaluation(t):
+    """Two runs into one store: the first with one scorer and one that cannot be made, the second scores what is missing."""
+    place = new_folder(t.spark)
+    index = _index(t)
+    evaluation_plan.evaluate(index, _waves(t), {"energy": _energy, "absent": _absent}, f"{place}/r", ["vec_id"], 64, 10)
+    evaluation_plan.evaluate(index, _waves(t), {"energy": _picky, "edges": _edges, "absent": _absent}, f"{place}/r", ["vec_id"], 64, 10)
+    return catalogs.read_results(t.spark, f"{place}/r").select("vec_id", "weight", "dist_bin", "p_in_window", "s_in_window", "p_prob", "p_residual_s", "s_prob", "s_residual_s")
+
+
+_SETS = {"even": {"energy": 1.0, "edges": 1.0}, "edgy": {"energy": 1.0, "edges": 3.0}, "one": {"edges": 2.0}, "lacking": {"energy": 1.0, "absent": 1.0}}
+
+
+def _blended_sql(name: str, members: dict[str, float]) -> str:
+    curve = {"energy": "e", "edges": "d"}
+    columns = [f"[({' + '.join(f'{members[m]} * CAST({curve[m]}.{phase}[i] AS DOUBLE)' for m in sorted(members))}) / {sum(members.values())} FOR i IN range(1, 65)] AS {phase}" for phase in "ps"]
+    return f"SELECT '{name}' AS weight, e.vec_id, e.p_in_window, e.s_in_window, e.dist_bin, {', '.join(columns)} FROM (SELECT * FROM curves WHERE weight = 'energy') e JOIN (SELECT * FROM curves WHERE weight = 'edges') d USING (vec_id)"
+
+
+_BLENDED = " UNION ALL ".join(_blended_sql(name, members) for name, members in _SETS.items() if "absent" not in members)
+
+
+@query(f"WITH {_SCORES}, blended AS ({_BLENDED}), picks AS ({_picked_sql('blended')}) {metrics_sql('picks', 'weight, dist_bin')}")
+def ensemble_evaluation(t):
+    """Metrics of several member sets; one that lacks a member gives none."""
+    scores = evaluation_plan.curves(_index(t), _waves(t), {"energy": _energy, "edges": _edges}, ["vec_id"], 64)
+    return evaluation_plan.ensemble_metrics(scores, _SETS, ["vec_id"], 10)
