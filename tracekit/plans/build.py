@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -92,6 +93,40 @@ def read_manifest(spark: SparkSession, target: str) -> DataFrame:
     return spark.read.schema(T.StructType([*sources.MANIFEST.fields, T.StructField("split", T.StringType())])).parquet(f"{target}/manifest")
 
 
+def variant(base: DataFrame, key: list[str], keep: Column | None = None, stratum: Column | None = None, factor: float = 1.0, seed: int = 42) -> DataFrame:
+    """A manifest derived from another: rows that ``keep`` holds for, with a stratum oversampled by a factor above 1."""
+    out = base if keep is None else base.where(keep)
+    return out if stratum is None else sampling.oversample(out, stratum, factor, key, seed)
+
+
+def write_variants(variants: dict[str, DataFrame], target: str) -> DataFrame:
+    """Writes every manifest to ``<target>/<name>`` and the fingerprints (manifest, n_rows, sha256) of what was written to ``<target>/checksums``."""
+    spark = next(iter(variants.values())).sparkSession
+    for name, df in variants.items():
+        df.write.mode("overwrite").parquet(f"{target}/{name}")
+    checksums(spark, target, list(variants)).write.mode("overwrite").parquet(f"{target}/checksums")
+    return spark.read.parquet(f"{target}/checksums")
+
+
+def checksums(spark: SparkSession, target: str, names: list[str]) -> DataFrame:
+    """(manifest, n_rows, sha256) of the manifests that are there, all in one pass."""
+    present = [n for n in names if sources._exists(spark, f"{target}/{n}")]
+    if not present:
+        return spark.createDataFrame([], "manifest string, n_rows long, sha256 string")
+    rows = reduce(DataFrame.unionByName, [spark.read.parquet(f"{target}/{n}").select(F.lit(n).alias("manifest"), "dataset_name", "trace_name", "chunk") for n in present])
+    return profile.fingerprint(rows, "manifest", ["dataset_name", "trace_name", "chunk"])
+
+
+def check_variants(spark: SparkSession, target: str) -> DataFrame:
+    """(manifest, status, n_rows, expected_rows): whether each manifest still is what was written: ok, changed, empty or missing."""
+    want = spark.read.parquet(f"{target}/checksums").select("manifest", F.col("n_rows").alias("expected_rows"), F.col("sha256").alias("_want"))
+    names = [r[0] for r in want.select("manifest").collect()]  # a handful
+    there = spark.createDataFrame([(n, sources._exists(spark, f"{target}/{n}")) for n in names], "manifest string, _there boolean")
+    now = checksums(spark, target, names)
+    status = F.when(~F.col("_there"), "missing").when(F.col("sha256").isNull(), "empty").when(F.col("sha256") == F.col("_want"), "ok").otherwise("changed")
+    return want.join(there, "manifest").join(now, "manifest", "left").select("manifest", status.alias("status"), F.coalesce("n_rows", F.lit(0).cast("long")).alias("n_rows"), "expected_rows")
+
+
 def merge_noise(noise: DataFrame, audit: DataFrame, target: str, p_limit: float = 0.1, s_limit: float = 0.1, train: float = 0.9, dataset: str = "noise_global", seed: int = 42) -> None:
     """Appends clean noise traces to the train and val parts of a written manifest.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from ..plans import audit, build, corpus, waveforms
+from ..plans import audit, build, corpus, noise, waveforms
 from ..plans import evaluation as evaluation_plan
 from ..sources import catalogs, registry
 from ..sources.scratch import new_folder
@@ -285,3 +285,44 @@ def ensemble_evaluation(t):
     """Metrics of several member sets; one that lacks a member gives none."""
     scores = evaluation_plan.curves(_index(t), _waves(t), {"energy": _energy, "edges": _edges}, ["vec_id"], 64)
     return evaluation_plan.ensemble_metrics(scores, _SETS, ["vec_id"], 10)
+
+
+@query("""WITH c AS (SELECT 'd' || label AS ds, 't' || vec_id AS tr, vec_id, pick, c0, c1 FROM {fx_wave3} WHERE pick >= 35 AND label <> 1),
+r AS (SELECT *, row_number() OVER (PARTITION BY ds ORDER BY md5(concat_ws('|', '42', ds, tr, '')), ds, tr) AS r FROM c),
+k AS (SELECT 'pre_' || ds || '__' || tr AS trace_name, ds AS source_dataset, array_to_string([CAST(CAST(round_even(x * 1e6, 0) AS BIGINT) AS STRING) FOR x IN c0[pick - 34:pick - 5]], ',') AS wf FROM r WHERE r <= 40 AND vec_id % 7 <> 0 AND vec_id % 9 <> 0)
+SELECT *, CASE WHEN row_number() OVER (ORDER BY md5(concat_ws('|', '42', trace_name)), trace_name) <= floor(count(*) OVER () * 0.9) THEN 'train' ELSE 'val' END AS split FROM k""")
+def prephase_noise(t):
+    """Windows before P from a manifest's traces in two runs, the first of which lacks half of the waveforms; then they join the manifest."""
+    place, w = new_folder(t.spark), t.fx_wave3
+    picks = w.select(F.concat(F.lit("d"), "label").alias("dataset_name"), F.concat(F.lit("t"), "vec_id").alias("trace_name"), F.lit("").alias("chunk"), C("pick").cast("double").alias("p_arrival_sample"), F.lit(None).cast("double").alias("s_arrival_sample"), F.lit(1.0).alias("distance_km"), F.lit("local").alias("distance_bin"), F.lit("p").alias("p_col"), F.lit("s").alias("s_col"))
+    second = F.when(C("vec_id") % 9 == 0, F.array_repeat(F.lit(1.0), 64)).otherwise(C("c1"))
+    waves = w.where("vec_id % 7 <> 0").select("vec_id", F.concat(F.lit("d"), "label").alias("dataset_name"), F.concat(F.lit("t"), "vec_id").alias("trace_name"), F.lit(None).cast("string").alias("chunk"), F.array("c0", second, "c2").alias("wf"), F.lit(10.0).alias("rate"), F.lit("N").alias("network"), F.lit("S").alias("station"), F.lit(40.0).alias("lat"), F.lit(-120.0).alias("lon"))
+    for some in ("vec_id % 2 = 0", "vec_id >= 0"):
+        noise.prephase_noise(picks, waves.where(some), f"{place}/noise", 40, 10.0, 3.5, 0.5, 30, skip=["d1"])
+    catalogs.write_manifest(picks.withColumn("split", F.lit("train")), f"{place}/manifest")
+    noise.add_to_manifests(t.spark, f"{place}/noise", place)
+    held = build.read_manifest(t.spark, place).where("dataset_name = 'noise_prephase'").select("trace_name", "split")
+    return t.spark.read.schema(noise.ROWS).parquet(f"{place}/noise").join(held, "trace_name").select("trace_name", "source_dataset", _text(C("wf")[0]).alias("wf"), "split")
+
+
+_PRINT = """rows AS (SELECT m, sha256(concat_ws('|', dataset, trace_name, chunk)) AS d FROM v), b AS (SELECT m, d[1:5] AS b, sha256(string_agg(d, chr(10) ORDER BY d)) AS d, count(*) AS n FROM rows GROUP BY ALL),
+c AS (SELECT m, b[1:2] AS b, sha256(string_agg(d, chr(10) ORDER BY b)) AS d, sum(n) AS n FROM b GROUP BY m, b[1:2]), f AS (SELECT m, CAST(sum(n) AS BIGINT) AS n, sha256(string_agg(d, chr(10) ORDER BY b)) AS sha256 FROM c GROUP BY m)"""
+
+
+@query(f"""WITH base AS (SELECT rid, dataset, trace_name, chunk, distance_bin FROM {{fx_binned}} WHERE line <= 4),
+p AS (SELECT *, row_number() OVER (ORDER BY md5(concat_ws('|', '42', rid)), rid) AS r, count(*) OVER () AS n FROM base WHERE distance_bin = 'regional'),
+v AS (SELECT 'twice' AS m, dataset, trace_name, chunk FROM base UNION ALL SELECT 'twice', dataset, trace_name, chunk FROM p
+ UNION ALL SELECT 'half_more', dataset, trace_name, chunk FROM base UNION ALL SELECT 'half_more', dataset, trace_name, chunk FROM p WHERE r <= round_even(0.5 * n, 0)
+ UNION ALL SELECT 'focused', dataset, trace_name, chunk FROM base WHERE distance_bin IN ('local', 'regional')), {_PRINT}
+SELECT m AS manifest, sha256, n AS expected_rows, CASE m WHEN 'half_more' THEN n + 1 WHEN 'focused' THEN 0 ELSE n END AS n_rows, CASE m WHEN 'half_more' THEN 'changed' WHEN 'focused' THEN 'missing' ELSE 'ok' END AS status FROM f""")
+def oversampled_manifests(t):
+    """Three manifests derived from one and their fingerprints; then one gets a row more, one is lost, and the check says so."""
+    place = new_folder(t.spark)
+    base = t.fx_binned.where("line <= 4").select("rid", C("dataset").alias("dataset_name"), "trace_name", "chunk", "distance_bin")
+    regional = C("distance_bin") == "regional"
+    made = {"twice": build.variant(base, ["rid"], None, regional, 2.0), "half_more": build.variant(base, ["rid"], None, regional, 1.5), "focused": build.variant(base, ["rid"], C("distance_bin").isin("local", "regional"))}
+    sums = build.write_variants(made, place).select("manifest", "sha256")
+    base.limit(1).write.mode("append").parquet(f"{place}/half_more")
+    lost = t.spark._jvm.org.apache.hadoop.fs.Path(f"{place}/focused")
+    lost.getFileSystem(t.spark._jsc.hadoopConfiguration()).delete(lost, True)
+    return build.check_variants(t.spark, place).join(sums, "manifest")
