@@ -80,3 +80,34 @@ def test_very_many_matches_in_one_text(spark):
     row = S.scan_digest(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
     assert row.n_hex == n
     assert row.base_sha256 == hashlib.sha256(",".join(f"hex:{33 * i}:{33 * i + 32}" for i in range(n)).encode()).hexdigest()
+
+
+def test_very_many_matches_in_one_text(spark):
+    """Twelve thousand assignments and bare tokens in one text, in time that grows with them: four times the lines, about four times the time."""
+    import time
+
+    line = "password=Ab1xY{i} Qw{i}ErTyUiOpAsDfGhJk{i} at https://h{i}.example\n"
+    took = []
+    for n in (3000, 12000):
+        df = spark.createDataFrame([(1, "".join(line.format(i=1000 + i) for i in range(n)))], "doc_id long, text string")
+        began = time.perf_counter()
+        found = S.link_secrets(df).first()
+        took.append(time.perf_counter() - began)
+        assert len(found.base) == n and len(found.linked) == 2 * n  # every bare token and every endpoint stands beside its complement
+    assert took[1] < 12 * took[0]
+
+
+def test_overlaps_by_halving(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from tracekit.llm.common import below, peaks
+
+    rng = random.Random(1)
+    rows = [([rng.randrange(50) for _ in range(n)],) for n in (0, 1, 2, 255, 256, 257, 900)]
+    df = spark.createDataFrame(rows, "a array<int>").coalesce(1)
+    got = df.select(peaks(F.col("a")).alias("p"), F.transform(F.sequence(F.lit(-1), F.lit(51)), lambda v: below(F.sort_array("a"), v)).alias("b")).collect()
+    for (a,), r in zip(rows, got, strict=True):
+        assert r.p == [max(a[: i + 1]) for i in range(len(a))]
+        assert r.b == [sum(x < v for x in a) for v in range(-1, 52)]

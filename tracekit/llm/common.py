@@ -51,6 +51,26 @@ def offsets(lengths: Column, chunk: int = 256) -> Column:
     return let(lengths, lambda a: F.when(F.size(a) > 0, whole(a)).otherwise(F.array().cast("array<bigint>")))
 
 
+def peaks(values: Column, chunk: int = 256) -> Column:
+    """The largest value so far at each place of an array, in chunks as ``offsets``."""
+    run = lambda a: F.aggregate(a, F.slice(a, 1, 0), lambda acc, x: F.concat(acc, F.array(F.greatest(x, F.try_element_at(acc, F.lit(-1))))))
+    chunks = lambda a: F.transform(F.sequence(F.lit(0), F.floor((F.size(a) - 1) / chunk).cast("int")), lambda i: run(F.slice(a, i * chunk + 1, F.lit(chunk))))
+    moved = lambda parts, tops: F.flatten(F.transform(parts, lambda p, i: F.transform(p, lambda x: F.greatest(x, F.get(tops, i - 1)))))
+    whole = lambda a: let(chunks(a), lambda parts: let(run(F.transform(parts, lambda p: F.element_at(p, -1))), lambda tops: moved(parts, tops)))
+    return let(values, lambda a: F.when(F.size(a) > 0, whole(a)).otherwise(a))
+
+
+def below(ordered: Column, value: Column) -> Column:
+    """How many values of an ascending array are smaller than ``value``, by halving."""
+
+    def halve(acc, _):
+        mid = F.shiftright(acc["l"] + acc["h"], 1)
+        upper = F.struct((mid + 1).alias("l"), acc["h"].alias("h"))
+        return F.when(acc["l"] >= acc["h"], acc).when(F.get(ordered, mid) < value, upper).otherwise(F.struct(acc["l"].alias("l"), mid.alias("h")))
+
+    return F.aggregate(F.sequence(F.lit(0), F.length(F.bin(F.size(ordered)))), F.struct(F.lit(0).alias("l"), F.size(ordered).alias("h")), halve)["l"]
+
+
 def same(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
     """Null-safe equality of the named columns."""
     return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])

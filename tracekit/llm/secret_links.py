@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, let, offsets
+from .common import below, checkpointed, let, offsets, peaks
 
 ASSIGN = r"""((?i)password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"
@@ -40,13 +40,13 @@ BARE = r"[A-Za-z0-9+/=_-]{20,}"
 WIDER = {"named": (6, NAMED, "secret", False), "bare": (7, BARE, "secret", False)}
 
 
-def matches(text: Column, pattern: str, least: int = 0) -> Column:
+def matches(text: Column, pattern: str, least: int = 0, fine=lambda hit: F.lit(True)) -> Column:
     """Leftmost non-overlapping matches as structs (start, end) in code points.
 
     The gaps between matches and the matches themselves alternate, so running lengths give the positions.
-    ``least`` drops matches whose second group is shorter. Texts without a match are read once.
+    ``least`` drops matches whose second group is shorter, ``fine`` those that it does not hold for. Texts without a match are read once.
     """
-    long = lambda hit: F.length(F.regexp_extract(hit, pattern, 2)) >= least if least else F.lit(True)
+    long = lambda hit: F.length(F.regexp_extract(hit, pattern, 2)) >= least if least else fine(hit)
     pairs = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda gap, hit: F.struct(F.length(gap).alias("gap"), F.length(hit).alias("hit"), long(hit).alias("keep")))
 
     def placed(pairs):
@@ -57,20 +57,28 @@ def matches(text: Column, pattern: str, least: int = 0) -> Column:
     return F.when(text.rlike(pattern), let(pairs, placed)).otherwise(F.array().cast("array<struct<start:int,end:int>>"))
 
 
-def _typed(kind: str, text: Column) -> Column:
+def _typed(kind: str, text: Column, fine=lambda hit: F.lit(True)) -> Column:
     order, pattern, role, strong = (KINDS | WIDER)[kind]
-    found = matches(text, pattern, 6 if kind == "assign" else 0)
+    found = matches(text, pattern, 6 if kind == "assign" else 0, fine)
     return F.transform(found, lambda s: F.struct(s["start"].alias("start"), F.lit(order).alias("order"), s["end"].alias("end"), F.lit(kind).alias("kind"), F.lit(role).alias("role"), F.lit(strong).alias("strong")))
 
 
-def _wider(text: Column, known: Column) -> Column:
-    """Named keys and bare secrets of a text; a bare one mixes upper and lower case and digits and lies in no span that is known."""
-    token = lambda s: F.substring(text, s["start"] + 1, s["end"] - s["start"])
-    meets = lambda s, spans: F.exists(spans, lambda o: (o["start"] < s["end"]) & (s["start"] < o["end"]))
-    # what holds an access identifier is one already
-    named = F.filter(_typed("named", text), lambda s: ~meets(s, known))
-    bare = F.filter(_typed("bare", text), lambda s: token(s).rlike("[A-Z]") & token(s).rlike("[a-z]") & token(s).rlike("[0-9]") & ~meets(s, known) & ~meets(s, named))
-    return F.when(text.rlike(BARE) | text.rlike(NAMED), F.concat(named, bare)).otherwise(F.slice(known, 1, 0))
+def _mixed(hit: Column) -> Column:
+    """A bare secret mixes upper and lower case and digits."""
+    return hit.rlike("[A-Z]") & hit.rlike("[a-z]") & hit.rlike("[0-9]")
+
+
+def _without(df: DataFrame, tokens: list[str], spans: Column) -> DataFrame:
+    """``df`` without those tokens of its span arrays that overlap one of the spans.
+
+    Of the spans that start before a token's end the furthest end decides, so each token is a search by halving in a running
+    maximum and not a pass over all spans. Columns that are used more than once are computed once a row.
+    """
+    asked = F.size(F.concat(*tokens)) > 0
+    df = df.withColumn("_o", F.sort_array(F.transform(F.when(asked, spans), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))))
+    df = df.withColumn("_c", F.struct(F.transform("_o", lambda s: s["start"]).alias("starts"), peaks(F.transform("_o", lambda s: s["end"])).alias("ends")))
+    free = lambda t: F.coalesce(F.get(F.col("_c.ends"), below(F.col("_c.starts"), t["end"]) - 1) <= t["start"], F.lit(True))
+    return df.withColumns({t: F.when(asked, F.filter(t, free)).otherwise(F.col(t)) for t in tokens}).drop("_o", "_c")
 
 
 def span_list(spans: Column) -> Column:
@@ -86,10 +94,13 @@ def link_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.struct(F.xxhash64(F.col(id_col), text).alias("a"), F.xxhash64(text, F.lit(1), F.col(id_col)).alias("b")).alias("row_key"),  # 128 bits
         F.concat(*[_typed(k, text) for k in KINDS if KINDS[k][3]]).alias("base"),
         F.concat(*[_typed(k, text) for k in KINDS if not KINDS[k][3]]).alias("weak"),
-        text.alias("text"),
+        _typed("named", text).alias("named"),
+        _typed("bare", text, _mixed).alias("bare"),
     )
-    parts = parts.withColumn("weak", F.concat("weak", _wider(F.col("text"), F.concat("base", "weak")))).drop("text")
-    parts = checkpointed(parts)
+    # key names that go on and bare tokens give way to what is known, bare tokens to those as well; what holds an access identifier is one already
+    parts = _without(parts, ["named", "bare"], F.concat("base", "weak"))
+    parts = _without(parts, ["bare"], F.col("named"))
+    parts = checkpointed(parts.select("doc_id", "row_key", "base", F.concat("weak", "named", "bare").alias("weak")))
     window = lambda c: F.floor(c / reach)
     every = parts.where(F.size("weak") > 0).dropDuplicates(["row_key"])
     weak = every.select("row_key", F.explode("weak").alias("w")).select(
