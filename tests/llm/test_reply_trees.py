@@ -65,3 +65,36 @@ def test_long_texts_and_many_turns(spark):
     got = R.read_back(R.format_trees(spark.createDataFrame(rows, SCHEMA))).first()
     assert [t.text for t in got.turns] == [r[4] for r in rows]
     assert got.loss_text == "".join(r[4] for r in rows[1::2])
+
+
+def test_a_long_spine_with_side_leaves(spark, monkeypatch):
+    """A tree whose paths are together quadratic in its nodes: no table holds more than a few rows a node."""
+    import random
+
+    rng = random.Random(2)
+    n = 600  # 180,000 rows if every path were listed
+    rows = []
+    for i in range(n):
+        rows.append((1, 2 * i, 2 * i - 2 if i else None, "user", f"s{i}", rng.choice([0.25, 0.5, 1.0])))
+        rows.append((1, 2 * i + 1, 2 * i, "assistant", f"l{i}", rng.choice([0.25, 0.5, 2.0])))
+    parent, score = {r[1]: r[2] for r in rows}, {r[1]: r[5] for r in rows}
+    means = {}
+    for leaf in set(parent) - set(parent.values()):
+        at, held = leaf, []
+        while at is not None:
+            held.append(score[at])
+            at = parent[at]
+        means[leaf] = sum(held) / len(held)
+    want = sorted(means, key=lambda x: (-means[x], x))[:3]
+    largest, real = [0], R.checkpointed
+
+    def counted(df):
+        out = real(df)
+        largest[0] = max(largest[0], out.count())
+        return out
+
+    monkeypatch.setattr(R, "checkpointed", counted)
+    df = spark.createDataFrame(rows, "tree long, node long, parent long, role string, text string, score double")
+    got = R.format_trees(df, branches=3).orderBy("branch").collect()
+    assert [r.leaf for r in got] == want
+    assert largest[0] <= 2 * n + 3 * n

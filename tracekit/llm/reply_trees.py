@@ -1,10 +1,11 @@
 """Chat formatting over reply trees.
 
 Messages form trees through ``parent``; a message is named by its tree and its number or name there. Root-to-leaf paths are
-enumerated by iterative self-joins that double the distance: jump tables (node -> ancestor 2^k above) are built while
-any node has one, then the (leaf, node) rows of every path are filled from the largest jump down. The number of
-joins is twice the logarithm of the deepest path, rows never exceed the total length of the paths, and texts join only
-the chosen paths. Branches of a tree are ranked by the mean score of their messages (ties: the smaller leaf).
+enumerated by iterative self-joins that double the distance: jump tables (node -> ancestor 2^k above, with the sum of the scores
+between) are built while any node has one. Branches of a tree are ranked by the mean score of their messages (ties: the
+smaller leaf), which one row a leaf adds up over its jumps; the (leaf, node) rows of the chosen paths are then filled from the
+largest jump down. The number of joins is three times the logarithm of the deepest path, rows never exceed the nodes or the
+length of the chosen paths, and texts join only those.
 
 A node with an ancestor as many steps above as its tree has nodes lies on a cycle or hangs below one, so the rounds end
 there, whatever the table holds.
@@ -48,25 +49,34 @@ def _beside(rows: DataFrame, other: DataFrame, node: str = "node") -> Column:
     return rows["tree"].eqNullSafe(other["o_tree"]) & (rows[node] == other["o_node"])
 
 
-def paths(nodes: DataFrame) -> DataFrame:
-    """``nodes(tree, node, parent)`` -> ``(tree, leaf, node, up)``: the nodes of every root-to-leaf path, ``up`` steps above its leaf."""
-    nodes = checkpointed(nodes.where("node IS NOT NULL").groupBy("tree", "node").agg(F.min("parent").alias("parent")))
+def climbs(nodes: DataFrame) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """``nodes(tree, node, parent, score)`` -> (nodes, each once; the leaves whose path ends at a root; jump tables).
+
+    Table k has the nodes with an ancestor 2^k steps above: that ancestor ``over`` and ``total``, the scores of the 2^k nodes from this one
+    up to below it. Each comes from a self-join of the one before.
+    """
+    nodes = checkpointed(nodes.where("node IS NOT NULL").groupBy("tree", "node").agg(F.min("parent").alias("parent"), F.coalesce(F.max("score"), F.lit(0)).cast("double").alias("score")))
     most = nodes.groupBy("tree").count().agg(F.max("count")).first()[0] or 0
     known = nodes.select(F.col("tree").alias("o_tree"), F.col("node").alias("o_node"))
     children = nodes.where("parent IS NOT NULL")
-    jump = checkpointed(children.join(known, _beside(children, known, "parent"), "left_semi").select("tree", "node", F.col("parent").alias("over")))
+    jump = checkpointed(children.join(known, _beside(children, known, "parent"), "left_semi").select("tree", "node", F.col("parent").alias("over"), F.col("score").alias("total")))
     parents = jump.select(F.col("tree").alias("o_tree"), F.col("over").alias("o_node")).distinct()
-    leaves = nodes.join(parents, _beside(nodes, parents), "left_anti").select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("up"))
+    leaves = nodes.join(parents, _beside(nodes, parents), "left_anti").select("tree", F.col("node").alias("leaf"))
     jumps: list[DataFrame] = []
     while jump.limit(1).count():
         if 1 << len(jumps) >= most:  # no path is that long: what is left runs into a cycle
             endless = jump.select(F.col("tree").alias("o_tree"), F.col("node").alias("o_node"))
-            leaves = leaves.join(endless, _beside(leaves, endless), "left_anti")
+            leaves = leaves.join(endless, _beside(leaves, endless, "leaf"), "left_anti")
             break
         jumps.append(jump)
-        again = jump.select(F.col("tree").alias("o_tree"), F.col("node").alias("o_node"), F.col("over").alias("far"))
-        jump = checkpointed(jump.join(again, _beside(jump, again, "over")).select("tree", "node", F.col("far").alias("over")))
-    rows = leaves
+        again = jump.select(F.col("tree").alias("o_tree"), F.col("node").alias("o_node"), F.col("over").alias("far"), F.col("total").alias("more"))
+        jump = checkpointed(jump.join(again, _beside(jump, again, "over")).select("tree", "node", F.col("far").alias("over"), (F.col("total") + F.col("more")).alias("total")))
+    return nodes, leaves, jumps
+
+
+def filled(leaves: DataFrame, jumps: list[DataFrame]) -> DataFrame:
+    """``leaves(tree, leaf)`` -> ``(tree, leaf, node, up)``: the nodes of each leaf's path to its root, ``up`` steps above it."""
+    rows = leaves.select("tree", "leaf", F.col("leaf").alias("node"), F.lit(0).cast("long").alias("up"))
     for k, table in reversed(list(enumerate(jumps))):
         step = table.select(F.col("tree").alias("o_tree"), F.col("node").alias("o_node"), "over")
         above = rows.join(step, _beside(rows, step)).select("tree", "leaf", F.col("over").alias("node"), (F.col("up") + F.lit(1 << k)).alias("up"))
@@ -74,10 +84,25 @@ def paths(nodes: DataFrame) -> DataFrame:
     return rows
 
 
-def ranked_branches(on_path: DataFrame, scores: DataFrame, branches: int) -> DataFrame:
+def paths(nodes: DataFrame) -> DataFrame:
+    """``nodes(tree, node, parent)`` -> ``(tree, leaf, node, up)``: the nodes of every root-to-leaf path, as many rows as all paths are long."""
+    _, leaves, jumps = climbs(nodes.withColumn("score", F.lit(0.0)))
+    return filled(leaves, jumps)
+
+
+def path_means(nodes: DataFrame, leaves: DataFrame, jumps: list[DataFrame]) -> DataFrame:
+    """(tree, leaf, mean): the mean score of each leaf's path. One row a leaf climbs by the largest jumps first and adds up their totals;
+    the nodes between are not listed."""
+    rows = leaves.select("tree", "leaf", F.col("leaf").alias("node"), F.lit(0.0).alias("sum"), F.lit(1).cast("long").alias("n"))
+    for k, table in reversed(list(enumerate(jumps))):
+        step = table.select(F.col("tree").alias("o_tree"), F.col("node").alias("o_node"), "over", "total")
+        rows = rows.join(step, _beside(rows, step), "left").select("tree", "leaf", F.coalesce("over", "node").alias("node"), (F.col("sum") + F.coalesce("total", F.lit(0.0))).alias("sum"), (F.col("n") + F.when(F.col("over").isNotNull(), 1 << k).otherwise(0)).alias("n"))
+    top = nodes.select(F.col("tree").alias("o_tree"), F.col("node").alias("o_node"), "score")
+    return rows.join(top, _beside(rows, top)).select("tree", "leaf", ((F.col("sum") + F.col("score")) / F.col("n")).alias("mean"))
+
+
+def ranked_branches(means: DataFrame, branches: int) -> DataFrame:
     """The ``branches`` best leaves of each tree: tree, leaf, branch (rank from 1), mean."""
-    once = scores.where("node IS NOT NULL").groupBy(F.col("tree").alias("o_tree"), F.col("node").alias("o_node")).agg(F.coalesce(F.max("score"), F.lit(0)).cast("double").alias("score"))
-    means = on_path.join(once, _beside(on_path, once)).groupBy("tree", "leaf").agg(F.avg("score").alias("mean"))
     rank = F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("mean"), "leaf"))
     return means.withColumn("branch", rank).where(F.col("branch") <= branches)
 
@@ -87,10 +112,11 @@ def format_trees(messages: DataFrame, branches: int = 1) -> DataFrame:
 
     Returns tree, leaf, branch (rank from 1), formatted and loss, an array of (start, end) code points of assistant texts.
     """
-    on_path = paths(messages.select("tree", "node", "parent"))
-    best = ranked_branches(on_path, messages.select("tree", "node", "score"), branches)
-    best = best.select(F.col("tree").alias("o_tree"), F.col("leaf").alias("o_node"), "branch")
-    chosen = on_path.join(best, _beside(on_path, best, "leaf")).select("tree", "leaf", "branch", "node", "up")
+    nodes, leaves, jumps = climbs(messages.select("tree", "node", "parent", "score"))
+    best = checkpointed(ranked_branches(path_means(nodes, leaves, jumps), branches).select("tree", "leaf", "branch"))
+    on_path = filled(best.select("tree", "leaf"), jumps)
+    ranks = best.select(F.col("tree").alias("o_tree"), F.col("leaf").alias("o_node"), "branch")
+    chosen = on_path.join(ranks, _beside(on_path, ranks, "leaf")).select("tree", "leaf", "branch", "node", "up")
     said = messages.select(F.col("tree").alias("o_tree"), F.col("node").alias("o_node"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     chosen = chosen.join(said, _beside(chosen, said))
     header = F.concat(F.lit(OPEN), F.replace(escaped(F.col("role")), F.lit("\n"), F.lit("\\\n")), F.lit("\n"))
@@ -134,9 +160,10 @@ def threads(messages: DataFrame) -> DataFrame:
     tree, thread_branches (how many), thread_leaf and thread_mean of the best one.
     """
     nodes = messages.select("tree", "node", F.when(F.col("node") > 1, F.floor(F.col("node") / 2).cast("int")).alias("parent"), F.length("text").alias("score"))
-    on_path = paths(nodes)
-    best = ranked_branches(on_path, nodes, 1).select(F.col("tree").alias("t_tree"), F.col("leaf").alias("thread_leaf"), F.col("mean").alias("thread_mean"))
-    count = on_path.where("up = 0").groupBy("tree").agg(F.count(F.lit(1)).alias("thread_branches"))
+    nodes, leaves, jumps = climbs(nodes)
+    means = checkpointed(path_means(nodes, leaves, jumps))
+    best = ranked_branches(means, 1).select(F.col("tree").alias("t_tree"), F.col("leaf").alias("thread_leaf"), F.col("mean").alias("thread_mean"))
+    count = means.groupBy("tree").agg(F.count(F.lit(1)).alias("thread_branches"))
     return count.join(best, F.col("tree").eqNullSafe(F.col("t_tree"))).select("t_tree", "thread_branches", F.col("thread_leaf").cast("long").alias("thread_leaf"), "thread_mean")
 
 
