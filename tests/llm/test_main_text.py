@@ -96,3 +96,45 @@ def test_names_of_an_articles_own_parts_are_not_boilerplate():
 <div class="share-buttons">Post it</div><div class="related-posts"><p>Other pages</p></div><div id="newsletter"><p>Sign up</p></div><p>end</p></article></body>"""
     want = "Title\nNotice\none two three\nRelated\nfour five\nsix seven\neight nine\nTen\neleven\nend"
     assert M.extract(page, {}) == want
+
+
+WEIGHTS = {"w:td": 0.1, "w:li": 0.1, "w:p": 1.0, "t:td": -3.0, "t:tr": -3.0, "t:li": -3.0, "t:a": -3.0, "t:p": -0.1}
+
+
+def words(prefix, n):
+    return " ".join(f"{prefix}{i}" for i in range(n))
+
+
+def test_tables_and_lists_do_not_cut_an_article():
+    rows = "".join(f"<tr><td>r{i}</td><td>v{i}</td></tr>" for i in range(60))
+    links = "".join(f'<li><a href="#">l{i}</a></li>' for i in range(80))
+    code = "<pre>" + "\n".join(f"<a>c{i}</a>" for i in range(40)) + "</pre>"
+    for middle, inside in ((f"<table>{rows}</table>", "r30"), (f"<ul>{links}</ul>", "l40"), (code, "c20")):
+        page = f"<body><nav><a>menu</a></nav><div><a>Home</a><a>Login</a></div><article><p>{words('a', 50)}</p>{middle}<p>{words('b', 60)}</p></article><div><p>Short end.</p></div></body>"
+        got = M.extract(page, WEIGHTS)
+        assert "a0 " in got and "a49" in got and "b59" in got and inside in got and "menu" not in got and "Login" not in got
+
+
+def test_names_inside_an_article():
+    text = f"<p>{words('w', 60)}</p>"
+    for called in ('class="ad_300x250"', 'class="in-article-ad"', 'class="google-ads"', 'class="sponsored-content"', 'class="cookie-banner-v2"', 'class="newsletter-cta"', 'class="article-comments"', 'class="user-comments"', 'class="comment-body"', 'id="disqus_thread"'):
+        assert M.extract(f"<article>{text}<div {called}><p>{words('x', 40)}</p></div>{text}</article>", {}).count("x3") == 0, called
+    for called in ('<section id="search">', '<section class="social">', '<div class="legal">', '<div class="widget">', '<div class="share">', '<div class="cookie-recipe">', '<section class="commentary">'):
+        end = called.split()[0].replace("<", "</") + ">"
+        assert "share price fell" in M.extract(f"<article>{text}{called}<p>The share price fell {words('y', 30)}</p>{end}{text}</article>", {}), called
+    for called, inner in (("share", '<a href="#">Tweet this now please</a> <a href="#">Post</a>'), ("search", "<input> Search our very large archive"), ("widget", "Weather today"), ("social", f'<a href="#">{words("z", 50)}</a>')):
+        got = M.extract(f'<article>{text}<div class="{called}">{inner}</div>{text}</article>', {})
+        assert len(got.split()) == 120, called
+
+
+def test_comments_and_stray_tags_are_linear():
+    import time
+
+    assert M.extract("<article><p>one two</p><!-- x --!><p>three</p><!--><p>four</p><!---><p>five</p></article>", {}) == "one two\nthree\nfour\nfive"
+    for make in (lambda n: "<div>" * n + "word " + "</b>" * n, lambda n: "<b>" * n + "<div>word</div>" * n, lambda n: "<div class=share>" * n + "word" + "</span>" * n):
+        took = []
+        for n in (4000, 16000):
+            began = time.perf_counter()
+            M.extract(make(n), {})
+            took.append(time.perf_counter() - began)
+        assert took[1] < 12 * took[0] + 0.2

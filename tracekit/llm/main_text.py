@@ -4,12 +4,14 @@ A page is a sequence of words and tags. Words score by the element that holds th
 nearest element that has any, tags negative by their name; the weights are log odds of lying inside or outside the
 main container, counted on labelled pages: those that mark it (``article``, ``main`` or ``role=main``), a bounded sample of
 ``sample_pages`` drawn by id and content. Names count that ``support`` sampled pages hold. One linear scan finds the
-contiguous run with the largest sum, which is then widened to whole blocks.
+contiguous run with the largest sum, which is then widened to whole blocks and, where most of its words stand in marked
+containers, to those, so that a long table or list within an article does not cut it in two.
 
 What lies inside the run and still is no part of an article (adverts, notices, forms, comments and the like) leaves no text:
 elements of such kinds, and those whose class or id is, as a whole, one of the fixed ``NAMES`` or a compound of names and parts
-of a layout. A name that only contains such a word says nothing, headings and text blocks are no boilerplate by their id,
-and where everything marked as the main container lies inside elements of such names, it counts nevertheless.
+of a layout. A name that only contains such a word says nothing, headings and text blocks are no boilerplate by their id;
+parts of an article called search, social, legal, widget or share go unless they hold prose (twenty words, few of them links, no
+form); and where everything marked as the main container lies inside elements of such names, it counts nevertheless.
 
 Defined cases: null or empty html, or a page without words, gives an empty text; unclosed or misnested tags are
 tolerated; a ``br`` ends a block; formulas keep their text without annotations; without labelled pages fixed weights hold; the
@@ -27,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+TOKEN = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 ATTRIBUTE = re.compile(r"([^\s=\"'<>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 
 # Element names and naming habits.
@@ -44,6 +46,11 @@ NAMES = set(
 )
 SOFT = set("legal related search reply header footer widget respond menu".split())  # of a paragraph or heading they may be the subject
 PARTS = set("box list area section block slot unit wrap wrapper container bar links form widget posts articles icons buttons inner item items site post page entry top bottom left right inline".split())
+#: Names that are no subject of an article, and words that only come with them; names that may head a part of an article.
+STRONG = set("ad ads adv advert adverts advertisement advertising adsense promo promotion sponsor sponsored cookie cookies consent gdpr newsletter subscribe disqus comment comments".split())
+EXTRA = set("x v in article content body text user users reader thread google native mobile desktop responsive dfp gpt cta message form count author meta".split())
+OPEN_NAMES = set("search social legal widget share sharing".split())
+CONTROLS = {"form", "input", "select", "button", "textarea"}
 TEXTS = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "hgroup"}  # inside an article their ids say nothing
 CONTAINERS = {"article", "main"}
 FLOW = {"p", "br", "li", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre"}
@@ -61,11 +68,20 @@ def _boilerplate(name: str, inside: bool = False) -> bool:
     split = [x.lower() for x in re.split(r"[^A-Za-z]+|(?<=[a-z])(?=[A-Z])", name) if x]
     if len(split) == 1 and split[0] not in NAMES:  # commentlist: a name and a part run together
         split = next(([split[0][: -len(p)], p] for p in PARTS if split[0].endswith(p)), split)
+    if any(x in STRONG for x in split) and all(x in NAMES or x in PARTS or x in EXTRA for x in split):
+        return True
     return any(x in names for x in split) and all(x in NAMES or x in PARTS for x in split)
 
 
+def _only_open(name: str) -> bool:
+    """Of the words that make the name boilerplate none but those that may head a part of an article."""
+    split = [x.lower() for x in re.split(r"[^A-Za-z]+|(?<=[a-z])(?=[A-Z])", name) if x]
+    return any(x in OPEN_NAMES for x in split) and all(x in OPEN_NAMES or x in PARTS for x in split)
+
+
 def _unwanted(name: str, attributes: dict[str, str], inside: bool) -> str:
-    """"hard" for elements that never hold an article, "soft" for those that are called so, or nothing."""
+    """"hard" for elements that never hold an article, "soft" for those that are called so, "open" for those inside an article whose
+    content decides, or nothing."""
     if name in DROPPED or "hidden" in attributes or attributes.get("aria-hidden") == "true":
         return "hard"
     if attributes.get("role", "").lower() in ROLES or "display:none" in attributes.get("style", "").replace(" ", "").lower():
@@ -77,7 +93,8 @@ def _unwanted(name: str, attributes: dict[str, str], inside: bool) -> str:
     classes = attributes.get("class", "").split()
     if name in TEXTS:  # ids of headings and text blocks are their subject
         return "soft" if any(_boilerplate(x) and x.lower() not in SOFT for x in classes) else ""
-    return "soft" if any(_boilerplate(x, inside) for x in [*classes, *attributes.get("id", "").split()]) else ""
+    called = [x for x in [*classes, *attributes.get("id", "").split()] if _boilerplate(x, inside)]
+    return "" if not called else "open" if inside and all(map(_only_open, called)) else "soft"
 
 
 class Item(NamedTuple):
@@ -99,16 +116,44 @@ class _Open(NamedTuple):
     inside: bool
     context: str
     called: tuple[str, ...]
+    link: bool
+    since: tuple[int, int, int, int] | None  # items, words, words of links and controls before an element whose content decides
+    closing: bool  # that element itself
+
 
+def _items(page: str, forgiving: bool) -> tuple[list[Item], list[tuple[int, int]]]:
+    """Tags and text runs of a page, and where its outermost main containers begin and end among them.
 
-def _items(page: str, forgiving: bool) -> list[Item]:
+    Places of open elements are kept by name, so an end tag without a start costs nothing, however many elements are open.
+    """
     out, at, raw = [], 0, None
-    stack = [_Open("", False, False, False, "body", ())]
+    stack = [_Open("", False, False, False, "body", (), False, None, False)]
+    places: dict[str, list[int]] = {}
+    blocks: list[int] = []
+    seen, containers = [0, 0, 0], []  # words, words of links, controls
+
+    def close(depth: int) -> None:
+        """Ends all elements from a depth on."""
+        while len(stack) > depth:
+            gone = stack.pop()
+            places[gone.name].pop()
+            if gone.name not in INLINE:
+                blocks.pop()
+            if gone.closing:
+                first, words, linked, controls = gone.since
+                words, linked = seen[0] - words, seen[1] - linked
+                if words < 20 or linked * 10 >= words * 3 or seen[2] > controls:  # no prose
+                    out[first:] = [x._replace(dropped=True) for x in out[first:]]
+            if gone.inside and not stack[-1].inside:
+                containers[-1] = (containers[-1][0], len(out))
 
     def text(piece: str) -> None:
         if piece:
             decoded, now = entities.unescape(piece), stack[-1]
-            out.append(Item("w", now.context, len(decoded.split()), decoded, now.hard or now.soft, now.inside, now.called))
+            words = len(decoded.split())
+            out.append(Item("w", now.context, words, decoded, now.hard or now.soft, now.inside, now.called))
+            seen[0] += words
+            seen[1] += words * now.link
 
     while True:
         if raw:  # nothing but its own end tag counts inside
@@ -117,7 +162,8 @@ def _items(page: str, forgiving: bool) -> list[Item]:
         m = TOKEN.search(page, at)
         text(page[at : m.start() if m else len(page)])
         if not m:
-            return out
+            close(1)
+            return out, containers
         at, name = m.end(), (m[2] or "").lower()
         if not name:
             if m[0].startswith("<![CDATA["):
@@ -127,17 +173,21 @@ def _items(page: str, forgiving: bool) -> list[Item]:
         kind = "t" if name in INLINE else "b"
         out.append(Item(kind, name, 0, "", now.hard or now.soft or name in RAW, now.inside, now.called))
         if m[1]:
-            depth = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].name == name), None)
             # an end tag closes what is open inside it, but an inline one does not reach past a block
-            if depth is not None and not (name in INLINE and any(x.name not in INLINE for x in stack[depth + 1 :])):
-                del stack[depth:]
+            if places.get(name) and not (name in INLINE and blocks and blocks[-1] > places[name][-1]):
+                close(places[name][-1])
         elif name in RAW:
             raw = name
-        elif name not in VOID and not m[3].rstrip().endswith("/"):
+            seen[2] += name in CONTROLS
+        elif name in VOID or m[3].rstrip().endswith("/"):
+            seen[2] += name in CONTROLS
+        else:
             if name not in INLINE:  # blocks end an open paragraph and what it left open
-                depth = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].name not in INLINE), None)
-                if depth is not None and (stack[depth].name == "p" or stack[depth].name == name and name in ("li", "td", "th", "tr", "dd", "dt", "option")):
-                    del stack[depth:]
+                above = stack[blocks[-1]].name if blocks else None
+                if above == "p" or above == name and name in ("li", "td", "th", "tr", "dd", "dt", "option"):
+                    opened = out.pop()  # this element's own tag comes after what it ends
+                    close(blocks[-1])
+                    out.append(opened)
                     now = stack[-1]
             attributes = _attributes(m[3])
             main = name in CONTAINERS or attributes.get("role") == "main"
@@ -145,15 +195,27 @@ def _items(page: str, forgiving: bool) -> list[Item]:
             hard, soft = now.hard or why == "hard", (now.soft and not (main and forgiving)) or why == "soft"
             called = tuple(x.lower() for x in [*attributes.get("class", "").split(), *attributes.get("id", "").split()]) or now.called
             out[-1] = Item(kind, name, 0, "", hard or soft, now.inside, called)
-            stack.append(_Open(name, hard, soft, now.inside or main, name if name in CONTEXTS else now.context, called))
+            decides = why == "open" and now.since is None
+            since = (len(out) - 1, *seen) if decides else now.since
+            seen[2] += name in CONTROLS
+            if main and not now.inside:
+                containers.append((len(out) - 1, len(out)))
+            places.setdefault(name, []).append(len(stack))
+            if name not in INLINE:
+                blocks.append(len(stack))
+            stack.append(_Open(name, hard, soft, now.inside or main, name if name in CONTEXTS else now.context, called, now.link or name == "a", since, decides))
+
+
+def parsed(page: str) -> tuple[list[Item], list[tuple[int, int]]]:
+    """The page as tags and text runs, and its main containers. If all words of those lie in elements of unwanted names, such names do not count."""
+    found, containers = _items(page, False)
+    if any(x.inside and x.words for x in found) and not any(x.inside and x.words and not x.dropped for x in found):
+        return _items(page, True)
+    return found, containers
 
 
 def items(page: str) -> list[Item]:
-    """The page as tags and text runs. If all words of its main containers lie in elements of unwanted names, those do not count."""
-    found = _items(page, False)
-    if any(x.inside and x.words for x in found) and not any(x.inside and x.words and not x.dropped for x in found):
-        return _items(page, True)
-    return found
+    return parsed(page)[0]
 
 
 def fit(pages: DataFrame, html_col: str = "html", sample_pages: int = 2000, id_col: str = "page_id", support: int = 5) -> dict[str, float]:
@@ -207,10 +269,18 @@ def best_run(scores: list[float]) -> tuple[float, int, int]:
 
 
 def extract(page: str | None, weights: dict[str, float]) -> str:
-    found = items(page or "")
+    found, containers = parsed(page or "")
     _, low, high = best_run([0.0 if x.dropped else score(x, weights) for x in found])
     if high == 0:
         return ""
+    words = [0]
+    for x in found:
+        words.append(words[-1] + (0 if x.dropped else x.words))
+    within = lambda a, b: words[max(b, a)] - words[a]
+    held = [(a, b, within(max(a, low), min(b, high))) for a, b in containers]
+    if 2 * sum(n for _, _, n in held) > within(low, high):  # the run is an article's: a table or list in it does not cut it in two
+        own = [(a, b) for a, b, n in held if n]
+        low, high = min(low, *(a for a, _ in own)), max(high, *(b for _, b in own))
     while low > 0 and found[low - 1].kind != "b":
         low -= 1
     while high < len(found) and found[high].kind != "b":
