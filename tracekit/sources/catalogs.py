@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import csv
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +13,8 @@ from pyspark.sql import types as T
 
 from .keyindex import firsts
 
+HEADERS = 32  # files whose headers are read at once
+
 # Columns of a training manifest.
 MANIFEST = T.StructType([T.StructField(n, T.StringType()) for n in ("dataset_name", "trace_name", "chunk")] + [T.StructField(n, T.DoubleType()) for n in ("p_arrival_sample", "s_arrival_sample", "distance_km")] + [T.StructField(n, T.StringType()) for n in ("distance_bin", "p_col", "s_col")])
 
@@ -59,8 +62,9 @@ def csv_header(spark: SparkSession, path: str) -> tuple[str, ...]:
 def read_ragged(spark: SparkSession, files: Sequence[str]) -> DataFrame:
     """CSV files whose headers differ in names or order: one read for each header, united by name; strings, absent columns null. Adds _file."""
     by_header: dict[tuple[str, ...], list[str]] = {}
-    for f in files:
-        header = csv_header(spark, f)
+    with ThreadPoolExecutor(HEADERS) as pool:  # first lines only; opening files takes waiting, not work
+        headers = list(pool.map(lambda f: csv_header(spark, f), files))
+    for f, header in zip(files, headers, strict=True):
         if header:
             by_header.setdefault(header, []).append(f)
     if not by_header:
