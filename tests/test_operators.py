@@ -91,7 +91,7 @@ def test_grouped_split_keeps_keys_together(spark):
     rows = [(f"r{i}", rng.choice(["train", "val", ""])) for i in range(400)]
     row_keys = [(f"r{i}", f"k{rng.randrange(150)}") for i in range(300) for _ in range(rng.choice([1, 1, 2]))]
     df, k = spark.createDataFrame(rows, "rid string, vendor string"), spark.createDataFrame(row_keys, "rid string, event_key string")
-    out = keys.checkpointed(splits.event_grouped_split(df, k, 0.2, 0.2))
+    out = keys.written(splits.event_grouped_split(df, k, 0.2, 0.2))
     assert out.count() == 400
     assert k.join(out, "rid").groupBy("event_key").agg(F.countDistinct("split").alias("n")).where("n > 1").count() == 0
     kept = {r.rid: r.split for r in out.collect()}
@@ -114,12 +114,12 @@ def test_components_of_hard_shapes(spark):
     ids = {x for e in edges for x in e if x} | {"f0"}
     v, e = spark.createDataFrame([(x,) for x in ids], "id string"), spark.createDataFrame(edges, "a string, b string")
     turns = []
-    real = components.checkpointed
-    components.checkpointed = lambda df: turns.append(1) or real(df)
+    real = components.written
+    components.written = lambda df: turns.append(1) or real(df)
     try:
         got = {r.id: r.component for r in components.smallest_labels(v, e).collect()}
     finally:
-        components.checkpointed = real
+        components.written = real
     least = {"a": "a0000", "b": "b0001", "c": "c000", "d": "d0", "e": "e0", "f": "f0"}
     assert got == {x: least[x[0]] for x in ids}
     assert len(turns) < 3 * 20  # two tables a round, and one to name its vertices
@@ -196,7 +196,7 @@ def test_corpus_build_invariants(spark):
     from tracekit.queries.base import Tables
 
     folder = "/root/testdata/sf0.001"
-    out = keys.checkpointed(QUERIES["corpus_build"](spark, folder))
+    out = keys.written(QUERIES["corpus_build"](spark, folder))
     train = {r.distance_bin: r["count"] for r in out.where("split = 'train'").groupBy("distance_bin").count().collect()}
     assert max(train.values()) - min(train.values()) <= 1 or len(train) < 4
     row_keys = Tables(spark, folder).fx_rowkeys
@@ -297,16 +297,18 @@ def test_scores_of_many_micro_batches_and_late_deliveries(spark, tmp_path):
     rows = lambda n, at, p: spark.createDataFrame([(i, "w", p, at) for i in range(n)], "trace_id long, weight string, p_prob double, scored_at int")
     schema = rows(1, 1, 0.5).schema
     place = f"file://{tmp_path}"
-    run = lambda: ingest.ingest_scores(ingest.new_shards(spark, f"{place}/in", schema, files_per_batch=1), f"{place}/out", f"{place}/state").awaitTermination()
+
+    def deliver(df, name):
+        df.write.parquet(f"{place}/in/delivery={name}")
+        ingest.ingest_scores(ingest.new_deliveries(spark, f"{place}/in", schema, files_per_batch=1), f"{place}/out", f"{place}/state").awaitTermination()
+        ingest.publish(spark, f"{place}/in", f"{place}/out", schema)
+
     held = lambda: sorted((r.trace_id, r.p_prob) for r in ingest.latest_scores(spark, f"{place}/out", schema).collect())
-    rows(30, 2, 0.5).repartition(4).write.mode("append").parquet(f"{place}/in")
-    run()
+    deliver(rows(30, 2, 0.5).repartition(4), "a")
     assert held() == [(i, 0.5) for i in range(30)]
-    rows(9, 1, 0.1).coalesce(1).write.mode("append").parquet(f"{place}/in")
-    run()
+    deliver(rows(9, 1, 0.1).coalesce(1), "b")
     assert held() == [(i, 0.5) for i in range(30)]
-    rows(5, 3, 0.9).coalesce(1).write.mode("append").parquet(f"{place}/in")
-    run()
+    deliver(rows(5, 3, 0.9).coalesce(1), "c")
     assert held() == [(i, 0.9) for i in range(5)]
 
 
@@ -355,7 +357,7 @@ def test_leaderboard_with_intervals(spark):
     inside = F.col("trained_models").contains("ds1")
     plain, got = corpus.leaderboard(results, inside), corpus.leaderboard(results, inside, ["trace_id"])
     rows = got.collect()
-    assert set(got.columns) - set(plain.columns) == {f"{m}_ci_{e}" for m in ("p_mae_s", "s_mae_s", "p_recall", "s_recall") for e in ("lo", "hi")}
+    assert set(got.columns) - set(plain.columns) == {f"{m}_ci_{e}" for m in ("p_mae_s", "s_mae_s", "p_recall", "s_recall", "mcc") for e in ("lo", "hi")}
     assert len(rows) == plain.count() and sum(r.p_mae_s_ci_lo <= r.p_mae_s <= r.p_mae_s_ci_hi for r in rows if r.n_p_traces > 20) > 20
 
 
