@@ -100,8 +100,9 @@ def weighted_sums(rows: DataFrame, by: Sequence[str], terms: Sequence[str], n_bo
                 part, own = pdf.iloc[at : at + CHUNK], code[at : at + CHUNK]
                 w, starts = _weights(part, turns), np.flatnonzero(np.diff(own, prepend=-1))
                 firsts = part[names].iloc[starts].itertuples(index=False, name=None) if names else [()]
-                sums = np.stack([np.add.reduceat(part[t].to_numpy(float)[:, None] * w, starts, axis=0) for t in terms], 1)
-                for group, s in zip(firsts, sums, strict=True):
+                values = part[terms].to_numpy(float).T
+                for group, low, high in zip(firsts, starts, [*starts[1:], len(part)], strict=True):
+                    s = values[:, low:high] @ w[low:high]
                     group = tuple(None if pd.isna(g) else g for g in group)
                     held[group] = held[group] + s if group in held else s
         out = [[*g, k, list(v)] for g, s in held.items() for k, v in enumerate(s)]
