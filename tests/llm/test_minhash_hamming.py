@@ -166,3 +166,24 @@ def test_random_tables_with_repeated_ids(spark):
                     edit[rng.randrange(len(edit))] = f"e{rng.randrange(10**6)}"
                 texts.append(" ".join(edit))
         repeated(spark, [(rng.randrange(20), t) for t in texts] + [(rng.randrange(20), rng.choice(texts)) for _ in range(20)])
+
+
+def test_a_member_is_confirmed_with_one_pivot_unless_components_differ(spark, monkeypatch):
+    """Copies of one original share many keys with many pivots: one pair a member settles them."""
+    rng, counts = random.Random(5), []
+    whole = M.confirmed_in_blocks
+
+    def counted(pairs, *args, **kwargs):
+        counts.append(pairs.count())
+        return whole(pairs, *args, **kwargs)
+
+    monkeypatch.setattr(M, "confirmed_in_blocks", counted)
+    base = [f"w{i}" for i in range(100)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 120):
+        edit = list(base)
+        for _ in range(rng.randint(2, 4)):
+            edit[rng.randrange(100)] = f"e{rng.randrange(10**6)}"
+        rows.append((i, " ".join(edit)))
+    check(spark, rows)
+    assert counts[0] <= len(rows), counts

@@ -9,7 +9,8 @@ Links are confirmed on the full shingle sets. Nothing emits all pairs of a group
 
 1. equal sets are one class, kept as its smallest id;
 2. each key list compares its members with one pivot only, the member that lies in the most and longest lists (the
-   original that many edited copies share), which is linear in the keys;
+   original that many edited copies share), which is linear in the keys. A member first meets the nearest of its
+   pivots, one pair a member; its other pivots follow only where they are still in another component;
 3. only lists that still hold several components are compared further, and only across components. Members of small
    components are joined by key, with size, signature distance and "their first common key" inside the join condition; a
    list of more than ``LIST`` of them is dealt to blocks whose pairs are keys of their own, so no task holds a whole list.
@@ -244,23 +245,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     lists = checkpointed(keys.join(shared, "key"))
     weight = lists.groupBy("rep").agg(F.sum("held").alias("weight"))
     pivots = lists.join(weight, "rep").groupBy("key").agg(F.max_by("rep", F.struct("weight", -F.col("rep"))).alias("pivot"))
-    pairs = lists.join(pivots, "key").where("rep <> pivot").select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
+    pairs = lists.join(pivots, "key").where("rep <> pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct()
     left = sig.select(F.col("rep").alias("a"), F.col("n").alias("an"), F.col("codes").alias("acodes"))
     right = sig.select(F.col("rep").alias("b"), F.col("n").alias("bn"), F.col("codes").alias("bcodes"))
-    first = checkpointed(pairs.join(left, "a").join(right, "b").where(_near("a", "b", percent)).select("a", "b"))
+    differ = F.size(F.filter(F.zip_with("acodes", "bcodes", lambda x, y: x != y), lambda x: x))
+    met = checkpointed(pairs.join(left, "a").join(right, "b").where(_near("a", "b", percent)).select("a", "b", differ.alias("differ")))
 
     def sets_of(chosen: DataFrame) -> DataFrame:
         ids = chosen.select(F.col("a").alias("doc_id")).union(chosen.select(F.col("b").alias("doc_id"))).distinct()
         return set_table(source.join(ids, "doc_id", "left_semi"), width)
 
-    sets = checkpointed(sets_of(first))
-    links = checkpointed(confirmed_in_blocks(first, sets, percent))
-    labels = checkpointed(smallest_labels(sig.select(F.col("rep").alias("id")), links))
+    sets = checkpointed(sets_of(met))
+    vertices = sig.select(F.col("rep").alias("id"))
+    in_order = lambda df: df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    nearest = met.groupBy("a").agg(F.min(F.struct("differ", "b"))["b"].alias("b"))
+    links = checkpointed(confirmed_in_blocks(in_order(nearest), sets, percent))
+    labels = checkpointed(smallest_labels(vertices, links))
+    of = lambda c: labels.select(F.col("id").alias(c), F.col("component").alias(f"{c}c"))
+    others = checkpointed(confirmed_in_blocks(in_order(met.join(of("a"), "a").join(of("b"), "b").where("ac <> bc")), sets, percent))
+    if others.limit(1).count():
+        links = links.union(others)
+        labels = checkpointed(smallest_labels(vertices, links))
 
     more = checkpointed(_across(lists, labels, sig, source, width, percent, large).join(links, ["a", "b"], "left_anti"))
     if more.limit(1).count():
         links = links.union(more)
-        labels = checkpointed(smallest_labels(sig.select(F.col("rep").alias("id")), links))
+        labels = checkpointed(smallest_labels(vertices, links))
     named = reps.join(labels.withColumnRenamed("id", "rep"), "rep")
     if shared_ids:  # back to ids: the smallest of a component's sets
         lowest = named.groupBy(F.col("component").alias("_c")).agg(F.min("of").alias("_id"))
