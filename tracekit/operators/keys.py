@@ -67,10 +67,14 @@ def flag_overlap(df: DataFrame, row_keys: DataFrame, train: DataFrame, row: str
     return joined.withColumn("verifiable", F.col("_leaked").isNotNull()).withColumn("leaked", F.coalesce("_leaked", F.lit(False))).drop("_leaked")
 
 
+def key_unions(row_keys: DataFrame, on: list[str]) -> DataFrame:
+    """The sorted union of keys over equal lookup columns, as event_keys."""
+    return row_keys.groupBy(*on).agg(F.sort_array(F.collect_set("event_key")).alias("event_keys"))
+
+
 def lookup_keys(df: DataFrame, row_keys: DataFrame, on: list[str]) -> DataFrame:
     """Adds event_keys, the sorted union of keys over equal lookup columns; empty where unknown."""
-    union = row_keys.groupBy(*on).agg(F.sort_array(F.collect_set("event_key")).alias("event_keys"))
-    return df.join(union, on, "left").withColumn("event_keys", F.coalesce("event_keys", unverifiable_key()))
+    return df.join(key_unions(row_keys, on), on, "left").withColumn("event_keys", F.coalesce("event_keys", unverifiable_key()))
 
 
 def key_coverage(df: DataFrame, row_keys: DataFrame, row: str = "rid", dataset: str = "dataset") -> DataFrame:
@@ -79,8 +83,9 @@ def key_coverage(df: DataFrame, row_keys: DataFrame, row: str = "rid", dataset:
 
 
 def row_ends(row_keys: DataFrame, row: str = "rid") -> DataFrame:
-    """(a, low, high, n): each row with its smallest and largest key and how many it lists."""
-    return row_keys.groupBy(F.col(row).alias("a")).agg(F.min("event_key").alias("low"), F.max("event_key").alias("high"), F.count("event_key").alias("n"))
+    """(a, low, high, n): each row with its smallest and largest key (null if they are one) and how many it lists."""
+    low, high = F.min("event_key"), F.max("event_key")
+    return row_keys.groupBy(F.col(row).alias("a")).agg(low.alias("low"), F.nullif(high, low).alias("high"), F.count("event_key").alias("n"))
 
 
 def key_labels(row_keys: DataFrame, row: str = "rid", known: DataFrame | None = None, ends: DataFrame | None = None) -> DataFrame:
@@ -113,10 +118,18 @@ def key_components(row_keys: DataFrame, row: str = "rid", labels: DataFrame | No
     """(row, group_id): rows connected through shared keys; the group is named by its smallest row.
 
     Every row belongs to the component of its smallest key (``labels``, see ``key_labels``; found here if not given). Names are minima
-    that are combined before their shuffle, so a key with very many rows costs one row each and no pairs.
+    that are combined before their shuffle, so a key with very many rows costs one row each and no pairs. Components are
+    named on the table of keys; rows are shuffled twice, for their ends and for the name.
     """
     ends = written(row_ends(row_keys, row))
     found = (labels if labels is not None else key_labels(row_keys, row, ends=ends)).select(F.col("key").alias("_k"), "label")
-    rows = written(ends.join(found, F.col("low") == F.col("_k"), "left").select("a", F.coalesce("label", "low").alias("label")))
-    names = rows.groupBy(F.col("label").alias("_l")).agg(F.min("a").alias("group_id"))
-    return rows.join(names, F.col("label") == F.col("_l")).select(F.col("a").alias(row), "group_id")
+    held = written(key_firsts(row_keys, row, found))
+    names = held.groupBy(F.col("label").alias("_l")).agg(F.min("first").alias("group_id"))
+    named = held.join(names, F.col("label") == F.col("_l")).select("key", "group_id")
+    return ends.select("a", "low").join(named, F.col("low") == F.col("key")).select(F.col("a").alias(row), "group_id")
+
+
+def key_firsts(row_keys: DataFrame, row: str, found: DataFrame) -> DataFrame:
+    """(key, label, first): every key with its label, ``found(_k, label)`` or else itself, and the smallest of its rows."""
+    firsts = row_keys.where("event_key IS NOT NULL").groupBy(F.col("event_key").alias("key")).agg(F.min(row).alias("first"))
+    return firsts.join(found, F.col("key") == F.col("_k"), "left").select("key", F.coalesce("label", "key").alias("label"), "first")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.scratch import written
-from .keys import key_components
+from .keys import key_firsts, key_labels, row_ends
 from .sampling import draw
 
 
@@ -14,14 +14,15 @@ def greedy_fill(groups: DataFrame, targets: list[tuple[str, Column]], rest: str,
     """``groups(group_id, size)`` in shuffled order fill the targets one after another; each takes groups while it is short.
 
     Cumulative sizes are built in two levels: totals of 4096 ranges of the shuffle, then running sums inside a
-    range, so no task holds all groups. A split starts where the one before it stopped.
+    range, so no task holds all groups; they are written once, as every target reads them. A split starts where the one before
+    it stopped. Other columns of the groups stay.
     """
     dealt = groups.withColumn("_draw", draw(seed, "group_id")).withColumn("_p", F.substring("_draw", 1, 3))
     ranges = dealt.groupBy("_p").agg(F.sum("size").alias("_s"))  # 4096 rows at most
     before = ranges.withColumn("_before", F.coalesce(F.sum("_s").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_p", "_before")
     inside = F.coalesce(F.sum("size").over(Window.partitionBy("_p").orderBy("_draw", "group_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     df = dealt.withColumn("_inside", inside).join(F.broadcast(before), "_p").withColumn("_sum", F.col("_inside") + F.col("_before"))
-    df = df.select("group_id", "size", "_sum").withColumn("split", F.lit(rest))
+    df = written(df.select(*groups.columns, "_sum")).withColumn("split", F.lit(rest))
     start = df.sparkSession.range(1).select(F.lit(0).cast("long").alias("_start"))
     for name, target in targets:
         goal = start.crossJoin(df.sparkSession.range(1).select(target.alias("_target"))) if not isinstance(target, DataFrame) else start.crossJoin(target)
@@ -30,7 +31,7 @@ def greedy_fill(groups: DataFrame, targets: list[tuple[str, Column]], rest: str,
         df = df.withColumn("split", F.when(here, name).otherwise(F.col("split"))).drop("_start", "_target")
         taken = df.where(F.col("split") == name).agg(F.max(F.col("_sum") + F.col("size")).alias("_end"))
         start = start.crossJoin(taken).select(F.coalesce("_end", "_start").alias("_start"))
-    return df.select("group_id", "size", "split")
+    return df.select(*groups.columns, "split")
 
 
 def event_grouped_split(df: DataFrame, row_keys: DataFrame, val: float, test: float, row: str = "rid", vendor: str = "vendor", seed=0) -> DataFrame:
@@ -38,16 +39,26 @@ def event_grouped_split(df: DataFrame, row_keys: DataFrame, val: float, test: fl
 
     Targets are fractions of the rows that the vendor did not place. No key ends up in two splits.
     """
-    groups = key_components(row_keys, row)
-    named = df.join(groups, row, "left")
-    placed = F.col("group_id").isNull() & F.col(vendor).isin("train", "val", "test")
-    named = named.withColumn("_placed", placed).withColumn("group_id", F.coalesce("group_id", F.concat(F.lit("row:"), F.col(row))))
-    named = written(named)  # read three times
-    sizes = named.where("NOT _placed").groupBy("group_id").agg(F.count(F.lit(1)).alias("size"))
-    total = sizes.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("_m"))
+    ends = row_ends(row_keys, row).withColumnsRenamed({c: f"_{c}" for c in ("a", "low", "high", "n")})
+    both = df.withColumn("_in", F.lit(True)).join(ends, F.col(row) == F.col("_a"), "full")  # rows outside the table link keys too
+    placed = F.col("_low").isNull() & F.coalesce(F.col(vendor).isin("train", "val", "test"), F.lit(False))
+    named = written(both.withColumn("_placed", placed).withColumn("_a", F.when(F.col("_n") > 2, F.col("_a"))))
+    free = named.where("_in AND NOT _placed")
+    found = key_labels(row_keys, row, ends=named.select(*[F.col(f"_{c}").alias(c) for c in ("a", "low", "high", "n")])).select(F.col("key").alias("_k"), "label")
+    counts = free.where("_low IS NOT NULL").groupBy("_low").agg(F.count(F.lit(1)).alias("_c"))
+    by_key = written(key_firsts(row_keys, row, found).join(counts, F.col("key") == F.col("_low"), "left").select("key", "label", "first", F.coalesce("_c", F.lit(0)).alias("_c")))
+    linked = by_key.groupBy("label").agg(F.min("first").alias("group_id"), F.sum("_c").alias("size")).where("size > 0")
+    alone = free.where("_low IS NULL").groupBy(F.col(row).alias("_r")).agg(F.count(F.lit(1)).alias("size")).select(F.lit(None).cast("string").alias("label"), F.concat(F.lit("row:"), "_r").alias("group_id"), "size")
+    groups = written(linked.unionByName(alone))
+    total = groups.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("_m"))
     part = lambda f: total.select(F.floor(f * F.col("_m")).cast("long").alias("_target"))
-    filled = greedy_fill(sizes, [("val", part(val)), ("test", part(test))], "train", seed).select("group_id", F.col("split").alias("_split"))
-    out = named.join(filled, "group_id", "left")
+    filled = written(greedy_fill(groups, [("val", part(val)), ("test", part(test))], "train", seed).select("label", "group_id", F.col("split").alias("_split")))
+    # keys and rows without one in one lookup; a letter tells them apart
+    of_keys = by_key.select("key", "label").join(filled.where("label IS NOT NULL"), "label").select(F.concat(F.lit("k:"), "key").alias("_of"), "_split")
+    of_rows = filled.where("label IS NULL").select(F.concat(F.lit("r:"), F.substr("group_id", F.lit(5))).alias("_of"), "_split")
+    place = F.coalesce(F.concat(F.lit("k:"), "_low"), F.concat(F.lit("r:"), F.col(row)))
+    rows = named.where("_in").select(*df.columns, "_placed", place.alias("_at"))
+    out = rows.join(of_keys.unionByName(of_rows), F.col("_at") == F.col("_of"), "left")
     return out.withColumn("split", F.when(F.col("_placed"), F.col(vendor)).otherwise(F.col("_split"))).select(*df.columns, "split")
 
 

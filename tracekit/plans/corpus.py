@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import bins, clean
 from ..operators import filters, joins, keys, metrics, sampling, splits
-from ..sources.scratch import checkpointed
+from ..sources.scratch import written
 
 
 def prepare_catalog(df: DataFrame, cap: int, benchmark: DataFrame, bad_names: DataFrame, row_keys: DataFrame, excluded_events: DataFrame, use_s: bool = True, p_only: bool = True, seed: int = 0) -> DataFrame:
@@ -28,7 +28,7 @@ def prepare_catalog(df: DataFrame, cap: int, benchmark: DataFrame, bad_names: Da
 def build_corpus(df: DataFrame, row_keys: DataFrame, fractions: dict[str, float], val: float, test: float, seed: int = 0) -> DataFrame:
     """Event-grouped split of the pool, with the training part rebalanced to the target fractions."""
     named = df.withColumn("vendor", clean.normalise_split(F.col("vendor")))
-    held = checkpointed(splits.event_grouped_split(named, row_keys, val, test, seed=seed))
+    held = written(splits.event_grouped_split(named, row_keys, val, test, seed=seed))
     train = sampling.rebalance(held.where("split = 'train'"), fractions, "distance_bin", ["rid"], seed)
     return train.unionByName(held.where("split <> 'train'").select(*train.columns))
 
