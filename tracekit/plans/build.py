@@ -53,7 +53,7 @@ def harmonised(raw: DataFrame, plan: CatalogPlan) -> DataFrame:
     (p, p_col), (s, s_col) = clean.coalesce_picks(raw, clean.P_PRIORITY), clean.coalesce_picks(raw, clean.S_PRIORITY if plan.use_s else [])
     keyed = event_keys_of(raw.withColumn("_p", p).withColumn("_s", s), plan.name)
     fields = clean.harmonise(keyed, {**FIELDS, "p": ["_p"], "s": ["_s"], "event_keys": ["event_keys"]}, {"km": "double", "p": "double", "s": "double", "event_keys": "array<string>"})
-    named = fields.withColumn("dataset", F.lit(plan.name)).withColumn("p_col", F.lit(p_col)).withColumn("s_col", F.lit(s_col))
+    named = fields.withColumn("dataset", F.lit(plan.name)).withColumn("p_col", F.lit(p_col).cast("string")).withColumn("s_col", F.lit(s_col).cast("string"))
     return named.withColumn("chunk", clean.repair_chunk(F.col("chunk")))
 
 
@@ -66,7 +66,7 @@ def build_manifests(raw: dict[str, DataFrame], plans: list[CatalogPlan], benchma
     """
     spark = benchmark.sparkSession
     whole = [harmonised(raw[p.name], p) for p in plans]
-    union = checkpointed(joins.ragged_union(whole))
+    union = written(joins.ragged_union(whole))
     row_keys = union.select("rid", F.explode("event_keys").alias("event_key"))
     if benchmark_events is None:
         benchmark_events = joins.semi(union, benchmark, ["dataset", "trace_name"]).select(F.explode("event_keys").alias("event_key"))
@@ -76,9 +76,9 @@ def build_manifests(raw: dict[str, DataFrame], plans: list[CatalogPlan], benchma
         mine = union.where(F.col("dataset") == plan.name)
         mine_keys = mine.select("rid", F.explode("event_keys").alias("event_key"))
         pools.append(prepare_catalog(mine, plan.cap, benchmark, bad_names, mine_keys, excluded, plan.use_s, plan.p_only, seed))
-    pool = checkpointed(joins.ragged_union(pools))
+    pool = written(joins.ragged_union(pools))
     pool_keys = joins.semi(row_keys, pool, ["rid"])
-    out = checkpointed(build_corpus(pool.drop("event_keys"), pool_keys, fractions, val, test, seed))
+    out = written(build_corpus(pool.drop("event_keys"), pool_keys, fractions, val, test, seed))
     manifest = out.select(F.col("dataset").alias("dataset_name"), "trace_name", "chunk", F.col("p").alias("p_arrival_sample"), F.col("s").alias("s_arrival_sample"), F.col("km").alias("distance_km"), "distance_bin", "p_col", "s_col", "split")
     sources.write_manifest(manifest, f"{target}/manifest")
     profile.composition(manifest, "split", "dataset_name", "distance_bin", "s_arrival_sample").write.mode("overwrite").parquet(f"{target}/composition_summary")
