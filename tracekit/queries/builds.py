@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..plans import audit, build, corpus, noise, waveforms
 from ..plans import evaluation as evaluation_plan
 from ..sources import catalogs, registry
-from ..sources.scratch import new_folder
+from ..sources.scratch import new_folder, written
 from .aggregates import BINS, DRAWS_SQL, metrics_sql
 from .base import query
 from .jobs import _flatten
@@ -319,6 +319,7 @@ def oversampled_manifests(t):
     """Three manifests derived from one and their fingerprints; then one gets a row more, one is lost, and the check says so."""
     place = new_folder(t.spark)
     base = t.fx_binned.where("line <= 4").select("rid", C("dataset").alias("dataset_name"), "trace_name", "chunk", "distance_bin")
+    base = written(base)  # read by every manifest
     regional = C("distance_bin") == "regional"
     made = {"twice": build.variant(base, ["rid"], None, regional, 2.0), "half_more": build.variant(base, ["rid"], None, regional, 1.5), "focused": build.variant(base, ["rid"], C("distance_bin").isin("local", "regional"))}
     sums = build.write_variants(made, place).select("manifest", "sha256")
