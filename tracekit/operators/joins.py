@@ -7,10 +7,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
+
 
 def first_by(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     """One row for each key, the first in the given order: a minimum over structs, combined before its shuffle."""
     rest = [c for c in df.columns if c not in keys]
+    if rest and all(o in rest for o in order if isinstance(o, str)) and not any(isinstance(o, Column) for o in order) and "map<" not in df.schema.simpleString():
+        held = df.groupBy(*keys).agg(F.min(F.struct(*dict.fromkeys([*order, *rest]))).alias("_row"))  # a row travels once
+        return held.select(*keys, *[F.col("_row")[c].alias(c) for c in rest]).select(*df.columns)
     ranked = F.struct(*[o if isinstance(o, Column) else F.col(o) for o in order])
     held = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), ranked).alias("_row"))
     return held.select(*keys, *[F.col("_row")[c].alias(c) for c in rest]).select(*df.columns)
@@ -25,8 +30,8 @@ def semi(df: DataFrame, names: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def lookup(df: DataFrame, other: DataFrame, keys: list[str], order: list) -> DataFrame:
-    """Left lookup in a table that is first reduced to one row a key."""
-    return df.join(first_by(other, keys, order), keys, "left")
+    """Left lookup in a table that is first reduced to one row a key and written, so the planner knows its size."""
+    return df.join(written(first_by(other, keys, order)), keys, "left")
 
 
 def precedence(df: DataFrame, other: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
