@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
 from .quantiles import same_group
 
 
@@ -39,7 +40,8 @@ def ranked_in_groups(df: DataFrame, group: list[str], key: list[str], seed=0, na
     the draw, plus the counts of the ranges before."""
     dealt = _dealt(df, key, seed)
     before = _ranges(dealt, group).select(*[F.col(g).alias(f"_g_{g}") for g in [*group, "_p"]], "_before")
-    inside = dealt.withColumn("_i", F.row_number().over(Window.partitionBy(*group, "_p").orderBy("_draw", *key)))
+    short = dealt.withColumn("_draw", F.unhex("_draw"))  # the same order in half the bytes
+    inside = short.withColumn("_i", F.row_number().over(Window.partitionBy(*group, "_p").orderBy("_draw", *key)))
     joined = inside.join(before, same_group(inside, before, [*group, "_p"]))
     return joined.withColumn(name, F.col("_i") + F.col("_before")).select(*df.columns, name)
 
@@ -83,6 +85,7 @@ def proportional_cap(df: DataFrame, limit: int, stratum: str, key: list[str], se
     Rounding is half-even and may exceed the limit; datasets within the limit stay whole; a null dataset or stratum is one like others.
     """
     group = [dataset] if dataset else []
+    df = written(df)  # counted, ranged and taken from
     sizes = df.groupBy(*group, stratum).agg(F.count(F.lit(1)).alias("_c"))
     totals = sizes.groupBy(*group).agg(F.sum("_c").alias("_n"))
     beside = lambda left, right: left.join(right, same_group(left, right, group)).drop(*[f"_g_{g}" for g in group]) if group else left.crossJoin(F.broadcast(right))  # one row
