@@ -268,6 +268,10 @@ def _fft_resample(w: np.ndarray, size: int) -> np.ndarray:
     return np.fft.irfft(out, size) * (size / n)
 
 
+#: Rows that are resampled at once; an Arrow batch holds up to ten thousand.
+SLICE = 500
+
+
 def resampled(df: DataFrame, wf: str, rate: str, target: float, method: str = "polyphase") -> DataFrame:
     """Channels at the target rate; equal rates (within 0.5) pass through. Rows and other columns stay as they are."""
 
@@ -278,9 +282,11 @@ def resampled(df: DataFrame, wf: str, rate: str, target: float, method: str = "p
         return _fir_resample(w, round(target), round(r)) if method == "polyphase" else _fft_resample(w, int(len(w) * target / r))
 
     def run(frames):
-        for pdf in frames:
-            pdf[wf] = [None if x is None else [one(w, r).tolist() for w in x] for x, r in zip(pdf[wf], pdf[rate], strict=True)]
-            yield pdf
+        for whole in frames:
+            for at in range(0, len(whole), SLICE):
+                pdf = whole.iloc[at : at + SLICE].copy()
+                pdf[wf] = [None if x is None else [one(w, r).tolist() for w in x] for x, r in zip(pdf[wf], pdf[rate], strict=True)]
+                yield pdf
 
     return df.mapInPandas(run, df.schema)
 
