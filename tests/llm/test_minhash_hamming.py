@@ -187,3 +187,42 @@ def test_a_member_is_confirmed_with_one_pivot_unless_components_differ(spark, mo
         rows.append((i, " ".join(edit)))
     check(spark, rows)
     assert counts[0] <= len(rows), counts
+
+
+def test_bits_bound_the_shingles_that_only_one_set_has(spark):
+    rng, texts = random.Random(1), ["a", "a b"]
+    for n in (40, 130, 400, 1500):
+        base = [f"w{i}" for i in range(n)]
+        for share in (0.0, 0.02, 0.1, 0.5):
+            texts += [" ".join(f"e{rng.randrange(10**6)}" if rng.random() < share else w for w in base)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    odd, sets = M.checkpointed(M.odd_table(docs, 2)), {r.doc_id: set(r["items"]) for r in M.set_table(docs, 2).collect()}
+    l, r = (odd.select(M.F.col("doc_id").alias(x), M.F.col("odd").alias(f"{x}odd")) for x in "ab")
+    got = {(p.a, p.b): p.d for p in l.crossJoin(r).select("a", "b", M._apart("aodd", "bodd").alias("d")).collect()}
+    assert len(got) == len(texts) ** 2
+    for (a, b), d in got.items():
+        only = len(sets[a] ^ sets[b])
+        assert d == got[b, a] and d <= only and d % 2 == only % 2, (a, b)
+        if 0.8 <= len(sets[a]) / len(sets[b]) <= 1.25 and only <= 0.3 * len(sets[a]):
+            assert d >= 0.85 * only - 4, (a, b, d, only)
+
+
+def test_a_family_below_the_similarity_makes_no_pairs(spark, monkeypatch):
+    """Copies with so many edits that none is linked: their signatures are near, and pairs grew with the square of the family."""
+    counts, whole = [], M.confirmed_in_blocks
+
+    def counted(pairs, *args, **kwargs):
+        counts.append(pairs.count())
+        return whole(pairs, *args, **kwargs)
+
+    monkeypatch.setattr(M, "confirmed_in_blocks", counted)
+    rng, rows = random.Random(9), []
+    base = [f"w{i}" for i in range(200)]
+    for i in range(100):
+        edit = list(base)
+        for k in rng.sample(range(0, 200, 2), 15):
+            edit[k] = f"e{rng.randrange(10**6)}"
+        rows.append((i, " ".join(edit)))
+    rows += [(500 + i, f"{t} end") for i, t in rows[:5]]  # and a few that are
+    check(spark, rows)
+    assert counts[-1] <= len(rows), counts

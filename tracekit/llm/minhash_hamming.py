@@ -12,8 +12,10 @@ Links are confirmed on the full shingle sets. Nothing emits all pairs of a group
    original that many edited copies share), which is linear in the keys. A member first meets the nearest of its
    pivots, one pair a member; its other pivots follow only where they are still in another component;
 3. only lists that still hold several components are compared further, and only across components. Members of small
-   components are joined by key, with size, signature distance and "their first common key" inside the join condition; a
-   list of more than ``LIST`` of them is dealt to blocks whose pairs are keys of their own, so no task holds a whole list.
+   components are joined by key, with size, signature distance, the bound of ``odd_table`` and "their first common key"
+   inside the join condition; a list of more than ``LIST`` of them is dealt to blocks whose pairs are keys of their own, so no
+   task holds a whole list. The bound loses no link and leaves only pairs that are linked or just below: the members of a
+   family at similarity 0.6 meet inside the join and make no rows.
    Members beside a large component (``large`` or more) are compared with all of it on full sets, in blocks of
    ``BLOCK`` by ``BLOCK`` that return at most one link a member. That is the exact way for the rest: afterwards every
    pair within reach that shares a key is either compared or already in one component. ``large`` sets only which of the two
@@ -43,6 +45,7 @@ CHUNKS, IN_CHUNK = 10, 4
 CODES = CHUNKS * IN_CHUNK
 REACH = 2 * CHUNKS - 1
 LARGE, BLOCK, LIST = 32, 128, 512
+SPREAD = 4  # bits for a shingle in odd_table
 BYTES = 4_000_000  # of text hashed at once
 
 _MULTIPLY = np.random.default_rng(20240607).integers(1, 2**63, CODES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -122,6 +125,36 @@ def set_table(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, items array<long>")
 
 
+def odd_table(docs: DataFrame, width: int) -> DataFrame:
+    """(doc_id, text) -> doc_id, odd: bits, at least ``SPREAD`` for a shingle, each set where an odd number of shingles fall on it.
+
+    Bits in which two sets differ are at most as many as the shingles that only one of them has, so they bound the similarity
+    from above and pairs over the bound need no confirmation. The number of bits is a power of two: a longer row is folded.
+    """
+
+    def run(batches):
+        for b in text_slices(batches, 1, BYTES):
+            sets, bounds = shingle_sets(b.column(1).to_pylist(), width)
+            rows = []
+            for low, high in zip(bounds[:-1], bounds[1:], strict=True):
+                bits = max(512, 1 << (SPREAD * int(high - low)).bit_length())
+                hits = np.bincount((sets[low:high] & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+                rows.append(np.packbits(hits.astype(np.uint8), bitorder="little").view(np.int64))
+            at = np.concatenate([[0], np.cumsum([len(r) for r in rows])])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate(rows)))], ["doc_id", "odd"])
+
+    return docs.mapInArrow(run, "doc_id long, odd array<long>")
+
+
+def _apart(a: str, b: str):
+    """In how many bits two rows of ``odd_table`` differ, the longer one folded: shingles that only one has, at least."""
+    wider = F.size(a) > F.size(b)
+    short, long = F.when(wider, F.col(b)).otherwise(F.col(a)), F.when(wider, F.col(a)).otherwise(F.col(b))
+    k = F.size(short)
+    folded = F.aggregate(F.sequence(F.lit(0), (F.size(long) / k).cast("int") - 1), short, lambda acc, t: F.zip_with(acc, F.slice(long, t * k + 1, k), lambda x, y: x.bitwiseXOR(y)))
+    return F.aggregate(folded, F.lit(0), lambda acc, x: acc + F.bit_count(x))
+
+
 def _keys(reps: DataFrame) -> DataFrame:
     keys = []
     for c in range(CHUNKS):
@@ -181,9 +214,13 @@ def _across(lists: DataFrame, labels: DataFrame, sig: DataFrame, source: DataFra
     blocks = F.ceil(F.col("few") / LIST).cast("int")
     small = rest.where("members = 0 AND few > 1").withColumn("part", F.pmod(F.xxhash64("rep", F.lit(3)), blocks).cast("int"))
     small = small.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).join(sig, "rep")
-    l, r = (small.select(F.col("key").alias(f"{x}key"), F.least("part", "other").alias(f"{x}i"), F.greatest("part", "other").alias(f"{x}j"), F.col("part").alias(f"{x}part"), F.col("slot").alias(f"{x}slot"), F.col("rep").alias(x), F.col("component").alias(f"{x}c"), F.col("n").alias(f"{x}n"), F.col("codes").alias(f"{x}codes")) for x in "ab")
+    few = rest.where("members = 0 AND few > 1").select(F.col("rep").alias("doc_id")).distinct()
+    odd = checkpointed(odd_table(source.join(few, "doc_id", "left_semi"), width))
+    small = small.join(odd.withColumnRenamed("doc_id", "rep"), "rep")
+    l, r = (small.select(F.col("key").alias(f"{x}key"), F.least("part", "other").alias(f"{x}i"), F.greatest("part", "other").alias(f"{x}j"), F.col("part").alias(f"{x}part"), F.col("slot").alias(f"{x}slot"), F.col("rep").alias(x), F.col("component").alias(f"{x}c"), F.col("n").alias(f"{x}n"), F.col("codes").alias(f"{x}codes"), F.col("odd").alias(f"{x}odd")) for x in "ab")
     met = (F.col("akey") == F.col("bkey")) & (F.col("ai") == F.col("bi")) & (F.col("aj") == F.col("bj")) & ((F.col("ai") == F.col("aj")) | (F.col("apart") != F.col("bpart")))
-    pairs = l.join(r, met & (F.col("a") < F.col("b")) & (F.col("ac") != F.col("bc")) & _near("a", "b", percent) & (F.col("aslot") == _first_slot("acodes", "bcodes")))
+    reach = (100 + percent) * _apart("aodd", "bodd") <= (100 - percent) * (F.col("an") + F.col("bn"))
+    pairs = l.join(r, met & (F.col("a") < F.col("b")) & (F.col("ac") != F.col("bc")) & _near("a", "b", percent) & reach & (F.col("aslot") == _first_slot("acodes", "bcodes")))
     pairs = checkpointed(pairs.select("a", "b").distinct())
 
     beside = rest.where("members > 0").select(F.col("key").alias("lkey"), F.col("component").alias("into"), F.col("members").alias("of")).distinct()
