@@ -14,7 +14,7 @@ Links are confirmed on the full shingle sets. Nothing emits all pairs of a group
 3. only lists that still hold several components are compared further, and only across components. Members of small
    components are joined by key, with size, signature distance, the bound of ``odd_table`` and "their first common key"
    inside the join condition; a list of more than ``LIST`` of them is dealt to blocks whose pairs are keys of their own, so no
-   task holds a whole list. The bound loses no link and leaves only pairs that are linked or just below: the members of a
+   task holds a whole list. The bound loses no link and leaves only pairs that are linked or close to it: the members of a
    family at similarity 0.6 meet inside the join and make no rows.
    Members beside a large component (``large`` or more) are compared with all of it on full sets, in blocks of
    ``BLOCK`` by ``BLOCK`` that return at most one link a member. That is the exact way for the rest: afterwards every
@@ -45,7 +45,7 @@ CHUNKS, IN_CHUNK = 10, 4
 CODES = CHUNKS * IN_CHUNK
 REACH = 2 * CHUNKS - 1
 LARGE, BLOCK, LIST = 32, 128, 512
-SPREAD = 4  # bits for a shingle in odd_table
+SPREAD = 1  # bits for a shingle in odd_table, at least: rejects what lies below similarity 0.75 or so
 BYTES = 4_000_000  # of text hashed at once
 
 _MULTIPLY = np.random.default_rng(20240607).integers(1, 2**63, CODES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -108,10 +108,10 @@ def sketch(docs: DataFrame, width: int) -> DataFrame:
             codes = signatures(sets, bounds)
             sums = [np.concatenate([[np.uint64(0)], np.cumsum(_mix(sets + np.uint64(s)))]) for s in (1, 2)]
             digests = [pa.array((c[bounds[1:]] - c[bounds[:-1]]).view(np.int64)) for c in sums]
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(codes) + 1) * CODES, pa.int32()), pa.array(codes.ravel().astype(np.int32)))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(codes) + 1) * CODES, pa.int32()), pa.array(codes.ravel().view(np.int16)))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(np.diff(bounds)), *digests, lists], ["doc_id", "text_key", "n_shingles", "d1", "d2", "codes"])
 
-    return docs.mapInArrow(run, "doc_id long, text_key long, n_shingles long, d1 long, d2 long, codes array<int>")
+    return docs.mapInArrow(run, "doc_id long, text_key long, n_shingles long, d1 long, d2 long, codes array<smallint>")
 
 
 def set_table(docs: DataFrame, width: int) -> DataFrame:
