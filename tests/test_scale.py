@@ -219,6 +219,22 @@ def test_deliveries_publish_once_and_whole(spark):
     assert latest() == want
 
 
+def test_files_without_rows_hold_no_delivery_back(spark):
+    place = new_folder(spark)
+    df = spark.range(0, 40, 1, 4).select("id", (F.col("id") / 100).alias("p_prob"), F.lit("a").alias("weight"), F.lit(1).alias("scored_at"))
+    newer = df.where("id >= 30").withColumn("scored_at", F.lit(2))  # only its last partition has rows; Spark writes a file for the first
+    late = newer.withColumn("scored_at", F.lit(3))
+    for k, part in enumerate((df, newer, df.where("id < 0"), late)):
+        part.write.parquet(f"{place}/in/delivery={k}")
+        if k < 3:  # the last one is whole before its rows are stored
+            ingest.ingest_scores(ingest.new_deliveries(spark, f"{place}/in", df.schema), f"{place}/out", f"{place}/state").awaitTermination()
+        ingest.publish(spark, f"{place}/in", f"{place}/out", df.schema)
+    sizes = [spark.read.parquet(f"{f}").count() for f in catalogs.csv_files(spark, f"{place}/in/delivery=1")]
+    assert sorted(sizes) == [0, 10]
+    assert sorted((r.delivery, r.n_rows) for r in ingest.commits(spark, f"{place}/out", df.schema).collect()) == [("0", 40), ("1", 10)]
+    assert sorted(r.id for r in ingest.latest_scores(spark, f"{place}/out", df.schema).collect()) == list(range(30, 40))
+
+
 def test_near_in_space_time_everywhere(spark):
     rng = random.Random(6)
     place = lambda: rng.choice([(rng.uniform(-90, 90), rng.uniform(-180, 180)), (rng.uniform(88, 90), rng.uniform(-180, 180)), (-90.0, 10.0), (rng.uniform(-5, 5), rng.choice([-180.0, 179.99, 180.0, -179.98]))])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -61,18 +63,31 @@ def _whole(spark: SparkSession, folder: str) -> list[tuple[str, str]]:
     return found
 
 
+def _with_rows(spark: SparkSession, folder: str, schema: T.StructType, files: list[tuple[str, str]]) -> DataFrame:
+    """(delivery) of those files that have rows; only their footers are read."""
+    if not files:
+        return spark.createDataFrame([], "delivery string")
+    plain = [re.sub(r"([\\\[\]{}*?])", r"\\\1", f"delivery={delivery}/{file}") for delivery, file in files]  # names, not patterns
+    held = spark.read.schema(schema).parquet(*[f"{folder}/{p}" for p in plain])
+    return held.select(F.regexp_extract("_metadata.file_path", "/delivery=([^/]+)/[^/]*$", 1).alias("delivery")).distinct()
+
+
 def publish(spark: SparkSession, folder: str, target: str, schema: T.StructType, key: str = "weight", order: str = "scored_at") -> DataFrame:
     """Adds to the commit log ``<target>/commits`` the deliveries that are whole: their writer's mark is set and every file with rows has been
     stored. Returns the log: (key, order, delivery, n_rows, digest), one row for each key and order of a delivery.
 
+    Files without rows, which Spark writes for an empty first partition, never come up in a stream's rows, so a file that was not
+    stored holds a delivery back only if it has rows.
+
     A delivery shows at once or not at all; one that broke off never does. Its digest adds up over its rows, so the same rows sent
     again under any name or split into other files have the same one.
     """
     names = spark.createDataFrame(_whole(spark, folder), "delivery string, file string")
     seen = spark.read.schema("delivery string, file string, n long, micro_batch long").parquet(f"{target}/files").select("delivery", "file").distinct()
-    counted = names.join(seen.withColumn("_seen", F.lit(1)), ["delivery", "file"], "left").groupBy("delivery").agg(F.count(F.lit(1)).alias("n"), F.count("_seen").alias("k"))
-    old = commits(spark, target, schema, key, order)
-    ready = counted.where("k = n").select("delivery").join(old.select("delivery").distinct(), "delivery", "left_anti")
+    old = commits(spark, target, schema, key, order).select("delivery").distinct()
+    fresh = names.join(old, "delivery", "left_anti")
+    unseen = [(r.delivery, r.file) for r in fresh.join(seen, ["delivery", "file"], "left_anti").collect()]  # names from this driver's listing
+    ready = fresh.select("delivery").distinct().join(_with_rows(spark, folder, schema, unseen), "delivery", "left_anti")
     values = [c for c in schema.names if c not in (key, order)]
     rows = _stored(spark, target, schema, key, order).join(F.broadcast(ready), "delivery")  # names of new deliveries
     sizes = rows.groupBy(key, order, "delivery").agg(F.count(F.lit(1)).alias("n_rows"), F.sum(F.xxhash64(*values).cast("decimal(20,0)")).cast("string").alias("digest"))
