@@ -402,6 +402,57 @@ def test_corpus_build_is_the_split_then_balanced(spark):
     assert len(vendor) == len(split) and got == want
 
 
+def test_split_by_lists_of_keys_is_the_split_by_row_keys(spark):
+    rng = random.Random(5)
+    rows = [(f"r{i:03}", rng.choice(["train", "val", "", None]), [f"k{rng.randrange(150)}" for _ in range(rng.choice([0, 1, 1, 1, 2, 3]))]) for i in range(400)]
+    rows += [("r400", "test", None), ("r401", None, ["k1", None, "k1"])]
+    df = keys.written(spark.createDataFrame(rows, "rid string, vendor string, event_keys array<string>").repartition(3))
+    listed = df.select("rid", F.explode("event_keys").alias("event_key"))
+    want = {(r.rid, r.vendor, r.split) for r in splits.event_grouped_split(df.drop("event_keys"), listed, 0.2, 0.3).collect()}
+    out = splits.event_grouped_split(df, None, 0.2, 0.3)
+    assert out.columns == ["rid", "vendor", "split"]
+    got = out.collect()
+    assert len(got) == len(rows) and {(r.rid, r.vendor, r.split) for r in got} == want and {r.split for r in got} == {"train", "val", "test"}
+
+
+@pytest.mark.parametrize("targets", [[0], [7, 0, 9], [1, 1], [30, 1000], [1000, 5]])
+def test_greedy_fill_by_definition(spark, targets):
+    rng = random.Random(sum(targets))
+    sizes = {f"g{i}": rng.choice([0, 1, 1, 2, 9]) for i in range(60)}
+    groups = spark.createDataFrame([(g, n, n + 1) for g, n in sizes.items()], "group_id string, size long, more long").repartition(5)
+    got = {r.group_id: r.split for r in splits.greedy_fill(groups, [(f"t{i}", F.lit(t).cast("long")) for i, t in enumerate(targets)], "rest").collect()}
+    order, want, at, start = sorted(sizes, key=lambda g: (hashlib.md5(f"0|{g}".encode()).hexdigest(), g)), {}, 0, 0
+    before = {}
+    for g in order:
+        before[g], at = at, at + sizes[g]
+    for i, t in enumerate(targets):
+        taken = [g for g in order if start <= before[g] < start + t and g not in want]
+        want |= {g: f"t{i}" for g in taken}
+        start = max([start, *(before[g] + sizes[g] for g in taken)])
+    assert got == {g: want.get(g, "rest") for g in order}
+
+
+def shuffled(spark, run):
+    """Bytes that the stages of a call write to shuffles."""
+    store, jvm = spark._jsc.sc().statusStore(), spark._jvm
+    stages = lambda: {(s.stageId(), s.attemptId()): s.shuffleWriteBytes() for s in jvm.scala.jdk.javaapi.CollectionConverters.asJava(store.stageList(None, False, False, spark._sc._gateway.new_array(jvm.double, 0), None))}
+    old = stages()
+    run()
+    return sum(n for k, n in stages().items() if k not in old)
+
+
+def test_corpus_build_shuffles_rows_twice(spark):
+    from tracekit.queries import QUERIES
+
+    folder = "/root/testdata/sf0.01"
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "100k")
+    try:
+        n = shuffled(spark, lambda: QUERIES["corpus_build"](spark, folder).write.format("noop").mode("overwrite").save())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert n < 200 * spark.read.parquet(f"{folder}/lineitem.parquet").count()
+
+
 def test_scratch_tables_are_cleared_and_clusters_need_a_shared_folder(spark):
     from types import SimpleNamespace
 

@@ -57,6 +57,7 @@ def divided(df: DataFrame, group: list[str], take: DataFrame, key: list[str], se
     named = take.select(*[F.col(g).alias(f"_g_{g}") for g in group], F.col("_take").cast("long").alias("_take"))
     room = F.least(F.col("_c"), F.greatest(F.lit(0), F.col("_take") - F.col("_before")))
     held = ranges.join(named, same_group(ranges, named, group)).select(*[F.col(g).alias(f"_g_{g}") for g in [*group, "_p"]], "_c", room.alias("_room"))
+    held = written(held)  # the planner knows that it is small, so the rows stay where they are
     rows = dealt.join(held, same_group(dealt, held, [*group, "_p"]))
     inside = F.row_number().over(Window.partitionBy(*group, "_p").orderBy("_draw", *key))
     cut = rows.where("_room > 0 AND _room < _c").withColumn("_i", inside)

@@ -25,8 +25,11 @@ def prepare_catalog(df: DataFrame, cap: int, benchmark: DataFrame, bad_names: Da
     return sampling.proportional_cap(df, cap, "distance_bin", ["rid"], seed, "dataset")
 
 
-def build_corpus(df: DataFrame, row_keys: DataFrame, fractions: dict[str, float], val: float, test: float, seed: int = 0) -> DataFrame:
-    """Event-grouped split of the pool, with the training part rebalanced to the target fractions."""
+def build_corpus(df: DataFrame, row_keys: DataFrame | None, fractions: dict[str, float], val: float, test: float, seed: int = 0) -> DataFrame:
+    """Event-grouped split of the pool, with the training part rebalanced to the target fractions.
+
+    Without ``row_keys`` the rows list their keys in ``event_keys`` (see ``splits.event_grouped_split``).
+    """
     named = df.withColumn("vendor", clean.normalise_split(F.col("vendor")))
     held = written(splits.event_grouped_split(named, row_keys, val, test, seed=seed))
     train = sampling.rebalance(held.where("split = 'train'"), fractions, "distance_bin", ["rid"], seed)

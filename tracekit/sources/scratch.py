@@ -55,5 +55,5 @@ def clear(spark: SparkSession) -> None:
 def written(df: DataFrame) -> DataFrame:
     """The same rows as a table in the shared folder, whose size the planner then knows."""
     path = new_folder(df.sparkSession, "table")
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
