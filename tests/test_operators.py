@@ -453,6 +453,36 @@ def test_corpus_build_shuffles_rows_twice(spark):
     assert n < 200 * spark.read.parquet(f"{folder}/lineitem.parquet").count()
 
 
+@pytest.mark.parametrize("name", ["corpus_manifests"])
+def test_manifests_do_not_shuffle_rows_for_names_and_top_ups(spark, name):
+    from tracekit.queries import QUERIES
+
+    folder = "/root/testdata/sf0.01"
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "100k")
+    try:
+        n = shuffled(spark, lambda: QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert n < 200 * spark.read.parquet(f"{folder}/lineitem.parquet").count()
+
+
+def test_top_up_above_a_thousand_rows(spark):
+    df = spark.range(0, 9000, 1, 3).select("id", F.when(F.col("id") < 8500, F.when(F.col("id") % 4 < 3, F.col("id") % 4).otherwise(7)).alias("s"), F.when(F.col("id") % 9 > 0, F.col("id") % 2).alias("g"))
+    out = [tuple(r) for r in sampling.proportional_cap(df, 1201, "s", ["id"], 3, "g").select("g", "s", "id").collect()]
+    rows = [tuple(r) for r in df.select("g", "s", "id").collect()]
+    draw, want = lambda seed, r: (hashlib.md5(f"{seed}|{r[2]}".encode()).hexdigest(), r[2]), []
+    for g in {r[0] for r in rows}:
+        own = sorted((r for r in rows if r[0] == g), key=lambda r: draw("3", r))
+        if len(own) <= 1201:
+            want += own
+            continue
+        part = [[r for r in own if r[1] == s] for s in {r[1] for r in own}]
+        taken = [r for p in part for r in p[: min(len(p), max(1, round(1201 * len(p) / len(own))))]]
+        rest = sorted(set(own) - set(taken), key=lambda r: draw("3+", r))
+        want += taken + rest[: max(0, 1201 - len(taken))]
+    assert sorted(out, key=repr) == sorted(want, key=repr)
+
+
 def test_scratch_tables_are_cleared_and_clusters_need_a_shared_folder(spark):
     from types import SimpleNamespace
 

@@ -96,10 +96,10 @@ def proportional_cap(df: DataFrame, limit: int, stratum: str, key: list[str], se
     short = plan.groupBy(*group).agg((F.lit(limit) - F.sum("_take")).alias("_short"))
     plan = beside(plan, short.withColumnsRenamed({g: f"_g_{g}" for g in group}))
     taken, left = divided(df, [*group, stratum], plan.select(*group, stratum, "_take"), key, seed)
-    # the best ``limit`` of the rest hold every top-up; groups within the limit have no rest
-    lacking = plan.where((F.col("_n") > limit) & (F.col("_short") > 0)).select(*[F.col(g).alias(f"_g_{g}") for g in group], "_short").distinct()
+    # groups within the limit have no rest
+    lacking = plan.where((F.col("_n") > limit) & (F.col("_short") > 0)).select(*group, "_short").distinct()
     if group:
-        more = beside(_ranked(left, group, key, f"{seed}+", "_more").where(F.col("_more") <= limit), lacking).where(F.col("_more") <= F.col("_short"))
+        more = divided(left, group, lacking.withColumnRenamed("_short", "_take"), key, f"{seed}+")[0]  # a rank over the rest would put a dataset into one task
     else:
         best = left.withColumn("_draw", draw(f"{seed}+", *key)).orderBy("_draw", *key).limit(limit)
         more = best.withColumn("_more", F.row_number().over(Window.orderBy("_draw", *key))).crossJoin(F.broadcast(lacking)).where(F.col("_more") <= F.col("_short"))  # one row

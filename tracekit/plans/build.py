@@ -62,27 +62,22 @@ def build_manifests(raw: dict[str, DataFrame], plans: list[CatalogPlan], benchma
 
     Each catalog is harmonised, loses benchmark traces, flagged labels and rows that share an event with the benchmark, and is
     capped; the pool is then split by connected events and the training part balanced. ``benchmark`` and ``bad_names`` hold
-    (dataset, trace_name); the benchmark's events are those of its traces unless they are given.
+    (dataset, trace_name); the benchmark's events are those of its traces unless they are given. Both are written first, so the
+    planner knows their size and rows need not be shuffled for them. Only rows with a pick outside the benchmark are kept.
     """
     spark = benchmark.sparkSession
-    whole = [harmonised(raw[p.name], p) for p in plans]
-    union = written(joins.ragged_union(whole))
-    row_keys = union.select("rid", F.explode("event_keys").alias("event_key"))
+    benchmark, bad_names = (written(names.select("dataset", "trace_name").distinct()) for names in (benchmark, bad_names))
+    whole = joins.ragged_union([harmonised(raw[p.name], p) for p in plans])
     if benchmark_events is None:
-        benchmark_events = joins.semi(union, benchmark, ["dataset", "trace_name"]).select(F.explode("event_keys").alias("event_key"))
+        benchmark_events = joins.semi(whole, benchmark, ["dataset", "trace_name"]).select(F.explode("event_keys").alias("event_key"))
     excluded = written(benchmark_events.distinct())
-    pools = []
-    for plan in plans:
-        mine = union.where(F.col("dataset") == plan.name)
-        mine_keys = mine.select("rid", F.explode("event_keys").alias("event_key"))
-        pools.append(prepare_catalog(mine, plan.cap, benchmark, bad_names, mine_keys, excluded, plan.use_s, plan.p_only, seed))
+    valid = written(joins.anti(whole.where(filters.valid_pick(F.col("p"))), benchmark, ["dataset", "trace_name"]))
+    pools = [prepare_catalog(valid.where(F.col("dataset") == p.name), p.cap, benchmark, bad_names, None, excluded, p.use_s, p.p_only, seed) for p in plans]
     pool = written(joins.ragged_union(pools))
-    pool_keys = joins.semi(row_keys, pool, ["rid"])
-    out = written(build_corpus(pool.drop("event_keys"), pool_keys, fractions, val, test, seed))
+    out = written(build_corpus(pool, None, fractions, val, test, seed))
     manifest = out.select(F.col("dataset").alias("dataset_name"), "trace_name", "chunk", F.col("p").alias("p_arrival_sample"), F.col("s").alias("s_arrival_sample"), F.col("km").alias("distance_km"), "distance_bin", "p_col", "s_col", "split")
     sources.write_manifest(manifest, f"{target}/manifest")
     profile.composition(manifest, "split", "dataset_name", "distance_bin", "s_arrival_sample").write.mode("overwrite").parquet(f"{target}/composition_summary")
-    valid = joins.anti(union.where(filters.valid_pick(F.col("p"))), benchmark, ["dataset", "trace_name"])
     _, removed = filters.drop_flagged(valid, bad_names, ["dataset", "trace_name"], "dataset")
     removed = removed.withColumn("pct_removed", F.bround(100 * F.col("n_removed") / F.col("n_before"), 2))
     removed.write.mode("overwrite").parquet(f"{target}/removal_report")

@@ -10,15 +10,16 @@ from ..operators import filters, joins, keys, metrics, sampling, splits
 from ..sources.scratch import written
 
 
-def prepare_catalog(df: DataFrame, cap: int, benchmark: DataFrame, bad_names: DataFrame, row_keys: DataFrame, excluded_events: DataFrame, use_s: bool = True, p_only: bool = True, seed: int = 0) -> DataFrame:
+def prepare_catalog(df: DataFrame, cap: int, benchmark: DataFrame, bad_names: DataFrame, row_keys: DataFrame | None, excluded_events: DataFrame, use_s: bool = True, p_only: bool = True, seed: int = 0) -> DataFrame:
     """Picks, S filter, exclusions, distance bins and the proportional cap, in the order that the reports count on.
 
-    ``df``: rid, dataset, trace_name, chunk, p, s, km, vendor.
+    ``df``: rid, dataset, trace_name, chunk, p, s, km, vendor. Without ``row_keys`` it lists its keys in ``event_keys``, and only rows that are still
+    there are compared with the events.
     """
     df = filters.require_s(df.where(filters.valid_pick(F.col("p"))), "s", use_s)
     df = joins.anti(df, benchmark, ["dataset", "trace_name"])
     df = joins.anti(df, bad_names, ["dataset", "trace_name"])
-    df = keys.drop_overlapping(df, row_keys, excluded_events)
+    df = keys.drop_overlapping(df, keys.exploded(df, "rid") if row_keys is None else row_keys, excluded_events)
     df = df.withColumn("distance_bin", bins.distance_bin(F.col("km")))
     if p_only:
         df = df.withColumn("s", clean.p_only_policy(F.col("s"), F.col("distance_bin")))

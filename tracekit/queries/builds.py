@@ -25,9 +25,10 @@ def _ragged(t, place: str) -> dict:
     shared = ["rid", "trace_name", "source_id", C("chunk").alias("trace_chunk")]
     one = df.where("line <= 3").select(*shared, C("p").alias("trace_p_arrival_sample"), C("s").alias("trace_s_arrival_sample"), C("km").alias("path_ep_distance_km"), C("vendor").alias("split"))
     two = df.where("line > 3").select(C("km").alias("source_distance_km"), *shared, (C("p") + 1).alias("trace_Pg_arrival_sample"), F.when(C("line") != 5, C("p")).alias("trace_P_arrival_sample"), C("vendor").alias("trace_split"))
-    two.where("line <> 4").write.option("header", True).csv(f"{place}/two")
-    two.where("line = 4").select(*reversed(two.columns)).write.mode("append").option("header", True).csv(f"{place}/two")
-    one.write.option("header", True).csv(f"{place}/one")
+    put = lambda part, name: part.write.mode("append").option("header", True).option("compression", "gzip").csv(f"{place}/{name}")
+    put(two.where("line <> 4"), "two")
+    put(two.where("line = 4").select(*reversed(two.columns)), "two")
+    put(one, "one")
     return {n: catalogs.read_ragged(t.spark, catalogs.csv_files(t.spark, f"{place}/{n}")) for n in ("one", "two")}
 
 
