@@ -453,7 +453,7 @@ def test_corpus_build_shuffles_rows_twice(spark):
     assert n < 200 * spark.read.parquet(f"{folder}/lineitem.parquet").count()
 
 
-@pytest.mark.parametrize("name", ["corpus_manifests"])
+@pytest.mark.parametrize("name", ["corpus_manifests", "corpus_removals"])
 def test_manifests_do_not_shuffle_rows_for_names_and_top_ups(spark, name):
     from tracekit.queries import QUERIES
 
