@@ -86,7 +86,7 @@ def proportional_cap(df: DataFrame, limit: int, stratum: str, key: list[str], se
     Rounding is half-even and may exceed the limit; datasets within the limit stay whole; a null dataset or stratum is one like others.
     """
     group = [dataset] if dataset else []
-    df = written(df)  # counted, ranged and taken from
+    df = written(df, "zstd")  # counted, ranged and taken from
     sizes = df.groupBy(*group, stratum).agg(F.count(F.lit(1)).alias("_c"))
     totals = sizes.groupBy(*group).agg(F.sum("_c").alias("_n"))
     beside = lambda left, right: left.join(right, same_group(left, right, group)).drop(*[f"_g_{g}" for g in group]) if group else left.crossJoin(F.broadcast(right))  # one row

@@ -72,11 +72,11 @@ def event_grouped_split(df: DataFrame, row_keys: DataFrame | None, val: float, t
         found = key_labels(row_keys, row, ends=named.select(*[F.col(f"_{c}").alias(c) for c in ("a", "low", "high", "n")]))
         counts = named.where("_in AND _low IS NOT NULL").groupBy("_low").agg(F.count(F.lit(1)).alias("_c"))
         firsts = key_firsts(row_keys, row).join(counts, F.col("key") == F.col("_low"), "left").select("key", "first", F.coalesce("_c", F.lit(0)).alias("_c"))
-    by_key = written(firsts.join(found.select(F.col("key").alias("_k"), "label"), F.col("key") == F.col("_k"), "left").select("key", "label", "first", "_c"))
+    by_key = written(firsts.join(found.select(F.col("key").alias("_k"), "label"), F.col("key") == F.col("_k"), "left").select("key", "label", "first", "_c"), "zstd")
     linked = by_key.where("label IS NOT NULL").groupBy("label").agg(F.min("first").alias("group_id"), F.sum("_c").alias("size")).where("size > 0")
     bare = F.concat(F.lit("row:"), F.col(row))
     alone = named.where("_in AND _low IS NULL AND NOT _placed").groupBy(bare.alias("group_id")).agg(F.count(F.lit(1)).alias("size"))
-    few = written(linked.unionByName(alone, allowMissingColumns=True))
+    few = written(linked.unionByName(alone, allowMissingColumns=True), "zstd")
     single = by_key.where("label IS NULL AND _c > 0")  # most keys: a group of its own
     groups = few.select("group_id", "size").unionByName(single.select(F.col("first").alias("group_id"), F.col("_c").alias("size")))
     total = groups.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("_m"))

@@ -71,7 +71,7 @@ def build_manifests(raw: dict[str, DataFrame], plans: list[CatalogPlan], benchma
     if benchmark_events is None:
         benchmark_events = joins.semi(whole, benchmark, ["dataset", "trace_name"]).select(F.explode("event_keys").alias("event_key"))
     excluded = written(benchmark_events.distinct())
-    valid = written(joins.anti(whole.where(filters.valid_pick(F.col("p"))), benchmark, ["dataset", "trace_name"]))
+    valid = written(joins.anti(whole.where(filters.valid_pick(F.col("p"))), benchmark, ["dataset", "trace_name"]), "zstd")
     pools = [prepare_catalog(valid.where(F.col("dataset") == p.name), p.cap, benchmark, bad_names, None, excluded, p.use_s, p.p_only, seed) for p in plans]
     pool = written(joins.ragged_union(pools))
     out = written(build_corpus(pool, None, fractions, val, test, seed))

@@ -32,7 +32,7 @@ def build_corpus(df: DataFrame, row_keys: DataFrame | None, fractions: dict[str,
     Without ``row_keys`` the rows list their keys in ``event_keys`` (see ``splits.event_grouped_split``).
     """
     named = df.withColumn("vendor", clean.normalise_split(F.col("vendor")))
-    held = written(splits.event_grouped_split(named, row_keys, val, test, seed=seed))
+    held = written(splits.event_grouped_split(named, row_keys, val, test, seed=seed), "zstd")
     train = sampling.rebalance(held.where("split = 'train'"), fractions, "distance_bin", ["rid"], seed)
     return train.unionByName(held.where("split <> 'train'").select(*train.columns))
 

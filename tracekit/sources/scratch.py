@@ -52,8 +52,8 @@ def clear(spark: SparkSession) -> None:
         place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
-def written(df: DataFrame) -> DataFrame:
-    """The same rows as a table in the shared folder, whose size the planner then knows."""
+def written(df: DataFrame, codec: str | None = None) -> DataFrame:
+    """The same rows as a table in the shared folder, whose size the planner then knows. ``codec``: zstd for tables of whole rows."""
     path = new_folder(df.sparkSession, "table")
-    df.write.option("compression", "zstd").parquet(path)
+    (df.write.option("compression", codec) if codec else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
